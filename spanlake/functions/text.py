@@ -95,10 +95,10 @@ def clip01(col: Column, eps: float) -> Column:
 def _fold_tables(form: str) -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
     """Rule-generated folding tables: (from, to, deleted characters, long expansions).
 
-    Rule: casefold, decompose, drop non-spacing marks.  Characters whose result is a single
-    character go into one ``translate`` call, vanishing ones are deleted by it, and the few
-    Latin and Greek characters with longer results (ss for the sharp s, ligatures) become replacements.
-    Hangul syllables are left composed: folding them letter by letter changes no comparison.
+    Characters whose folding is a single character go into one ``translate`` call, vanishing ones
+    are deleted by it, and the few Latin and Greek characters with longer results (ss for the sharp
+    s, ligatures) become replacements.  Hangul syllables are left composed: folding them letter by
+    letter changes no comparison.
     """
     src, dst, gone, longer = [], [], [], []
     for code in range(sys.maxunicode + 1):
@@ -113,16 +113,22 @@ def _fold_tables(form: str) -> tuple[str, str, str, tuple[tuple[str, str], ...]]
             dst.append(out)
         elif not out:
             gone.append(ch)
-        elif code < 0x0600 or 0x1E00 <= code <= 0x1FFF or 0xFB00 <= code <= 0xFB06:
+        elif code < 0x0250 or (form == "NFD" and (code < 0x0600 or 0x1E00 <= code <= 0x1FFF)) or 0xFB00 <= code <= 0xFB06:
             longer.append((ch, out))
     return "".join(src), "".join(dst), "".join(gone), tuple(longer)
 
 
 def fold_exact(value: str, form: str = "NFD", squeeze: bool = True) -> str:
-    """The exact folding of one string (small helper shared by the tables and the Arrow UDF)."""
-    marks = "".join(c for c in unicodedata.normalize(form, value.casefold())
-                    if unicodedata.category(c) != "Mn")
-    return " ".join(marks.split()) if squeeze else marks
+    """The exact folding of one string (small helper shared by the tables and the Arrow UDF).
+
+    ``NFD``: casefold, decompose, drop non-spacing marks.  ``NFKD``: lower, compatibility
+    decomposition, drop combining characters (the rule for generic terms).
+    """
+    if form == "NFD":
+        kept = [c for c in unicodedata.normalize("NFD", value.casefold()) if unicodedata.category(c) != "Mn"]
+    else:
+        kept = [c for c in unicodedata.normalize("NFKD", value.lower()) if not unicodedata.combining(c)]
+    return " ".join("".join(kept).split()) if squeeze else "".join(kept)
 
 
 def normalize_text(col: Column, form: str = "NFD") -> Column:

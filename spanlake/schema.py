@@ -45,7 +45,8 @@ INFERENCE_FIELDS = (
     "assunto", "relato", "bairroLocal", "logradouroLocal", "cidadeLocal", "pontodeReferenciaLocal",
 )
 METADATA_FIELDS = ("logradouroLocal", "bairroLocal", "cidadeLocal", "pontodeReferenciaLocal")
-RANK_SCORE_FIELDS = ("score_context_boosted", "score_calibrated", "score")
+RANK_SCORE_FIELDS = ("score_context_boosted", "score_calibrated", "score", "score_ts")
+QUALITY_SCORE_FIELDS = ("score_context_boosted", "score_calibrated", "score")
 BOOST_FALLBACK_FIELDS = ("score_calibrated", "score_ts", "score_iso")
 CALIBRATION_COLUMNS = (
     "RowId", "Label", "Entidade_Referencia", "Entidade_Predita", "Start", "End", "Score", "Validacao",
