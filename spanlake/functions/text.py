@@ -79,11 +79,12 @@ def safe_double(col: Column) -> Column:
 def pick_score(entity: Column, fields: Sequence[str]) -> Column:
     """struct(score, source) of the first field that parses; (NULL, "") when none does."""
     empty = F.struct(F.lit(None).cast("double").alias("score"), F.lit("").alias("source"))
-    tries = [bind(safe_double(entity[f]),
-                  lambda v, f=f: F.when(v.isNotNull(),
-                                        F.struct(v.alias("score"), F.lit(f).alias("source"))))
-             for f in fields]
-    return F.coalesce(*tries, empty)
+
+    def attempt(name: str) -> Column:
+        return bind(safe_double(entity[name]), lambda v: F.when(
+            v.isNotNull(), F.struct(v.alias("score"), F.lit(name).alias("source"))))
+
+    return F.coalesce(*[attempt(f) for f in fields], empty)
 
 
 def clip01(col: Column, eps: float) -> Column:

@@ -113,10 +113,13 @@ def extract_entities(df: DataFrame, load: Callable[[], Tagger], labels: Sequence
 
 def regex_tagger(text: Column, patterns: Mapping[str, str], score: float = 1.0) -> Column:
     """Entity array of all matches of label -> pattern, sorted by offsets."""
-    found = [F.transform(regex_matches(text, p), lambda m, label=label: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"),
-        m["text"].alias("text"), F.lit(float(score)).alias("score"))) for label, p in patterns.items()]
-    return F.array_sort(F.concat(*found))
+
+    def found(label: str, pattern: str) -> Column:
+        return F.transform(regex_matches(text, pattern), lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"),
+            m["text"].alias("text"), F.lit(float(score)).alias("score")))
+
+    return F.array_sort(F.concat(*[found(label, p) for label, p in patterns.items()]))
 
 
 def dictionary_tagger(df: DataFrame, terms: DataFrame, text: str = "text", id_col: str = "row_idx",
@@ -129,10 +132,12 @@ def dictionary_tagger(df: DataFrame, terms: DataFrame, text: str = "text", id_co
     fold = F.lower if ignore_case else (lambda c: c)
 
     def grams(tokens: Column) -> Column:
-        sizes = [F.transform(tokens, lambda t, i, n=n: F.struct(
-            F.array_join(F.transform(F.slice(tokens, i + 1, F.lit(n)), lambda x: x["token"]), " ").alias("term"),
-            t["start"].alias("start"), F.get(tokens, i + n - 1)["end"].alias("end"))) for n in range(1, max_words + 1)]
-        return F.filter(F.concat(*sizes), lambda g: g["end"].isNotNull())
+        def of_size(n: int) -> Column:
+            return F.transform(tokens, lambda t, i: F.struct(
+                F.array_join(F.transform(F.slice(tokens, i + 1, F.lit(n)), lambda x: x["token"]), " ").alias("term"),
+                t["start"].alias("start"), F.get(tokens, i + n - 1)["end"].alias("end")))
+
+        return F.filter(F.concat(*[of_size(n) for n in range(1, max_words + 1)]), lambda g: g["end"].isNotNull())
 
     staged = df.select(id_col, text).withColumn("_tok", tokenize_with_spans(F.col(text), strategy))
     if max_words == 1:

@@ -157,19 +157,22 @@ def remove_banned_spans(df: DataFrame, banlist: Mapping[str, Sequence[str]] | No
     there = [c for c in lists if c in df.columns]
     text = F.coalesce(*[F.when(F.col(f) != "", F.col(f)) for f in fields if f in df.columns], F.lit(""))
     staged = df.withColumn("_text", text)
-    for c in there:
-        has_text = "text" in struct_fields(df, c)
 
-        def marked(e: Column, has_text: bool = has_text) -> Column:
-            mention = F.when(F.coalesce(e["start"], F.lit(-1)) >= 0, mention_text(
-                F.col("_text"), e["start"], e["end"], e["text"] if has_text else F.lit(None).cast("string"))) \
-                .otherwise(F.coalesce(e["text"], F.lit("")) if has_text else F.lit(""))
+    def marker(has_text: bool):
+        own = (lambda e: e["text"]) if has_text else (lambda e: F.lit(None).cast("string"))
+
+        def marked(e: Column) -> Column:
+            mention = F.when(F.coalesce(e["start"], F.lit(-1)) >= 0, mention_text(F.col("_text"), e["start"], e["end"], own(e))) \
+                .otherwise(F.coalesce(own(e), F.lit("")))
+            terms_of = F.try_element_at(table, normalize_text(e["label"], "NFKD"))
             return bind(F.struct(mention.alias("m"), normalize_text(mention, "NFKD").alias("n")), lambda s: F.struct(
                 e.alias("e"), s["m"].alias("mention"), s["n"].alias("norm"),
-                F.coalesce((s["n"] != "") & F.array_contains(
-                    F.try_element_at(table, normalize_text(e["label"], "NFKD")), s["n"]), F.lit(False)).alias("banned")))
+                F.coalesce((s["n"] != "") & F.array_contains(terms_of, s["n"]), F.lit(False)).alias("banned")))
 
-        staged = staged.withColumn(f"_m_{c}", F.transform(F.col(c), marked))
+        return marked
+
+    for c in there:
+        staged = staged.withColumn(f"_m_{c}", F.transform(F.col(c), marker("text" in struct_fields(df, c))))
     records = staged.select(*[
         F.transform(F.filter(f"_m_{c}", lambda m: ~m["banned"]), lambda m: m["e"]).alias(c) if c in there else F.col(c)
         for c in df.columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -50,6 +51,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (needed only by the Arrow UDFs)."""
+    context = spark.sparkContext
+    if any(str(f).endswith("spanlake.zip") for f in context._python_includes):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="spanlake-code-")  # driver side; addPyFile distributes it
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "spanlake"), "zip", root, "spanlake"))
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage so later passes see the very same rows and partitions.
 
