@@ -104,8 +104,8 @@ def _best(losses: DataFrame, groups: Sequence[str]) -> DataFrame:
     """First minimum per group; groups with one target class are left out."""
     usable = losses.filter((F.col("positives") > 0) & (F.col("positives") < F.col("n")))
     pick = F.min(F.struct((F.col("loss_sum") / F.col("n")).alias("loss"), "idx", "t"))
-    return usable.groupBy(*groups).agg(pick.alias("_b"), F.first("n").alias("support")).select(
-        *groups, F.col("_b.t").alias("temperature"), F.col("_b.loss").alias("fit_loss"), "support")
+    best = usable.groupBy(*groups).agg(pick.alias("_b"), F.first("n").alias("support")).filter(F.col("_b").isNotNull())
+    return best.select(*groups, F.col("_b.t").alias("temperature"), F.col("_b.loss").alias("fit_loss"), "support")
 
 
 def fit_temperature(df: DataFrame, t_min: float = T_MIN, t_max: float = T_MAX, size: int = GRID) -> DataFrame:
