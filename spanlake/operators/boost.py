@@ -12,6 +12,7 @@ from spanlake.functions.arrays import array_mean, bind
 from spanlake.functions.text import informative_tokens, metadata_values, normalize_text, pick_score, safe_double
 from spanlake.operators.fields import resolve_entities, struct_fields, text_of
 from spanlake.operators.ordering import top_n
+from spanlake.operators.staging import once
 from spanlake.schema import BOOST_FALLBACK_FIELDS, METADATA_FIELDS
 
 SCOPES = ("all-entities", "location-only", "matched-only", "location-matched-only")
@@ -53,11 +54,11 @@ def record_context_match(df: DataFrame, text_fields: Sequence[str], metadata_fie
     text, used = text_of(df, text_fields)
     there = [f for f in metadata_fields if f in df.columns]
     none = F.array().cast("array<struct<field:string,value:string,norm:string,tokens:array<string>>>")
-    staged = df.withColumn("_used", used).withColumn("_norm", normalize_text(text))
+    staged = once(df.withColumn("_used", used), _norm=normalize_text(text))
     if there:
         folded = F.transform(metadata_values(there), lambda p: bind(normalize_text(p["value"]), lambda n: F.struct(
             p["field"].alias("field"), p["value"].alias("value"), n.alias("norm"), informative_tokens(n).alias("tokens"))))
-        staged = staged.withColumn("_meta", folded)
+        staged = once(staged, _meta=folded)
         found = F.filter("_meta", lambda m: (m["norm"] != "") & F.contains(F.col("_norm"), m["norm"]))
     else:
         staged, found = staged.withColumn("_meta", none), F.col("_meta")
@@ -127,7 +128,7 @@ def context_boost(df: DataFrame, cfg: BoostConfig = BoostConfig()) -> DataFrame:
             scored(on).alias("on"), scored(F.when(on, F.col("_mult")).otherwise(F.lit(1.0))).alias("mult"),
             scored(matches).alias("matches"), scored(F.when(on, reason).otherwise("no-boost")).alias("why"))
 
-    staged = staged.withColumn("_x", F.transform("_ents", enrich))
+    staged = once(staged, _x=F.transform("_ents", enrich))
 
     def rebuilt(x: Column) -> Column:
         added = {cfg.output_score_field: x["after"], "_context_boost_score_source": x["source"],

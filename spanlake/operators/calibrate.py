@@ -20,6 +20,7 @@ from spanlake.functions.arrays import bind, block_heads, sorted_rank
 from spanlake.functions.text import clip01, safe_double
 from spanlake.operators.fields import resolve_entities, struct_fields
 from spanlake.operators.ordering import group_quantiles, running_totals, with_hash_position
+from spanlake.operators.staging import once
 from spanlake.schema import LABELS, NLL_EPS, SCORE_EPS
 
 T_MIN, T_MAX, GRID = 0.5, 5.0, 181
@@ -269,7 +270,7 @@ def apply_calibrator(df: DataFrame, calibrator: Calibrator, score_field: str = "
 
         return bind(safe_double(e[score_field]), body)
 
-    return df.withColumn(entities, F.transform(entities, one))
+    return once(df, **{entities: F.transform(entities, one)})
 
 
 def calibrate_corpus(df: DataFrame, method: str = "temperature", label_source: str = "score-threshold",

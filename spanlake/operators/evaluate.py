@@ -183,10 +183,10 @@ def best_threshold(scores: DataFrame) -> DataFrame:
 def training_surfaces(train: DataFrame, tokens: str = "tokenized_text", ner: str = "ner") -> DataFrame:
     """Distinct (label, surface) of token-span training samples."""
     valid = F.filter(ner, lambda s: (s["start_tok"] >= 0) & (s["start_tok"] <= s["end_tok"]) & (s["end_tok"] < F.size(tokens)))
-    rows = train.select(F.explode(F.transform(valid, lambda s: F.struct(
+    rows = train.select(F.explode_outer(F.transform(valid, lambda s: F.struct(
         s["label"].alias("label"), surface_key(F.array_join(
             F.slice(tokens, s["start_tok"] + 1, s["end_tok"] - s["start_tok"] + 1), " ")).alias("surface")))).alias("k"))
-    return rows.select("k.label", "k.surface").distinct()
+    return rows.filter(F.col("k").isNotNull()).select("k.label", "k.surface").distinct()
 
 
 def span_surfaces(df: DataFrame, column: str, text: str = "text", id_col: str = "row_idx") -> DataFrame:

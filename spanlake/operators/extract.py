@@ -17,6 +17,7 @@ from spanlake.functions.udfs import Tagger, tagger_udf
 from spanlake.operators.fields import struct_fields
 from spanlake.operators.filters import clean_entities, sanitize_spans
 from spanlake.operators.ordering import lookup_join
+from spanlake.operators.staging import once
 from spanlake.schema import LABELS
 
 TOKENS = "array<struct<token:string,start:int,end:int>>"
@@ -70,7 +71,7 @@ def locate_chunks(text: Column, parts: Column) -> Column:
 
 def chunk_profile(df: DataFrame, text: str, max_tokens: int, reserved: int = 0) -> DataFrame:
     """One row: records, chunk counts and text and chunk lengths."""
-    staged = df.select(F.length(text).alias("_len"), chunk_text(F.col(text), max_tokens, reserved).alias("_c"))
+    staged = once(df.select(text), _c=chunk_text(F.col(text), max_tokens, reserved)).withColumn("_len", F.length(text))
     per = staged.select(
         "_len", F.size("_c").alias("_n"),
         F.coalesce(F.array_max(F.transform("_c", lambda c: F.length(c["text"]))), F.lit(0)).alias("_longest"))
@@ -96,8 +97,9 @@ def extract_entities(df: DataFrame, load: Callable[[], Tagger], labels: Sequence
     deduplication are native.
     """
     tag = tagger_udf(load, labels, threshold, batch_size)
-    staged = df.withColumn("_chunks", chunk_text(F.coalesce(F.col(text), F.lit("")), max_tokens, reserved))
-    staged = staged.withColumn("_t", tag(F.transform("_chunks", lambda c: c["text"])))
+    staged = once(df, _chunks=chunk_text(F.coalesce(F.col(text), F.lit("")), max_tokens, reserved))
+    staged = staged.withColumn("_texts", F.transform("_chunks", lambda c: c["text"]))
+    staged = once(staged.withColumn("_tagged", tag("_texts")), _t=F.col("_tagged")).drop("_texts", "_tagged")
     chunk_of = lambda e: F.get(F.col("_chunks"), e["chunk"])
     numbered = F.transform("_t.found", lambda e: F.struct(
         e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), e["text"].alias("text"),
@@ -107,7 +109,7 @@ def extract_entities(df: DataFrame, load: Callable[[], Tagger], labels: Sequence
     shifted = F.transform(cleaned, lambda e: F.struct(
         (e["start"] + e["shift"]).alias("start"), (e["end"] + e["shift"]).alias("end"), e["label"].alias("label"),
         e["text"].alias("text"), e["score"].alias("score")))
-    return (staged.withColumn("entities", dedupe_entities(shifted))
+    return (once(staged, entities=dedupe_entities(shifted))
             .withColumn("tagger_ok", F.col("_t.ok")).drop("_chunks", "_t"))
 
 
@@ -139,12 +141,11 @@ def dictionary_tagger(df: DataFrame, terms: DataFrame, text: str = "text", id_co
 
         return F.filter(F.concat(*[of_size(n) for n in range(1, max_words + 1)]), lambda g: g["end"].isNotNull())
 
-    staged = df.select(id_col, text).withColumn("_tok", tokenize_with_spans(F.col(text), strategy))
+    staged = once(df.select(id_col, text), _tok=tokenize_with_spans(F.col(text), strategy))
     if max_words == 1:
-        pieces = staged.select(id_col, text, F.explode(F.transform("_tok", lambda t: F.struct(
-            t["token"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))).alias("g"))
+        pieces = staged.select(id_col, text, F.explode("_tok").alias("g")).withColumn("g", F.col("g").withField("term", F.col("g.token")))
     else:
-        pieces = staged.select(id_col, text, F.explode(grams(F.col("_tok"))).alias("g"))
+        pieces = once(staged, _g=grams(F.col("_tok"))).select(id_col, text, F.explode("_g").alias("g"))
     words = pieces.select(id_col, fold(F.col("g.term")).alias("term"), F.col("g.start").alias("start"), F.col("g.end").alias("end"),
                           F.substring(F.col(text), F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("text"))
     lexicon = terms.select(fold(F.col("term")).alias("term"), "label").distinct()
@@ -195,9 +196,9 @@ def clamp_spans(spans: Column, text: Column) -> Column:
 def tokenized_samples(df: DataFrame, text: str = "text", spans: str = "spans", strategy: str = "whitespace",
                       clamp: bool = False) -> DataFrame:
     """Adds ``tokenized_text`` and ``ner`` (inclusive token spans) to every record."""
-    staged = df.withColumn("_tok", tokenize_with_spans(F.col(text), strategy))
+    staged = once(df, _tok=tokenize_with_spans(F.col(text), strategy))
     given = clamp_spans(F.col(spans), F.col(text)) if clamp else F.col(spans)
-    return (staged.withColumn("ner", align_spans_to_tokens(F.col("_tok"), given))
+    return (once(staged, ner=align_spans_to_tokens(F.col("_tok"), given))
             .withColumn("tokenized_text", F.transform("_tok", lambda t: t["token"])).drop("_tok"))
 
 
@@ -269,14 +270,13 @@ def sliding_token_windows(df: DataFrame, max_length: int = 384, overlap: int = 5
         cuts = F.when(total > budget, _fitted_windows(F.col(lengths), budget, overlap, words)).otherwise(
             F.array(F.struct(F.lit(0).alias("from"), n.alias("to"))))
     keep = [c for c in df.columns if c not in ("tokenized_text", "ner", lengths)]
-    rows = rows.select(*keep, "tokenized_text", "ner", F.posexplode(cuts).alias("window", "w"))
+    rows = once(rows, _cuts=cuts).select(*keep, "tokenized_text", "ner", F.posexplode("_cuts").alias("window", "w"))
     lo, hi = F.col("w.from"), F.col("w.to") - 1
     inside = F.filter("ner", lambda s: F.greatest(s["start_tok"], lo) <= F.least(s["end_tok"], hi))
     moved = F.transform(inside, lambda s: F.struct(
         (F.greatest(s["start_tok"], lo) - lo).alias("start_tok"), (F.least(s["end_tok"], hi) - lo).alias("end_tok"),
         s["label"].alias("label")))
-    out = rows.select(*keep, "window", F.slice("tokenized_text", lo + 1, hi - lo + 1).alias("tokenized_text"),
-                      moved.alias("ner"))
+    out = once(rows, ner=moved).select(*keep, "window", F.slice("tokenized_text", lo + 1, hi - lo + 1).alias("tokenized_text"), "ner")
     return out if keep_empty else out.filter(F.size("ner") > 0)
 
 
@@ -317,11 +317,11 @@ def bio_tags(df: DataFrame, text: str = "text", spans: str = "spans", id_col: st
         return bind_all([starts, ends], lambda s, e: bind(ranges(s, e), fill))
 
     spans = F.col(spans)
-    staged = df.select(id_col, spans.alias("_s"), tokenize_with_spans(F.col(text), strategy).alias("_tok"))
+    staged = once(df.select(id_col, F.col(text).alias("_t"), spans.alias("_s")), _tok=tokenize_with_spans(F.col("_t"), strategy))
     spans = F.col("_s")
-    return (staged.withColumn("_tags", tags(F.col("_tok")))
-            .select(id_col, F.posexplode(F.arrays_zip(F.col("_tok.token").alias("token"), F.col("_tags").alias("tag")))
-                    .alias("tok_idx", "x"))
+    zipped = lambda tags: F.zip_with("_tok", tags, lambda t, g: F.struct(t["token"].alias("token"), g.alias("tag")))
+    return (once(staged, _rows=bind(tags(F.col("_tok")), zipped))
+            .select(id_col, F.posexplode("_rows").alias("tok_idx", "x"))
             .select(id_col, "tok_idx", "x.token", "x.tag"))
 
 

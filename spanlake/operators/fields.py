@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.functions.text import primary_text
+from spanlake.operators.staging import once
 
 
 def struct_fields(df: DataFrame, column: str) -> list[str]:
@@ -128,4 +129,4 @@ def normalize_entity_shapes(df: DataFrame, payload: str, name: str = "entities")
     empty = F.array().cast("array<struct<label:string,text:string,start:string,end:string>>")
     shaped = (F.when(src.startswith("["), listed(src, F.lit("")))
               .when(src.startswith("{"), by_label).otherwise(empty))
-    return df.withColumn(name, F.array_sort(F.coalesce(shaped, empty)))
+    return once(df, **{name: F.array_sort(F.coalesce(shaped, empty))})

@@ -12,6 +12,7 @@ from spanlake.functions.arrays import bind
 from spanlake.functions.text import _SPACE, _WORD, fold_exact, mention_text, normalize_text, not_blank, strip
 from spanlake.operators.fields import resolve_entities, struct_fields, text_of
 from spanlake.operators.ordering import top_n
+from spanlake.operators.staging import once
 from spanlake.schema import GENERIC_TERMS, MODEL_MARKERS, TEXT_FIELDS, TRAINING_TEXT_FIELDS
 
 #: Mentions made of word characters, spaces, hyphens, dots and apostrophes only.
@@ -72,7 +73,7 @@ def normalize_training_entities(df: DataFrame, labels: Sequence[str] | None = No
         why = F.transform(F.filter(marked, lambda m: m["why"].isNotNull()), lambda m: m["why"])
         return F.struct(good.alias("good"), why.alias("why"))
 
-    out = df.withColumn("entity_source", source).withColumn("_n", bind(raw, body))
+    out = once(df.withColumn("entity_source", source), _n=bind(raw, body))
     none = F.array().cast("array<struct<start:int,end:int,label:string>>")
     listed = raw.isNotNull()
     reasons = F.concat(F.coalesce("_n.why", F.array().cast("array<string>")),
@@ -171,8 +172,7 @@ def remove_banned_spans(df: DataFrame, banlist: Mapping[str, Sequence[str]] | No
 
         return marked
 
-    for c in there:
-        staged = staged.withColumn(f"_m_{c}", F.transform(F.col(c), marker("text" in struct_fields(df, c))))
+    staged = once(staged, **{f"_m_{c}": F.transform(F.col(c), marker("text" in struct_fields(df, c))) for c in there})
     records = staged.select(*[
         F.transform(F.filter(f"_m_{c}", lambda m: ~m["banned"]), lambda m: m["e"]).alias(c) if c in there else F.col(c)
         for c in df.columns])

@@ -14,6 +14,7 @@ from spanlake.functions.text import preview, safe_double
 from spanlake.operators.fields import resolve_entities, struct_fields, text_of
 from spanlake.operators.filters import label_count_map
 from spanlake.operators.ordering import top_n
+from spanlake.operators.staging import once
 from spanlake.schema import RANK_SCORE_FIELDS, TEXT_FIELDS
 
 
@@ -64,15 +65,15 @@ def prune_entities(df: DataFrame, min_score: float = 0.0, label_min: Mapping[str
         chosen = F.slice(F.array_sort(F.transform(kept, lambda x: F.struct(rank(x).alias("k"), x["i"].alias("i")))), 1, max_k)
         return F.transform(chosen, lambda c: F.get(F.col("_m"), c["i"])["e"])
 
-    staged = staged.withColumn("_m", F.transform("_ents", mark))
-    staged = staged.withColumn("_kept", F.filter("_m", lambda x: x["why"].isNull()))
+    staged = once(staged, _m=F.transform("_ents", mark))
+    staged = once(staged, _kept=F.filter("_m", lambda x: x["why"].isNull()))
     over = (F.size("_kept") > max_k) if max_k > 0 else F.lit(False)
     plain = F.transform("_kept", lambda x: x["e"])
     if max_k > 0:
         capped = F.slice(plain, 1, 0) if drop_over_max else best(F.col("_kept"))
-        staged = staged.withColumn("_out", F.when(over, capped).otherwise(plain))
+        staged = once(staged, _out=F.when(over, capped).otherwise(plain))
     else:
-        staged = staged.withColumn("_out", plain)
+        staged = once(staged, _out=plain)
     gone = lambda why: F.size(F.filter("_m", lambda x: x["why"] == why))
     staged = staged.withColumn(trace, F.struct(
         F.col("_key").alias("entity_key"), F.size("_ents").alias("entities_before"), F.size("_out").alias("entities_after"),
@@ -140,7 +141,7 @@ def candidate_features(df: DataFrame, cfg: RankConfig = RankConfig(), id_col: st
     slim = F.transform("_ents", lambda e: F.struct(
         F.coalesce(e["label"], F.lit("UNKNOWN")).alias("label"), first_score(e, cfg.entity_score_fields, known).alias("s"),
         entity_length(e, known).alias("n")))
-    staged = staged.withColumn("_slim", slim).withColumn("_len", F.length(text))
+    staged = once(staged, _slim=slim).withColumn("_len", F.length(text))
     staged = staged.withColumn("_sc", F.transform(F.filter("_slim", lambda x: x["s"].isNotNull()), lambda x: x["s"]))
     n = F.size("_slim")
     share = lambda cond: F.when(n > 0, F.size(F.filter("_slim", cond)) / n).otherwise(0.0)
@@ -160,7 +161,7 @@ def candidate_features(df: DataFrame, cfg: RankConfig = RankConfig(), id_col: st
         F.coalesce(F.array_max(places), F.lit(0.0)).alias("location_max_score"),
         share(lambda x: x["label"] == "Organization").alias("organization_ratio"),
         label_count_map(F.col("_ents")).alias("label_counts"))
-    return (staged.withColumn("_meta", meta)
+    return (once(staged, _meta=meta)
             .withColumn(name, F.col("_meta").withField("candidate_quality_score", candidate_quality(F.col("_meta"))))
             .drop("_ents", "_slim", "_len", "_sc", "_meta"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.arrays import array_mean, array_median, array_p75, bind
 from spanlake.functions.text import safe_double
 from spanlake.operators.fields import resolve_entities, struct_fields
+from spanlake.operators.staging import once
 
 AGGREGATIONS = {"mean": array_mean, "max": F.array_max, "min": F.array_min, "median": array_median, "p75": array_p75}
 
@@ -39,7 +40,7 @@ def record_score(df: DataFrame, field_name: str = "score", how: str = "mean", em
     if empty not in ("zero", "null", "error"):
         raise ValueError(f"unknown policy for empty records: {empty}")
     staged = resolve_entities(df, _entity_keys(entities), "_ents")
-    staged = staged.withColumn("_valid", _scores(staged, "_ents", field_name))
+    staged = once(staged, _valid=_scores(staged, "_ents", field_name))
     value = AGGREGATIONS[how](F.col("_valid"))
     if empty == "zero":
         value = F.coalesce(value, F.lit(0.0))
@@ -137,7 +138,7 @@ def entity_gate(df: DataFrame, gate: EntityGate, name: str = "_gate") -> DataFra
     matched = F.filter(F.transform("_ents", lambda e: F.struct(
         text(e).alias("text"), e[gate.label_field].alias("label"), score(e).alias("score"))),
         lambda m: F.coalesce(m["label"], F.lit("")).isin(*gate.labels) & m["score"].isNotNull())
-    staged = staged.withColumn("_m", matched)
+    staged = once(staged, _m=matched)
     value = AGGREGATIONS[gate.how](F.transform("_m", lambda m: m["score"]))
     staged = staged.withColumn("_v", value)
     return staged.withColumn(name, F.struct(

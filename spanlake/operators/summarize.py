@@ -12,6 +12,7 @@ from spanlake.functions.text import not_blank, safe_double
 from spanlake.operators.evaluate import long_spans, match_spans
 from spanlake.operators.fields import resolve_entities, struct_fields, text_of
 from spanlake.operators.prune import first_score
+from spanlake.operators.staging import once
 from spanlake.schema import QUALITY_SCORE_FIELDS
 
 SPAN_LISTS = ("spans", "entities", "ner")
@@ -70,9 +71,9 @@ def kept_quality(df: DataFrame, strong: float = 0.8, weak: float = 0.5, groups:
     record = F.coalesce(*[safe_double(F.col(f"_split.{f}")) for f in ("score_value", "score_used") if f in split],
                         F.lit(None).cast("double"))
     scores = F.filter(F.transform("entities", lambda e: first_score(e, QUALITY_SCORE_FIELDS, known)), lambda s: s.isNotNull())
-    rows = df.select(*groups, F.when(text != "", F.sha2(text, 256)).alias("_d"), record.alias("_r"),
-                     F.coalesce(F.size("entities"), F.lit(0)).alias("_n"),
-                     F.coalesce(scores, F.array().cast("array<double>")).alias("_s"))
+    rows = once(df, _s=F.coalesce(scores, F.array().cast("array<double>"))).select(
+        *groups, F.when(text != "", F.sha2(text, 256)).alias("_d"), record.alias("_r"),
+        F.coalesce(F.size("entities"), F.lit(0)).alias("_n"), "_s")
     rows = rows.select(*groups, "_d", "_r", F.greatest("_n", F.lit(0)).alias("_n"),
                        F.size(F.filter("_s", lambda s: s >= strong)).alias("_strong"),
                        F.size(F.filter("_s", lambda s: s < weak)).alias("_weak"), F.array_max("_s").alias("_max"),
