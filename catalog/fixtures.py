@@ -128,3 +128,8 @@ cal AS (SELECT doc_id || ':' || i AS row_key, doc_id, round(score, 3) AS score,
 def norm_sql(expr: str) -> str:
     """SQL for the folded form of Latin text."""
     return f"trim(regexp_replace(strip_accents(lower(replace(coalesce({expr}, ''), 'ß', 'ss'))), '\\s+', ' ', 'g'))"
+
+
+def doc() -> Column:
+    """The record id under the name of the source table."""
+    return F.col("row_idx").alias("doc_id")
