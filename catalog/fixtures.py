@@ -41,8 +41,13 @@ def _entities(doc: Column, tokens: Column) -> Column:
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_idx, text, lang, source, entities (start, end, label, text, score, h); one pass, no shuffle."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "text", "lang", "source")
-    return once(spread(docs, "row_idx"), entities=bind(split_on_space(F.col("text")), lambda t: _entities(F.col("row_idx"), t)))
+    return annotate(spread(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def annotate(documents: DataFrame) -> DataFrame:
+    """The same for any batch or stream of documents."""
+    docs = documents.select(F.col("doc_id").alias("row_idx"), "text", "lang", "source")
+    return once(docs, entities=bind(split_on_space(F.col("text")), lambda t: _entities(F.col("row_idx"), t)))
 
 
 def _keep(entities: Column, ok, label) -> Column:
@@ -130,6 +135,16 @@ def norm_sql(expr: str) -> str:
     return f"trim(regexp_replace(strip_accents(lower(replace(coalesce({expr}, ''), 'ß', 'ss'))), '\\s+', ' ', 'g'))"
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with a unique text id (order, line, part and price; order and line alone repeat)."""
+    parts = ["l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")]
+    return table(spark, sf_dir, "lineitem").select(F.concat_ws(":", *parts).alias("row_idx"), "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
+
+
+LINES_SQL = """li AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id,
+  l_returnflag, l_linestatus, l_quantity, l_extendedprice FROM lineitem)"""
+
+
 def doc() -> Column:
     """The record id under the name of the source table."""
     return F.col("row_idx").alias("doc_id")

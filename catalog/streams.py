@@ -1 +1,48 @@
+"""The scoring stages on a stream of files."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import query
+from catalog.boosting import CYCLE, CYCLE_SQL
+from catalog.fixtures import annotate, doc, slim, table, tidy, with_metadata
+from catalog.merging import KEY
+from spanlake import streaming as st
+from spanlake.functions.text import dedupe_key
+from spanlake.session import scratch_path
+
+
+def _stream(spark, sf):
+    """The documents as four arriving files, one per micro-batch, scored."""
+    folder = scratch_path(spark, "arriving")
+    docs = table(spark, sf, "documents")
+    docs.repartition(4, "doc_id").write.parquet(folder)
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return st.score_stream(with_metadata(slim(annotate(arriving))), CYCLE)
+
+
+@query("stream_decisions", CYCLE_SQL + " SELECT doc_id, CASE WHEN keep THEN 'kept' ELSE 'discarded' END AS decision, round(record_score, 6) AS record_score FROM cy")
+def stream_decisions(spark, sf):
+    out = scratch_path(spark, "decisions")
+    st.write_decisions(_stream(spark, sf).select("row_idx", "record_score", "decision"), out, scratch_path(spark, "cp")).awaitTermination()
+    return tidy(spark.read.parquet(out).select(doc(), "decision", "record_score"))
+
+
+_KEPT_TEXTS = CYCLE_SQL + f" SELECT DISTINCT md5({KEY}) AS digest FROM cy JOIN documents USING (doc_id) WHERE keep"
+
+
+@query("stream_accumulated", _KEPT_TEXTS)
+def stream_accumulated(spark, sf):
+    out = scratch_path(spark, "accumulated")
+    rows = _stream(spark, sf).select("row_idx", "text", "decision")
+    st.accumulate_kept(rows, out, scratch_path(spark, "cp")).awaitTermination()
+    return spark.read.parquet(out).select(F.md5(dedupe_key(F.col("text"))).alias("digest"))
+
+
+@query("stream_deduplicated", _KEPT_TEXTS)
+def stream_deduplicated(spark, sf):
+    out = scratch_path(spark, "unique")
+    rows = st.dedupe_stream(_stream(spark, sf).select("row_idx", "text", "decision").filter("decision = 'kept'"))
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.md5(dedupe_key(F.col("text"))).alias("digest"))

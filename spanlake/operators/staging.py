@@ -27,5 +27,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A small file is one split, which would leave a CPU-heavy stage to a single task.  Large inputs come with more
     splits than cores and pass through unchanged.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

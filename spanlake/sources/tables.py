@@ -204,9 +204,21 @@ def read_chunk_runs(spark: SparkSession, root: str, run_names: Sequence[str] | N
 
 
 def read_kept_rows(spark: SparkSession, root: str) -> DataFrame:
-    """All ``05_split/kept.jsonl`` rows below ``root`` with their run name."""
-    entity = "ARRAY<STRUCT<start: INT, end: INT, label: STRING, text: STRING, score: DOUBLE, score_calibrated: DOUBLE, score_context_boosted: DOUBLE>>"
-    return (spark.read.schema(f"relato STRING, text STRING, texto STRING, entities {entity}, "
-                              "_split STRUCT<score_value: DOUBLE, score_used: DOUBLE>")
-            .option("recursiveFileLookup", True).option("pathGlobFilter", KEPT_FILE).json(root)
-            .select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/05_split/", 1).alias("run_name")))
+    """All kept rows below ``root`` with their run name: ``05_split/kept.jsonl`` files and the
+    ``05_split/decision=kept`` folders that ``write_kept_discarded`` leaves."""
+    entity = ("ARRAY<STRUCT<start: INT, end: INT, label: STRING, text: STRING, score: DOUBLE, score_calibrated: DOUBLE, "
+              "score_context_boosted: DOUBLE>>")
+    schema = f"relato STRING, text STRING, texto STRING, entities {entity}, _split STRUCT<score_value: DOUBLE, score_used: DOUBLE>"
+    patterns = [f"{root.rstrip('/')}/*/05_split/{KEPT_FILE}", f"{root.rstrip('/')}/*/05_split/decision=kept/*.json"]
+    there = [p for p in patterns if path_exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], f"{schema}, run_name STRING")
+    return spark.read.schema(schema).json(there).select(
+        "*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/05_split/", 1).alias("run_name"))
+
+
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    """Does a path or glob match anything on its file system?"""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0

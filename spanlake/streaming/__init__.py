@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanlake.functions.text import dedupe_key
 from spanlake.operators.ordering import lookup_join
 from spanlake.plans.cycle import CycleConfig, score_and_split
+from spanlake.sources.tables import path_exists
 
 
 def score_stream(stream: DataFrame, cfg: CycleConfig = CycleConfig()) -> DataFrame:
@@ -51,9 +52,7 @@ def accumulate_kept(scored: DataFrame, folder: str, checkpoint: str, text: str =
 
 def _earlier(spark, folder: str, batch_id: int) -> DataFrame | None:
     """Accumulated rows of the batches before this one, or None when there are none yet."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    if batch_id == 0 or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if batch_id == 0 or not path_exists(spark, folder):
         return None
     return spark.read.parquet(folder).filter(F.col("batch_id") < batch_id)
 
