@@ -47,6 +47,16 @@ def _sides(spark, sf):
     return long(df, "gold"), long(df, "pred")
 
 
+def _judged(spark, sf, score=False):
+    """The match table of gold and predicted arrays that sit in the same record."""
+    return ev.match_in_records(gold_and_pred(spark, sf), "gold", "pred", score=score)
+
+
+@query("match_in_records", f"{G} SELECT label, CASE WHEN g = 1 AND p = 1 THEN 'TP' WHEN p = 1 THEN 'FP' ELSE 'FN' END AS status, count(*)::BIGINT AS n, sum(s)::BIGINT AS starts, round(sum(score), 5) AS scores FROM spans GROUP BY ALL")
+def match_in_records(spark, sf):
+    return tidy(_judged(spark, sf, True).groupBy("label", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.round(F.sum("score"), 5).alias("scores")))
+
+
 @query("match_spans", f"{G} SELECT label, CASE WHEN g = 1 AND p = 1 THEN 'TP' WHEN p = 1 THEN 'FP' ELSE 'FN' END AS status, count(*)::BIGINT AS n, sum(s)::BIGINT AS starts FROM spans GROUP BY ALL")
 def match_spans(spark, sf):
     return tidy(ev.match_spans(*_sides(spark, sf)).groupBy("label", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts")))
@@ -54,22 +64,22 @@ def match_spans(spark, sf):
 
 @query("span_metrics", f"{G}, {per_label()} {metrics_sql()}")
 def span_metrics(spark, sf):
-    return tidy(ev.span_metrics(*_sides(spark, sf), FOUR))
+    return tidy(ev.span_metrics(_judged(spark, sf), labels=FOUR))
 
 
 @query("macro_f1", f"{G}, {per_label()} SELECT round(avg({F1}), 6) AS macro_f1 FROM pl")
 def macro_f1(spark, sf):
-    return tidy(ev.macro_f1(*_sides(spark, sf), FOUR))
+    return tidy(ev.macro_f1(_judged(spark, sf), labels=FOUR))
 
 
 @query("micro_f1", f"{G}, t AS (SELECT {COUNTS} FROM spans) SELECT round({F1}, 6) AS micro_f1 FROM t")
 def micro_f1(spark, sf):
-    return tidy(ev.micro_f1(*_sides(spark, sf)))
+    return tidy(ev.micro_f1(_judged(spark, sf)))
 
 
 @query("membership_f1", f"{G}, t AS (SELECT {COUNTS} FROM spans) SELECT round(CASE WHEN fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn) / 2 END, 6) AS membership_f1 FROM t")
 def membership_f1(spark, sf):
-    return tidy(ev.membership_f1(*_sides(spark, sf)))
+    return tidy(ev.membership_f1(_judged(spark, sf)))
 
 
 CUTS = {"Person": 0.3, "Location": 0.6}
@@ -95,7 +105,7 @@ sf AS (SELECT *, {F1} AS f1 FROM sw), sb AS (SELECT label, t, f1 FROM (SELECT *,
 
 @query("threshold_sweep", f"{SWEEP} SELECT l.label, coalesce(round(t, 6), 0.5) AS best_threshold, coalesce(round(f1, 6), 0.0) AS best_f1 FROM (VALUES ('Person'), ('Location'), ('Organization'), ('Event')) l(label) LEFT JOIN sb USING (label)")
 def threshold_sweep(spark, sf):
-    return tidy(ev.threshold_sweep(*_sides(spark, sf), FOUR))
+    return tidy(ev.threshold_sweep(_judged(spark, sf, True), labels=FOUR))
 
 
 @query("evaluate_predictions", f"""{SWEEP}, ps AS (SELECT doc_id, s, e, label, max(g) AS g, max(p) AS p FROM (SELECT doc_id, s, e, label, 1 AS g, 0 AS p FROM gold UNION ALL SELECT doc_id, s, e, pred.label, 0, 1 FROM pred

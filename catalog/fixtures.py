@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.functions.arrays import bind
-from spanlake.functions.text import digest_fraction, split_on_space
+from spanlake.functions.arrays import bind, prefix_sums
+from spanlake.functions.text import digest_fraction, regex_matches
 from spanlake.operators.staging import once, spread
 from spanlake.schema import LABELS
 
@@ -30,13 +30,21 @@ def _label(n: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in LABELS]), F.pmod(n, F.lit(3)).cast("int"))
 
 
-def _entities(doc: Column, tokens: Column) -> Column:
-    numbered = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    words = F.filter(numbered, lambda x: x["t"]["token"].rlike("^[A-Z][a-z]+"))
-    return F.transform(words, lambda x: F.struct(
-        x["t"]["start"].alias("start"), x["t"]["end"].alias("end"), _label(F.length(x["t"]["token"])).alias("label"),
-        x["t"]["token"].alias("text"), digest_fraction(F.md5(F.concat(doc.cast("string"), F.lit(":"), x["i"].cast("string")))).alias("score"),
-        F.md5(F.concat(doc.cast("string"), F.lit(":"), x["i"].cast("string"))).alias("h")))
+def _entities(doc: Column, text: Column) -> Column:
+    """Tokens (cut at single spaces) that start like a capitalised word; ``pos`` is the token number."""
+    words = regex_matches(text, "(?<![^ ])[A-Z][a-z]+[^ ]*")
+
+    def number(found: Column) -> Column:
+        # Token number = spaces before the token, added up from match to match.
+        at = lambda i: F.when(i > 0, F.get(found, i - 1)["start"]).otherwise(F.lit(0))
+        spaces = F.transform(found, lambda m, i: F.regexp_count(F.substring(text, at(i) + 1, m["start"] - at(i)), F.lit(" ")))
+        pos = bind(prefix_sums(F.concat(spaces, F.array(F.lit(0)))), lambda sums: F.slice(sums, 2, F.size(sums) - 1))
+        keyed = F.zip_with(found, pos, lambda m, p: F.struct(m.alias("m"), F.md5(F.concat(doc.cast("string"), F.lit(":"), p.cast("string"))).alias("h")))
+        return F.transform(keyed, lambda x: F.struct(
+            x["m"]["start"].alias("start"), x["m"]["end"].alias("end"), _label(F.length(x["m"]["text"])).alias("label"),
+            x["m"]["text"].alias("text"), digest_fraction(x["h"]).alias("score"), x["h"].alias("h")))
+
+    return bind(words, number)
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +55,7 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotate(documents: DataFrame) -> DataFrame:
     """The same for any batch or stream of documents."""
     docs = documents.select(F.col("doc_id").alias("row_idx"), "text", "lang", "source")
-    return once(docs, entities=bind(split_on_space(F.col("text")), lambda t: _entities(F.col("row_idx"), t)))
+    return once(docs, entities=_entities(F.col("row_idx"), F.col("text")))
 
 
 def _keep(entities: Column, ok, label) -> Column:
@@ -138,7 +146,7 @@ def norm_sql(expr: str) -> str:
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with a unique text id (order, line, part and price; order and line alone repeat)."""
     parts = ["l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")]
-    return table(spark, sf_dir, "lineitem").select(F.concat_ws(":", *parts).alias("row_idx"), "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
+    return spread(table(spark, sf_dir, "lineitem")).select(F.concat_ws(":", *parts).alias("row_idx"), "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
 
 
 LINES_SQL = """li AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.fixtures import LINES_SQL, doc, order_lines, table, tidy
+from catalog.fixtures import LINES_SQL, doc, documents, order_lines, table, tidy
 from spanlake.operators import merge as mg
 from spanlake.operators.ordering import keep_first
 
@@ -16,7 +16,7 @@ mg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rk,
 
 
 def _sides(spark, sf):
-    df = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    df = documents(spark, sf).select(F.col("doc_id").alias("row_idx"), "text")
     k = F.col("row_idx")
     pseudo = df.filter(k % 2 == 1).withColumn("text", F.when(k % 7 == 0, F.lit(" \n")).when(k % 5 == 0, F.upper("text")).otherwise(F.col("text")))
     return df.filter(k % 2 == 0), pseudo
@@ -46,13 +46,13 @@ def select_sources(spark, sf):
 @query("accumulate", f"""WITH un AS (SELECT 1 + doc_id % 3 AS iteration, doc_id, text FROM documents) SELECT iteration::BIGINT AS iteration, doc_id FROM
   (SELECT *, row_number() OVER (PARTITION BY key ORDER BY iteration, doc_id) AS rn FROM (SELECT *, {KEY} AS key FROM un)) WHERE rn = 1 OR key = ''""")
 def accumulate(spark, sf):
-    df = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    df = documents(spark, sf).select(F.col("doc_id").alias("row_idx"), "text")
     return tidy(mg.accumulate([df.filter(F.col("row_idx") % 3 == i) for i in range(3)]).select("iteration", doc()))
 
 
 @query("dedupe_exact", "SELECT source AS file, min(doc_id) AS doc_id FROM documents GROUP BY source, text, lang")
 def dedupe_exact(spark, sf):
-    df = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.col("source").alias("file"), "text", "lang")
+    df = documents(spark, sf).select(F.col("doc_id").alias("row_idx"), F.col("source").alias("file"), "text", "lang")
     return mg.dedupe_exact(df, ["text", "lang"], per_file="file").select("file", doc())
 
 
@@ -67,7 +67,7 @@ LEAK = """tr AS (SELECT doc_id, text, lang FROM documents WHERE doc_id % 2 = 0),
 
 
 def _train_test(spark, sf):
-    df = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "text", "lang", F.array(F.struct(F.col("lang").alias("l"), F.lit(1).alias("a"))).alias("x"))
+    df = documents(spark, sf).select(F.col("doc_id").alias("row_idx"), "text", "lang", F.array(F.struct(F.col("lang").alias("l"), F.lit(1).alias("a"))).alias("x"))
     return df.filter("row_idx % 2 = 0"), df.filter("row_idx % 2 = 1")
 
 
@@ -87,5 +87,5 @@ def common_rows(spark, sf):
 def held_out_leak(spark, sf):
     """Benchmark items that are no document of the corpus."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_idx"), "text")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    docs = documents(spark, sf).select(F.col("doc_id").alias("row_idx"), "text")
     return mg.drop_seen_in(items, docs).select(F.col("row_idx").alias("item_id"))

@@ -17,11 +17,10 @@ from spanlake.schema import STOPWORDS
 # (Listing the spaces is much faster than Java's (?U) flag.)
 _SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = r"\p{L}\p{N}_"
-_PIECES = {
-    "whitespace": rf"[^{_SPACE}]+|[{_SPACE}]+",
-    "regex": rf"[{_WORD}]+|[{_SPACE}]+|[^{_WORD}{_SPACE}]",
-}
-_ONLY_SPACE = rf"^[{_SPACE}]+$"
+#: Token patterns, and for each the first characters of tokens and the places inside a token.
+TOKEN = {"whitespace": rf"[^{_SPACE}]+", "regex": rf"[{_WORD}]+|[^{_WORD}{_SPACE}]"}
+TOKEN_START = {"whitespace": rf"(?<![^{_SPACE}])[^{_SPACE}]", "regex": rf"(?<![{_WORD}])[{_WORD}]|[^{_WORD}{_SPACE}]"}
+TOKEN_INSIDE = {"whitespace": rf"^[^{_SPACE}]{{2}}", "regex": rf"^[{_WORD}]{{2}}"}
 
 
 # --------------------------------------------------------------------------- blank handling
@@ -172,24 +171,50 @@ def informative_tokens(normalized: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- tokens
+def _known(strategy: str) -> str:
+    if strategy not in TOKEN:
+        raise ValueError(f"unknown tokenization strategy: {strategy}")
+    return strategy
+
+
+def tokens_of(text: Column, strategy: str = "whitespace") -> Column:
+    """array<string> of the tokens: one native regular expression pass."""
+    return F.regexp_extract_all(text, F.lit(TOKEN[_known(strategy)]), F.lit(0))
+
+
 def tokenize_with_spans(text: Column, strategy: str = "whitespace") -> Column:
     """array<struct<token, start, end>> with code-point offsets.
 
-    The pattern cuts the whole text into pieces (spaces included), so offsets are the running
-    sum of piece lengths and no search is needed.
+    For offsets of every token; where only a few positions matter use :func:`token_starts_before`.
     """
-    if strategy not in _PIECES:
-        raise ValueError(f"unknown tokenization strategy: {strategy}")
-    pieces = F.regexp_extract_all(text, F.lit(_PIECES[strategy]), F.lit(0))
+    found = regex_matches(text, TOKEN[_known(strategy)])
+    return F.transform(F.when(text.isNotNull(), found).otherwise(F.array().cast(MATCHES)), lambda m: F.struct(
+        m["text"].alias("token"), m["start"].alias("start"), m["end"].alias("end")))
 
-    def body(p: Column) -> Column:
-        starts = prefix_sums(F.transform(p, F.length))
-        spans = F.zip_with(p, starts, lambda t, s: F.struct(
-            t.alias("token"), s.alias("start"), (s + F.length(t)).alias("end")))
-        return F.filter(spans, lambda x: ~x["token"].rlike(_ONLY_SPACE))
 
-    return F.when(text.isNull() | (F.length(text) == 0),
-                  F.array().cast("array<struct<token:string,start:int,end:int>>")).otherwise(bind(pieces, body))
+def token_starts_before(text: Column, points: Column, strategy: str = "whitespace") -> Column:
+    """For ascending distinct positions beginning with 0: how many tokens start before each.
+
+    The text is cut at the positions and the native ``regexp_count`` counts token starts in each piece (with the
+    character before it, so that a cut inside a token starts no new one): linear in the text, and
+    only as many interpreted steps as there are positions.
+    """
+    pattern = F.lit(TOKEN_START[_known(strategy)])
+
+    def piece(p: Column, i: Column) -> Column:
+        before = F.get(points, i - 1)
+        lead = F.when(before > 0, F.substring(text, before, F.lit(1))).otherwise(F.lit(" "))
+        # The lead character may itself look like a token start; it is not counted.
+        whole = F.regexp_count(F.concat(lead, F.substring(text, before + 1, p - before)), pattern)
+        return F.when(i > 0, whole - F.regexp_count(lead, pattern)).otherwise(F.lit(0))
+
+    counts = F.transform(points, piece)
+    return bind(prefix_sums(F.concat(counts, F.array(F.lit(0)))), lambda sums: F.slice(sums, 2, F.size(sums) - 1))
+
+
+def inside_token(text: Column, point: Column, strategy: str = "whitespace") -> Column:
+    """Does the position fall between two characters of one token?"""
+    return (point > 0) & F.coalesce(F.substring(text, point, F.lit(2)).rlike(TOKEN_INSIDE[_known(strategy)]), F.lit(False))
 
 
 def split_on_space(text: Column) -> Column:
@@ -203,6 +228,9 @@ def split_on_space(text: Column) -> Column:
     return bind(F.split(text, " ", -1), body)
 
 
+MATCHES = "array<struct<text:string,start:int,end:int>>"
+
+
 def regex_matches(text: Column, pattern: str) -> Column:
     """array<struct<text, start, end>> of all non-empty matches, in order.
 
@@ -210,14 +238,11 @@ def regex_matches(text: Column, pattern: str) -> Column:
     """
 
     def body(gaps: Column, found: Column) -> Column:
-        steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found,
-                           lambda g, m: F.length(g) + F.length(m))
-        return F.zip_with(
-            F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g"))),
-            prefix_sums(steps),
-            lambda x, s: F.struct(
-                x["m"].alias("text"), (s + F.length(x["g"])).alias("start"),
-                (s + F.length(x["g"]) + F.length(x["m"])).alias("end")))
+        steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+        # The sum after match i is its end: what precedes it plus its own gap and length.
+        ends = bind(prefix_sums(F.concat(steps, F.array(F.lit(0)))), lambda sums: F.slice(sums, 2, F.size(sums) - 1))
+        return F.zip_with(found, ends, lambda m, e: F.struct(
+            m.alias("text"), (e - F.length(m)).alias("start"), e.alias("end")))
 
     return bind_all([F.split(text, pattern, -1),
                      F.regexp_extract_all(text, F.lit(pattern), F.lit(0))], body)

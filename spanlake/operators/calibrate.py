@@ -22,6 +22,7 @@ from spanlake.operators.fields import resolve_entities, struct_fields
 from spanlake.operators.ordering import group_quantiles, running_totals, with_hash_position
 from spanlake.operators.staging import once
 from spanlake.schema import LABELS, NLL_EPS, SCORE_EPS
+from spanlake.session import stable
 
 T_MIN, T_MAX, GRID = 0.5, 5.0, 181
 #: Isotonic knots up to this number live in the plan as literals; larger tables go to numpy in Arrow batches.
@@ -145,11 +146,14 @@ def fit_isotonic(df: DataFrame) -> DataFrame:
     from pyspark.ml.regression import IsotonicRegression
 
     pooled = df.groupBy("score").agg(F.avg("target").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    classes = df.agg(F.min("target").alias("lo"), F.max("target").alias("hi")).head()
-    if classes.lo is None or classes.lo == classes.hi:
-        raise ValueError("isotonic fitting needs both positive and negative targets")
-    ready = pooled.withColumn("features", array_to_vector(F.array("score")))
-    model = IsotonicRegression(weightCol="weight").fit(ready)
+    ready = pooled.withColumn("features", array_to_vector(F.array("score"))).persist()  # the check and the fit
+    try:
+        means = ready.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).head()
+        if means.lo is None or means.lo == means.hi and means.lo in (0.0, 1.0):
+            raise ValueError("isotonic fitting needs both positive and negative targets")
+        model = IsotonicRegression(weightCol="weight").fit(ready)
+    finally:
+        ready.unpersist()
     knots = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()))
     return df.sparkSession.createDataFrame(knots, "x double, y double")
 
@@ -411,7 +415,8 @@ def cv_scores(df: DataFrame, id_col: str, k: int = 5, seed: int = 42, isotonic:
         folded = df.withColumn("fold", F.lit(0))
     else:
         folded = with_hash_position(df, [id_col], seed, name="_pos").withColumn(
-            "fold", F.pmod("_pos", F.lit(k)).cast("int")).drop("_pos")
+            "fold", F.pmod("_pos", F.lit(k)).cast("int")).select("fold", "score", "target")
+        folded = stable(folded)  # read by the temperature fit, every isotonic fit and the scoring
     losses = _grid_losses(folded, ["fold"], temperature_grid())
     if k > 1:
         rest = W.partitionBy("idx")

@@ -12,8 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.functions.arrays import bind
 from spanlake.functions.text import mention_text, surface_key
 from spanlake.operators.ordering import lookup_join, top_n
+from spanlake.operators.staging import once
 from spanlake.schema import LABELS
 
 KEYS = ("start", "end", "label")
@@ -41,6 +43,45 @@ def match_spans(gold: DataFrame, pred: DataFrame, id_col: str = "row_idx", carry
     return grouped.withColumn("status", status).drop("_g", "_p")
 
 
+def match_in_records(df: DataFrame, gold: str, pred: str, id_col: str = "row_idx", score: bool = False) -> DataFrame:
+    """:func:`match_spans` for gold and predicted arrays of the same record, without any shuffle.
+
+    Both lists are sorted together by (start, end, label, side); a gold span directly followed by the same predicted
+    span is a hit.  ``score`` carries the best predicted score.  Everything after it aggregates counts.
+    """
+    worst = F.lit(None).cast("double")
+
+    def side(column: str, number: int) -> Column:
+        points = (lambda s: -s["score"].cast("double")) if score and number else (lambda s: worst)
+        return F.transform(F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType)), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), F.lit(number).alias("side"), points(s).alias("neg")))
+
+    same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & a["label"].eqNullSafe(b["label"])
+
+    def unique(both: Column) -> Column:
+        return F.filter(both, lambda x, i: (i == 0) | ~F.coalesce(
+            same(F.get(both, i - 1), x) & (F.get(both, i - 1)["side"] == x["side"]), F.lit(False)))
+
+    def judged(both: Column) -> Column:
+        def status(x: Column, i: Column) -> Column:
+            hit = F.coalesce((F.get(both, i - 1)["side"] == 0) & same(F.get(both, i - 1), x), F.lit(False)) & (i > 0)
+            lost = ~F.coalesce(same(F.get(both, i + 1), x), F.lit(False))
+            return F.when(x["side"] == 1, F.when(hit, "TP").otherwise("FP")).when(lost, "FN")
+
+        named = F.transform(both, lambda x, i: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"), (-x["neg"]).alias("score"), status(x, i).alias("status")))
+        return F.filter(named, lambda x: x["status"].isNotNull())
+
+    staged = once(df.select(id_col, gold, pred), _m=bind(bind(F.array_sort(F.concat(side(gold, 0), side(pred, 1))), unique), judged))
+    fields = [*KEYS, *(["score"] if score else []), "status"]
+    return staged.select(id_col, F.explode("_m").alias("m")).select(id_col, *[f"m.{f}" for f in fields])
+
+
+def _matched(gold: DataFrame, pred: DataFrame | None, id_col: str, carry: Mapping[str, str] | None = None) -> DataFrame:
+    """The first argument when it already is a match table, else the match of both."""
+    return gold if pred is None else match_spans(gold, pred, id_col, carry)
+
+
 def _count(status: str, name: str) -> Column:
     return F.count_if(F.col("status") == status).alias(name)
 
@@ -65,12 +106,12 @@ def label_counts_by_status(matched: DataFrame, labels: Sequence[str] | None = No
     return full.select("label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
 
 
-def span_metrics(gold: DataFrame, pred: DataFrame, labels: Sequence[str] = LABELS, id_col: str = "row_idx") -> DataFrame:
+def span_metrics(gold: DataFrame, pred: DataFrame | None = None, labels: Sequence[str] = LABELS, id_col: str = "row_idx") -> DataFrame:
     """(label, precision, recall, f1, support, fp, fn) for every label, then ``micro`` and ``macro`` rows.
 
-    Macro F1 is the mean over the requested labels; its other measures are NULL.
+    Takes gold and predicted long spans, or one match table (``match_spans``, ``match_in_records``).  Macro F1 is the mean over the requested labels; its other measures are NULL.
     """
-    per = label_counts_by_status(match_spans(gold, pred, id_col), labels)
+    per = label_counts_by_status(_matched(gold, pred, id_col), labels)
     micro = per.agg(F.lit("micro").alias("label"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).select(
         "label", "tp", "fp", "fn")
     p, r, f = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
@@ -84,9 +125,9 @@ def span_metrics(gold: DataFrame, pred: DataFrame, labels: Sequence[str] = LABEL
     return rows.unionByName(macro)
 
 
-def macro_f1(gold: DataFrame, pred: DataFrame, labels: Sequence[str] = LABELS, id_col: str = "row_idx") -> DataFrame:
+def macro_f1(gold: DataFrame, pred: DataFrame | None = None, labels: Sequence[str] = LABELS, id_col: str = "row_idx") -> DataFrame:
     """One row: mean F1 over the requested labels."""
-    per = label_counts_by_status(match_spans(gold, pred, id_col), labels)
+    per = label_counts_by_status(_matched(gold, pred, id_col), labels)
     return per.agg(F.avg(_prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]).alias("macro_f1"))
 
 
@@ -94,10 +135,10 @@ def _totals(matched: DataFrame) -> DataFrame:
     return matched.agg(_count("TP", "tp"), _count("FP", "fp"), _count("FN", "fn"))
 
 
-def micro_f1(gold: DataFrame, pred: DataFrame, id_col: str = "row_idx") -> DataFrame:
+def micro_f1(gold: DataFrame, pred: DataFrame | None = None, id_col: str = "row_idx") -> DataFrame:
     """One row: micro F1, 1.0 when there is nothing on either side."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return _totals(match_spans(gold, pred, id_col)).select(
+    return _totals(_matched(gold, pred, id_col)).select(
         F.when(tp + fp + fn == 0, 1.0).otherwise(_prf(tp, fp, fn)[2]).alias("micro_f1"))
 
 
@@ -106,9 +147,9 @@ def _membership(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(fp + fn == 0, 1.0).otherwise(F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0) / 2)
 
 
-def membership_f1(gold: DataFrame, pred: DataFrame, id_col: str = "row_idx") -> DataFrame:
+def membership_f1(gold: DataFrame, pred: DataFrame | None = None, id_col: str = "row_idx") -> DataFrame:
     """One row: macro F1 of span membership over the union of spans."""
-    return _totals(match_spans(gold, pred, id_col)).select(
+    return _totals(_matched(gold, pred, id_col)).select(
         _membership(F.col("tp"), F.col("fp"), F.col("fn")).alias("membership_f1"))
 
 
@@ -140,7 +181,7 @@ def outcome_summary(outcomes: DataFrame, labels: Sequence[str] = LABELS) -> Data
                         F.avg(F.when(F.col("label").isin(*labels), F.col("f1"))).alias("macro_f1"))
 
 
-def threshold_sweep(gold: DataFrame, pred: DataFrame, labels: Sequence[str] = LABELS,
+def threshold_sweep(gold: DataFrame, pred: DataFrame | None = None, labels: Sequence[str] = LABELS,
                     grid: Sequence[float] | None = None, id_col: str = "row_idx") -> DataFrame:
     """(label, best_threshold, best_f1): first best threshold per label, (0.5, 0.0) when nothing beats 0.
 
@@ -150,8 +191,12 @@ def threshold_sweep(gold: DataFrame, pred: DataFrame, labels: Sequence[str] = LA
     """
     grid = [round(i * 0.05, 2) for i in range(21)] if grid is None else list(grid)
     ordered = sorted(set(grid))
-    best = pred.withColumn("_s", F.coalesce(F.col("score").cast("double"), F.lit(float("inf"))))
-    matched = match_spans(gold, best, id_col, carry={"_s": "max"}).filter(F.col("label").isin(*labels))
+    always = lambda df: df.withColumn("_s", F.coalesce(F.col("score").cast("double"), F.lit(float("inf"))))
+    if pred is None:  # a match table with the best predicted score
+        matched = always(gold).withColumn("_s", F.when(F.col("status") != "FN", F.col("_s")))
+    else:
+        matched = match_spans(gold, always(pred), id_col, carry={"_s": "max"})
+    matched = matched.filter(F.col("label").isin(*labels))
     passed = F.lit(0)
     for t in ordered:
         passed = passed + (F.coalesce("_s", F.lit(float("-inf"))) >= t).cast("int")

@@ -1,7 +1,7 @@
 """Chunking, tagging and span geometry.
 
-Everything that returns to its record is an array expression: no explode, no shuffle, and a
-20 000-word record costs the same per token as a short one.
+Everything that returns to its record is an array expression: no explode, no shuffle.  Work per token is
+left to native string functions; interpreted array steps grow with the spans, chunks or windows of a record.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import bind, bind_all, block_heads, dedupe_by, prefix_sums, sorted_rank
-from spanlake.functions.text import mention_text, regex_matches, strip, tokenize_with_spans
+from spanlake.functions.text import (
+    _SPACE, MATCHES, inside_token, mention_text, regex_matches, strip, token_starts_before, tokenize_with_spans, tokens_of,
+)
 from spanlake.functions.udfs import Tagger, tagger_udf
 from spanlake.operators.fields import struct_fields
 from spanlake.operators.filters import clean_entities, sanitize_spans
@@ -20,7 +22,8 @@ from spanlake.operators.ordering import lookup_join
 from spanlake.operators.staging import once
 from spanlake.schema import LABELS
 
-TOKENS = "array<struct<token:string,start:int,end:int>>"
+#: Largest chunk budget matched by one regular expression.
+MAX_CHUNK_PATTERN = 512
 
 
 # --------------------------------------------------------------------------- chunks
@@ -31,8 +34,16 @@ def chunk_budget(max_tokens: int, *limits: int, reserved: int = 0) -> int:
 
 
 def chunk_text(text: Column, max_tokens: int, reserved: int = 0) -> Column:
-    """array<struct<text, start>>: consecutive chunks of at most the budget in white-space tokens."""
+    """array<struct<text, start>>: consecutive chunks of at most the budget in white-space tokens.
+
+    A chunk is one match of "token, then up to budget - 1 times space and token", so the work per token is native.
+    Very large budgets would make the matcher recurse deeply and take the token list instead.
+    """
     budget = chunk_budget(max_tokens, reserved=reserved)
+    if budget <= MAX_CHUNK_PATTERN:
+        pattern = rf"[^{_SPACE}]++(?:[{_SPACE}]++[^{_SPACE}]++){{0,{budget - 1}}}"
+        found = F.when(text.isNotNull(), regex_matches(text, pattern)).otherwise(F.array().cast(MATCHES))
+        return F.transform(found, lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start")))
 
     def body(tokens: Column) -> Column:
         firsts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(budget))).otherwise(
@@ -163,25 +174,31 @@ def collect_entities(df: DataFrame, ents: DataFrame, id_col: str = "row_idx", na
 
 
 # --------------------------------------------------------------------------- tokens and spans
-def _token_range(spans: Column, starts: Column, ends: Column) -> Column:
-    """spans -> (first, last) overlapping token numbers via two sorted look-ups per span."""
+def _token_counts(text: Column, spans: Column, strategy: str, body) -> Column:
+    """Bind a function "number of tokens that start before position p" for the ends of all spans."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]),
+                    F.transform(spans, lambda s: s["start"] + 1))
 
-    def with_heads(start_heads: Column, end_heads: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(
-            sorted_rank(ends, end_heads, s["start"], inclusive=True).cast("int").alias("start_tok"),
-            (sorted_rank(starts, start_heads, s["end"], inclusive=False) - 1).cast("int").alias("end_tok"),
-            s["label"].alias("label")))
+    def with_points(n: Column) -> Column:
+        inside = F.array_sort(F.array_distinct(F.transform(ends, lambda p: F.greatest(F.lit(0), F.least(p, n)).cast("int"))))
+        return bind(inside, lambda points: bind_all(
+            [token_starts_before(text, points, strategy), block_heads(points)],
+            lambda counts, heads: body(lambda p: F.get(counts, sorted_rank(
+                points, heads, F.greatest(F.lit(0), F.least(p, n)), inclusive=True) - 1))))
 
-    return bind_all([block_heads(starts), block_heads(ends)], with_heads)
+    return bind(F.length(text), with_points)
 
 
-def align_spans_to_tokens(tokens: Column, spans: Column) -> Column:
+def align_spans_to_tokens(text: Column, spans: Column, strategy: str = "whitespace") -> Column:
     """Character spans -> inclusive token spans of the tokens they overlap; spans over no token drop."""
 
-    def body(starts: Column, ends: Column) -> Column:
-        return F.filter(_token_range(spans, starts, ends), lambda s: s["start_tok"] <= s["end_tok"])
+    def body(before) -> Column:
+        ranges = F.transform(spans, lambda s: F.struct(
+            (before(s["start"]) - inside_token(text, s["start"], strategy).cast("int")).alias("start_tok"),
+            (before(s["end"]) - 1).alias("end_tok"), s["label"].alias("label")))
+        return F.filter(ranges, lambda r: r["start_tok"] <= r["end_tok"])
 
-    return bind_all([F.transform(tokens, lambda t: t["start"]), F.transform(tokens, lambda t: t["end"])], body)
+    return _token_counts(text, spans, strategy, body)
 
 
 def clamp_spans(spans: Column, text: Column) -> Column:
@@ -196,22 +213,33 @@ def clamp_spans(spans: Column, text: Column) -> Column:
 def tokenized_samples(df: DataFrame, text: str = "text", spans: str = "spans", strategy: str = "whitespace",
                       clamp: bool = False) -> DataFrame:
     """Adds ``tokenized_text`` and ``ner`` (inclusive token spans) to every record."""
-    staged = once(df, _tok=tokenize_with_spans(F.col(text), strategy))
     given = clamp_spans(F.col(spans), F.col(text)) if clamp else F.col(spans)
-    return (once(staged, ner=align_spans_to_tokens(F.col("_tok"), given))
-            .withColumn("tokenized_text", F.transform("_tok", lambda t: t["token"])).drop("_tok"))
+    staged = once(df, _given=given) if clamp else df.withColumn("_given", given)
+    return once(staged, tokenized_text=tokens_of(F.col(text), strategy),
+                ner=align_spans_to_tokens(F.col(text), F.col("_given"), strategy)).drop("_given")
 
 
 def tokens_to_char_offsets(tokens: Column, ner: Column) -> Column:
-    """Token spans -> character spans over the tokens joined by single spaces."""
+    """Token spans -> character spans over the tokens joined by single spaces.
+
+    The token list is cut at the span boundaries and each piece measured natively.
+    """
 
-    def body(starts: Column) -> Column:
-        inside = F.filter(ner, lambda s: (s["start_tok"] < F.size(tokens)) & (s["end_tok"] < F.size(tokens)))
-        return F.transform(inside, lambda s: F.struct(
-            F.get(starts, s["start_tok"]).alias("start"),
-            (F.get(starts, s["end_tok"]) + F.length(F.get(tokens, s["end_tok"]))).alias("end"), s["label"].alias("label")))
+    def body(n: Column) -> Column:
+        inside = F.filter(ner, lambda s: (s["start_tok"] < n) & (s["end_tok"] < n))
+        marks = F.concat(F.array(F.lit(0)), F.transform(inside, lambda s: s["start_tok"]), F.transform(inside, lambda s: s["end_tok"] + 1))
+
+        def measured(points: Column) -> Column:
+            size = lambda p, i: F.when(i > 0, F.length(F.array_join(F.slice(
+                tokens, F.get(points, i - 1) + 1, p - F.get(points, i - 1)), " ")) + 1).otherwise(F.lit(0))
+            sums = bind(prefix_sums(F.concat(F.transform(points, size), F.array(F.lit(0)))), lambda a: F.slice(a, 2, F.size(a) - 1))
+            return bind_all([sums, block_heads(points)], lambda at, heads: F.transform(inside, lambda s: F.struct(
+                F.get(at, sorted_rank(points, heads, s["start_tok"], True) - 1).alias("start"),
+                (F.get(at, sorted_rank(points, heads, s["end_tok"] + 1, True) - 1) - 1).alias("end"), s["label"].alias("label"))))
 
-    return bind(prefix_sums(F.transform(tokens, lambda t: F.length(t) + 1)), body)
+        return bind(F.array_sort(F.array_distinct(marks)), measured)
+
+    return bind(F.size(tokens), body)
 
 
 # --------------------------------------------------------------------------- windows
@@ -285,25 +313,23 @@ def bio_tags(df: DataFrame, text: str = "text", spans: str = "spans", id_col: st
              strategy: str = "regex") -> DataFrame:
     """Long rows (id, tok_idx, token, tag).  A token fully inside a span is B-XXX when the starts are
     equal, else I-XXX; the first span in list order wins."""
+    none = F.array().cast("array<struct<t:int,i:int,tag:string>>")
 
-    def tags(tokens: Column) -> Column:
-        starts = F.transform(tokens, lambda t: t["start"])
-        ends = F.transform(tokens, lambda t: t["end"])
-
-        def ranges(starts: Column, ends: Column) -> Column:
+    def tags(body: Column, given: Column, tokens: Column) -> Column:
+        def hits(before) -> Column:
             def one(s: Column, i: Column) -> Column:
-                first = sorted_rank(starts, block_heads(starts), s["start"], inclusive=False)
-                last = sorted_rank(ends, block_heads(ends), s["end"], inclusive=True) - 1
+                first = before(s["start"])
+                last = before(s["end"]) - inside_token(body, s["end"], strategy).cast("int") - 1
+                head = before(s["start"] + 1) > first  # does a token start right at the span?
                 code = F.upper(F.substring(s["label"], 1, 3))
-                return bind(F.struct(first.cast("int").alias("a"), last.cast("int").alias("b")), lambda r: F.when(
+                return bind(F.struct(first.alias("a"), last.alias("b"), head.alias("h")), lambda r: F.when(
                     r["a"] <= r["b"], F.transform(F.sequence(r["a"], r["b"]), lambda t: F.struct(
-                        t.alias("t"), i.alias("i"), F.concat(
-                            F.when(F.get(starts, t) == s["start"], "B-").otherwise("I-"), code).alias("tag"))))
-                    .otherwise(F.array().cast("array<struct<t:int,i:int,tag:string>>")))
-            return F.array_sort(F.flatten(F.transform(spans, one)))
+                        t.alias("t"), i.alias("i"), F.concat(F.when((t == r["a"]) & r["h"], "B-").otherwise("I-"), code).alias("tag"))))
+                    .otherwise(none))
+            return F.array_sort(F.flatten(F.transform(given, one)))
 
-        def fill(hits: Column) -> Column:
-            firsts = F.filter(hits, lambda h, i: (i == 0) | (F.get(hits, i - 1)["t"] != h["t"]))
+        def fill(found: Column) -> Column:
+            firsts = F.filter(found, lambda h, i: (i == 0) | (F.get(found, i - 1)["t"] != h["t"]))
 
             def gaps(f: Column) -> Column:
                 before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(f, i - 1)["t"])
@@ -314,15 +340,14 @@ def bio_tags(df: DataFrame, text: str = "text", spans: str = "spans", id_col: st
 
             return bind(firsts, gaps)
 
-        return bind_all([starts, ends], lambda s, e: bind(ranges(s, e), fill))
+        return bind(_token_counts(body, given, strategy, hits), fill)
 
-    spans = F.col(spans)
-    staged = once(df.select(id_col, F.col(text).alias("_t"), spans.alias("_s")), _tok=tokenize_with_spans(F.col("_t"), strategy))
-    spans = F.col("_s")
-    zipped = lambda tags: F.zip_with("_tok", tags, lambda t, g: F.struct(t["token"].alias("token"), g.alias("tag")))
-    return (once(staged, _rows=bind(tags(F.col("_tok")), zipped))
-            .select(id_col, F.posexplode("_rows").alias("tok_idx", "x"))
-            .select(id_col, "tok_idx", "x.token", "x.tag"))
+    staged = df.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(spans).alias("_s"))
+    staged = once(staged, _tok=tokens_of(F.col("_t"), strategy))
+    staged = once(staged, _tags=tags(F.col("_t"), F.col("_s"), F.col("_tok")))
+    rows = once(staged, _rows=F.arrays_zip(F.col("_tok").alias("token"), F.col("_tags").alias("tag")))
+    return rows.select(id_col, F.posexplode("_rows").alias("tok_idx", "x")).select(
+        id_col, "tok_idx", "x.token", "x.tag")
 
 
 def to_mention_lists(df: DataFrame, label_map: Mapping[str, str] | None = None, text: str = "text",

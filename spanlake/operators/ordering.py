@@ -157,11 +157,12 @@ def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]
     plain partial aggregate instead, and the rows are picked by a semi join on that unique id.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    keyed = df.select(*[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(keys, names)],
+    keyed = df.select(*[(F.col(k) if isinstance(k, str) else k).cast("string").alias(n) for k, n in zip(keys, names)],
                       *[F.col(o) for o in order],
                       (passthrough if passthrough is not None else F.lit(False)).alias("_free"))
-    packed = F.struct(*[F.coalesce(F.col(n).cast("string"), F.lit("\x00")).alias(n) for n in names])
-    keyed = keyed.select(F.sha2(F.to_json(packed), 256).alias("_key"), *order, "_free")
+    # Length-prefixed parts: no two different key tuples give the same text.
+    parts = [F.coalesce(F.concat(F.length(n).cast("string"), F.lit(":"), F.col(n)), F.lit("-")) for n in names]
+    keyed = keyed.select(F.sha2(F.concat(*parts), 256).alias("_key"), *order, "_free")
     pick = F.min(F.struct(*order)) if len(order) > 1 else F.min(order[0])
     firsts = keyed.filter(~F.col("_free")).groupBy("_key").agg(pick.alias("_first"))
     firsts = firsts.select("_first.*") if len(order) > 1 else firsts.select(F.col("_first").alias(order[0]))

@@ -114,3 +114,18 @@ def test_compare_metrics_and_fold_summary(spark):
     assert (s.mean_test_f1, s.std_test_f1, s.mean_seen_entity_test_f1, s.mean_unseen_entity_test_f1) == (pytest.approx(.3), pytest.approx(.1), .2, None)
     t = spark.createDataFrame([(.3, .5), (.3, .7), (.5, .6), (.7, .1)], "threshold double, f1 double")
     assert tuple(ev.best_threshold(t).head()) == (.3, .6)
+
+
+def test_match_in_records_equals_match_spans(spark):
+    rng = __import__("random").Random(21)
+    mk = lambda: [(a, a + rng.randint(1, 2), rng.choice("AB")) for a in (rng.randint(0, 8) for _ in range(rng.randint(0, 12)))]
+    rows = [(i, mk(), [(*s, round(rng.random(), 2) if rng.random() < .9 else None) for s in mk()]) for i in range(40)] + [(40, None, None)]
+    df = spark.createDataFrame(rows, "row_idx long, gold array<struct<start:int,end:int,label:string>>, pred array<struct<start:int,end:int,label:string,score:double>>")
+    inside = sorted(tuple(r) for r in ev.match_in_records(df, "gold", "pred").collect())
+    long = sorted(tuple(r) for r in ev.match_spans(ev.long_spans(df, "gold"), ev.long_spans(df, "pred")).collect())
+    assert inside == long
+    best = {tuple(r)[:4]: r.score for r in ev.match_in_records(df, "gold", "pred", score=True).collect()}
+    for i, _, pred in rows[:-1]:
+        for key in {p[:3] for p in pred}:
+            known = [p[3] for p in pred if p[:3] == key]
+            assert best[(i, *key)] == (None if None in known else max(known))
