@@ -30,14 +30,16 @@ def _label(n: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in LABELS]), F.pmod(n, F.lit(3)).cast("int"))
 
 
+CAPITALISED = "(?<![^ ])[A-Z][a-z]+[^ ]*"
+
+
 def _entities(doc: Column, text: Column) -> Column:
     """Tokens (cut at single spaces) that start like a capitalised word; ``pos`` is the token number."""
-    words = regex_matches(text, "(?<![^ ])[A-Z][a-z]+[^ ]*")
+    words = regex_matches(text, CAPITALISED)
 
     def number(found: Column) -> Column:
-        # Token number = spaces before the token, added up from match to match.
-        at = lambda i: F.when(i > 0, F.get(found, i - 1)["start"]).otherwise(F.lit(0))
-        spaces = F.transform(found, lambda m, i: F.regexp_count(F.substring(text, at(i) + 1, m["start"] - at(i)), F.lit(" ")))
+        # Token number = spaces before the token, added up from gap to gap.
+        spaces = F.transform(F.slice(F.split(text, CAPITALISED, -1), 1, F.size(found)), lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit(""))))
         pos = bind(prefix_sums(F.concat(spaces, F.array(F.lit(0)))), lambda sums: F.slice(sums, 2, F.size(sums) - 1))
         keyed = F.zip_with(found, pos, lambda m, p: F.struct(m.alias("m"), F.md5(F.concat(doc.cast("string"), F.lit(":"), p.cast("string"))).alias("h")))
         return F.transform(keyed, lambda x: F.struct(

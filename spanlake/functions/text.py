@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from spanlake.functions.arrays import bind, bind_all, prefix_sums
 from spanlake.schema import STOPWORDS
 
-# Character classes that mean in Java what they mean in Python's `re` on str.
-# (Listing the spaces is much faster than Java's (?U) flag.)
-_SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Character classes that mean in Java what they mean in Python's `re` on str.  Single Latin-1 characters are one table
+# look-up in Java; the rare spaces sit behind one range test, so ordinary characters cost two steps.
+_SPACE = (r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+          r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]")
 _WORD = r"\p{L}\p{N}_"
 #: Token patterns, and for each the first characters of tokens and the places inside a token.
 TOKEN = {"whitespace": rf"[^{_SPACE}]+", "regex": rf"[{_WORD}]+|[^{_WORD}{_SPACE}]"}
@@ -65,6 +66,29 @@ def mention_text(text: Column, start: Column, end: Column, fallback: Column) ->
     return F.when(valid, F.substring(text, start + 1, end - start)).otherwise(F.coalesce(fallback, F.lit("")))
 
 
+def text_blocks(text: Column) -> Column:
+    """The text as 256-character blocks.
+
+    ``substring`` walks a UTF-8 string from its start, so cutting many pieces out of a long text is quadratic;
+    :func:`cut_text` on blocks walks one block.
+    """
+    return F.regexp_extract_all(text, F.lit("(?s).{1,256}"), F.lit(0))
+
+
+def cut_text(blocks: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from 0-based ``start`` of a text held as blocks; ``""`` for size <= 0."""
+    first = F.shiftright(start, 8)
+    last = F.shiftright(start + size - 1, 8)
+    piece = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when((size > 0) & (start >= 0), F.substring(piece, start - F.shiftleft(first, 8) + 1, size)).otherwise(F.lit(""))
+
+
+def mention_in(blocks: Column, n: Column, start: Column, end: Column, fallback: Column) -> Column:
+    """:func:`mention_text` for the spans of an array: ``blocks`` and length ``n`` of the record's text."""
+    valid = (start >= 0) & (start < end) & (end <= n)
+    return F.when(valid, cut_text(blocks, start, end - start)).otherwise(F.coalesce(fallback, F.lit("")))
+
+
 def preview(col: Column, size: int = 160) -> Column:
     return F.substring(F.replace(col, F.lit("\n"), F.lit(" ")), 1, size)
 
@@ -192,40 +216,30 @@ def tokenize_with_spans(text: Column, strategy: str = "whitespace") -> Column:
         m["text"].alias("token"), m["start"].alias("start"), m["end"].alias("end")))
 
 
-def token_starts_before(text: Column, points: Column, strategy: str = "whitespace") -> Column:
+def token_starts_before(blocks: Column, points: Column, strategy: str = "whitespace") -> Column:
     """For ascending distinct positions beginning with 0: how many tokens start before each.
 
-    The text is cut at the positions and the native ``regexp_count`` counts token starts in each piece (with the
-    character before it, so that a cut inside a token starts no new one): linear in the text, and
-    only as many interpreted steps as there are positions.
+    The text (as :func:`text_blocks`) is cut at the positions and the native ``regexp_count`` counts token starts in each
+    piece, with the character before it so that a cut inside a token starts no new one.  Linear in the
+    text, and only as many interpreted steps as there are positions.
     """
     pattern = F.lit(TOKEN_START[_known(strategy)])
 
     def piece(p: Column, i: Column) -> Column:
         before = F.get(points, i - 1)
-        lead = F.when(before > 0, F.substring(text, before, F.lit(1))).otherwise(F.lit(" "))
+        lead = F.when(before > 0, cut_text(blocks, before - 1, F.lit(1))).otherwise(F.lit(" "))
         # The lead character may itself look like a token start; it is not counted.
-        whole = F.regexp_count(F.concat(lead, F.substring(text, before + 1, p - before)), pattern)
-        return F.when(i > 0, whole - F.regexp_count(lead, pattern)).otherwise(F.lit(0))
+        counted = bind(lead, lambda c: F.regexp_count(F.concat(c, cut_text(blocks, before, p - before)), pattern) - F.regexp_count(c, pattern))
+        return F.when(i > 0, counted).otherwise(F.lit(0))
 
     counts = F.transform(points, piece)
     return bind(prefix_sums(F.concat(counts, F.array(F.lit(0)))), lambda sums: F.slice(sums, 2, F.size(sums) - 1))
 
 
-def inside_token(text: Column, point: Column, strategy: str = "whitespace") -> Column:
+def inside_token(blocks: Column, point: Column, strategy: str = "whitespace") -> Column:
     """Does the position fall between two characters of one token?"""
-    return (point > 0) & F.coalesce(F.substring(text, point, F.lit(2)).rlike(TOKEN_INSIDE[_known(strategy)]), F.lit(False))
-
-
-def split_on_space(text: Column) -> Column:
-    """array<struct<token, start, end>> cut at single spaces only, empty tokens included."""
-
-    def body(p: Column) -> Column:
-        starts = prefix_sums(F.transform(p, lambda t: F.length(t) + 1))
-        return F.zip_with(p, starts, lambda t, s: F.struct(
-            t.alias("token"), s.alias("start"), (s + F.length(t)).alias("end")))
-
-    return bind(F.split(text, " ", -1), body)
+    pair = cut_text(blocks, point - 1, F.lit(2))
+    return F.when(point > 0, F.coalesce(pair.rlike(TOKEN_INSIDE[_known(strategy)]), F.lit(False))).otherwise(F.lit(False))
 
 
 MATCHES = "array<struct<text:string,start:int,end:int>>"

@@ -12,8 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.arrays import bind
-from spanlake.functions.text import mention_text, surface_key
+from spanlake.functions.arrays import bind, bind_all
+from spanlake.functions.text import cut_text, surface_key, text_blocks
 from spanlake.operators.ordering import lookup_join, top_n
 from spanlake.operators.staging import once
 from spanlake.schema import LABELS
@@ -235,12 +235,19 @@ def training_surfaces(train: DataFrame, tokens: str = "tokenized_text", ner: str
 
 
 def span_surfaces(df: DataFrame, column: str, text: str = "text", id_col: str = "row_idx") -> DataFrame:
-    """Long spans clamped to the text, with their normalised ``surface``; empty ones drop."""
-    rows = df.select(id_col, F.col(text).alias("_t"), F.explode(column).alias("s"))
-    a, b = F.greatest(F.lit(0), F.col("s.start")), F.least(F.length("_t"), F.col("s.end"))
-    rows = rows.filter(b > a)
-    return rows.select(id_col, *[F.col(f"s.{k}").alias(k) for k in KEYS],
-                       surface_key(mention_text(F.col("_t"), a, b, F.lit(""))).alias("surface"))
+    """Long spans clamped to the text, with their normalised ``surface``; empty ones drop.
+
+    Surfaces are cut inside the record, so the text is not repeated for every span.
+    """
+    def cut(blocks: Column, n: Column) -> Column:
+        def one(s: Column) -> Column:
+            a, b = F.greatest(F.lit(0), s["start"]), F.least(n, s["end"])
+            return F.struct(*[s[k].alias(k) for k in KEYS], F.when(b > a, surface_key(cut_text(blocks, a, b - a))).alias("surface"))
+
+        return F.filter(F.transform(column, one), lambda s: s["surface"].isNotNull())
+
+    rows = once(df.select(id_col, text, column), _s=bind_all([text_blocks(F.col(text)), F.length(text)], cut))
+    return rows.select(id_col, F.explode("_s").alias("s")).select(id_col, *[f"s.{k}" for k in KEYS], "s.surface")
 
 
 def mark_seen(spans: DataFrame, surfaces: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import bind, bind_all, block_heads, dedupe_by, prefix_sums, sorted_rank
 from spanlake.functions.text import (
-    _SPACE, MATCHES, inside_token, mention_text, regex_matches, strip, token_starts_before, tokenize_with_spans, tokens_of,
+    _SPACE, MATCHES, cut_text, inside_token, mention_in, regex_matches, strip, text_blocks, token_starts_before, tokenize_with_spans,
+    tokens_of,
 )
 from spanlake.functions.udfs import Tagger, tagger_udf
 from spanlake.operators.fields import struct_fields
@@ -175,16 +176,17 @@ def collect_entities(df: DataFrame, ents: DataFrame, id_col: str = "row_idx", na
 
 # --------------------------------------------------------------------------- tokens and spans
 def _token_counts(text: Column, spans: Column, strategy: str, body) -> Column:
-    """Bind a function "number of tokens that start before position p" for the ends of all spans."""
+    """Call ``body`` with "number of tokens that start before position p" and "is p inside a token" (0 or 1)."""
     ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]),
                     F.transform(spans, lambda s: s["start"] + 1))
 
     def with_points(n: Column) -> Column:
         inside = F.array_sort(F.array_distinct(F.transform(ends, lambda p: F.greatest(F.lit(0), F.least(p, n)).cast("int"))))
-        return bind(inside, lambda points: bind_all(
-            [token_starts_before(text, points, strategy), block_heads(points)],
-            lambda counts, heads: body(lambda p: F.get(counts, sorted_rank(
-                points, heads, F.greatest(F.lit(0), F.least(p, n)), inclusive=True) - 1))))
+        return bind_all([inside, text_blocks(text)], lambda points, blocks: bind_all(
+            [token_starts_before(blocks, points, strategy), block_heads(points)],
+            lambda counts, heads: body(
+                lambda p: F.get(counts, sorted_rank(points, heads, F.greatest(F.lit(0), F.least(p, n)), inclusive=True) - 1),
+                lambda p: inside_token(blocks, p, strategy).cast("int"))))
 
     return bind(F.length(text), with_points)
 
@@ -192,9 +194,9 @@ def _token_counts(text: Column, spans: Column, strategy: str, body) -> Column:
 def align_spans_to_tokens(text: Column, spans: Column, strategy: str = "whitespace") -> Column:
     """Character spans -> inclusive token spans of the tokens they overlap; spans over no token drop."""
 
-    def body(before) -> Column:
+    def body(before, split) -> Column:
         ranges = F.transform(spans, lambda s: F.struct(
-            (before(s["start"]) - inside_token(text, s["start"], strategy).cast("int")).alias("start_tok"),
+            (before(s["start"]) - split(s["start"])).alias("start_tok"),
             (before(s["end"]) - 1).alias("end_tok"), s["label"].alias("label")))
         return F.filter(ranges, lambda r: r["start_tok"] <= r["end_tok"])
 
@@ -316,10 +318,10 @@ def bio_tags(df: DataFrame, text: str = "text", spans: str = "spans", id_col: st
     none = F.array().cast("array<struct<t:int,i:int,tag:string>>")
 
     def tags(body: Column, given: Column, tokens: Column) -> Column:
-        def hits(before) -> Column:
+        def hits(before, split) -> Column:
             def one(s: Column, i: Column) -> Column:
                 first = before(s["start"])
-                last = before(s["end"]) - inside_token(body, s["end"], strategy).cast("int") - 1
+                last = before(s["end"]) - split(s["end"]) - 1
                 head = before(s["start"] + 1) > first  # does a token start right at the span?
                 code = F.upper(F.substring(s["label"], 1, 3))
                 return bind(F.struct(first.alias("a"), last.alias("b"), head.alias("h")), lambda r: F.when(
@@ -355,9 +357,9 @@ def to_mention_lists(df: DataFrame, label_map: Mapping[str, str] | None = None,
     """``input`` and ``output.entities``: label -> distinct mentions in order of appearance."""
     table = F.create_map(*[F.lit(x) for kv in (label_map or {"": ""}).items() for x in kv])
     t = F.col(text)
-    named = F.transform(spans, lambda s: F.struct(
+    named = bind_all([text_blocks(t), F.length(t)], lambda blocks, n: F.transform(spans, lambda s: F.struct(
         F.coalesce(F.try_element_at(table, s["label"]), F.lower(s["label"])).alias("label"),
-        strip(mention_text(t, s["start"], s["end"], F.lit(""))).alias("mention")))
+        strip(mention_in(blocks, n, s["start"], s["end"], F.lit(""))).alias("mention"))))
 
     def lists(pairs: Column) -> Column:
         labels = F.array_distinct(F.transform(pairs, lambda p: p["label"]))
@@ -374,8 +376,8 @@ def segment_text(text: Column, spans: Column) -> Column:
     skipped, plain text has a NULL label."""
     piece = "array<struct<text:string,label:string>>"
 
-    def body(n: Column) -> Column:
-        cut = lambda a, b, label: F.struct(F.substring(text, a + 1, b - a).alias("text"), label.alias("label"))
+    def body(blocks: Column, n: Column) -> Column:
+        cut = lambda a, b, label: F.struct(cut_text(blocks, a, b - a).alias("text"), label.alias("label"))
         start = F.struct(F.lit(0).alias("at"), F.array().cast(piece).alias("out"))
 
         def step(acc: Column, s: Column) -> Column:
@@ -389,4 +391,4 @@ def segment_text(text: Column, spans: Column) -> Column:
             acc["out"], cut(acc["at"], n, F.lit(None).cast("string")))).otherwise(acc["out"])
         return F.aggregate(sanitize_spans(spans, text), start, step, finish)
 
-    return bind(F.length(text), body)
+    return bind_all([text_blocks(text), F.length(text)], body)

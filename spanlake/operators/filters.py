@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import bind
-from spanlake.functions.text import _SPACE, _WORD, fold_exact, mention_text, normalize_text, not_blank, strip
+from spanlake.functions.text import _SPACE, _WORD, fold_exact, mention_in, normalize_text, not_blank, strip, text_blocks
 from spanlake.operators.fields import resolve_entities, struct_fields, text_of
 from spanlake.operators.ordering import top_n
 from spanlake.operators.staging import once
@@ -158,13 +158,13 @@ def remove_banned_spans(df: DataFrame, banlist: Mapping[str, Sequence[str]] | No
     there = [c for c in lists if c in df.columns]
     text = F.coalesce(*[F.when(F.col(f) != "", F.col(f)) for f in fields if f in df.columns], F.lit(""))
     staged = df.withColumn("_text", text)
+    staged = once(staged, _blocks=text_blocks(F.col("_text")), _n=F.length("_text"))
 
     def marker(has_text: bool):
         own = (lambda e: e["text"]) if has_text else (lambda e: F.lit(None).cast("string"))
 
         def marked(e: Column) -> Column:
-            mention = F.when(F.coalesce(e["start"], F.lit(-1)) >= 0, mention_text(F.col("_text"), e["start"], e["end"], own(e))) \
-                .otherwise(F.coalesce(own(e), F.lit("")))
+            mention = mention_in(F.col("_blocks"), F.col("_n"), e["start"], e["end"], own(e))
             terms_of = F.try_element_at(table, normalize_text(e["label"], "NFKD"))
             return bind(F.struct(mention.alias("m"), normalize_text(mention, "NFKD").alias("n")), lambda s: F.struct(
                 e.alias("e"), s["m"].alias("mention"), s["n"].alias("norm"),
