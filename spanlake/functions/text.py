@@ -17,6 +17,9 @@ from spanlake.schema import STOPWORDS
 # look-up in Java; the rare spaces sit behind one range test, so ordinary characters cost two steps.
 _SPACE = (r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
           r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]")
+_ODD_SPACE = rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]"
+#: Every character that ``str.isspace`` accepts.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _WORD = r"\p{L}\p{N}_"
 #: Token patterns, and for each the first characters of tokens and the places inside a token.
 TOKEN = {"whitespace": rf"[^{_SPACE}]+", "regex": rf"[{_WORD}]+|[^{_WORD}{_SPACE}]"}
@@ -27,12 +30,12 @@ TOKEN_INSIDE = {"whitespace": rf"^[^{_SPACE}]{{2}}", "regex": rf"^[{_WORD}]{{2}}
 # --------------------------------------------------------------------------- blank handling
 def strip(col: Column) -> Column:
     """Trim any Unicode white space at both ends."""
-    return F.regexp_replace(col, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def collapse_spaces(col: Column) -> Column:
     """White-space runs become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(col, rf"[{_SPACE}]+", " "))
+    return F.trim(F.regexp_replace(col, _ODD_SPACE, " "))  # single spaces stay untouched, which is most of them
 
 
 def not_blank(col: Column) -> Column:

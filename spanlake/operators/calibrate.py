@@ -7,6 +7,7 @@ with map-side partial aggregation, so only (label, temperature) sums are shuffle
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -31,7 +32,8 @@ MAX_PLAN_KNOTS = 4096
 
 # --------------------------------------------------------------------------- column math
 def logit(p: Column) -> Column:
-    return bind(clip01(p, SCORE_EPS), lambda x: F.ln(x / (1 - x)))
+    x = clip01(p, SCORE_EPS)
+    return F.ln(x / (1 - x))
 
 
 def apply_temperature(p: Column, temperature: Column | float) -> Column:
@@ -91,13 +93,16 @@ def pseudo_targets(ents: DataFrame, mode: str = "score-threshold", threshold: fl
 
 # --------------------------------------------------------------------------- temperature
 def _grid_losses(df: DataFrame, groups: Sequence[str], grid: Sequence[float]) -> DataFrame:
-    """(groups, idx, t, loss_sum, n) - binary cross-entropy of every grid temperature in one pass."""
-    grid_col = F.array(*[F.lit(t) for t in grid])
-    rows = df.select(*groups, F.col("target"), logit(F.col("score")).alias("_z"),
-                     F.posexplode(grid_col).alias("idx", "t"))
-    p = clip01(1 / (1 + F.exp(-F.col("_z") / F.col("t"))), SCORE_EPS)
-    rows = rows.select(*groups, "idx", "t", "target", p.alias("_p"))
-    loss = -F.ln(F.when(F.col("target") == 1, F.col("_p")).otherwise(1 - F.col("_p")))
+    """(groups, idx, t, loss_sum, n) - binary cross-entropy of every grid temperature in one pass.
+
+    The loss of a row is log(1 + exp(-u / t)) with u the logit, negated for target 0, within the bounds that clipped
+    probabilities give.  u is computed before the grid is exploded; the rest is generated code, and the partial
+    aggregation leaves (groups, temperature) sums for the shuffle.
+    """
+    z = logit(F.col("score"))
+    rows = once(df.select(*groups, "target", "score"), _u=F.when(F.col("target") == 1, z).otherwise(-z)).drop("score")
+    rows = rows.select("*", F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("idx", "t"))
+    loss = F.least(F.greatest(F.log1p(F.exp(-F.col("_u") / F.col("t"))), F.lit(-math.log1p(-SCORE_EPS))), F.lit(-math.log(SCORE_EPS)))
     return rows.groupBy(*groups, "idx", "t").agg(
         F.sum(loss).alias("loss_sum"), F.count(F.lit(1)).alias("n"), F.sum("target").alias("positives"))
 
