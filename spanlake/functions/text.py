@@ -99,7 +99,8 @@ def preview(col: Column, size: int = 160) -> Column:
 # --------------------------------------------------------------------------- numbers
 def safe_double(col: Column) -> Column:
     """Parsed number or NULL.  NaN counts as invalid: it would win every max and comparison."""
-    return bind(col.try_cast("double"), lambda v: F.when(~F.isnan(v), v))
+    v = col.try_cast("double")
+    return F.when(~F.isnan(v), v)
 
 
 def pick_score(entity: Column, fields: Sequence[str]) -> Column:
