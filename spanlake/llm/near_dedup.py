@@ -3,11 +3,10 @@
 Two small collections of band hashes are computed per document, and every pair of a left and a right band makes one
 table key: ``bands`` squared tables cost 2 x ``bands`` x ``rows`` minima instead of 2 x ``bands`` squared x ``rows``.
 
-Documents with the same set are one class.  A table's bucket is worked off in rounds from centres: the centre is compared with all
-members, and as the Jaccard distance obeys the triangle inequality a member near the centre can't be linked with one that is
-farther than twice the allowed distance; near members leave, the few in between are compared with them, the far ones go on.
-Buckets of a few members whose classes are not yet in one component are compared directly.  No bucket, however large, is
-cut, and no pair of a bucket is left open.
+Documents with the same set are one class.  In every bucket one class, drawn by hash, is compared with all others; the confirmed links
+give components.  Buckets that are not inside one component are finished: the pairs of a small one that are still apart are compared,
+and in the large ones the members outside the largest component meet all others block by block.  No bucket,
+however large, is cut, and no pair of a bucket is left open.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ from spanlake.llm.common import python_ready, stored
 
 #: Words of a shingle, least similarity in percent, bands per collection, minima per band.
 WORDS, PERCENT, BANDS, ROWS = 3, 85, 8, 2
-#: Members of a bucket up to which the rest is compared directly.
-DIRECT = 64
+#: Members of a bucket up to which the rest is compared pair by pair; members of a block in larger ones.
+DIRECT, BLOCK = 32, 256
 #: Fixed odd multipliers of the integer mixing.
 _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Stand-ins for missing ids lie below this.
@@ -157,16 +156,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(run, "lo long, hi long, shared long, total long")
 
 
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.select(F.col("lo").alias("src"), F.col("hi").alias("dst")).unionByName(links.select(F.col("hi").alias("src"), F.col("lo").alias("dst")))
+
+
 def _hop(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Each node's smallest label among its own and its neighbours'."""
     near = edges.join(labels.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label")
     return near.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.select(F.col("lo").alias("src"), F.col("hi").alias("dst")).unionByName(links.select(F.col("hi").alias("src"), F.col("lo").alias("dst")))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes in ``links`` (lo, hi): label is the smallest node that can be reached.
 
@@ -188,60 +187,81 @@ def components(links: DataFrame) -> DataFrame:
 def find_links(members: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT, direct: int = DIRECT) -> DataFrame:
     """(lo, hi) of confirmed links that connect what the buckets of ``members`` (key, node) hold.
 
-    Within a bucket every pair is compared, or excluded by its distances to a centre, or already in one component.
+    Any two members of a bucket are compared, unless they are already in one component.
     """
-    share = F.col("shared") / F.col("total")
-    allowed = 1 - percent / 100
-    near, far = F.col("shared") * 100 >= F.col("total") * percent, share < 1 - 2 * allowed - 1e-9
-    order = F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")
-    active, tested, more, turn = members.withColumn("label", F.col("node")), None, None, 0
-    while True:
-        draw = F.xxhash64("node", F.lit(turn))
-        stats = active.groupBy("key").agg(F.count("*").alias("members"), F.min(draw).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"))
-        stats = stored(stats.filter("low < high").select("key", "members", "first"), "buckets")
-        active = stored(active.join(stats, "key"), "members")
-        large = F.col("members") > direct
-        finish = turn > 0 and active.filter(large).isEmpty()
-        # Centres: one per bucket, in large ones twice as many each time; at last all members of a small bucket.
-        centre = draw == F.col("first")
-        if turn:
-            chance = F.pmod(draw, F.lit(1 << 20)) < F.lit((1 << 20) * (2 ** turn - 1)) / F.col("members")
-            centre = ~large | centre | chance
-        centres = active.filter(centre).select("key", F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-        stars = active.join(centres, "key").filter(F.col("node") != F.col("centre"))
-        if turn:
-            stars = stars.filter(large | (F.col("label") != F.col("centre_label")))
-        pairs = stars.select(*order)
-        pairs = (pairs if more is None else pairs.unionByName(more)).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("lo", "hi"), ["lo", "hi"], "left_anti")
-        best = F.max(F.struct(share.alias("share"), "shared", "total")).alias("best")  # an id may stand for several texts
-        fresh = _verify(stored(pairs, "pairs"), texts, size).groupBy("lo", "hi").agg(best).select("lo", "hi", "best.shared", "best.total")
-        fresh = stored(fresh, "tested")
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        links = tested.filter(near).select("lo", "hi")
-        if finish:
-            return links
-        # Two hops are enough to tell most finished buckets; equal labels always mean one component.
-        edges = stored(_both_ways(links), "edges")
-        label = edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label")).withColumn("label", F.least("node", "label"))
-        label = stored(_hop(edges, label), "labels")
-
-        def labelled(df: DataFrame, node: str, to: str) -> DataFrame:
-            known = label.select(F.col("node").alias(node), F.col("label").alias("_label"))
-            return df.join(known, node, "left").withColumn(to, F.coalesce("_label", node)).drop("_label")
-
-        found = stars.filter(large) if turn else stars
-        found = found.select("key", "node", "centre", *order).join(tested, ["lo", "hi"])
-        found = stored(found.select("key", "node", "centre", share.alias("share"), near.alias("near"), far.alias("far")), "stars")
-        # Members between near and far of a centre may be linked with its near ones.
-        inner = found.filter("near").select("key", "centre", F.col("node").alias("other"), F.col("share").alias("other_share"))
-        open_ = found.filter("not near and not far").join(inner, ["key", "centre"]).filter(F.col("other_share") - F.col("share") <= allowed + 1e-9)
-        open_ = labelled(labelled(open_, "other", "other_label"), "node", "node_label").filter("other_label <> node_label")
-        more = stored(open_.select(F.least("other", "node").alias("lo"), F.greatest("other", "node").alias("hi")).distinct(), "between")
-        gone = found.filter("near").select("key", "node").unionByName(centres.select("key", F.col("centre").alias("node"))).distinct()
-        active = labelled(active.select("key", "node").join(gone, ["key", "node"], "left_anti"), "node", "label").select("key", "node", "label")
-        turn += 1
+    near = F.col("shared") * 100 >= F.col("total") * percent
+    draw = F.xxhash64("node", "key")
+    # Every bucket's centre, drawn by hash, against all its members.
+    centres = members.groupBy("key").agg(F.count("*").alias("n"), F.min(draw).alias("first"))
+    starred = stored(members.join(stored(centres, "centres"), "key").withColumn("centre", draw == F.col("first")), "starred")
+    centre = starred.filter("centre").select("key", F.col("node").alias("other"))
+    stars = starred.join(centre, "key").filter("node <> other")
+    pairs = stars.select(F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi")).distinct()
+    tested = stored(_verify(stored(pairs, "pairs"), texts, size), "tested")
+    links = tested.filter(near).select("lo", "hi").distinct()
+    # What is still apart in a bucket.
+    label = components(links)
+    labelled = starred.select("key", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = stored(labelled, "labelled")
+    apart = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "apart")
+    rest = stored(labelled.join(apart, "key", "left_semi"), "rest")
+    small, large = rest.filter(F.col("n") <= direct), rest.filter(F.col("n") > direct)
+    other = small.select("key", F.col("node").alias("hi"), F.col("label").alias("hi_label"))
+    pairs = small.select("key", F.col("node").alias("lo"), "label").join(other, "key").filter("lo < hi and label <> hi_label")
+    pairs = pairs.select("lo", "hi").distinct().join(tested.select("lo", "hi"), ["lo", "hi"], "left_anti")
+    more = _verify(stored(pairs, "pairs"), texts, size).filter(near).select("lo", "hi")
+    return stored(links.unionByName(more).unionByName(_links_in_clusters(large, texts, size, percent)), "links")
+
+
+def _links_in_clusters(large: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(lo, hi) of links in large buckets (key, node, label), at least one for any two components that have one.
+
+    Buckets that share members are one cluster, so that no pair is compared bucket by bucket.  In a cluster the members outside its
+    largest component are compared with all others, block against block: a task sees two blocks of texts, and pairs
+    exist inside it only.
+    """
+    first = large.groupBy("key").agg(F.min("node").alias("lo"))
+    edges = large.select("key", F.col("node").alias("hi")).join(stored(first, "heads"), "key").select("lo", "hi").distinct()
+    cluster = components(edges).withColumnRenamed("label", "cluster")
+    nodes = stored(large.select("node", "label").distinct().join(cluster, "node"), "clusters")
+    sizes = nodes.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(
+        F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    sizes = stored(sizes.filter("n > most"), "cluster-sizes")
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    placed = nodes.join(sizes, "cluster").withColumn("outside", F.col("label") != F.col("main"))
+    placed = placed.withColumns({"rows": blocks(F.col("n") - F.col("most")), "columns": blocks(F.col("n"))})
+    block = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = placed.filter("outside").select("cluster", block("rows").alias("i"), upto("columns").alias("j"), F.lit(True).alias("asks"), "node", "label")
+    right = placed.select("cluster", upto("rows").alias("i"), block("columns").alias("j"), F.lit(False).alias("asks"), "node", "label")
+    sides = stored(left.unionByName(right), "blocks").join(texts, "node")
+
+    def compare(group):
+        import numpy as np
+        import pandas as pd
+        ids: dict[tuple, int] = {}
+        sets = [np.array([ids.setdefault(s, len(ids)) for s in shingle_set(t, size)], np.int64) for t in group["text"]]
+        node, label, asks = group["node"].to_numpy(), group["label"].to_numpy(), group["asks"].to_numpy()
+        answers = [k for k in range(len(sets)) if not asks[k] and len(sets[k])]
+        found: list[tuple[int, int]] = []
+        if answers:
+            flat, lengths = np.concatenate([sets[k] for k in answers]), np.array([len(sets[k]) for k in answers])
+            starts, mark = np.concatenate(([0], lengths.cumsum()[:-1])), np.zeros(len(ids), np.int64)
+            for k in np.flatnonzero(asks):
+                if not len(sets[k]):
+                    continue
+                mark[sets[k]] = 1
+                shared = np.add.reduceat(mark[flat], starts)
+                mark[sets[k]] = 0
+                linked: dict[int, int] = {}
+                for at in np.flatnonzero(shared * 100 >= percent * (lengths + len(sets[k]) - shared)):
+                    x = answers[at]
+                    if label[x] != label[k]:  # one link to a component is enough
+                        linked[label[x]] = min(linked.get(label[x], node[x]), node[x])
+                found += [(min(node[k], x), max(node[k], x)) for x in linked.values()]
+        return pd.DataFrame(found, columns=["lo", "hi"]).astype("int64")
+
+    return sides.groupBy("cluster", "i", "j").applyInPandas(compare, "lo long, hi long")
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
