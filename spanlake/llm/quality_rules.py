@@ -67,7 +67,8 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """
     marks = trusted.select(F.col(id_col).alias("_trusted")).filter("_trusted is not null").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    marked = texts.join(marks, F.col("_id") == F.col("_trusted"), "left")
+    # Trusted ids grow with the corpus: the texts are shuffled to them at any size.
+    marked = texts.join(marks.hint("merge"), F.col("_id") == F.col("_trusted"), "left")
     hashes = once(marked.select(F.col("_trusted").isNotNull().alias("in_target"), "_text"), hashes=_word_hashes(words_of(F.col("_text"))))
     grams = hashes.select("in_target", F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.count(F.when(F.col("in_target"), 1)).alias("target"))
