@@ -45,14 +45,27 @@ def _cal(spark, sf):
     return calibration_pairs(spark, sf).withColumn("score", ca.clip01(F.col("score"), 1e-6))
 
 
-CAL = f"WITH {CALIBRATION_SQL.replace('round(score, 3) AS score', 'greatest(least(round(score, 3), 1 - 1e-6), 1e-6) AS score')}"
+CAL = f"WITH {CALIBRATION_SQL.replace("i AS row_key, doc_id, score,", "i AS row_key, doc_id, greatest(least(score, 1 - 1e-6), 1e-6) AS score,")}"
 
 
-@query("calibration_pairs", f"""WITH {GOLD_PRED_SQL} SELECT (p.doc_id + 1)::BIGINT AS row_id, p.label, coalesce(g.t, '') AS reference, p.t AS predicted, p.s::BIGINT AS span_start, p.e::BIGINT AS span_end, round(p.score, 6) AS score,
-  (g.doc_id IS NOT NULL)::INT::BIGINT AS valid FROM pred p LEFT JOIN gold g ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.label = p.label""")
+PAIRS_SQL = f"""WITH {GOLD_PRED_SQL} SELECT (p.doc_id + 1)::BIGINT AS row_id, p.label, coalesce(g.t, '') AS reference, p.t AS predicted, p.s::BIGINT AS span_start, p.e::BIGINT AS span_end, round(p.score, 6) AS score,
+  (g.doc_id IS NOT NULL)::INT::BIGINT AS valid FROM pred p LEFT JOIN gold g ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.label = p.label"""
+
+
+@query("calibration_pairs", PAIRS_SQL)
 def pairs(spark, sf):
     df = gold_and_pred(spark, sf)
-    out = ca.calibration_pairs(long(df, "pred"), long(df, "gold"))
+    return _pairs(ca.calibration_pairs_in_records(df))
+
+
+@query("calibration_pairs_joined", PAIRS_SQL)
+def pairs_joined(spark, sf):
+    """The same pairs from two long tables."""
+    df = gold_and_pred(spark, sf)
+    return _pairs(ca.calibration_pairs(long(df, "pred"), long(df, "gold")))
+
+
+def _pairs(out):
     return tidy(out.select(F.col("RowId").alias("row_id"), F.col("Label").alias("label"), F.col("Entidade_Referencia").alias("reference"), F.col("Entidade_Predita").alias("predicted"),
                            F.col("Start").alias("span_start"), F.col("End").alias("span_end"), F.col("Score").alias("score"), F.col("Validacao").alias("valid")))
 
@@ -90,14 +103,28 @@ SELECT s.label, round(coalesce(bt.t, bt2.t), 6) AS temperature, round(bt.loss, 6
 FROM (SELECT label, count(*) AS n FROM c1 GROUP BY label) s LEFT JOIN bt USING (label), bt2""")
 def fit_temperature_per_class(spark, sf):
     df = _cal(spark, sf).withColumn("target", F.when(F.col("label") == "Organization", 1).otherwise(F.col("target")))
-    return tidy(ca.fit_temperature_per_class(df))
+    return tidy(ca.fit_temperature_per_class(df).drop("overall"))
 
 
-ISOTONIC_SQL = CAL + """, u AS (SELECT score, sum(target)::DOUBLE AS y, count(*)::DOUBLE AS w FROM cal GROUP BY score),
-r AS (SELECT *, row_number() OVER (ORDER BY score) AS i, sum(y) OVER (ORDER BY score) AS cy, sum(w) OVER (ORDER BY score) AS cw FROM u),
-ab AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cw - a.cw + a.w) AS m FROM r a JOIN r b ON b.i >= a.i),
-lo AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM ab),
-iso AS (SELECT r.score, max(lo.m) AS v FROM lo JOIN r ON r.i = lo.b GROUP BY r.score)"""
+def pav_sql(rows: str, by: str = "k") -> str:
+    """CTEs pav .. iso: pool adjacent violators in rounds (all runs of violators at once), then the fit at every score.
+
+    Sums are whole numbers, so the comparisons are exact.  ``rows`` has the columns ``by``, score and target.
+    """
+    return f"""u AS (SELECT {by}, score, sum(target)::HUGEINT AS y, count(*)::HUGEINT AS w FROM {rows} GROUP BY {by}, score),
+pav AS (
+  SELECT 0 AS it, {by}, score AS lo, y, w FROM u
+  UNION ALL
+  SELECT it + 1, {by}, min(lo), sum(y)::HUGEINT, sum(w)::HUGEINT FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY {by} ORDER BY lo) AS g, min(fresh) OVER () AS open FROM (
+      SELECT *, CASE WHEN lag(y) OVER o * w >= y * lag(w) OVER o THEN 0 ELSE 1 END AS fresh FROM pav WINDOW o AS (PARTITION BY {by} ORDER BY lo)) a) b
+  WHERE open = 0 GROUP BY it, {by}, g),
+blocks AS (SELECT {by}, lo, y::DOUBLE / w::DOUBLE AS v FROM pav WHERE it = (SELECT max(it) FROM pav)),
+iso AS (SELECT u.{by}, u.score, b.v FROM u ASOF JOIN blocks b ON b.{by} = u.{by} AND u.score >= b.lo)"""
+
+
+CAL_PAV = CAL.replace("WITH ", "WITH RECURSIVE ", 1)
+ISOTONIC_SQL = f"{CAL_PAV}, one AS (SELECT 0 AS k, score, target FROM cal), {pav_sql('one')}"
 
 
 @query("fit_isotonic", ISOTONIC_SQL + " SELECT round(score, 6) AS score, round(v, 6) AS fitted FROM iso")
@@ -154,18 +181,23 @@ def brier_nll(spark, sf):
     return tidy(_cal(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.avg(t).alias("positive_rate"), ca.brier(s, t).alias("brier"), ca.nll(s, t).alias("nll")))
 
 
-_BINS = f"""{CAL}, low AS (SELECT * FROM cal WHERE score <= 0.72), bins AS (SELECT ({bin_sql('score')}) AS bin, count(*) AS n, avg(score) AS conf, avg(target) AS acc FROM low GROUP BY 1)"""
+_BINS = f"""{CAL}, low AS (SELECT greatest(score * 0.72, 1e-6) AS score, target FROM cal), bins AS (SELECT ({bin_sql('score')}) AS bin, count(*) AS n, avg(score) AS conf, avg(target) AS acc FROM low GROUP BY 1)"""
+
+
+def _lowered(spark, sf):
+    """All rows, their scores scaled so that the highest bins stay empty."""
+    return _cal(spark, sf).withColumn("score", F.greatest(F.col("score") * 0.72, F.lit(1e-6)))
 
 
 @query("reliability_bins", _BINS + """ SELECT i::BIGINT AS bin, round(i / 10, 6) AS bin_lower, round((i + 1) / 10, 6) AS bin_upper, coalesce(n, 0)::BIGINT AS count, round(conf, 6) AS conf_mean, round(acc, 6) AS acc, round(abs(acc - conf), 6) AS gap
 FROM range(10) r(i) LEFT JOIN bins ON bin = i""")
 def reliability_bins(spark, sf):
-    return tidy(ca.reliability_bins(_cal(spark, sf).filter("score <= 0.72")))
+    return tidy(ca.reliability_bins(_lowered(spark, sf)))
 
 
 @query("ece_mce", _BINS + " SELECT round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece, round(max(abs(acc - conf)), 6) AS mce FROM bins")
 def ece_mce(spark, sf):
-    return tidy(ca.ece_mce(ca.reliability_bins(_cal(spark, sf).filter("score <= 0.72"))))
+    return tidy(ca.ece_mce(ca.reliability_bins(_lowered(spark, sf))))
 
 
 def auc_sql(rows: str, by: str) -> str:
@@ -197,8 +229,11 @@ def audit_by_label(spark, sf):
 
 # --------------------------------------------------------------------------- cross-validation
 _FOLDS = f"{CAL}, fo AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || row_key)) - 1) % 5 AS fold FROM cal)"
-_CV = f"""{_FOLDS}, tr AS (SELECT f.k AS fold, score, target FROM fo JOIN range(5) f(k) ON fo.fold <> f.k), {grid_sql('tr', 'fold')},
-scored AS (SELECT fold, 'raw' AS method, score, target FROM fo UNION ALL SELECT fo.fold, 'temperature', {_sig('bt.t')}, target FROM fo JOIN bt ON bt.fold = fo.fold)"""
+_CV = f"""{_FOLDS.replace('WITH ', 'WITH RECURSIVE ', 1)}, tr AS (SELECT f.k AS fold, score, target FROM fo JOIN range(5) f(k) ON fo.fold <> f.k), {grid_sql('tr', 'fold')}, {pav_sql('tr', 'fold')},
+sides AS (SELECT t.fold, t.target, t.score, coalesce(l.score, h.score) AS x0, coalesce(h.score, l.score) AS x1, coalesce(l.v, h.v) AS y0, coalesce(h.v, l.v) AS y1
+  FROM fo t ASOF LEFT JOIN iso l ON l.fold = t.fold AND t.score >= l.score ASOF LEFT JOIN iso h ON h.fold = t.fold AND t.score <= h.score),
+scored AS (SELECT fold, 'isotonic' AS method, CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * (score - x0) / (x1 - x0) ELSE y0 END AS score, target FROM sides
+  UNION ALL SELECT fold, 'raw', score, target FROM fo UNION ALL SELECT fo.fold, 'temperature', {_sig('bt.t')}, target FROM fo JOIN bt ON bt.fold = fo.fold)"""
 _CV_MEASURES = f"""mb AS (SELECT method, fold, ({bin_sql('score')}) AS bin, count(*) AS n, avg(score) AS conf, avg(target) AS acc FROM scored GROUP BY ALL),
 e AS (SELECT method, fold, sum(n * abs(acc - conf)) / sum(n) AS ece, max(abs(acc - conf)) AS mce FROM mb GROUP BY ALL),
 m AS (SELECT method, fold, avg(pow(score - target, 2)) AS brier, -avg(target * ln(greatest(least(score, 1 - 1e-12), 1e-12)) + (1 - target) * ln(1 - greatest(least(score, 1 - 1e-12), 1e-12))) AS nll FROM scored GROUP BY ALL),
@@ -209,27 +244,16 @@ l AS (SELECT method, 'ece' AS metric, ece AS v FROM f UNION ALL SELECT method, '
 
 @query("cv_summary", f"{_CV}, {_CV_MEASURES} SELECT method, metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*)::BIGINT AS n_folds FROM l GROUP BY ALL")
 def cv_summary(spark, sf):
-    return tidy(ca.cv_summary(ca.cv_scores(_cal(spark, sf), "row_key", isotonic=False)))
+    return tidy(ca.cv_summary(ca.cv_scores(_cal(spark, sf), "row_key")))
 
 
 @query("cv_reliability", f"{_CV}, {_CV_MEASURES} SELECT method, bin::BIGINT AS bin, sum(n)::BIGINT AS count, round(avg(conf), 6) AS conf_mean, round(avg(acc), 6) AS acc FROM mb GROUP BY method, bin")
 def cv_reliability(spark, sf):
-    return tidy(ca.cv_reliability(ca.cv_scores(_cal(spark, sf), "row_key", isotonic=False)))
-
-
-_ISO_FOLD = """, u AS (SELECT k.k AS fold, score, sum(target)::DOUBLE AS y, count(*)::DOUBLE AS w FROM fo JOIN range(2) k(k) ON fo.f2 <> k.k GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score) AS i, sum(y) OVER (PARTITION BY fold ORDER BY score) AS cy, sum(w) OVER (PARTITION BY fold ORDER BY score) AS cw FROM u),
-ab AS (SELECT a.fold, a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cw - a.cw + a.w) AS m FROM r a JOIN r b ON b.fold = a.fold AND b.i >= a.i),
-lo AS (SELECT fold, a, b, min(m) OVER (PARTITION BY fold, a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM ab),
-iso AS (SELECT r.fold, r.score, max(lo.m) AS v FROM lo JOIN r ON r.fold = lo.fold AND r.i = lo.b GROUP BY ALL),
-sc AS (SELECT t.f2 AS fold, t.target, coalesce(l.score, h.score) AS x0, coalesce(h.score, l.score) AS x1, t.score,
-       coalesce(l.v, h.v) AS y0, coalesce(h.v, l.v) AS y1 FROM fo t ASOF LEFT JOIN iso l ON l.fold = t.f2 AND t.score >= l.score ASOF LEFT JOIN iso h ON h.fold = t.f2 AND t.score <= h.score)"""
+    return tidy(ca.cv_reliability(ca.cv_scores(_cal(spark, sf), "row_key")))
 
 
-@query("cv_isotonic", _FOLDS.replace("% 5 AS fold", "% 2 AS f2") + _ISO_FOLD + """
-SELECT fold::BIGINT AS fold, count(*)::BIGINT AS n, round(avg(v), 5) AS mean, round(avg(pow(v - target, 2)), 5) AS brier FROM
-  (SELECT fold, target, CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * (score - x0) / (x1 - x0) ELSE y0 END AS v FROM sc) z GROUP BY fold""")
+@query("cv_isotonic", f"""{_CV} SELECT fold::BIGINT AS fold, count(*)::BIGINT AS n, round(avg(score), 5) AS mean, round(avg(pow(score - target, 2)), 5) AS brier FROM scored WHERE method = 'isotonic' GROUP BY fold""")
 def cv_isotonic(spark, sf):
-    """Two folds, each scored by the isotonic fit of the other."""
-    out = ca.cv_scores(_cal(spark, sf), "row_key", k=2).filter("method = 'isotonic'")
+    """Each fold scored by the isotonic fit of the others."""
+    out = ca.cv_scores(_cal(spark, sf), "row_key").filter("method = 'isotonic'")
     return tidy(out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean"), F.round(F.avg(F.pow(F.col("score") - F.col("target"), 2)), 5).alias("brier")))

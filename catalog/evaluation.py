@@ -116,14 +116,14 @@ def evaluate(spark, sf):
 
 
 _FOLDED = f"""{G}, ft AS (SELECT doc_id % 3 AS fold, t, sum(CASE WHEN g = 1 AND p = 1 AND score >= t THEN 1 ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN g = 0 AND score >= t THEN 1 ELSE 0 END)::DOUBLE AS fp,
-  sum(CASE WHEN g = 1 AND NOT (p = 1 AND score >= t) THEN 1 ELSE 0 END)::DOUBLE AS fn FROM spans, (VALUES (0.1), (0.2), (0.3), (0.4)) c(t) GROUP BY ALL), fs AS (SELECT fold, t, {F1} AS f1 FROM ft)"""
+  sum(CASE WHEN g = 1 AND NOT (p = 1 AND score >= t) THEN 1 ELSE 0 END)::DOUBLE AS fn FROM spans, (SELECT round(i * 0.05, 2)::DOUBLE AS t FROM range(21) r(i)) c(t) GROUP BY ALL), fs AS (SELECT fold, t, {F1} AS f1 FROM ft)"""
 
 
 def _fold_scores(spark, sf):
     """F1 per (fold, threshold): best score per span, counted per fold and cut."""
     gold, pred = _sides(spark, sf)
     m = ev.match_spans(gold, pred, carry={"score": "max"}).withColumn("fold", F.col("row_idx") % 3)
-    cut = m.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in (0.1, 0.2, 0.3, 0.4)])))
+    cut = m.withColumn("threshold", F.explode(F.array(*[F.lit(round(i * 0.05, 2)) for i in range(21)])))
     on = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))
     per = cut.groupBy("fold", "threshold").agg(F.count_if((F.col("status") == "TP") & on).alias("tp"), F.count_if((F.col("status") == "FP") & on).alias("fp"),
                                                F.count_if((F.col("status") == "FN") | ((F.col("status") == "TP") & ~on)).alias("fn"))
@@ -235,7 +235,7 @@ def salted_lookup_join(spark, sf):
     """The salted form of the lookup join (the size check is set to fail)."""
     rows = annotated(spark, sf).select("row_idx", F.explode("entities").alias("e")).select("row_idx", F.col("e.start").alias("start"), F.col("e.text").alias("word"), F.col("e.score").alias("score"))
     words = rows.filter("row_idx % 10 = 0").select("word").distinct()
-    return tidy(lookup_join(rows, words, ["word"], "inner", broadcast_rows=0).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 5).alias("total")))
+    return tidy(lookup_join(rows, words, ["word"], "inner", salts=16).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 5).alias("total")))
 
 
 # --------------------------------------------------------------------------- quality of kept records

@@ -7,10 +7,12 @@ import re
 from pyspark.sql import functions as F
 
 from catalog import query
+from catalog.calibration import _sig, grid_sql
 from catalog.fixtures import ENTS_SQL, annotated, documents, slim, table, tidy
 from spanlake.functions import text as tx
 from spanlake.operators import extract as ex
 from spanlake.operators.staging import once
+from spanlake.plans.cycle import CycleConfig, run_cycle
 from spanlake.session import ship_package
 
 WS_SQL = """
@@ -22,6 +24,13 @@ CHUNKS_SQL = f"""WITH {WS_SQL}, c AS (SELECT doc_id, n // 64 AS chunk, min(s) AS
 SELECT c.doc_id, chunk::BIGINT AS chunk, start::BIGINT AS start, md5(substr(text, (start + 1)::BIGINT, (e - start)::BIGINT)) AS digest FROM c JOIN documents USING (doc_id)"""
 
 
+@query("chunk_text_large", CHUNKS_SQL.replace("64", "900"))
+def chunk_text_large(spark, sf):
+    """A budget of 900 tokens."""
+    rows = once(documents(spark, sf), c=ex.chunk_text(F.col("text"), 900)).select("doc_id", F.posexplode("c").alias("chunk", "c"))
+    return tidy(rows.select("doc_id", "chunk", "c.start", F.md5("c.text").alias("digest")))
+
+
 @query("chunk_text", CHUNKS_SQL)
 def chunk_text(spark, sf):
     rows = once(documents(spark, sf), c=ex.chunk_text(F.col("text"), 66, reserved=2)).select("doc_id", F.posexplode("c").alias("chunk", "c"))
@@ -73,6 +82,50 @@ def extract_entities(spark, sf):
     return tidy(out.select("doc_id", F.size("entities").alias("n"), total.alias("ends"), F.md5(F.array_join("entities.text", ",")).alias("digest")))
 
 
+_TAGGED_SQL = MATCHES_SQL + f""", own AS (SELECT doc_id, CASE WHEN length(t) > 3 THEN 0.9 ELSE 0.1 END::DOUBLE AS score, (length(t) > 3)::INT AS target FROM m),
+{grid_sql('own')}, rec AS (SELECT d.doc_id, d.text, coalesce(avg(CASE WHEN own.score IS NOT NULL THEN {_sig('bt.t')} END), 0) AS rs FROM documents d CROSS JOIN bt LEFT JOIN own ON own.doc_id = d.doc_id GROUP BY d.doc_id, d.text),
+cut AS (SELECT *, rs >= 0.8 AS keep FROM rec)"""
+
+
+def full_cycle(spark, sf):
+    ship_package(spark)
+    df = documents(spark, sf).select(F.col("doc_id").alias("row_idx"), F.col("text").alias("relato"), "lang")
+    cfg = CycleConfig(boost=None, threshold=0.8, fallback=None)
+    return run_cycle(df, cfg, _local(word_tagger), ["relato"], ["Word"], ["relato"], max_tokens=600, batch_size=16)
+
+
+@query("cycle_full", _TAGGED_SQL + """ SELECT 'tag' AS stage, count(*)::BIGINT AS samples, count(*)::BIGINT AS processed, 0::BIGINT AS failed, (SELECT count(*) FROM own)::BIGINT AS entities FROM documents
+  UNION ALL SELECT 'kept', count(*)::BIGINT, count(*)::BIGINT, 0::BIGINT, NULL FROM cut WHERE keep UNION ALL SELECT 'discarded', count(*)::BIGINT, count(*)::BIGINT, 0::BIGINT, NULL FROM cut WHERE NOT keep
+  UNION ALL SELECT 'next', count(DISTINCT text)::BIGINT, count(DISTINCT text)::BIGINT, 0::BIGINT, NULL FROM cut WHERE NOT keep AND regexp_matches(text, '\\S')""")
+def cycle_full(spark, sf):
+    """Tag, calibrate, score, split and prepare the next input: the counts of every stage."""
+    return tidy(full_cycle(spark, sf).stages.drop("error"))
+
+
+@query("cycle_full_next", _TAGGED_SQL + " SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM cut WHERE NOT keep AND regexp_matches(text, '\\S') GROUP BY text")
+def cycle_full_next(spark, sf):
+    """The records of the next cycle."""
+    return full_cycle(spark, sf).next_input.select(F.col("row_idx").alias("doc_id"), F.md5("relato").alias("digest"))
+
+
+@query("tagger_failures", "SELECT count(*)::BIGINT AS samples, count(CASE WHEN doc_id % 7 <> 0 THEN 1 END)::BIGINT AS processed, count(CASE WHEN doc_id % 7 = 0 THEN 1 END)::BIGINT AS failed, 'ValueError: no answer' AS common_error FROM documents")
+def tagger_failures(spark, sf):
+    """A tagger that fails on every text marked for it; the other records of its batches are kept."""
+    ship_package(spark)
+    marked = documents(spark, sf).withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("FAILS "), "text")).otherwise(F.col("text")))
+    out = ex.extract_entities(marked, _local(moody_tagger), ["Word"], max_tokens=2000, batch_size=16)
+    return tidy(ex.tagging_stats(out).select("samples", "processed", "failed", "common_error"))
+
+
+def moody_tagger():
+    """Fails on texts that say so."""
+    def tag(texts, labels, threshold):
+        if any(t.startswith("FAILS") for t in texts):
+            raise ValueError("no answer")
+        return [[] for _ in texts]
+    return tag
+
+
 def _local(fn):
     """The same function, pickled by value, so that workers need not import the catalog."""
     from pyspark import cloudpickle

@@ -60,6 +60,21 @@ def read_json_arrays(spark, sf):
     return _totals(src.read_records(spark, path, spark.createDataFrame([], "doc_id long, text string, lang string").schema))
 
 
+@query("read_mixed_layouts", "SELECT doc_id, md5(text) AS digest, lang FROM documents")
+def read_mixed_layouts(spark, sf):
+    """One folder of JSON lines, array files (one per source) and pretty-printed single objects."""
+    path = scratch_path(spark, "mixed")
+    row = F.struct("doc_id", "text", "lang")
+    kind = F.when(F.col("doc_id") % 50 == 0, "object").when(F.col("doc_id") % 2 == 1, "line").otherwise("array")
+    docs = _docs(spark, sf).withColumn("kind", kind)
+    docs.filter("kind = 'line'").select(F.to_json(row).alias("value")).write.text(path)
+    arrays = docs.filter("kind = 'array'").groupBy("source").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(row)), ",\n"), F.lit("\n]\n")).alias("value"))
+    arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    objects = docs.filter("kind = 'object'").select(F.to_json(row, {"pretty": "true"}).alias("value"))
+    objects.write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    return src.read_records(spark, path, spark.createDataFrame([], "doc_id long, text string, lang string").schema).select("doc_id", F.md5("text").alias("digest"), "lang")
+
+
 @query("row_positions", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS row_idx FROM documents")
 def row_positions(spark, sf):
     """Input order across files and splits."""

@@ -96,8 +96,8 @@ def calibration_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_idx, score, target, label: the score is the entity's, the target follows it through a second digest."""
     ents = annotated(spark, sf_dir).select("row_idx", F.posexplode("entities").alias("ent_idx", "e"))
     noise = F.conv(F.substring("e.h", 10, 6), 16, 10).cast("bigint") / F.lit(16777216.0)
-    return ents.select(F.concat_ws(":", "row_idx", "ent_idx").alias("row_key"), "row_idx", F.round("e.score", 3).alias("score"),
-                       (noise < F.pow(F.round("e.score", 3), 2)).cast("int").alias("target"), F.col("e.label").alias("label"))
+    return ents.select(F.concat_ws(":", "row_idx", "ent_idx").alias("row_key"), "row_idx", F.col("e.score").alias("score"),
+                       (noise < F.pow("e.score", 2)).cast("int").alias("target"), F.col("e.label").alias("label"))
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -136,8 +136,8 @@ spans AS (SELECT doc_id, s, e, label, max(g) AS g, max(p) AS p, max(score) AS sc
           GROUP BY doc_id, s, e, label)"""
 
 CALIBRATION_SQL = ENTS_SQL + """,
-cal AS (SELECT doc_id || ':' || i AS row_key, doc_id, round(score, 3) AS score, label,
-        CASE WHEN ('0x' || substr(h, 10, 6))::BIGINT / 16777216.0::DOUBLE < pow(round(score, 3), 2) THEN 1 ELSE 0 END AS target FROM ents)"""
+cal AS (SELECT doc_id || ':' || i AS row_key, doc_id, score, label,
+        CASE WHEN ('0x' || substr(h, 10, 6))::BIGINT / 16777216.0::DOUBLE < pow(score, 2) THEN 1 ELSE 0 END AS target FROM ents)"""
 
 
 def norm_sql(expr: str) -> str:

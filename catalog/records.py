@@ -101,7 +101,7 @@ def normalize_text_exact(spark, sf):
     return documents(spark, sf).select("doc_id", exact(F.col("text")).alias("n")).select("doc_id", F.md5("n").alias("digest"))
 
 
-@query("sql_functions", f"""WITH n AS (SELECT doc_id, {norm_sql('substr(text, 1, 200)')} AS v FROM documents)
+@query("sql_functions", f"""WITH n AS (SELECT doc_id, {norm_sql('text')} AS v FROM documents)
 SELECT doc_id, md5(v) AS digest, round(1 / (1 + exp(-ln((0.05 + doc_id % 90 / 100.0) / (0.95 - doc_id % 90 / 100.0)) / 2)), 6) AS calibrated,
   (SELECT count(DISTINCT w) FROM (SELECT unnest(regexp_extract_all(v, '[0-9a-z]+')) AS w) WHERE length(w) >= 3 AND w NOT IN ('das','dos','nas','nos','para','por','pra','pro','que','uma'))::BIGINT AS tokens FROM n""")
 def sql_functions(spark, sf):
@@ -110,7 +110,7 @@ def sql_functions(spark, sf):
     documents(spark, sf).createOrReplaceTempView("spanlake_documents")
     return tidy(spark.sql("""
         SELECT doc_id, md5(n) AS digest, apply_temperature(CAST(0.05 + doc_id % 90 / 100.0 AS DOUBLE), 2D) AS calibrated, size(informative_tokens(n)) AS tokens
-        FROM (SELECT doc_id, normalize_text(substring(text, 1, 200)) AS n FROM spanlake_documents)"""))
+        FROM (SELECT doc_id, normalize_text(text) AS n FROM spanlake_documents)"""))
 
 
 # --------------------------------------------------------------------------- labels

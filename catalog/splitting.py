@@ -124,7 +124,7 @@ def calibration_split_heuristic(spark, sf):
 
 
 # --------------------------------------------------------------------------- folds
-FOLDS = f"""ol AS (SELECT o_custkey AS g, o_orderkey, l_returnflag AS label FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 20 OR l_returnflag <> 'A'),
+FOLDS = f"""ol AS (SELECT o_custkey AS g, o_orderkey, l_returnflag AS label FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 ex AS (SELECT o_custkey AS g, count(*) AS examples FROM orders GROUP BY 1), gl AS (SELECT g, label, count(*) AS n FROM ol GROUP BY ALL), pres AS (SELECT label, count(*) AS p FROM gl GROUP BY label),
 pr AS (SELECT ex.g, examples, coalesce(sum(n), 0) AS spans, min({{'p': p, 'label': gl.label}}) AS rare, coalesce(sum(1.0::DOUBLE / p), 0) AS rarity FROM ex LEFT JOIN gl USING (g) LEFT JOIN pres ON pres.label = gl.label GROUP BY ex.g, examples),
 fo AS (SELECT g, examples, spans, ((row_number() OVER (ORDER BY coalesce(rare.p, 4611686018427387904), coalesce(rare.label, ''), round(rarity, 12) DESC, spans DESC, examples DESC, {h(42, 'g')}, g) - 1) % 5 + 1)::BIGINT AS fold FROM pr)"""
@@ -132,7 +132,7 @@ fo AS (SELECT g, examples, spans, ((row_number() OVER (ORDER BY coalesce(rare.p,
 
 def _grouped(spark, sf):
     """Orders with the return flags of their lines as labels, customers as groups."""
-    lines = table(spark, sf, "lineitem").filter("l_quantity > 20 or l_returnflag <> 'A'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_returnflag").alias("labels"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_returnflag").alias("labels"))
     df = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left")
     return df.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 

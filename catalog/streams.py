@@ -29,13 +29,20 @@ def stream_decisions(spark, sf):
     return tidy(spark.read.parquet(out).select(doc(), "decision", "record_score"))
 
 
-_KEPT_TEXTS = CYCLE_SQL + f" SELECT DISTINCT md5({KEY}) AS digest FROM cy JOIN documents USING (doc_id) WHERE keep"
+_KEPT_TEXTS = CYCLE_SQL + f""", kt AS (SELECT CASE WHEN doc_id % 9 = 0 THEN '' ELSE {KEY} END AS key FROM cy JOIN documents USING (doc_id) WHERE keep)
+SELECT DISTINCT md5(key) AS digest FROM kt WHERE key <> '' UNION ALL SELECT md5(key) FROM kt WHERE key = ''"""
+
+
+def _with_blanks(spark, sf):
+    """Scored arrivals; every ninth text is blank by now."""
+    text = F.when(F.col("row_idx") % 9 == 0, F.lit(" \n ")).otherwise(F.col("text"))
+    return _stream(spark, sf).select("row_idx", text.alias("text"), "decision")
 
 
 @query("stream_accumulated", _KEPT_TEXTS)
 def stream_accumulated(spark, sf):
     out = scratch_path(spark, "accumulated")
-    rows = _stream(spark, sf).select("row_idx", "text", "decision")
+    rows = _with_blanks(spark, sf)
     st.accumulate_kept(rows, out, scratch_path(spark, "cp")).awaitTermination()
     return spark.read.parquet(out).select(F.md5(dedupe_key(F.col("text"))).alias("digest"))
 
@@ -43,6 +50,6 @@ def stream_accumulated(spark, sf):
 @query("stream_deduplicated", _KEPT_TEXTS)
 def stream_deduplicated(spark, sf):
     out = scratch_path(spark, "unique")
-    rows = st.dedupe_stream(_stream(spark, sf).select("row_idx", "text", "decision").filter("decision = 'kept'"))
+    rows = st.dedupe_stream(_with_blanks(spark, sf).filter("decision = 'kept'"))
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select(F.md5(dedupe_key(F.col("text"))).alias("digest"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from spanlake.functions.text import _SPACE, _fold_tables
+from spanlake.functions.text import _SPACE, HANGUL, _fold_tables, hangul_letters, rare_class
 from spanlake.schema import SCORE_EPS, STOPWORDS
 
 
@@ -12,14 +12,24 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _expanded(text: str, longer: tuple[tuple[str, str], ...]) -> str:
+    """The letter-by-letter replacement of ``text.expand_rare`` as SQL, from the same tables."""
+    lead, middle, tail = map(_literal, hangul_letters())
+    n, rare = f"(ascii(c) - {ord(HANGUL[0])})", _literal(rare_class("NFD"))
+    syllable = (f"concat(substring({lead}, CAST(floor({n} / 588) AS INT) + 1, 1), substring({middle}, CAST(floor({n} % 588 / 28) AS INT) + 1, 1), "
+                f"if({n} % 28 > 0, substring({tail}, {n} % 28, 1), ''))")
+    cut = _literal("\\x01")
+    parts = [f"split({_literal(chr(1).join(pair[k] for pair in longer))}, {cut})" for k in (0, 1)]
+    table = f"map_from_arrays({', '.join(parts)})"
+    letter = (f"CASE WHEN c >= {_literal(HANGUL[0])} AND c <= {_literal(HANGUL[1])} THEN {syllable} "
+              f"WHEN c RLIKE {rare} THEN element_at({table}, c) ELSE c END")
+    return f"if({text} RLIKE {rare}, array_join(transform(split({text}, ''), c -> {letter}), ''), {text})"
+
+
 def sql_functions() -> dict[str, str]:
     """name -> CREATE statement body after ``CREATE OR REPLACE TEMPORARY FUNCTION``."""
     src, dst, gone, longer = _fold_tables("NFD")
-    text = "coalesce(v, '')"
-    for ch, out in longer:
-        if ord(ch) < 0x250 or 0xFB00 <= ord(ch) <= 0xFB06:
-            text = f"replace({text}, {_literal(ch)}, {_literal(out)})"
-    folded = f"translate({text}, {_literal(src + gone)}, {_literal(dst)})"
+    folded = _expanded(f"translate(coalesce(v, ''), {_literal(src + gone)}, {_literal(dst)})", longer)
     space = _literal(f"[{_SPACE}]+")
     stop = ", ".join(_literal(w) for w in STOPWORDS)
     eps = f"{SCORE_EPS}D"

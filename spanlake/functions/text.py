@@ -119,20 +119,22 @@ def clip01(col: Column, eps: float) -> Column:
 
 
 # --------------------------------------------------------------------------- normalisation
+HANGUL = ("\uac00", "\ud7a3")
+
+
 @lru_cache(maxsize=None)
 def _fold_tables(form: str) -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
     """Rule-generated folding tables: (from, to, deleted characters, long expansions).
 
     Characters whose folding is a single character go into one ``translate`` call, vanishing ones
-    are deleted by it, and the few Latin and Greek characters with longer results (ss for the sharp
-    s, ligatures) become replacements.  Hangul syllables are left composed: folding them letter by
-    letter changes no comparison.
+    are deleted by it, and those with longer results are looked up letter by letter.  Hangul syllables are left out:
+    their letters follow from their number.
     """
     src, dst, gone, longer = [], [], [], []
     for code in range(sys.maxunicode + 1):
-        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF or code > 0x1FFFF:
-            continue
         ch = chr(code)
+        if HANGUL[0] <= ch <= HANGUL[1] or 0xD800 <= code <= 0xDFFF:
+            continue
         out = fold_exact(ch, form, squeeze=False)
         if out == ch:
             continue
@@ -141,11 +143,38 @@ def _fold_tables(form: str) -> tuple[str, str, str, tuple[tuple[str, str], ...]]
             dst.append(out)
         elif not out:
             gone.append(ch)
-        elif code < 0x0250 or (form == "NFD" and (code < 0x0600 or 0x1E00 <= code <= 0x1FFF)) or 0xFB00 <= code <= 0xFB06:
+        else:
             longer.append((ch, out))
     return "".join(src), "".join(dst), "".join(gone), tuple(longer)
 
 
+@lru_cache(maxsize=None)
+def hangul_letters() -> tuple[str, str, str]:
+    """Leading, middle and trailing letters of the syllables, in the order of their numbers."""
+    parts = lambda n: unicodedata.normalize("NFD", chr(ord(HANGUL[0]) + n))
+    return "".join(parts(588 * i)[0] for i in range(19)), "".join(parts(28 * i)[1] for i in range(21)), "".join(parts(i)[2] for i in range(1, 28))
+
+
+def rare_class(form: str) -> str:
+    """Regex class of the characters that need a look-up, Hangul syllables included."""
+    return "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch, _ in _fold_tables(form)[3]) + "".join(HANGUL[:1]) + "-" + HANGUL[1] + "]"
+
+
+def expand_rare(text: Column, form: str) -> Column:
+    """Replace the characters with longer foldings, letter by letter."""
+    longer = _fold_tables(form)[3]
+    lead, middle, tail = (F.lit(x) for x in hangul_letters())
+    table = F.map_from_arrays(*[F.split(F.lit("\x01".join(pair[k] for pair in longer)), "\x01") for k in (0, 1)])
+    pick = lambda letters, at: F.substring(letters, at.cast("int"), F.lit(1))
+
+    def letter(c: Column) -> Column:
+        n = F.ascii(c) - ord(HANGUL[0])
+        syllable = F.concat(pick(lead, F.floor(n / 588) + 1), pick(middle, F.floor(n % 588 / 28) + 1), F.when(n % 28 > 0, pick(tail, n % 28)).otherwise(F.lit("")))
+        return F.when((c >= HANGUL[0]) & (c <= HANGUL[1]), syllable).otherwise(F.when(c.rlike(rare_class(form)), F.element_at(table, c)).otherwise(c))
+
+    return F.array_join(F.transform(F.split(text, ""), letter), "")
+
+
 def fold_exact(value: str, form: str = "NFD", squeeze: bool = True) -> str:
     """The exact folding of one string (small helper shared by the tables and the Arrow UDF).
 
@@ -163,20 +192,21 @@ def normalize_text(col: Column, form: str = "NFD") -> Column:
     """Casefold, strip accents, collapse white space.  NULL becomes ``""``.
 
     ASCII texts take the cheap ``lower`` branch, Latin-1 texts one ``replace`` (the sharp s) and one
-    ``translate`` pass; only texts with rarer characters pay for all replacements.
+    ``translate`` pass; only texts with characters that fold to several are walked letter by letter.
     """
     src, dst, gone, longer = _fold_tables(form)
 
     def body(v: Column) -> Column:
-        near, far = v, v
+        # Foldings are final: characters with longer ones are replaced last.
+        far = F.translate(v, src + gone, dst)
+        near = far
         for ch, out in longer:
-            far = F.replace(far, F.lit(ch), F.lit(out))
             if ord(ch) < 0x100:
                 near = F.replace(near, F.lit(ch), F.lit(out))
         return collapse_spaces(
             F.when(~v.rlike(r"[^\x00-\x7f]"), F.lower(v))
-            .when(~v.rlike(r"[^\x00-\xff]"), F.translate(near, src + gone, dst))
-            .otherwise(F.translate(far, src + gone, dst)))
+            .when(~v.rlike(r"[^\x00-\xff]"), near)
+            .when(~v.rlike(rare_class(form)), far).otherwise(expand_rare(far, form)))
 
     return bind(F.coalesce(col.cast("string"), F.lit("")), body)
 

@@ -19,6 +19,7 @@ Tagger = Callable[[list[str], Sequence[str], float], list[list[dict]]]
 
 TAGGED = T.StructType([
     T.StructField("ok", T.BooleanType()),
+    T.StructField("error", T.StringType()),
     T.StructField("found", T.ArrayType(T.StructType([
         T.StructField("chunk", T.IntegerType()),
         T.StructField("start", T.IntegerType()),
@@ -34,13 +35,14 @@ def tagger_udf(load: Callable[[], Tagger], labels: Sequence[str], threshold: flo
     """UDF over an ``array<string>`` of chunks.  ``load`` runs once per task.
 
     Chunks of neighbouring records share tagger batches.  When a batch fails, its records are
-    retried one by one; a record that fails again gets ``ok = false`` and no entities.
+    retried one by one; a record that fails again gets ``ok = false``, the error's text and no entities.
     """
 
-    def tag_records(tagger: Tagger, records: list[list[str]]) -> list[tuple[bool, list[dict]]]:
+    def tag_records(tagger: Tagger, records: list[list[str]]) -> list[tuple[bool, str | None, list[dict]]]:
         flat = [(r, c, text) for r, chunks in enumerate(records) for c, text in enumerate(chunks)]
         found: list[list[dict]] = [[] for _ in records]
         failed: set[int] = set()
+        errors: dict[int, str] = {}
 
         def run(part: list[tuple[int, int, str]]) -> None:
             answers = tagger([t for _, _, t in part], labels, threshold)
@@ -61,18 +63,19 @@ def tagger_udf(load: Callable[[], Tagger], labels: Sequence[str], threshold: flo
             try:
                 for c, text in enumerate(records[r]):
                     run([(r, c, text)])
-            except Exception:
+            except Exception as problem:
                 found[r] = []
+                errors[r] = f"{type(problem).__name__}: {problem}"[:300]
                 continue
             failed.discard(r)
-        return [(r not in failed, found[r]) for r in range(len(records))]
+        return [(r not in failed, errors.get(r), found[r]) for r in range(len(records))]
 
     @F.pandas_udf(TAGGED)
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = load()
         for chunks in batches:
             rows = tag_records(tagger, [[] if c is None else list(c) for c in chunks])
-            yield pd.DataFrame({"ok": [ok for ok, _ in rows], "found": [f for _, f in rows]})
+            yield pd.DataFrame({"ok": [ok for ok, _, _ in rows], "error": [e for _, e, _ in rows], "found": [f for _, _, f in rows]})
 
     return tag
 

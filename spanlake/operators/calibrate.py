@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,14 +19,13 @@ from pyspark.sql import functions as F
 from spanlake.functions.arrays import bind, block_heads, sorted_rank
 from spanlake.functions.text import clip01, safe_double
 from spanlake.operators.fields import resolve_entities, struct_fields
-from spanlake.operators.ordering import group_quantiles, running_totals, with_hash_position
+from spanlake.operators.ordering import group_quantiles, lookup_join, running_totals, with_hash_position
 from spanlake.operators.staging import once
 from spanlake.schema import LABELS, NLL_EPS, SCORE_EPS
 from spanlake.session import stable
 
+# Bounds and size of the temperature grid.
 T_MIN, T_MAX, GRID = 0.5, 5.0, 181
-#: Isotonic knots up to this number live in the plan as literals; larger tables go to numpy in Arrow batches.
-MAX_PLAN_KNOTS = 4096
 
 
 # --------------------------------------------------------------------------- column math
@@ -63,6 +61,38 @@ def calibration_pairs(pred: DataFrame, gold: DataFrame, id_col: str = "row_idx")
         F.col("_ref").isNotNull().cast("int").alias("Validacao"))
 
 
+def calibration_pairs_in_records(df: DataFrame, pred: str = "pred", gold: str = "gold", id_col: str = "row_idx") -> DataFrame:
+    """``calibration_pairs`` for records that carry both entity lists: matched inside the record, no shuffle.
+
+    Of several gold spans at one place the smallest text is the reference.
+    """
+    def side(column: str, number: int) -> Column:
+        score = (lambda e: e["score"].cast("double")) if number else (lambda e: F.lit(None).cast("double"))
+        return F.transform(F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType)), lambda e: F.struct(
+            e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), F.lit(number).alias("side"), e["text"].alias("text"), score(e).alias("score")))
+
+    def paired(both: Column) -> Column:
+        """Runs of one place, gold spans first; every predicted span of a run meets the run's first gold span."""
+        same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["label"] == b["label"])
+        firsts = F.filter(F.sequence(F.lit(0), F.size(both) - 1), lambda i: (i == 0) | ~F.coalesce(same(F.get(both, i - 1), F.get(both, i)), F.lit(False)))
+
+        def run(starts: Column, at: Column, i: Column) -> Column:
+            members = F.slice(both, at + 1, F.coalesce(F.get(starts, i + 1), F.size(both)) - at)
+            head = F.get(both, at)
+            gold_text = F.when(head["side"] == 0, F.struct(head["text"].alias("text")))
+            return F.transform(F.filter(members, lambda m: m["side"] == 1), lambda m: F.struct(m.alias("p"), gold_text.alias("g")))
+
+        return bind(firsts, lambda starts: F.flatten(F.transform(starts, lambda at, i: run(starts, at, i))))
+
+    both = F.array_sort(F.concat(side(gold, 0), side(pred, 1)))
+    staged = once(df.select(id_col, gold, pred), _b=both).filter(F.size("_b") > 0)
+    rows = once(staged.select(id_col, "_b"), _m=paired(F.col("_b"))).select(id_col, F.explode("_m").alias("m"))
+    return rows.select(
+        (F.col(id_col) + 1).alias("RowId"), F.col("m.p.label").alias("Label"), F.coalesce("m.g.text", F.lit("")).alias("Entidade_Referencia"),
+        F.col("m.p.text").alias("Entidade_Predita"), F.col("m.p.start").alias("Start"), F.col("m.p.end").alias("End"),
+        F.coalesce("m.p.score", F.lit(1.0)).alias("Score"), F.col("m.g").isNotNull().cast("int").alias("Validacao"))
+
+
 def scored_entities(df: DataFrame, score_field: str = "score", labels: Sequence[str] | None = LABELS,
                     id_col: str = "row_idx", entities: str = "entities") -> DataFrame:
     """Long (id, ent_idx, label, score clipped) of entities with a parsable score and an allowed label."""
@@ -122,7 +152,7 @@ def fit_temperature(df: DataFrame, t_min: float = T_MIN, t_max: float = T_MAX, s
 
 def fit_temperature_per_class(df: DataFrame, t_min: float = T_MIN, t_max: float = T_MAX, size: int = GRID,
                               fallback: bool = True) -> DataFrame:
-    """(label, temperature, fit_loss, support, source) per label.
+    """(label, temperature, fit_loss, support, overall, source) per label; ``overall`` is the global temperature.
 
     A label with one target class takes the global temperature (``global-fallback``), or none at all
     (``identity``) when there is no global one or ``fallback`` is off.  The global sums are the label sums
@@ -132,10 +162,10 @@ def fit_temperature_per_class(df: DataFrame, t_min: float = T_MIN, t_max: float
     overall = _best(losses.groupBy("idx", "t").agg(*[F.sum(c).alias(c) for c in ("loss_sum", "n", "positives")]), [])
     own = _best(losses, ["label"]).drop("support")
     support = losses.groupBy("label").agg(F.max("n").alias("support"))
-    joined = support.join(own, "label", "left").withColumn("_g", overall.select("temperature").scalar() if fallback
+    joined = lookup_join(support, own, ["label"], null_safe=True).withColumn("_g", overall.select("temperature").scalar() if fallback
                                                            else F.lit(None).cast("double"))
     return joined.select(
-        "label", F.coalesce("temperature", "_g").alias("temperature"), "fit_loss", "support",
+        "label", F.coalesce("temperature", "_g").alias("temperature"), "fit_loss", "support", F.col("_g").alias("overall"),
         F.when(F.col("temperature").isNotNull(), "per-class").when(F.col("_g").isNotNull(), "global-fallback")
         .otherwise("identity").alias("source"))
 
@@ -164,22 +194,18 @@ def fit_isotonic(df: DataFrame) -> DataFrame:
 
 
 def interpolate(score: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
-    """Linear interpolation between knots, flat outside."""
-    if len(xs) > MAX_PLAN_KNOTS:
-        kx, ky = np.asarray(xs), np.asarray(ys)
+    """Linear interpolation between knots, flat outside; NULL for NULL and NaN.
 
-        @F.pandas_udf("double")
-        def interp(s: pd.Series) -> pd.Series:
-            return pd.Series(np.interp(s.to_numpy(dtype="float64", na_value=np.nan), kx, ky)).where(s.notna().to_numpy())
-
-        return interp(score)
-    knots_x, knots_y = (F.array(*[F.lit(float(v)) for v in vals]) for vals in (xs, ys))
+    The knots are two literals of the plan, folded from text when it is made; their number grows about with the cube
+    root of the scores.
+    """
+    knots_x, knots_y = (F.split(F.lit(",".join(repr(float(v)) for v in vals)), ",").cast("array<double>") for vals in (xs, ys))
 
     def body(s: Column) -> Column:
         return bind(F.struct(knots_x.alias("x"), knots_y.alias("y")), lambda k: bind(
             sorted_rank(k["x"], block_heads(k["x"]), s, inclusive=True), lambda n: _segment(s, k["x"], k["y"], n, len(xs))))
 
-    return F.when(score.isNotNull(), bind(score, body))
+    return F.when(score.isNotNull() & ~F.isnan(score), bind(score, body))
 
 
 def _segment(s: Column, xs: Column, ys: Column, n: Column, size: int) -> Column:
@@ -248,10 +274,9 @@ def fit_calibrator(df: DataFrame, method: str = "temperature", fallback: bool =
         return Calibrator(method, temperature=row.temperature)
     if method == "temperature-per-class":
         rows = fit_temperature_per_class(df, fallback=fallback, **grid).collect()
-        top = fit_temperature(df, **grid).head() if fallback else None
         return Calibrator(method, per_class={
             r.label: {"temperature": r.temperature, "fit_loss": r.fit_loss, "support": r.support, "source": r.source}
-            for r in rows}, fallback=top.temperature if top else None)
+            for r in rows}, fallback=rows[0].overall if rows else None)
     if method == "isotonic":
         rows = fit_isotonic(df).orderBy("x").collect()
         return Calibrator(method, knots=(tuple(r.x for r in rows), tuple(r.y for r in rows)))
@@ -363,10 +388,15 @@ def auc(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 def _measures(df: DataFrame, groups: Sequence[str], bins: int) -> DataFrame:
     """(groups, rows, positive_rate, brier, nll, ece, mce) of score against target."""
-    base = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("target").alias("positive_rate"),
-        brier(F.col("score"), F.col("target")).alias("brier"), nll(F.col("score"), F.col("target")).alias("nll"))
-    return base.join(ece_mce(_binned(df, groups, bins), groups), list(groups))
+    score, target, n = F.col("score"), F.col("target"), F.sum("_n")
+    # One pass: every measure is a sum over the bins.
+    per = df.groupBy(*groups, bin_number(score, bins).alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("score").alias("_s"), F.sum("target").alias("_t"),
+        (brier(score, target) * F.count(F.lit(1))).alias("_b"), (nll(score, target) * F.count(F.lit(1))).alias("_l"))
+    per = per.withColumn("_gap", F.abs(F.col("_t") - F.col("_s")) / F.col("_n"))
+    return per.groupBy(*groups).agg(
+        n.alias("rows"), (F.sum("_t") / n).alias("positive_rate"), (F.sum("_b") / n).alias("brier"), (F.sum("_l") / n).alias("nll"),
+        (F.sum(F.col("_gap") * F.col("_n")) / n).alias("ece"), F.max("_gap").alias("mce"))
 
 
 def _unpivoted(df: DataFrame, keep: Sequence[str], columns: dict[str, str], name: str) -> DataFrame:
@@ -406,7 +436,7 @@ def audit_by_label(df: DataFrame, threshold: float = 0.8, calibrator: Calibrator
     quart = group_quantiles(long, groups, "score", [0.25, 0.5, 0.75])
     wide = quart.groupBy(*groups).agg(*[
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    return base.join(wide, groups).withColumn("threshold", F.lit(float(threshold)))
+    return lookup_join(base, wide, groups, "inner", null_safe=True).withColumn("threshold", F.lit(float(threshold)))
 
 
 # --------------------------------------------------------------------------- cross-validation

@@ -253,7 +253,7 @@ def span_surfaces(df: DataFrame, column: str, text: str = "text", id_col: str =
 def mark_seen(spans: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Adds ``seen``: does (label, surface) occur in training?  A frequent surface is no hot key (see lookup_join)."""
     known = surfaces.select("label", "surface", F.lit(True).alias("seen"))
-    return lookup_join(spans, known, ["label", "surface"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    return lookup_join(spans, known, ["label", "surface"], "left", salts=16).withColumn("seen", F.coalesce("seen", F.lit(False)))
 
 
 def seen_unseen_f1(gold: DataFrame, pred: DataFrame, surfaces: DataFrame, id_col: str = "row_idx") -> DataFrame:

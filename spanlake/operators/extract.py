@@ -23,9 +23,6 @@ from spanlake.operators.ordering import lookup_join
 from spanlake.operators.staging import once
 from spanlake.schema import LABELS
 
-#: Largest chunk budget matched by one regular expression.
-MAX_CHUNK_PATTERN = 512
-
 
 # --------------------------------------------------------------------------- chunks
 def chunk_budget(max_tokens: int, *limits: int, reserved: int = 0) -> int:
@@ -37,27 +34,13 @@ def chunk_budget(max_tokens: int, *limits: int, reserved: int = 0) -> int:
 def chunk_text(text: Column, max_tokens: int, reserved: int = 0) -> Column:
     """array<struct<text, start>>: consecutive chunks of at most the budget in white-space tokens.
 
-    A chunk is one match of "token, then up to budget - 1 times space and token", so the work per token is native.
-    Very large budgets would make the matcher recurse deeply and take the token list instead.
+    A chunk is one match of "token, then up to budget - 1 times space and token", so the work per token is native.  All
+    quantifiers are possessive: the matcher counts the repetitions in a loop, whatever the budget, and never goes back.
     """
     budget = chunk_budget(max_tokens, reserved=reserved)
-    if budget <= MAX_CHUNK_PATTERN:
-        pattern = rf"[^{_SPACE}]++(?:[{_SPACE}]++[^{_SPACE}]++){{0,{budget - 1}}}"
-        found = F.when(text.isNotNull(), regex_matches(text, pattern)).otherwise(F.array().cast(MATCHES))
-        return F.transform(found, lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start")))
-
-    def body(tokens: Column) -> Column:
-        firsts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(budget))).otherwise(
-            F.array().cast("array<int>"))
-
-        def one(i: Column) -> Column:
-            start = F.get(tokens, i)["start"]
-            end = F.get(tokens, F.least(i + budget, F.size(tokens)) - 1)["end"]
-            return F.struct(F.substring(text, start + 1, end - start).alias("text"), start.alias("start"))
-
-        return F.transform(firsts, one)
-
-    return bind(tokenize_with_spans(text), body)
+    pattern = rf"[^{_SPACE}]++(?:[{_SPACE}]++[^{_SPACE}]++){{0,{budget - 1}}}+"
+    found = F.when(text.isNotNull(), regex_matches(text, pattern)).otherwise(F.array().cast(MATCHES))
+    return F.transform(found, lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start")))
 
 
 def locate_chunks(text: Column, parts: Column) -> Column:
@@ -103,7 +86,7 @@ def dedupe_entities(entities: Column) -> Column:
 def extract_entities(df: DataFrame, load: Callable[[], Tagger], labels: Sequence[str] = LABELS, text: str = "text",
                      threshold: float = 0.0, batch_size: int = 4, max_tokens: int = 384, reserved: int = 0,
                      check_text: bool = True) -> DataFrame:
-    """Run a tagger over the chunks of every record; adds ``entities`` and ``tagger_ok``.
+    """Run a tagger over the chunks of every record; adds ``entities``, ``tagger_ok`` and ``tagger_error`` (its text, or NULL).
 
     Only the chunk texts go through Arrow.  Cleaning, thresholding, shifting to record offsets and
     deduplication are native.
@@ -122,7 +105,18 @@ def extract_entities(df: DataFrame, load: Callable[[], Tagger], labels: Sequence
         (e["start"] + e["shift"]).alias("start"), (e["end"] + e["shift"]).alias("end"), e["label"].alias("label"),
         e["text"].alias("text"), e["score"].alias("score")))
     return (once(staged, entities=dedupe_entities(shifted))
-            .withColumn("tagger_ok", F.col("_t.ok")).drop("_chunks", "_t"))
+            .withColumns({"tagger_ok": F.col("_t.ok"), "tagger_error": F.col("_t.error")}).drop("_chunks", "_t"))
+
+
+def tagging_stats(df: DataFrame) -> DataFrame:
+    """One row: records seen, tagged and failed, records with an entity, entities, and the most frequent error."""
+    errors = df.filter(~F.col("tagger_ok")).groupBy("tagger_error").agg(F.count(F.lit(1)).alias("n"))
+    common = errors.agg(F.max_by("tagger_error", F.struct("n", "tagger_error"))).scalar()
+    ok = F.coalesce(F.col("tagger_ok"), F.lit(False))
+    return df.agg(
+        F.count(F.lit(1)).alias("samples"), F.count_if(ok).alias("processed"), F.count_if(~ok).alias("failed"),
+        F.count_if(F.size("entities") > 0).alias("with_entities"), F.coalesce(F.sum(F.size("entities")), F.lit(0)).alias("entities")
+    ).withColumn("common_error", common)
 
 
 def regex_tagger(text: Column, patterns: Mapping[str, str], score: float = 1.0) -> Column:

@@ -98,7 +98,7 @@ def drop_seen_in(test: DataFrame, train: DataFrame, ignore: Sequence[str] = ("ro
     mine = test.select(row_digest(test, ignore).alias("_d"), F.lit(0).alias("_train"), F.lit(1).alias("_test"))
     shared = seen.unionByName(mine).groupBy("_d").agg(F.max("_train").alias("a"), F.max("_test").alias("b")).filter("a = 1 and b = 1")
     from spanlake.operators.ordering import lookup_join
-    marked = lookup_join(test.select(*ids, row_digest(test, ignore).alias("_d")), shared.select("_d", F.lit(True).alias("_hit")), ["_d"])
+    marked = lookup_join(test.select(*ids, row_digest(test, ignore).alias("_d")), shared.select("_d", F.lit(True).alias("_hit")), ["_d"], salts=16)
     clean = marked.filter(F.col("_hit").isNull()).select(*ids)
     return test.join(clean, ids, "left_semi")
 

@@ -38,23 +38,27 @@ def with_hash_position(df: DataFrame, ids: Sequence[str], seed: int | str = 42,
                        groups: Sequence[str] = (), name: str = "pos", total: str | None = None) -> DataFrame:
     """Number the rows 0.. in seeded-hash order, within each value of ``groups``.
 
-    ``ids`` must identify a row and ``groups`` must not be NULL.  A group that holds most of the rows is still ranked by
+    ``ids`` must identify a row; NULL groups are groups like any other.  A group that holds most of the rows is still ranked by
     65536 tasks, because the window is partitioned by group *and* hash bucket.
     """
     rows = df.withColumn("_d", digest(seed, *[F.col(c) for c in ids])) \
              .withColumn("_b", F.substring("_d", 1, BUCKET_DIGITS))
-    hist = _histogram(rows.select("_d", *groups), groups).drop("n")
-    w = W.partitionBy(*groups, "_b").orderBy("_d", *ids)
-    ranked = rows.withColumn("_r", F.row_number().over(w) - 1)
-    keys = [*groups, "_b"]
+    hist = _histogram(rows.select("_d", *groups), groups).select(_packed(groups), "_b", "before", F.col("total").alias("_total"))
+    keys = ["_g", "_b"]
+    ranked = rows.withColumn("_g", _packed(groups)).withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("_d", *ids)) - 1)
     # One histogram row per (group, bucket); the large side already sits in the window's
     # partitioning, so it is not shuffled again.
     out = ranked.join(hist, keys).withColumn(name, F.col("before") + F.col("_r"))
     if total:
-        out = out.withColumn(total, F.col("total"))
+        out = out.withColumn(total, F.col("_total"))
     return out.select(*df.columns, name, *([total] if total else []))
 
 
+def _packed(groups: Sequence[str]) -> Column:
+    """The groups as one join key ``_g``: inside a struct NULL equals NULL, so no group is lost in a join."""
+    return F.struct(*[F.col(g) for g in groups], F.lit(0).alias("_")).alias("_g")
+
+
 def hash_threshold(df: DataFrame, ids: Sequence[str], target: Callable[[Column], Column],
                    seed: int | str = 42) -> Column:
     """The digest of the ``target(row count)``-th row in hash order, as a scalar subquery.
@@ -104,7 +108,7 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
 def running_totals(counts: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """Add ``<s>_before`` and ``<s>_total`` for each column in ``sums``, per group in value order.
 
-    Group columns must not be NULL.  ``counts`` holds one row per (groups, value): hot values were already added up, so the range
+    ``counts`` holds one row per (groups, value), NULL groups included: hot values were already added up, so the range
     partitions are even.  Totals per (group, partition) are at most #groups x #partitions rows.
     """
     order = [*[F.col(g) for g in groups], F.col(value)]
@@ -113,13 +117,14 @@ def running_totals(counts: DataFrame, groups: Sequence[str], value: str, sums: S
     base = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     before = base.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     offsets = per.select(
-        *groups, "_p",
+        _packed(groups), "_p",
         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(base).alias(f"{s}_total") for s in sums])
-    inside = W.partitionBy(*groups, "_p").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_g", _packed(groups))
+    inside = W.partitionBy("_g", "_p").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     for s in sums:
         parts = parts.withColumn(f"_r_{s}", F.coalesce(F.sum(s).over(inside), F.lit(0)))
-    out = parts.join(offsets, [*groups, "_p"])
+    out = parts.join(offsets, ["_g", "_p"])
     return out.select(*counts.columns,
                       *[(F.col(f"_o_{s}") + F.col(f"_r_{s}")).alias(f"{s}_before") for s in sums],
                       *[f"{s}_total" for s in sums])
@@ -178,22 +183,22 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return ordered.limit(n) if n > 0 else ordered
 
 
-# --------------------------------------------------------------------------- joins with a small or hot side
-def bounded_rows(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than needed to tell."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
-                broadcast_rows: int = 200_000, salts: int = 16) -> DataFrame:
+# --------------------------------------------------------------------------- joins with a lookup table
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", salts: int = 0, null_safe: bool = False) -> DataFrame:
     """Join with a lookup table that has one row per key.
 
-    The size of ``small`` is checked: up to ``broadcast_rows`` it is broadcast.  Beyond that it is
-    replicated ``salts`` times and both sides are hashed on (key, salt), which spreads a hot key.
+    Without ``salts`` Spark chooses: it broadcasts ``small`` by the size of its files or, at run time, of its shuffle, and splits
+    the partition of a hot key otherwise.  With ``salts`` the lookup rows are repeated that often and both sides are
+    hashed on (key, salt), for a ``small`` that is made by an aggregation and a key that holds much of ``big``.
+    ``null_safe`` lets NULL keys meet.
     """
-    if bounded_rows(small, broadcast_rows):
-        return big.join(F.broadcast(small), list(on), how)
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hashable = [c for c, t in big.dtypes if "map<" not in t and "variant" not in t]
-    rows = big.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
-    return rows.join(spread, [*on, "_salt"], how).drop("_salt")
+    keys = list(on)
+    if null_safe:
+        packed = F.struct(*keys, F.lit(0).alias("_"))
+        big, small, keys = big.withColumn("_key", packed), small.withColumn("_key", packed).drop(*on), ["_key"]
+    if salts:
+        small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hashable = [c for c, t in big.dtypes if "map<" not in t and "variant" not in t]
+        big = big.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
+        keys.append("_salt")
+    return big.join(small, keys, how).drop("_salt", "_key")

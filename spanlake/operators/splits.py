@@ -148,7 +148,7 @@ def calibration_split(df: DataFrame, ratio: float = 0.5, seed: int = 42, mode: s
     by_rest = every.orderBy((F.col("_exact") - F.col("_base")).desc(), F.col("_n").desc(), "_stratum")
     quota = share.withColumn("_left", left).withColumn("_quota", F.col("_base") + (F.row_number().over(by_rest) <= F.col("_left")).cast("int"))
     placed = with_hash_position(rows, [id_col], seed, ["_stratum"], "_pos")
-    joined = lookup_join(placed, quota.select("_stratum", "_quota"), ["_stratum"])
+    joined = lookup_join(placed, quota.select("_stratum", "_quota"), ["_stratum"], salts=16)
     return joined.withColumn(name, F.when(F.col("_pos") < F.col("_quota"), "calibration").otherwise("final_test")) \
         .drop("_stratum", "_pos", "_quota")
 
@@ -161,8 +161,9 @@ def group_profiles(df: DataFrame, group: str, labels: str = "labels") -> DataFra
     """
     examples = df.groupBy(group).agg(F.count(F.lit(1)).alias("examples"))
     per = df.select(group, F.explode(labels).alias("label")).groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("label", F.coalesce("label", F.lit(NO_LABEL)))
     maps = per.groupBy(group).agg(F.sum("n").alias("spans"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("counts"))
-    return examples.join(maps, group, "left").select(
+    return lookup_join(examples, maps, [group], null_safe=True).select(
         group, "examples", F.coalesce("spans", F.lit(0)).alias("spans"),
         F.coalesce("counts", F.create_map().cast("map<string,bigint>")).alias("counts"))
 
@@ -203,8 +204,13 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, labels: s
 
 
 def assign_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
-    """Records with their ``fold``.  A large fold table is joined on salted keys, so a hot group spreads."""
-    return lookup_join(df, folds.select(group, "fold"), [group], "inner")
+    """Records with their ``fold``; records without a group share the fold of the NULL group.
+
+    Salted keys spread a hot group.  A group that has no fold raises: no record is lost.
+    """
+    placed = lookup_join(df, folds.select(group, F.col("fold").alias("_fold")), [group], "left", salts=16, null_safe=True)
+    missing = F.raise_error(F.concat(F.lit("no fold for group "), F.coalesce(F.col(group).cast("string"), F.lit("NULL")))).cast("int")
+    return placed.withColumn("fold", F.coalesce("_fold", missing)).drop("_fold")
 
 
 def fold_report(folds: DataFrame) -> DataFrame:
@@ -247,15 +253,20 @@ def fold_pairs(df: DataFrame, k: int) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- sampling weights, batches
+#: Stands for a missing label as a map key, which can't be NULL.
+NO_LABEL = "\u0000"
+
+
 def sampling_weights(df: DataFrame, labels: str = "labels", name: str = "weight") -> DataFrame:
     """Per record the sum of 1 / (span count of label) over its distinct labels; 1.0 without labels.
 
     The label totals are one row per label, read as a map in a scalar subquery: no join, no shuffle of records.
     """
-    totals = df.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    named = F.transform(labels, lambda x: F.coalesce(x, F.lit(NO_LABEL)))  # a missing label counts like any other
+    totals = df.select(F.explode(named).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     table = totals.agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m")).scalar()
     staged = df.withColumn("_m", table)
-    total = F.aggregate(F.array_sort(F.array_distinct(labels)), F.lit(0.0), lambda a, x: a + 1.0 / F.element_at(F.col("_m"), x))
+    total = F.aggregate(F.array_sort(F.array_distinct(named)), F.lit(0.0), lambda a, x: a + 1.0 / F.element_at(F.col("_m"), x))
     value = F.when(F.coalesce(F.size(labels), F.lit(0)) > 0, F.greatest(total, F.lit(1e-8))).otherwise(1.0)
     return staged.withColumn(name, value).drop("_m")
 

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.udfs import Tagger
 from spanlake.operators.boost import BoostConfig, context_boost, context_boost_details, context_boost_stats
-from spanlake.operators.calibrate import Calibrator, apply_calibrator
-from spanlake.operators.extract import extract_entities
+from spanlake.operators.calibrate import Calibrator, apply_calibrator, fit_calibrator, pseudo_targets, scored_entities
+from spanlake.operators.extract import extract_entities, tagging_stats
 from spanlake.operators.fields import project_fields
 from spanlake.operators.filters import drop_reasons
 from spanlake.operators.ordering import keep_first
 from spanlake.operators.score import EntityGate, record_score, record_score_stats, split_records, split_summary
 from spanlake.schema import INFERENCE_FIELDS, LABELS
 from spanlake.functions.text import inference_text
+from spanlake.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -100,3 +101,44 @@ def prepare_next_iteration(discarded: DataFrame, keep: Sequence[str], required:
     counts = counts.withColumn("dropped_duplicate", F.col("input_rows") - F.col("dropped_missing_required")
                                - F.col("dropped_empty_relato") - F.col("output_rows"))
     return NextInput(records, counts)
+
+
+class CycleRun(NamedTuple):
+    records: DataFrame
+    next_input: DataFrame
+    stages: DataFrame
+    calibrator: Calibrator | None
+
+
+def run_cycle(df: DataFrame, cfg: CycleConfig, tagger: Callable[[], Tagger], keep: Sequence[str], labels: Sequence[str] = LABELS,
+              text_fields: Sequence[str] = INFERENCE_FIELDS, calibrate: str | None = "temperature", target_threshold: float = 0.5,
+              dedupe_on: Sequence[str] = ("relato",), required: Sequence[str] = ("relato",), id_col: str = "row_idx",
+              threshold: float = 0.0, max_tokens: int = 384, batch_size: int = 4) -> CycleRun:
+    """One cycle from raw records to the next cycle's input: tag, calibrate, boost, score, split, prepare.
+
+    The tagged records are written to the shared folder: the calibrator's fit and the scoring read them, and
+    the user's tagger runs once.  ``stages`` has a row per stage (stage, samples, processed, failed, entities, error).
+    """
+    there = [f for f in text_fields if f in df.columns]
+    staged = df.withColumn("_inference", inference_text(there))
+    tagged = extract_entities(staged, tagger, labels, "_inference", threshold, batch_size, max_tokens).drop("_inference")
+    tagged = _written(tagged, "tagged")
+    calibrator = cfg.calibrator
+    if calibrate and calibrator is None:
+        fit_on = pseudo_targets(scored_entities(tagged, "score", labels, id_col), threshold=target_threshold)
+        calibrator = fit_calibrator(fit_on, calibrate, fallback=False)
+    records = _written(score_and_split(tagged, replace(cfg, calibrator=calibrator)), "scored")
+    following = prepare_next_iteration(records.filter("decision = 'discarded'"), keep, required, dedupe_on, drop_empty=required, id_col=id_col)
+    none = F.lit(None).cast("string")
+    count = lambda name, frame, error: frame.agg(F.count(F.lit(1)).alias("samples")).select(
+        F.lit(name).alias("stage"), "samples", F.col("samples").alias("processed"), F.lit(0).cast("long").alias("failed"), F.lit(None).cast("long").alias("entities"), error.alias("error"))
+    tag = tagging_stats(tagged).select(F.lit("tag").alias("stage"), "samples", "processed", "failed", "entities", F.col("common_error").alias("error"))
+    stages = tag.unionByName(count("kept", records.filter("decision = 'kept'"), none)) \
+        .unionByName(count("discarded", records.filter("decision = 'discarded'"), none)).unionByName(count("next", following.records, none))
+    return CycleRun(records, following.records, stages, calibrator)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"cycle-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ def evaluate_predictions(gold: DataFrame, pred: DataFrame, labels: Sequence[str]
 def chunk_quality(spark: SparkSession, root: str, run_names: Sequence[str] | None = None, strong: float = 0.8, weak: float = 0.5) -> DataFrame:
     """Chunk runs with their summaries, kept-record quality, top label and flags."""
     runs = read_chunk_runs(spark, root, run_names)
-    kept = read_kept_rows(spark, root).withColumn("row_idx", F.monotonically_increasing_id())
+    kept = read_kept_rows(spark, root)
     quality = kept_quality(kept, strong, weak, ["run_name"])
     best = top_label(kept, ["run_name"])
     return quality_flags(runs.join(quality, "run_name", "left").join(best, "run_name", "left"))

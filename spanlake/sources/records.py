@@ -10,58 +10,81 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.functions.text import not_blank
+from spanlake.operators.staging import once
 from spanlake.schema import SPAN_ARRAY
 
 LINES, DOCUMENT, AUTO = "lines", "document", "auto"
 
 
 # --------------------------------------------------------------------------- layout and order
-def detect_layout(spark: SparkSession, path: str | Sequence[str]) -> str:
-    """``lines`` when the first non-blank line is a complete JSON object, else ``document``.
-
-    Reads only until the first non-blank line; a path is expected to hold one layout.
-    """
-    head = (spark.read.text(path).filter(not_blank(F.col("value")))
-            .select(F.trim("value").alias("v"),
-                    F.expr("try_parse_json(value)").isNotNull().alias("complete")).head())
-    if head is None or (head.v.startswith("{") and head.complete):
-        return LINES
-    if head.v[:1] in ("[", "{"):
-        return DOCUMENT
-    return LINES
-
-
 def with_row_idx(lines: DataFrame, name: str = "row_idx") -> DataFrame:
     """0-based input position for rows read from files (``_file``, ``_block`` columns present).
 
     Spark packs file splits by size, so ``monotonically_increasing_id`` alone is not input
     order.  Inside one split it is gapless: position = id - first id of the split + rows
-    of all earlier splits.  Two parallel passes, no sort; the split table has one row per input split.
+    of all earlier splits.  Two parallel passes, no sort.
     """
     rows = lines.withColumn("_mid", F.monotonically_increasing_id())
     splits = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    placed = _placed(rows, splits, F.col("_mid") - F.col("_first"), name)
+    return placed.drop("_mid", "_first")
+
+
+def _placed(rows: DataFrame, splits: DataFrame, inside: Column, name: str) -> DataFrame:
+    """Position ``inside`` a split after the rows of all splits before it.
+
+    ``splits`` has one row per input split, fewer than the file listing that Spark keeps on the driver to read
+    the path at all, so it is broadcast whatever its size.
+    """
     run = W.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
-    n_splits = lines.rdd.getNumPartitions() + len(lines.inputFiles())
-    if n_splits <= 500_000:  # about 100 bytes a row: a checked bound for the broadcast
-        offsets = F.broadcast(offsets)
-    return (rows.join(offsets, ["_file", "_block"])
-            .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
-            .drop("_mid", "_off", "_first"))
+    return rows.join(F.broadcast(offsets), ["_file", "_block"]).withColumn(name, F.col("_off") + inside).drop("_off")
 
 
-def _text_lines(spark: SparkSession, paths: str | Sequence[str], skip_blank: bool = True) -> DataFrame:
-    raw = spark.read.text(paths).select(
+def _raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    return spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def _text_lines(spark: SparkSession, paths: str | Sequence[str], skip_blank: bool = True) -> DataFrame:
+    raw = _raw_lines(spark, paths)
     return with_row_idx(raw.filter(not_blank(F.col("value"))) if skip_blank else raw, "_line")
 
 
-def _documents(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None) -> DataFrame:
-    """Array or single-object files; a file of this layout cannot be split, so it is one task's work."""
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    rows = (reader.schema(schema) if schema else reader).json(paths)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_block"))
-    return with_row_idx(rows).drop("_block")
+def file_layouts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, layout) of every file that has a line: ``lines`` or ``document``, each file by itself.
+
+    A file whose first non-blank line starts an array, or an object that does not end there, can only be one document;
+    any other file is read line by line.  Whatever does not fit its layout is an error when it is read, so a wrong
+    guess never drops a record.
+    """
+    lines = _raw_lines(spark, paths).filter(not_blank(F.col("value"))).withColumn("_mid", F.monotonically_increasing_id())
+    first = lines.groupBy("_file").agg(F.min_by(F.trim("value"), F.struct("_block", "_mid")).alias("v"))
+    whole = F.col("v").startswith("[") | (F.col("v").startswith("{") & ~_one_value(F.col("v")))
+    return first.select(F.col("_file").alias("file"), F.when(whole, DOCUMENT).otherwise(LINES).alias("layout"))
+
+
+def _one_value(text: Column) -> Column:
+    """Is the text exactly one JSON value?  The JSON functions stop after a first value; between brackets, what follows it
+    makes the text invalid or a longer array."""
+    boxed = F.concat(F.lit("["), text, F.lit("]"))
+    return F.coalesce((F.json_array_length(boxed) == 1) & F.try_parse_json(boxed).isNotNull(), F.lit(False))
+
+
+def _document_items(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
+    """Items of files that hold one JSON array or object; anything before, between or after it is an error.
+
+    A file of this layout cannot be split, so it is one task's work.
+    """
+    whole = spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    whole = whole.filter(not_blank(F.col("value")))
+    problem = F.concat(F.lit("not one JSON array or object of records: "), F.col("_file"))
+    array = F.ltrim(F.regexp_replace("value", "^[\\s\ufeff]+", "")).startswith("[")
+    items = F.when(array, F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+    checked = F.when(_one_value(F.col("value")), items).otherwise(F.raise_error(problem).cast("string"))
+    raw = F.from_json(checked, T.ArrayType(T.StringType()))
+    rows = once(whole.select("_file", raw.alias("_items")), _all=F.col("_items")).select("_file", F.posexplode("_all").alias("_pos", "value"))
+    return rows.withColumn("_block", F.lit(0).cast("long"))
 
 
 def _inferred(spark: SparkSession, paths: str | Sequence[str]) -> T.StructType:
@@ -69,48 +92,91 @@ def _inferred(spark: SparkSession, paths: str | Sequence[str]) -> T.StructType:
     return T.StructType([f for f in found.fields if f.name != "_corrupt_record"])
 
 
+def _merged(schemas: Sequence[T.StructType]) -> T.StructType:
+    """All fields by name; the first one's type counts."""
+    known: dict[str, T.StructField] = {}
+    for schema in schemas:
+        for f in schema.fields:
+            known.setdefault(f.name, f)
+    return T.StructType(list(known.values()))
+
+
+def _records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None, layout: str) -> tuple[DataFrame, T.StructType]:
+    """(_file, row_idx, value) with one JSON object per row, and its schema."""
+    documents: list[str] = []
+    if layout != LINES:
+        # Names of the unsplittable files: part of the listing that the driver holds anyway.
+        found = file_layouts(spark, path)
+        documents = [r.file for r in (found.filter(F.col("layout") == DOCUMENT) if layout == AUTO else found).select("file").collect()]
+    if schema is None:
+        parts = [_inferred(spark, path)] if not documents else []
+        if documents:
+            parts = [T.StructType([f for f in spark.read.option("multiLine", True).json(documents).schema.fields if f.name != "_corrupt_record"])]
+            parts += [_inferred(spark, path)] if layout == AUTO else []
+        schema = _merged(parts)
+    if not documents:
+        return _text_lines(spark, path).withColumnRenamed("_line", "row_idx").drop("_block"), schema
+    items = _document_items(spark, documents, schema)
+    sizes = items.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.lit(0).cast("long").alias("_first"))
+    rows = items.select("_file", "_block", "value", F.col("_pos").cast("long").alias("_mid"))
+    if layout == AUTO:
+        names = spark.createDataFrame([(f,) for f in documents], "_file string")
+        lines = _raw_lines(spark, path).filter(not_blank(F.col("value"))).withColumn("_mid", F.monotonically_increasing_id())
+        lines = lines.join(F.broadcast(names), "_file", "left_anti")  # those names, back from the driver
+        rows = rows.unionByName(lines)
+        sizes = sizes.unionByName(lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
+    placed = _placed(rows, sizes, F.col("_mid") - F.col("_first"), "row_idx")
+    return placed.select("_file", "row_idx", "value"), schema
+
+
+def _parsed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """``r``: the parsed record; a row that is no JSON object raises."""
+    bad = T.StructField("_bad", T.StringType())
+    parsed = rows.withColumn("r", F.from_json("value", T.StructType([*schema.fields, bad]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    alone = F.json_array_length(F.concat(F.lit("["), F.col("value"), F.lit("]"))) == 1
+    wrong = F.col("r").isNull() | F.col("r._bad").isNotNull() | ~F.ltrim("value").startswith("{") | ~F.coalesce(alone, F.lit(False))
+    message = F.concat(F.lit("invalid JSON in row "), (F.col("row_idx") + 1).cast("string"), F.lit(" of "), F.col("_file"))
+    return parsed.withColumn("r", F.when(wrong, F.raise_error(message)).otherwise(F.col("r")))
+
+
 # --------------------------------------------------------------------------- readers
 def read_records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
                  layout: str = AUTO, keep_raw: bool = False) -> DataFrame:
-    """JSON lines, a JSON array or a single JSON object as rows with ``row_idx``.
+    """JSON lines, JSON arrays and single JSON objects as rows with ``row_idx``; the files of a path may differ.
 
     Blank lines are skipped.  Without ``schema`` one extra pass infers it; give it for large
-    inputs.  ``keep_raw`` adds the source line as ``_raw`` (lines layout), which is what tells an absent
-    key from a null one later.  A line that is no JSON object raises.
+    inputs, and ``layout="lines"`` where all files are, which saves the pass that finds the layouts.  ``keep_raw`` adds the
+    record's JSON as ``_raw``, which tells an absent key from a null one later.  A line that is no
+    JSON object, and a document file with anything but one array or object, raise.
     """
-    layout = detect_layout(spark, path) if layout == AUTO else layout
-    if layout == DOCUMENT:
-        return _documents(spark, path, schema).drop("_file")
-    schema = schema or _inferred(spark, path)
-    lines = _text_lines(spark, path)
-    parsed = lines.select(
-        "_line", "value",
-        F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]),
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    checked = parsed.withColumn("r", F.when(
-        F.col("r").isNull() | F.col("r._bad").isNotNull(),
-        F.raise_error(F.concat(F.lit("invalid JSON in row "), (F.col("_line") + 1).cast("string"))))
-        .otherwise(F.col("r")))
-    out = checked.select("_line", *([F.col("value").alias("_raw")] if keep_raw else []),
-                         *[F.col("r")[f.name].alias(f.name) for f in schema.fields])
-    return out.withColumnRenamed("_line", "row_idx")
+    rows, schema = _records(spark, path, schema, layout)
+    checked = _parsed(rows, schema)
+    return checked.select("row_idx", *([F.col("value").alias("_raw")] if keep_raw else []),
+                          *[F.col("r")[f.name].alias(f.name) for f in schema.fields])
 
 
 def bad_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file, line_no, problem) of lines that are not a JSON object; line numbers start at 1 per file."""
     lines = _text_lines(spark, path, skip_blank=False)
     first = lines.groupBy("_file").agg(F.min("_line").alias("_base"))  # one row per file
-    kind = F.when(F.expr("try_parse_json(value)").isNull(), "invalid JSONL") \
-            .when(~F.trim("value").startswith("{"), "not a JSON object")
-    found = lines.withColumn("problem", kind).filter(not_blank(F.col("value")) & F.col("problem").isNotNull())
-    return found.join(first, "_file").select(
+    return _line_problems(lines).join(first, "_file").select(
         F.col("_file").alias("file"), (F.col("_line") - F.col("_base") + 1).alias("line_no"), "problem")
 
 
+def _line_problems(lines: DataFrame) -> DataFrame:
+    kind = F.when(~_one_value(F.col("value")), "invalid JSONL") \
+            .when(~F.trim("value").startswith("{"), "not a JSON object")
+    return lines.withColumn("problem", kind).filter(not_blank(F.col("value")) & F.col("problem").isNotNull())
+
+
 def read_records_strict(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines only; the first bad lines are named in the error."""
-    bad = bad_lines(spark, path).orderBy("file", "line_no").limit(5).collect()
-    if bad:
+    """JSON lines only; the first bad lines are named in the error.
+
+    One check over the lines before any record is returned (a parse to a variant, no numbering); only if it finds
+    something are line numbers worked out.
+    """
+    if not _line_problems(_raw_lines(spark, path)).isEmpty():
+        bad = bad_lines(spark, path).orderBy("file", "line_no").limit(5).collect()
         raise ValueError("; ".join(f"{b.file}: {b.problem} at line {b.line_no}" for b in bad))
     return read_records(spark, path, schema, layout=LINES)
 
@@ -118,14 +184,8 @@ def read_records_strict(spark: SparkSession, path: str | Sequence[str], schema:
 def read_many(spark: SparkSession, pattern: str, schema: T.StructType | None = None,
               layout: str = LINES) -> tuple[DataFrame, DataFrame]:
     """(records with ``file``, per-file counts) over a glob, files in name order."""
-    if layout == DOCUMENT:
-        rows = _documents(spark, pattern, schema).withColumnRenamed("_file", "file")
-    else:
-        schema = schema or _inferred(spark, pattern)
-        lines = _text_lines(spark, pattern)
-        rows = lines.select(F.col("_line").alias("row_idx"), F.col("_file").alias("file"),
-                            F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")) \
-                    .select("row_idx", "file", "r.*")
+    rows, schema = _records(spark, pattern, schema, layout)
+    rows = _parsed(rows, schema).select("row_idx", F.col("_file").alias("file"), *[F.col("r")[f.name].alias(f.name) for f in schema.fields])
     return rows, rows.groupBy("file").agg(F.count(F.lit(1)).alias("input_rows"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.text import clip01, safe_double
 from spanlake.schema import LABELS, SCORE_EPS
+from spanlake.sources.records import with_row_idx
 
 # File and folder names of the run layout.
 NESTED_CV_FILE = "nested_cv_results.json"
@@ -204,7 +205,7 @@ def read_chunk_runs(spark: SparkSession, root: str, run_names: Sequence[str] | N
 
 
 def read_kept_rows(spark: SparkSession, root: str) -> DataFrame:
-    """All kept rows below ``root`` with their run name: ``05_split/kept.jsonl`` files and the
+    """All kept rows below ``root`` with their run name and ``row_idx`` (input order): ``05_split/kept.jsonl`` files and the
     ``05_split/decision=kept`` folders that ``write_kept_discarded`` leaves."""
     entity = ("ARRAY<STRUCT<start: INT, end: INT, label: STRING, text: STRING, score: DOUBLE, score_calibrated: DOUBLE, "
               "score_context_boosted: DOUBLE>>")
@@ -212,9 +213,11 @@ def read_kept_rows(spark: SparkSession, root: str) -> DataFrame:
     patterns = [f"{root.rstrip('/')}/*/05_split/{KEPT_FILE}", f"{root.rstrip('/')}/*/05_split/decision=kept/*.json"]
     there = [p for p in patterns if path_exists(spark, p)]
     if not there:
-        return spark.createDataFrame([], f"{schema}, run_name STRING")
-    return spark.read.schema(schema).json(there).select(
-        "*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/05_split/", 1).alias("run_name"))
+        return spark.createDataFrame([], f"{schema}, run_name STRING, row_idx BIGINT")
+    rows = spark.read.schema(schema).json(there).select(
+        "*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/05_split/", 1).alias("run_name"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return with_row_idx(rows).drop("_file", "_block")
 
 
 def path_exists(spark: SparkSession, pattern: str) -> bool:

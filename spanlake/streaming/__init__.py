@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanlake.functions.text import dedupe_key
-from spanlake.operators.ordering import lookup_join
 from spanlake.plans.cycle import CycleConfig, score_and_split
 from spanlake.sources.tables import path_exists
 
@@ -34,14 +34,19 @@ def accumulate_kept(scored: DataFrame, folder: str, checkpoint: str, text: str =
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.filter(F.col("decision") == "kept").withColumn("_blank", dedupe_key(F.col(text)) == "")
+        kept = batch.filter(F.col("decision") == "kept").persist(StorageLevel.MEMORY_AND_DISK)  # scored once, used below more than once
+        try:
+            _add_kept(spark, kept, batch_id)
+        finally:
+            kept.unpersist()
+
+    def _add_kept(spark, kept: DataFrame, batch_id: int) -> None:
+        rows = kept.withColumn("_blank", dedupe_key(F.col(text)) == "")
         rows = rows.withColumn("text_digest", F.sha2(dedupe_key(F.col(text)), 256))
         firsts = rows.filter(~F.col("_blank")).groupBy("text_digest").agg(F.min(id_col).alias(id_col))
         earlier = _earlier(spark, folder, batch_id)
         if earlier is not None:
-            known = earlier.select("text_digest").distinct()
-            firsts = lookup_join(firsts, known.withColumn("_old", F.lit(True)), ["text_digest"]) \
-                .filter(F.col("_old").isNull())
+            firsts = firsts.join(earlier.select("text_digest"), "text_digest", "left_anti")
         keep = firsts.select(id_col).unionByName(rows.filter("_blank").select(id_col))
         out = rows.join(keep, id_col, "left_semi").drop("_blank")
         out.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
@@ -57,7 +62,16 @@ def _earlier(spark, folder: str, batch_id: int) -> DataFrame | None:
     return spark.read.parquet(folder).filter(F.col("batch_id") < batch_id)
 
 
-def dedupe_stream(scored: DataFrame, text: str = "text") -> DataFrame:
-    """Keep one arriving record per text with stream state (one digest per text) instead of a table."""
+def dedupe_stream(scored: DataFrame, text: str = "text", event_time: str | None = None, within: str = "7 days") -> DataFrame:
+    """Keep one arriving record per text with stream state instead of a table; blank texts all stay.
+
+    The state holds one digest per text for ever.  With ``event_time`` and ``within`` (a watermark delay) it forgets
+    digests older than that, and only copies that arrive within it are recognised.
+    """
     keyed = scored.withColumn("text_digest", F.sha2(dedupe_key(F.col(text)), 256))
-    return keyed.dropDuplicates(["text_digest"])
+    if event_time:
+        keyed = keyed.withWatermark(event_time, within)
+    blank = dedupe_key(F.col(text)) == ""
+    named = keyed.filter(~blank)
+    named = named.dropDuplicatesWithinWatermark(["text_digest"]) if event_time else named.dropDuplicates(["text_digest"])
+    return named.unionByName(keyed.filter(blank))

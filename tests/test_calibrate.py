@@ -72,7 +72,7 @@ def test_isotonic_matches_brute_force(spark, data):
     assert max(abs(want[r.score] - r.v) for r in got) < 1e-9
     probe = spark.createDataFrame([(0.0001,), (0.5005,), (0.99999,), (None,)], "s double").select(c.interpolate(F.col("s"), *cal.knots).alias("v")).collect()
     assert [p.v for p in probe[:3]] == pytest.approx([float(np.interp(x, *cal.knots)) for x in (0.0001, 0.5005, 0.99999)]) and probe[3].v is None
-    xs = list(np.linspace(0, 1, c.MAX_PLAN_KNOTS + 5))
+    xs = list(np.linspace(0, 1, 4101))
     wide = spark.createDataFrame([(0.123456,)], "s double").select(c.interpolate(F.col("s"), xs, [x * x for x in xs]).alias("v")).head().v
     assert wide == pytest.approx(0.123456 ** 2, abs=1e-6)
     with pytest.raises(ValueError):
@@ -173,3 +173,32 @@ def test_calibrate_corpus(spark):
     s = stats.head()
     assert s.fit_rows == 200 and s.brier_after < s.brier_before and set(cal.per_class) == {"Person", "Location"}
     assert out.filter(F.exists("entities", lambda e: e["score_calibrated"].isNull())).count() == 0
+
+
+def test_missing_labels_are_measured(spark):
+    rows = [(i, (i * 37 % 100) / 100 + 0.003, int(i * 37 % 100 > 40 + i % 30), [None, "Person"][i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_idx long, score double, target int, label string")
+    cal = c.Calibrator("temperature", temperature=1.5)
+    measured = c.evaluate_calibrator(df, cal).filter("scope = 'label'").collect()
+    assert {(r.label, r.scores, r.rows) for r in measured} == {(x, s, 100) for x in (None, "Person") for s in ("raw", "calibrated")}
+    mine = [(s, t) for _, s, t, x in rows if x is None]
+    raw = next(r for r in measured if r.label is None and r.scores == "raw")
+    assert raw.brier == pytest.approx(sum((s - t) ** 2 for s, t in mine) / 100)
+    audit = c.audit_by_label(df, 0.8).filter("scope = 'label'").collect()
+    assert sum(r["count"] for r in audit) == 200 and {r.label for r in audit} == {None, "Person"}
+    aucs = {r.label: r.auc for r in c.auc(df, ["label"]).collect()}
+    wins = [(a > b) + (a == b) / 2 for a, t in mine if t for b, u in mine if not u]
+    assert aucs[None] == pytest.approx(sum(wins) / len(wins))
+    fitted = {r.label: r for r in c.fit_temperature_per_class(df).collect()}
+    assert set(fitted) == {None, "Person"} and fitted[None].support == 100
+
+
+def test_pairs_inside_a_record_equal_joined_pairs(spark, make_ent):
+    span = "array<struct<start:int,end:int,label:string,text:string,score:double>>"
+    gold = [(0, 3, "A", "abc", None), (0, 3, "A", "abb", None), (4, 5, "B", "x", None)]
+    pred = [(0, 3, "A", "p1", 0.5), (0, 3, "A", "p2", None), (4, 5, "A", "p3", 0.1), (7, 9, "B", "p4", 0.2)]
+    df = spark.createDataFrame([(0, gold, pred), (1, [], pred), (2, gold, []), (3, None, pred[:1]), (4, gold, None)], f"row_idx long, gold {span}, pred {span}")
+    long = lambda c_: df.select("row_idx", F.explode(c_).alias("e")).select("row_idx", "e.*")
+    inside = sorted(map(tuple, c.calibration_pairs_in_records(df).collect()))
+    assert inside == sorted(map(tuple, c.calibration_pairs(long("pred"), long("gold")).collect())) and len(inside) == 9
+    assert ("abb", 1) in {(r[2], r[7]) for r in inside}

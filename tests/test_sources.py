@@ -158,3 +158,25 @@ def test_run_artifacts(spark, tmp_path):
     assert (c["r"].kept_count, c["r"].pseudolabel_train_size, c["r"].status, c["r2"].status) == (4, 4, "final", "exploratory")
     assert run_table(*a).count() == 4 and runtime_table(*a).count() == 4 and pseudolabel_table(a.cycles).count() == 2
     assert baseline_table(a.holdout, {"e2": "Final"}).head().model == "Final"
+
+
+def test_layouts_may_differ_from_file_to_file(spark, tmp_path):
+    write(tmp_path / "mix" / "a.jsonl", '{"id": 1}\n\n{"id": 2}\n')
+    write(tmp_path / "mix" / "b.json", json.dumps([{"id": 3}, {"id": 4, "text": "x\ny"}], indent=1))
+    write(tmp_path / "mix" / "c.json", json.dumps({"id": 5, "text": None}, indent=2))
+    write(tmp_path / "mix" / "d.jsonl", '{"id": 6}')
+    write(tmp_path / "mix" / "e.json", "[]")
+    write(tmp_path / "mix" / "f.json", '[{"id": 7}]\n')
+    write(tmp_path / "mix" / "g.jsonl", "\n \n")
+    rows = src.read_records(spark, str(tmp_path / "mix")).orderBy("row_idx").collect()
+    assert [(r.row_idx, r.id) for r in rows] == [(i, i + 1) for i in range(7)] and rows[3].text == "x\ny"
+    typed = src.read_records(spark, str(tmp_path / "mix"), spark.createDataFrame([], "id long").schema, keep_raw=True).orderBy("row_idx").collect()
+    assert [r.id for r in typed] == list(range(1, 8)) and json.loads(typed[4]._raw) == {"id": 5, "text": None}
+
+
+@pytest.mark.parametrize("text", ['{\n"id": 1}\n{\n"id": 2}', '[{"id": 1}]\n{"id": 2}', '[{"id": 1}]\n[{"id": 2}]', '{"id": 1}\n[{"id": 2}]', '{"id": 1}\n7', '[{"id": 1}, 7]', '[{"id": 1}', '{"id": 1} {"id": 2}'])
+def test_what_is_not_one_layout_is_an_error(spark, tmp_path, text):
+    path = write(tmp_path / "x.json", text)
+    schema = spark.createDataFrame([], "id long").schema
+    with pytest.raises(Exception, match="not one JSON array or object|invalid JSON"):
+        src.read_records(spark, path, schema).collect()

@@ -65,7 +65,7 @@ def test_lookup_join_beyond_the_broadcast_bound(spark):
     small = spark.range(15).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
     for how in ("left", "inner"):
         a = sorted((r.row_idx, r.v) for r in od.lookup_join(big, small, ["k"], how).fillna(-1).collect())
-        b = sorted((r.row_idx, r.v) for r in od.lookup_join(big, small, ["k"], how, broadcast_rows=3).fillna(-1).collect())
+        b = sorted((r.row_idx, r.v) for r in od.lookup_join(big, small, ["k"], how, salts=3).fillna(-1).collect())
         assert a == b and len(a) == (400 if how == "left" else sum(1 for r in big.collect() if r.k < 15))
 
 
@@ -245,3 +245,22 @@ def test_batches(spark):
     assert len(big) == 127 and max(sizes.values()) <= 8 and all(any(r.ner for r in big if r.batch == b) for b in sizes)
     with pytest.raises(Exception, match="at least one record"):
         sp.assign_batches(mk(0, 3), 2).collect()
+
+
+def test_missing_groups_and_labels_stay(spark):
+    rows = [(i, None if i % 4 == 0 else f"g{i % 5}", [None, "A"] if i % 3 else ["B"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_idx long, g string, labels array<string>")
+    folds = sp.group_folds(df, "g", 3)
+    placed = sp.assign_folds(df, folds, "g").collect()
+    assert len(placed) == 40 and len({r.fold for r in placed if r.g is None}) == 1
+    assert sum(r.examples for r in folds.collect()) == 40
+    with pytest.raises(Exception, match="no fold for group"):
+        sp.assign_folds(df, folds.filter("g is not null"), "g").collect()
+    weights = {r.row_idx: r.weight for r in sp.sampling_weights(df).collect()}
+    n_a = sum(1 for r in rows if "A" in r[2])
+    assert weights[1] == pytest.approx(2 / n_a) and weights[0] == pytest.approx(1 / (40 - n_a))
+    numbered = od.with_hash_position(df, ["row_idx"], groups=["g"], name="p").collect()
+    for g in {r.g for r in numbered}:
+        assert sorted(r.p for r in numbered if r.g == g) == list(range(sum(r.g == g for r in numbered)))
+    totals = od.running_totals(df.groupBy("g", "row_idx").count(), ["g"], "row_idx", ["count"]).collect()
+    assert len(totals) == 40 and {r.count_total for r in totals if r.g is None} == {10}

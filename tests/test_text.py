@@ -1,3 +1,5 @@
+import sys
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -87,3 +89,21 @@ def test_sql_functions(spark):
     r = spark.sql("select normalize_text('Ação  Straße') a, apply_temperature(0.9D, 2D) b, safe_double('x') c, "
                   "informative_tokens('rua da faia') d, mention_text('John in Rio', 8, 11) e, safe_double('nan') f").head()
     assert r.a == "acao strasse" and abs(r.b - 0.75) < 1e-12 and r.c is None and r.d == ["rua", "faia"] and r.e == "Rio" and r.f is None
+
+
+def test_normalizers_agree_on_every_character(spark):
+    """Native, SQL and exact form, each code point between two letters."""
+    import unicodedata
+    from spanlake.functions.registry import register_functions
+    from spanlake.functions.text import fold_exact, normalize_text
+    register_functions(spark)
+    codes = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) not in ("Cs", "Cn", "Co")]
+    texts = ["".join(f"a{chr(i)}b " for i in codes[at:at + 40]) for at in range(0, len(codes), 40)] + ["STRAẞE 각 힣 ᾀ և", "가나다 " * 50, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4)
+    df.createOrReplaceTempView("odd_texts")
+    native = {r.i: r.n for r in df.select("i", normalize_text(F.col("t")).alias("n")).collect()}
+    by_sql = {r.i: r.n for r in spark.sql("SELECT i, normalize_text(t) AS n FROM odd_texts").collect()}
+    generic = {r.i: r.n for r in df.select("i", normalize_text(F.col("t"), "NFKD").alias("n")).collect()}
+    for i, t in enumerate(texts):
+        assert native[i] == by_sql[i] == fold_exact(t, "NFD"), t
+        assert generic[i] == fold_exact(t, "NFKD"), t
