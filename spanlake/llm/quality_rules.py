@@ -15,8 +15,8 @@ from spanlake.operators.staging import once
 
 #: Hash buckets of the n-grams: the size of the model, whatever the corpus.
 BUCKETS = 16384
-#: Added to the count of each bucket.
-SMOOTHING = 1.0
+#: Trusted n-grams added to each bucket, and as many times the corpus is larger, corpus n-grams: a bucket with few n-grams says little.
+SMOOTHING = 20.0
 #: Mean log ratio under which a document is not like the trusted texts.
 MIN_SCORE = -0.1
 SYMBOLS = "#*$%&|<>"
@@ -79,12 +79,17 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
 
 def log_ratios(corpus: list[int], target: list[int], smoothing: float = SMOOTHING) -> list[float]:
-    """log of the smoothed target share over the smoothed corpus share, bucket by bucket."""
+    """log of the smoothed target share over the smoothed corpus share, bucket by bucket.
+
+    Both counts are smoothed in proportion to their totals, so that an n-gram seen only outside the trusted texts
+    counts against a text as far as the trusted texts are large enough to expect it there.
+    """
     from math import log
     if not sum(target):  # nothing to compare with: no n-gram speaks for or against a text
         return [0.0] * len(corpus)
-    all_corpus, all_target = sum(corpus) + smoothing * len(corpus), sum(target) + smoothing * len(target)
-    return [log((t + smoothing) / all_target) - log((c + smoothing) / all_corpus) for c, t in zip(corpus, target)]
+    times = sum(corpus) / sum(target)
+    wide = smoothing * times
+    return [log((t + smoothing) * times / (c + wide)) for c, t in zip(corpus, target)]
 
 
 def quality_rules(docs: DataFrame, ratios: list[float], min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
