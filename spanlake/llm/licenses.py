@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.llm.common import stored
+
 # Spellings that count as equal (the first is replaced by the second; single words).
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"),
@@ -74,7 +76,8 @@ def known_digests(spark: SparkSession, known: list[tuple[str, bool, str]] | None
     """(digest, license, permissive): one row per canonical text; if two licenses share one, the smaller name."""
     rows = spark.createDataFrame(known or KNOWN, "license string, permissive boolean, text string")
     digests = rows.withColumn("digest", F.sha2(canonical(F.col("text")), 256))
-    return digests.groupBy("digest").agg(F.min("license").alias("license"), F.min_by("permissive", "license").alias("permissive"))
+    # A written table, so that Spark knows its size when it plans the join.
+    return stored(digests.groupBy("digest").agg(F.min("license").alias("license"), F.min_by("permissive", "license").alias("permissive")), "licenses")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
