@@ -158,6 +158,32 @@ def _lang_scores(spark, sf):
 SELECT 'cv__' || lang AS experiment_id, 'base_nested_cv' AS family, NULL::DOUBLE AS macro_f1, round(m, 6) AS mean_test_f1, NULL::BIGINT AS kept_count, round(n, 6)::DOUBLE AS runtime_seconds, 'final' AS status FROM m
 UNION ALL SELECT lang || '__eval_final', 'holdout_eval', round(m, 6), NULL, NULL, round(n, 6)::DOUBLE, 'final' FROM m UNION ALL SELECT lang, 'pseudolabel_cycle', NULL, NULL, n::BIGINT, round(n, 6)::DOUBLE, CASE WHEN lang = 'en' THEN 'final' ELSE 'exploratory' END FROM m""")
 def run_table(spark, sf):
+    out = sm.run_table(*_artifacts(spark, sf))
+    return tidy(out.select("experiment_id", "family", "macro_f1", "mean_test_f1", "kept_count", "runtime_seconds", "status"))
+
+
+_LANG = f"""WITH {ENTS_SQL}, r AS (SELECT lang, d.doc_id, avg(score) AS v FROM documents d LEFT JOIN ents USING (doc_id) GROUP BY ALL), m AS (SELECT lang, avg(v) AS m, count(*) AS n FROM r GROUP BY lang)"""
+
+
+@query("baseline_table", _LANG + """ SELECT CASE WHEN lang = 'en' THEN 'English base' ELSE lang || '__eval_final' END AS model, '' AS model_path, round(m, 6) AS micro_f1, round(m, 6) AS macro_f1,
+  NULL::DOUBLE AS person_f1, NULL::DOUBLE AS location_f1, NULL::DOUBLE AS organization_f1, '' AS holdout FROM m""")
+def baseline_table(spark, sf):
+    return tidy(sm.baseline_table(_artifacts(spark, sf).holdout, {"en__eval": "English base"}))
+
+
+@query("pseudolabel_table", _LANG + """ SELECT lang AS experiment_id, n::BIGINT AS kept_count, '' AS refit_mode, '' AS prediction_map_location, NULL::BIGINT AS entities_total, NULL::DOUBLE AS micro_f1_delta FROM m""")
+def pseudolabel_table(spark, sf):
+    return tidy(sm.pseudolabel_table(_artifacts(spark, sf).cycles).select("experiment_id", "kept_count", "refit_mode", "prediction_map_location", "entities_total", "micro_f1_delta"))
+
+
+@query("runtime_table", _LANG + """ SELECT 'cv__' || lang AS experiment, 'base_nested_cv' AS family, round(n, 6)::DOUBLE AS runtime_seconds, '' AS device FROM m
+  UNION ALL SELECT lang || '__eval_final', 'holdout_eval', round(n, 6)::DOUBLE, '' FROM m UNION ALL SELECT lang, 'pseudolabel_cycle', round(n, 6)::DOUBLE, '' FROM m""")
+def runtime_table(spark, sf):
+    runs = _artifacts(spark, sf)
+    return tidy(sm.runtime_table(*runs).select("experiment", "family", "runtime_seconds", "device"))
+
+
+def _artifacts(spark, sf):
     base, runs = scratch_path(spark, "base"), scratch_path(spark, "runs")
     for lang, m, n in _lang_scores(spark, sf):
         _put(spark, f"{base}/cv/{lang}/nested_cv_results.json", {"config": {"model_base": lang}, "summary": {"mean_test_f1": m, "runtime_seconds": float(n)}})
@@ -165,8 +191,7 @@ def run_table(spark, sf):
         _put(spark, f"{base}/{lang}/eval_final/run_stats.json", {"runtime_seconds": float(n)})
         _put(spark, f"{runs}/{lang}/cycle_summary.json", {"config": {"evaluate_refit": lang == "en"}, "runtime_seconds": float(n)})
         _put(spark, f"{runs}/{lang}/05_split/summary.json", {"summary": {"kept_count": n}})
-    out = sm.run_table(*src.read_run_artifacts(spark, base, runs))
-    return tidy(out.select("experiment_id", "family", "macro_f1", "mean_test_f1", "kept_count", "runtime_seconds", "status"))
+    return src.read_run_artifacts(spark, base, runs)
 
 
 def _run_name(i: int) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.fixtures import ENTS_SQL, GOLD_PRED_SQL, annotated, documents, gold_and_pred, norm_sql, slim, table, tidy, with_metadata
+from catalog.fixtures import ENTS_SQL, GOLD_PRED_SQL, annotated, doc, documents, gold_and_pred, norm_sql, slim, table, tidy, with_metadata
 from spanlake.functions import text as tx
 from spanlake.operators import fields as fd
 from spanlake.operators import filters as fl
@@ -202,6 +202,16 @@ def prepare_training_records(spark, sf):
     return tidy(fl.prepare_training_records(_raw_entities(spark, sf), ["Person", "Location"]).counts)
 
 
+@query("prepared_records", TRAINING_SQL + f""", g AS (SELECT ents.doc_id, string_agg(ents.label || ':' || ents.s || ':' || ents.e, ',' ORDER BY ents.s) AS kept, count(*) AS n FROM ents JOIN (SELECT doc_id, i, label,
+    CASE WHEN i % 5 = 2 THEN 'invalid_label' WHEN label = 'Organization' THEN 'filtered_by_label' WHEN i % 5 = 1 THEN 'invalid_span' END AS why FROM ents) w USING (doc_id, i) WHERE why IS NULL GROUP BY ents.doc_id)
+SELECT doc_id, n::BIGINT AS entities, md5(text) AS text_digest, md5(kept) AS entity_digest FROM g JOIN documents USING (doc_id) WHERE regexp_matches(text, '\\S')""")
+def prepared_records(spark, sf):
+    """The records themselves: text and kept spans."""
+    rows = fl.prepare_training_records(_raw_entities(spark, sf), ["Person", "Location"]).records
+    kept = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["label"], e["start"].cast("string"), e["end"].cast("string"))), ",")
+    return tidy(rows.select(doc(), F.size("entities").alias("entities"), F.md5("text").alias("text_digest"), F.md5(kept).alias("entity_digest")))
+
+
 @query("require_fields", f"""WITH {PATCHY} SELECT coalesce(CASE WHEN lang = 'fr' AND doc_id % 2 = 0 THEN 'dropped_missing_required' WHEN NOT regexp_matches(coalesce(relato, ''), '\\S') THEN 'dropped_empty_relato' END, 'kept') AS outcome,
   count(*)::BIGINT AS n FROM pd GROUP BY 1""")
 def require_fields(spark, sf):

@@ -27,8 +27,19 @@ def long_spans(df: DataFrame, column: str, id_col: str = "row_idx", extra: Seque
         id_col, *[F.col(f"s.{k}").alias(k) for k in (*KEYS, *extra)])
 
 
+def require_same_records(gold: DataFrame, pred: DataFrame, id_col: str = "row_idx") -> None:
+    """Raise unless both tables hold the same records, each as often: spans of a record that one side lacks would
+    count as errors of the model.  One aggregation; only the differences are looked at."""
+    side = lambda df, n: df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).select(id_col, (F.col("n") * n).alias("n"))
+    off = side(gold, 1).unionByName(side(pred, -1)).groupBy(id_col).agg(F.sum("n").alias("n")).filter(F.col("n") != 0)
+    first = off.orderBy(id_col).limit(5).collect()
+    if first:
+        raise ValueError("gold and predictions cover different records: " + ", ".join(
+            f"{id_col}={r[id_col]} ({'gold' if r.n > 0 else 'predictions'} only)" for r in first))
+
+
 def match_spans(gold: DataFrame, pred: DataFrame, id_col: str = "row_idx", carry: Mapping[str, str] | None = None) -> DataFrame:
-    """Distinct spans with ``status`` TP, FP or FN.
+    """Distinct spans with ``status`` TP, FP or FN.  Tables of records are checked by :func:`require_same_records` first.
 
     ``carry``: extra predicted columns to keep, name -> aggregate (``max``, ``min``), e.g. the best score.
     """

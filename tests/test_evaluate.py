@@ -129,3 +129,10 @@ def test_match_in_records_equals_match_spans(spark):
         for key in {p[:3] for p in pred}:
             known = [p[3] for p in pred if p[:3] == key]
             assert best[(i, *key)] == (None if None in known else max(known))
+
+
+def test_different_records_are_an_error(spark):
+    one = spark.createDataFrame([(0,), (1,), (None,)], "row_idx long")
+    ev.require_same_records(one, one)
+    with pytest.raises(ValueError, match="row_idx=1 .gold only., row_idx=2 .predictions only."):
+        ev.require_same_records(one, spark.createDataFrame([(0,), (2,), (None,)], "row_idx long"))
