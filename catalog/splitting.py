@@ -159,7 +159,7 @@ def fold_cost(spark, sf):
 @query("fold_pairs", f"""WITH {FOLDS} SELECT i::BIGINT AS split, CASE WHEN fold = i THEN 'test' ELSE 'train' END AS role, count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS groups FROM orders JOIN fo ON fo.g = o_custkey, range(1, 6) r(i) GROUP BY ALL""")
 def fold_pairs(spark, sf):
     df = _grouped(spark, sf)
-    pairs = sp.fold_pairs(sp.assign_folds(df, sp.group_folds(df, "o_custkey", 5), "o_custkey"), 5)
+    pairs = sp.fold_pairs(sp.assign_folds(df, sp.group_folds(df, "o_custkey", 5), "o_custkey"), 5, ["o_custkey"])
     per = pairs.groupBy("split", "role", "o_custkey").agg(F.count(F.lit(1)).alias("c"))
     return tidy(per.groupBy("split", "role").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("groups")))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import digest
 from spanlake.operators.merge import merge_training, tagged_union
 from spanlake.operators.ordering import below_threshold, lookup_join, with_hash_position, with_position
+from spanlake.operators.staging import written
 
 
 def _rounded(total: Column, ratio: float) -> Column:
@@ -61,12 +62,16 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, id_col: str = "row_idx",
 
 def sample_pseudolabels(df: DataFrame, ratio: float = 1.0, max_records: int = 0, seed: int = 42, id_col: str = "row_idx") -> DataFrame:
     """A share of the rows (at least 1), then at most ``max_records`` of those, drawn with seed + 1."""
-    out = df
-    if ratio < 1.0:
-        out = out.filter(below_threshold(df, [id_col], lambda n: F.greatest(F.lit(1), _rounded(n, ratio)), seed))
-    if max_records > 0:
-        out = sample_rows(out, max_records, seed + 1, id_col, strict=False)
-    return out
+    share = lambda n: F.greatest(F.lit(1), _rounded(n, ratio))
+    if ratio >= 1.0:
+        return sample_rows(df, max_records, seed + 1, id_col, strict=False) if max_records > 0 else df
+    if max_records <= 0:
+        return df.filter(below_threshold(df, [id_col], share, seed))
+    # Both cuts are found on the ids alone, written once: the records are read for these and for the result.
+    ids = written(df.select(id_col), "sample-ids")
+    first = below_threshold(ids, [id_col], share, seed)
+    second = below_threshold(df, [id_col], lambda n: F.least(n, F.lit(max_records)), seed + 1, population=ids.filter(first))
+    return df.filter(below_threshold(df, [id_col], share, seed, population=ids) & second)
 
 
 # --------------------------------------------------------------------------- splits
@@ -246,9 +251,12 @@ def fold_cost(folds: DataFrame, k: int) -> DataFrame:
     return size_cost.select((F.col("size") + label_cost + (F.lit(k) - F.col("n")) * (1e6 + 2)).alias("cost"))
 
 
-def fold_pairs(df: DataFrame, k: int) -> DataFrame:
-    """Every (record, split 1..k) with its role: ``test`` in its own fold's split, else ``train``."""
-    return df.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn(
+def fold_pairs(df: DataFrame, k: int, keep: Sequence[str] = ("row_idx",)) -> DataFrame:
+    """Every (record, split 1..k) with its role: ``test`` in its own fold's split, else ``train``.
+
+    Only the columns ``keep`` and the fold are repeated k times, not whole records.
+    """
+    return df.select(*keep, "fold").withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn(
         "role", F.when(F.col("fold") == F.col("split"), "test").otherwise("train"))
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.session import scratch_path
+
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """``withColumns`` whose results are computed exactly once per row."""
@@ -21,6 +23,13 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
                            [*df.columns, *[n for n in columns if n not in df.columns]]])
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: computed once, and kept if an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition only when the input has fewer splits than the cluster has cores.
 

@@ -20,10 +20,10 @@ from spanlake.operators.extract import extract_entities, tagging_stats
 from spanlake.operators.fields import project_fields
 from spanlake.operators.filters import drop_reasons
 from spanlake.operators.ordering import keep_first
+from spanlake.operators.staging import written
 from spanlake.operators.score import EntityGate, record_score, record_score_stats, split_records, split_summary
 from spanlake.schema import INFERENCE_FIELDS, LABELS
 from spanlake.functions.text import inference_text
-from spanlake.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -122,12 +122,12 @@ def run_cycle(df: DataFrame, cfg: CycleConfig, tagger: Callable[[], Tagger], kee
     there = [f for f in text_fields if f in df.columns]
     staged = df.withColumn("_inference", inference_text(there))
     tagged = extract_entities(staged, tagger, labels, "_inference", threshold, batch_size, max_tokens).drop("_inference")
-    tagged = _written(tagged, "tagged")
+    tagged = written(tagged, "cycle-tagged")
     calibrator = cfg.calibrator
     if calibrate and calibrator is None:
         fit_on = pseudo_targets(scored_entities(tagged, "score", labels, id_col), threshold=target_threshold)
         calibrator = fit_calibrator(fit_on, calibrate, fallback=False)
-    records = _written(score_and_split(tagged, replace(cfg, calibrator=calibrator)), "scored")
+    records = written(score_and_split(tagged, replace(cfg, calibrator=calibrator)), "cycle-scored")
     following = prepare_next_iteration(records.filter("decision = 'discarded'"), keep, required, dedupe_on, drop_empty=required, id_col=id_col)
     none = F.lit(None).cast("string")
     count = lambda name, frame, error: frame.agg(F.count(F.lit(1)).alias("samples")).select(
@@ -136,9 +136,3 @@ def run_cycle(df: DataFrame, cfg: CycleConfig, tagger: Callable[[], Tagger], kee
     stages = tag.unionByName(count("kept", records.filter("decision = 'kept'"), none)) \
         .unionByName(count("discarded", records.filter("decision = 'discarded'"), none)).unionByName(count("next", following.records, none))
     return CycleRun(records, following.records, stages, calibrator)
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, f"cycle-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

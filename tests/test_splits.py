@@ -182,7 +182,7 @@ def test_folds_balance(spark):
     rep = sp.fold_report(folds).collect()
     assert {r.groups for r in rep} == {3} and all(r.groups_with_label >= 1 for r in rep)
     placed = sp.assign_folds(df, folds, "sample_id")
-    pairs = sp.fold_pairs(placed, 3)
+    pairs = sp.fold_pairs(placed, 3, ["sample_id"])
     assert pairs.count() == 27 and pairs.filter("role = 'test'").count() == 9
     assert sp.fold_cost(folds, 3).head().cost < 3
 
