@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,26 +172,54 @@ def fit_temperature_per_class(df: DataFrame, t_min: float = T_MIN, t_max: float
 
 
 # --------------------------------------------------------------------------- isotonic
-def fit_isotonic(df: DataFrame) -> DataFrame:
-    """Knot table (x, y) of the monotone fit of ``target`` on ``score``.
+def _pool(blocks: list[list[float]], lo: float, hi: float, y: float, w: float) -> None:
+    """Append a block (lowest and highest score, targets, rows) and pool it with the ones before while these are not below."""
+    while blocks and blocks[-1][2] * w >= y * blocks[-1][3]:
+        last = blocks.pop()
+        lo, y, w = last[0], y + last[2], w + last[3]
+    blocks.append([lo, hi, y, w])
+
 
-    Equal scores are pooled first (a partial aggregate), then Spark ML runs pool-adjacent-violators
-    per range partition; only the remaining blocks meet on the driver.
+def isotonic_knots(df: DataFrame, folds: int = 1) -> list[tuple[tuple[float, ...], tuple[float, ...]]]:
+    """(x, y) knots of the monotone fit of ``target`` on ``score``, for each fold from the rows of all other ones.
+
+    Rows of equal score are added up, the distinct scores are range-partitioned, and one pass pools adjacent violators in every
+    partition for all folds.  Pooling the remaining blocks gives the fit of the whole: the order of pooling does not
+    matter.  Those blocks, about the cube root of the scores in number, meet on the driver, which holds the knots anyway.
     """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import IsotonicRegression
-
-    pooled = df.groupBy("score").agg(F.avg("target").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    ready = pooled.withColumn("features", array_to_vector(F.array("score"))).persist()  # the check and the fit
-    try:
-        means = ready.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).head()
-        if means.lo is None or means.lo == means.hi and means.lo in (0.0, 1.0):
+    own = (lambda f: F.lit(True)) if folds == 1 else (lambda f: F.col("fold") != f)
+    pooled = df.groupBy("score").agg(
+        F.array(*[F.sum(F.when(own(f), F.col("target").cast("double")).otherwise(0.0)) for f in range(folds)]).alias("y"),
+        F.array(*[F.sum(F.when(own(f), 1.0).otherwise(0.0)) for f in range(folds)]).alias("w"))
+
+    def blocks_of(batches):
+        found: list[list[list[float]]] = [[] for _ in range(folds)]
+        for batch in batches:
+            for x, ys, ws in zip(batch["score"].tolist(), batch["y"], batch["w"]):
+                for blocks, y, w in zip(found, ys, ws):
+                    if w:
+                        _pool(blocks, x, x, y, w)
+        yield pd.DataFrame([(f, *b) for f, blocks in enumerate(found) for b in blocks], columns=["fold", "lo", "hi", "y", "w"])
+
+    ranged = pooled.repartitionByRange("score").sortWithinPartitions("score")
+    parts = ranged.mapInPandas(blocks_of, "fold int, lo double, hi double, y double, w double").collect()
+    out = []
+    for f in range(folds):
+        blocks: list[list[float]] = []
+        for b in sorted((r for r in parts if r.fold == f), key=lambda r: r.lo):
+            _pool(blocks, b.lo, b.hi, b.y, b.w)
+        total = sum(b[2] for b in blocks)
+        if not 0 < total < sum(b[3] for b in blocks):
             raise ValueError("isotonic fitting needs both positive and negative targets")
-        model = IsotonicRegression(weightCol="weight").fit(ready)
-    finally:
-        ready.unpersist()
-    knots = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()))
-    return df.sparkSession.createDataFrame(knots, "x double, y double")
+        ends = [(x, y / w) for lo, hi, y, w in blocks for x in dict.fromkeys((lo, hi))]
+        out.append((tuple(x for x, _ in ends), tuple(y for _, y in ends)))
+    return out
+
+
+def fit_isotonic(df: DataFrame) -> DataFrame:
+    """Knot table (x, y) of the monotone fit of ``target`` on ``score``."""
+    xs, ys = isotonic_knots(df)[0]
+    return df.sparkSession.createDataFrame(list(zip(xs, ys)), "x double, y double")
 
 
 def interpolate(score: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
@@ -278,8 +307,7 @@ def fit_calibrator(df: DataFrame, method: str = "temperature", fallback: bool =
             r.label: {"temperature": r.temperature, "fit_loss": r.fit_loss, "support": r.support, "source": r.source}
             for r in rows}, fallback=rows[0].overall if rows else None)
     if method == "isotonic":
-        rows = fit_isotonic(df).orderBy("x").collect()
-        return Calibrator(method, knots=(tuple(r.x for r in rows), tuple(r.y for r in rows)))
+        return Calibrator(method, knots=isotonic_knots(df)[0])
     raise ValueError(f"unsupported calibrator method: {method}")
 
 
@@ -444,7 +472,7 @@ def cv_scores(df: DataFrame, id_col: str, k: int = 5, seed: int = 42, isotonic:
     """(fold, method, score, target): every row scored by calibrators fitted on the other folds.
 
     Temperature: one pass gives the losses per (fold, temperature); the training loss of a fold is the
-    total minus its own.  Isotonic: one Spark ML fit per fold.  ``k`` <= 1 fits and scores in sample.
+    total minus its own.  Isotonic: one job for the fits of all folds.  ``k`` <= 1 fits and scores in sample.
     """
     if k <= 1:
         folded = df.withColumn("fold", F.lit(0))
@@ -463,10 +491,8 @@ def cv_scores(df: DataFrame, id_col: str, k: int = 5, seed: int = 42, isotonic:
     columns = {"raw": "score", "temperature": "ts"}
     if isotonic:
         iso = F.lit(None).cast("double")
-        for f in range(max(k, 1)):
-            train = folded.filter(F.col("fold") != f) if k > 1 else folded
-            c = fit_calibrator(train, "isotonic")
-            iso = F.when(F.col("fold") == f, interpolate(F.col("score"), *c.knots)).otherwise(iso)
+        for f, knots in enumerate(isotonic_knots(folded, max(k, 1))):
+            iso = F.when(F.col("fold") == f, interpolate(F.col("score"), *knots)).otherwise(iso)
         scored = scored.withColumn("iso", clip01(iso, 0.0))
         columns["isotonic"] = "iso"
     return _unpivoted(scored, ["fold", "target"], columns, "method")
