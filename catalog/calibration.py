@@ -227,6 +227,14 @@ def audit_by_label(spark, sf):
     return tidy(ca.audit_by_label(_cal(spark, sf), 0.8, FIXED))
 
 
+@query("audit_empty_cells", _ONE_CLASS + """, g AS (SELECT label, target, count(*) AS n, avg(score) AS m FROM c1 GROUP BY ALL), l AS (SELECT DISTINCT label FROM g)
+SELECT l.label, t.t::BIGINT AS target, coalesce(n, 0)::BIGINT AS count, round(m, 6) AS mean FROM l CROSS JOIN (VALUES (0), (1)) t(t) LEFT JOIN g ON g.label = l.label AND g.target = t.t""")
+def audit_empty_cells(spark, sf):
+    """A label whose entities are all true still has a row for the false ones."""
+    df = _cal(spark, sf).withColumn("target", F.when(F.col("label") == "Organization", 1).otherwise(F.col("target")))
+    return tidy(ca.audit_by_label(df, 0.8).filter("scope = 'label'").select("label", "target", "count", "mean"))
+
+
 # --------------------------------------------------------------------------- cross-validation
 _FOLDS = f"{CAL}, fo AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || row_key)) - 1) % 5 AS fold FROM cal)"
 _CV = f"""{_FOLDS.replace('WITH ', 'WITH RECURSIVE ', 1)}, tr AS (SELECT f.k AS fold, score, target FROM fo JOIN range(5) f(k) ON fo.fold <> f.k), {grid_sql('tr', 'fold')}, {pav_sql('tr', 'fold')},

@@ -191,9 +191,10 @@ def review_rows(spark, sf):
     return tidy(_review(spark, sf, 50).withColumnRenamed("row_idx", "doc_id"))
 
 
-@query("review_summary", f"{_REVIEW} SELECT count(*)::BIGINT AS records, round(avg(fp + fn), 6) AS avg_errors_per_record, max(fp + fn)::BIGINT AS max_errors_in_record FROM rv")
+@query("review_summary", f"""{_REVIEW}, {per_label()}, me AS ({metrics_sql()}) SELECT count(*)::BIGINT AS records, round(avg(fp + fn), 6) AS avg_errors_per_record, max(fp + fn)::BIGINT AS max_errors_in_record,
+  (SELECT f1 FROM me WHERE label = 'micro') AS micro_f1, (SELECT f1 FROM me WHERE label = 'macro') AS macro_f1 FROM rv""")
 def review_summary(spark, sf):
-    return tidy(ev.review_summary(_review(spark, sf, 0)))
+    return tidy(ev.review_summary(_review(spark, sf, 0), ev.span_metrics(*_sides(spark, sf), FOUR)))
 
 
 _TWO = f"""{G}, s2 AS (SELECT doc_id, s, e, label, max(g) AS g, max(p) AS p FROM (SELECT doc_id, s, e, label, 1 AS g, 0 AS p FROM gold UNION ALL SELECT doc_id, s, e, label, 0, 1 FROM pred WHERE score >= 0.3) x GROUP BY doc_id, s, e, label),

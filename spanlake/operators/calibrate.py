@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.functions.arrays import bind, block_heads, sorted_rank
 from spanlake.functions.text import clip01, safe_double
@@ -464,7 +465,11 @@ def audit_by_label(df: DataFrame, threshold: float = 0.8, calibrator: Calibrator
     quart = group_quantiles(long, groups, "score", [0.25, 0.5, 0.75])
     wide = quart.groupBy(*groups).agg(*[
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    return lookup_join(base, wide, groups, "inner", null_safe=True).withColumn("threshold", F.lit(float(threshold)))
+    found = lookup_join(base, wide, groups, "inner", null_safe=True)
+    # Every (scope, label, scores) has a row for both targets; a missing one counts 0.
+    cells = base.select(*groups[:-1]).distinct().withColumn("target", F.explode(F.array(F.lit(0), F.lit(1)).cast(T.ArrayType(df.schema["target"].dataType))))
+    out = lookup_join(cells, found, groups, null_safe=True)
+    return out.withColumn("count", F.coalesce("count", F.lit(0))).withColumn("threshold", F.lit(float(threshold)))
 
 
 # --------------------------------------------------------------------------- cross-validation

@@ -306,9 +306,13 @@ def review_rows(gold: DataFrame, pred: DataFrame, n: int = 0, id_col: str = "row
     return top_n(per, n, F.desc("error_count"), F.desc("fp"), F.desc("fn"), F.desc("pred_count"), F.col(id_col))
 
 
-def review_summary(reviewed: DataFrame) -> DataFrame:
-    return reviewed.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.avg("error_count"), F.lit(0.0)).alias("avg_errors_per_record"),
-                        F.coalesce(F.max("error_count"), F.lit(0)).alias("max_errors_in_record"))
+def review_summary(reviewed: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """One row: records, errors per record, and with ``metrics`` (of :func:`span_metrics`) micro and macro F1."""
+    f1 = lambda name: metrics.filter(F.col("label") == name).agg(F.max("f1")).scalar().alias(f"{name}_f1")
+    scores = [f1("micro"), f1("macro")] if metrics is not None else []
+    counted = reviewed.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.avg("error_count"), F.lit(0.0)).alias("avg_errors_per_record"),
+                           F.coalesce(F.max("error_count"), F.lit(0)).alias("max_errors_in_record"))
+    return counted.select("*", *scores)
 
 
 def fold_summary(metrics: DataFrame) -> DataFrame:
