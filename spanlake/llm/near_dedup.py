@@ -190,8 +190,9 @@ def find_links(members: DataFrame, texts: DataFrame, size: int = WORDS, percent:
     Any two members of a bucket are compared, unless they are already in one component.
     """
     near = F.col("shared") * 100 >= F.col("total") * percent
-    draw = F.xxhash64("node", "key")
-    # Every bucket's centre, drawn by hash, against all its members.
+    # Every bucket's centre against all its members.  Drawn in one of four orders, so that the many buckets of one group share
+    # a few centres.
+    draw = F.xxhash64("node", F.pmod("key", F.lit(4)))
     centres = members.groupBy("key").agg(F.count("*").alias("n"), F.min(draw).alias("first"))
     starred = stored(members.join(stored(centres, "centres"), "key").withColumn("centre", draw == F.col("first")), "starred")
     centre = starred.filter("centre").select("key", F.col("node").alias("other"))
