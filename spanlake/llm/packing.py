@@ -8,13 +8,15 @@ closest to the capacity; the counts behind the best sum are traced back and take
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from struct import pack as packed
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import model_bytes, python_ready, stored
-from spanlake.llm.pieces import Memo
+from spanlake.llm.pieces import CACHE, Memo
 
 #: Tokens of a window, the id after each document, tokens of a packing group (a few thousand rows).
 WINDOW, END_ID, GROUP_TOKENS = 4096, 2, 4_000_000
@@ -36,17 +38,16 @@ class WordIds:
 
     def __init__(self, data: bytes):
         import os
-        import re
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.words, self.pieces, self.other = re.compile(WORD), re.compile(LATIN_PIECE), re.compile(NOT_LATIN)
-        self.known = Memo(self.word)
+        self.known = Memo(self.word, 2 * CACHE)
 
     def word(self, word: str) -> bytes:
-        import numpy as np
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return packed(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         found = self.words.findall(text) if self.other.search(text) else self.pieces.findall(text.lower())
