@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import stored
+from spanlake.operators.staging import once
 
 # Spellings that count as equal (the first is replaced by the second; single words).
 SPELLINGS = [
@@ -56,20 +57,30 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 #: Lines that only state who holds the copyright; they differ from work to work.
 COPYRIGHT_LINE = r"(?md)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*(\n|$)"
-BETWEEN_WORDS = r"[^\p{L}\p{N}©]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BETWEEN_WORDS = r"[^\p{L}\p{N}©\n]+"
 
 
-def canonical(text: Column) -> Column:
-    """One form for all ways to write a license text: lower case (A-Z), no copyright lines, single spaces in place of
-    punctuation and white space, one spelling.  Empty if nothing is left."""
-    body = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(COPYRIGHT_LINE), F.lit(""))
+def canonical_lines(text: Column) -> Column:
+    """One form for all ways to write a license text, line by line: lower case, no copyright lines, single spaces in
+    place of punctuation and white space, one spelling.  Lines without a word are empty."""
+    body = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(COPYRIGHT_LINE), F.lit(""))
     # Two spaces around each word, so that every replaced word has both of its own.
     out = F.concat(F.lit("  "), F.regexp_replace(body, F.lit(BETWEEN_WORDS), F.lit("  ")), F.lit("  "))
+    out = F.replace(out, F.lit("\n"), F.lit("  \n  "))
     for old, new in SPELLINGS:
         if old != new:
             out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(F.regexp_replace(out, F.lit(" +"), F.lit(" ")))
+    return F.split(F.regexp_replace(out, F.lit(" +"), F.lit(" ")), r" ?\n ?", -1)
+
+
+def joined_lines(lines: Column) -> Column:
+    """The form of a whole text from the forms of its lines."""
+    return F.trim(F.regexp_replace(F.array_join(lines, " "), F.lit(" +"), F.lit(" ")))
+
+
+def canonical(text: Column) -> Column:
+    """The form of a whole text; empty if nothing is left."""
+    return joined_lines(canonical_lines(text))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, bool, str]] | None = None) -> DataFrame:
@@ -88,11 +99,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     none), ``permissive`` (false if any found license is not; NULL if none was found).  NULL and blank texts have no
     lines and no license; repeated rows come back as often as they are there; other columns play no part.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.concat(F.array(F.struct(F.lit(True).alias("whole"), text.alias("text"))),
-                     F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("text"))))
-    pieces = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), F.explode(lines).alias("piece"))
-    pieces = pieces.select("_id", "_key", "piece.whole", canonical(F.col("piece.text")).alias("form"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(text_col).alias("_text"))
+    rows = once(rows, lines=canonical_lines(F.col("_text"))).select("_id", "_key", "lines")
+    forms = F.concat(F.array(F.struct(F.lit(True).alias("whole"), joined_lines(F.col("lines")).alias("form"))),
+                     F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), F.trim(x).alias("form"))))
+    pieces = rows.select("_id", "_key", F.explode(forms).alias("piece")).select("_id", "_key", "piece.whole", "piece.form")
     pieces = pieces.filter("whole or form <> ''").withColumn("digest", F.sha2("form", 256))
     found = pieces.join(known, "digest", "left")
     whole, line, hit = F.col("whole"), ~F.col("whole"), F.col("license").isNotNull()

@@ -62,14 +62,16 @@ QUERIES = {f.__name__: f for f in (
     op7_quality_classifier, op8_near_dedup, op9_language_id, op10_token_counts)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def _canonical_sql(text: str) -> str:
-    lower = f"translate({text}, '{licenses.UPPER}', '{licenses.LOWER}')"
-    body = f"regexp_replace({lower}, {_quoted(licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)'))}, '', 'g')"
-    out = f"'  ' || regexp_replace({body}, {_quoted(licenses.BETWEEN_WORDS)}, '  ', 'g') || '  '"
+    body = f"regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)'))}, '', 'g')"
+    out = f"'  ' || regexp_replace({body}, {_quoted(licenses.BETWEEN_WORDS.replace('\\n', ''))}, '  ', 'g') || '  '"
     for old, new in licenses.SPELLINGS:
         if old != new:
             out = f"replace({out}, ' {old} ', ' {new} ')"
@@ -102,7 +104,7 @@ ORACLES = {
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op8_near_dedup": f"""
         WITH RECURSIVE w AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
             FROM documents),
         s AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]

@@ -17,7 +17,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def plain_canonical(text):
-    text = (text or "").translate({ord(u): l for u, l in zip(li.UPPER, li.LOWER)})
+    text = (text or "").lower()
     text = re.sub(r"^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*(\n|\Z)", "", text, flags=re.M)
     words = [w for w in re.split(r"(?:[^\w©]|_)+", text) if w]
     return " ".join(dict(li.SPELLINGS).get(w, w) for w in words)
