@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import keep_rows, python_ready, row_key, stored
-from spanlake.llm.pieces import Memo
+from spanlake.llm.pieces import CACHE
 from spanlake.llm.quality_classifier import words
 from spanlake.operators.staging import once
 
@@ -34,11 +34,49 @@ SUFFIX_LANGUAGE = {
 }
 
 
-def trigram_buckets(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of the character trigrams of a word, its ends included."""
-    from zlib import crc32
-    marked = f" {word.lower()} "
-    return [crc32(marked[i:i + 3].encode()) % buckets for i in range(len(marked) - 2)]
+def trigram_buckets(found: list[str], buckets: int = BUCKETS):
+    """(buckets, starts, inside): the trigrams of words in lower case, their ends included, one word after the other.
+
+    ``starts`` has the first trigram of each word; ``inside`` is 0 for the trigrams that reach over two words.
+    """
+    import numpy as np
+    codes = np.frombuffer(f" {' '.join(found)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    mixed = codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[2:] * np.uint64(0x165667B19E3779F9)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    starts = np.concatenate(([0], (lengths + 1).cumsum()[:-1]))
+    inside = np.ones(len(mixed), np.int64)
+    inside[(starts + lengths)[:-1]] = 0
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), starts, inside
+
+
+class WordTable:
+    """Sums over the trigrams of words: a row per word met lately, one column per language and the number of trigrams."""
+
+    def __init__(self, logs):
+        import numpy as np
+        self.np, self.logs = np, np.array(logs)
+        self.places: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.logs) + 1))
+
+    def total(self, found: list[str]):
+        """The sum of the rows of a text's words; a very long text goes in slices."""
+        np, step = self.np, 100_000
+        if len(found) > step:
+            return sum(self.total(found[at:at + step]) for at in range(0, len(found), step))
+        if len(self.places) > CACHE:
+            self.places.clear()
+        new = [w for w in dict.fromkeys(found) if w not in self.places]
+        if new:
+            buckets, starts, inside = trigram_buckets(new, self.logs.shape[1])
+            first = len(self.places)
+            while first + len(new) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[first:first + len(new), :-1] = np.add.reduceat(self.logs[:, buckets] * inside, starts, axis=1).T
+            self.rows[first:first + len(new), -1] = np.add.reduceat(inside, starts)
+            self.places.update(zip(new, range(first, first + len(new))))
+        return self.rows[np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))].sum(axis=0)
 
 
 def fit_trigrams(docs: DataFrame, declared: Column, languages: tuple[str, ...] = LANGUAGES, buckets: int = BUCKETS, text_col: str = "text") -> list[list[float]]:
@@ -54,15 +92,24 @@ def fit_trigrams(docs: DataFrame, declared: Column, languages: tuple[str, ...] =
 
         import numpy as np
         import pyarrow as pa
-        grams = Memo(lambda w: np.array(trigram_buckets(w, buckets)))
         sums = np.zeros((len(number), buckets), np.int64)
-        for batch in batches:
-            found: dict[int, Counter] = {}
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                found.setdefault(number[lang], Counter()).update(words(text))
-            for lang, counts in found.items():
-                for word, n in counts.items():
-                    np.add.at(sums[lang], grams[word], n)
+        met: list[Counter] = [Counter() for _ in number]
+
+        def add(lang: int) -> None:
+            if met[lang]:
+                at, starts, inside = trigram_buckets(list(met[lang]), buckets)
+                times = np.repeat(np.fromiter(met[lang].values(), np.int64), np.diff(np.append(starts, len(at))))
+                sums[lang] += np.bincount(at, times * inside, buckets).astype(np.int64)
+                met[lang].clear()
+
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                    met[number[lang]].update(words(text.lower()))
+                    if len(met[number[lang]]) > CACHE:
+                        add(number[lang])
+            for lang in range(len(number)):
+                add(lang)
         lang, bucket = sums.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[lang, bucket], pa.int64())], names=["lang", "bucket", "n"])
 
@@ -83,20 +130,15 @@ def text_likelihood(rows: DataFrame, model: list[list[float]], text_col: str = "
     def score(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        table = np.array(logs.value)
-
-        def value(word: str):
-            found = trigram_buckets(word, table.shape[1])
-            return [*table[:, found].sum(axis=1), len(found)]
-
-        known = Memo(value)
+        table = WordTable(logs.value)
+        none = np.zeros(len(table.logs))
         for batch in batches:
             n, likelihood = [], []
             for text in batch.column(text_col).to_pylist():
-                found = words(text)
+                found = words((text or "").lower())
                 n.append(len(found))
-                total = np.array(list(map(known.__getitem__, found))).sum(axis=0) if n[-1] else np.zeros(len(table) + 1)
-                likelihood.append((total[:-1] / total[-1] * min(total[-1], cap) if n[-1] else total[:-1]).tolist())
+                total = table.total(found) if found else none
+                likelihood.append((total[:-1] / total[-1] * min(total[-1], cap) if found else none).tolist())
             kept = [(batch.column(i), name) for i, name in enumerate(batch.schema.names) if name != text_col]
             yield pa.RecordBatch.from_arrays([c for c, _ in kept] + [pa.array(n, pa.int64()), pa.array(likelihood, pa.list_(pa.float64()))],
                                              names=[name for _, name in kept] + ["n_words", "likelihood"])
