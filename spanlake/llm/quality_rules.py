@@ -104,14 +104,14 @@ def quality_rules(docs: DataFrame, ratios: list[float], min_score: float = MIN_S
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = once(rows, words=words_of(F.col("_text")))
     rows = once(rows, hashes=_word_hashes(F.col("words")))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
     # One literal for the whole model, folded when the query is planned.
     model = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     grams = ngram_buckets(F.col("hashes"), len(ratios))
     total = bind(grams, lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(model, b)) / F.size(g))
     stats = once(
-        rows, n_words=F.size("words").cast("long"), word_chars=F.length(F.translate(text, SPACES, "")).cast("long"),
-        n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        rows, n_words=F.size("words").cast("long"), word_chars=F.length(F.array_join("words", "")).cast("long"),
+        n_symbols=F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
         n_dup_lines=bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
         n_repeat_words=_repeated(F.col("words"), F.col("hashes")),
         score=F.when(F.size("words") > 0, F.round(total, 9)))
