@@ -185,9 +185,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def find_links(members: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT, direct: int = DIRECT) -> DataFrame:
-    """(lo, hi) of confirmed links that connect what the buckets of ``members`` (key, node) hold.
+    """(lo, hi): edges that connect the nodes of ``members`` (key, node) as the confirmed links of their buckets do.
 
-    Any two members of a bucket are compared, unless they are already in one component.
+    Any two members of a bucket are compared, unless they are already in one component.  The links of the first round come
+    back as their components: each node with its component's smallest.
     """
     near = F.col("shared") * 100 >= F.col("total") * percent
     # Every bucket's centre against all its members.  Drawn in one of four orders, so that the many buckets of one group share
@@ -202,6 +203,7 @@ def find_links(members: DataFrame, texts: DataFrame, size: int = WORDS, percent:
     links = tested.filter(near).select("lo", "hi").distinct()
     # What is still apart in a bucket.
     label = components(links)
+    joined = label.filter("label < node").select(F.col("label").alias("lo"), F.col("node").alias("hi"))
     labelled = starred.select("key", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stored(labelled, "labelled")
     apart = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "apart")
@@ -211,7 +213,7 @@ def find_links(members: DataFrame, texts: DataFrame, size: int = WORDS, percent:
     pairs = small.select("key", F.col("node").alias("lo"), "label").join(other, "key").filter("lo < hi and label <> hi_label")
     pairs = pairs.select("lo", "hi").distinct().join(tested.select("lo", "hi"), ["lo", "hi"], "left_anti")
     more = _verify(stored(pairs, "pairs"), texts, size).filter(near).select("lo", "hi")
-    return stored(links.unionByName(more).unionByName(_links_in_clusters(large, texts, size, percent)), "links")
+    return stored(joined.unionByName(more).unionByName(_links_in_clusters(large, texts, size, percent)), "links")
 
 
 def _links_in_clusters(large: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
