@@ -2,19 +2,26 @@
 
 Word unigrams and bigrams of the trusted texts and of the whole corpus are counted in hash buckets; the two
 multinomials give every bucket a log ratio, and a document's score is the mean of the log ratios of its n-grams.
+There are as many buckets as the corpus's n-grams call for, and their ratios are a written table that the n-grams are joined with.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import bind
-from spanlake.llm.common import SPACES, words_of
+from spanlake.llm.common import SPACES, row_key, stored, words_of
 from spanlake.operators.staging import once
 
-#: Hash buckets of the n-grams: the size of the model, whatever the corpus.
+#: Hash buckets of the n-grams: those of a model held in memory, and the least of a written one.
 BUCKETS = 16384
+#: N-grams of the corpus to a bucket of a written model: few enough that rare n-grams don't drown in ordinary text.
+BUCKET_GRAMS = 32
+#: A written model's log ratios are whole multiples of 1 / ``UNITS``: their sums don't depend on the order.
+UNITS = 1 << 40
 #: Trusted n-grams added to each bucket, and as many times the corpus is larger, corpus n-grams: a bucket with few n-grams says little.
 SMOOTHING = 20.0
 #: Mean log ratio under which a document is not like the trusted texts.
@@ -53,25 +60,57 @@ def _word_hashes(words: Column) -> Column:
 
 def ngram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
     """Buckets of all unigrams, then of all bigrams, from the hashes of a text's words."""
-    m = F.lit(buckets).cast("long")
-    one = F.transform(hashes, lambda h: F.pmod(h, m).cast("int"))
+    m, kind = F.lit(buckets).cast("long"), "int" if buckets <= 1 << 31 else "long"
+    one = F.transform(hashes, lambda h: F.pmod(h, m).cast(kind))
     two = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0))),
-                     lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), m).cast("int")))
+                     lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), m).cast(kind)))
     return F.concat(one, F.slice(two, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))
 
 
-def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
-    """Log ratio trusted / corpus of every bucket, from all texts of ``docs``; ``trusted`` holds ids.
-
-    Counts are added up before the shuffle; ``buckets`` numbers come back to the driver.
-    """
+def _bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """(bucket, corpus, target): n-grams of all texts and of those whose id is in ``trusted``; added up before the shuffle."""
     marks = trusted.select(F.col(id_col).alias("_trusted")).filter("_trusted is not null").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     # Trusted ids grow with the corpus: the texts are shuffled to them at any size.
     marked = texts.join(marks.hint("merge"), F.col("_id") == F.col("_trusted"), "left")
     hashes = once(marked.select(F.col("_trusted").isNotNull().alias("in_target"), "_text"), hashes=_word_hashes(words_of(F.col("_text"))))
     grams = hashes.select("in_target", F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.count(F.when(F.col("in_target"), 1)).alias("target"))
+    return grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.count(F.when(F.col("in_target"), 1)).alias("target"))
+
+
+@dataclass(frozen=True)
+class RatioTable:
+    """A written model: (bucket, units) of every bucket met, its log ratio in ``UNITS``; a bucket never met has ratio 0."""
+
+    table: DataFrame
+    buckets: int
+
+
+def bucket_number(grams: int) -> int:
+    """Buckets for a corpus of so many n-grams: the power of two that puts ``BUCKET_GRAMS`` or fewer in one."""
+    return max(BUCKETS, 1 << max(0, -(-grams // BUCKET_GRAMS) - 1).bit_length())
+
+
+def fit_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> RatioTable:
+    """``fit_ratios`` with as many buckets as the n-grams of ``docs`` call for, as a written table; three numbers come back to the driver."""
+    n_words = F.size(words_of(F.col(text_col)))
+    grams = docs.agg(F.sum(F.greatest(2 * n_words - 1, F.lit(0)).cast("long"))).first()[0] or 0
+    buckets = bucket_number(grams)
+    counts = stored(_bucket_counts(docs, trusted, id_col, text_col, buckets), "ngram-counts")
+    corpus, target = counts.agg(F.sum("corpus"), F.sum("target")).first()
+    if not target:  # nothing to compare with: no n-gram speaks for or against a text
+        return RatioTable(counts.select("bucket", F.lit(0).cast("long").alias("units")), buckets)
+    times = corpus / target
+    ratio = F.log((F.col("target") + SMOOTHING) * times / (F.col("corpus") + SMOOTHING * times))
+    return RatioTable(counts.select("bucket", F.round(ratio * UNITS).cast("long").alias("units")), buckets)
+
+
+def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
+    """Log ratio trusted / corpus of every bucket, from all texts of ``docs``; ``trusted`` holds ids.
+
+    For small corpora: ``buckets`` numbers come back to the driver.  ``fit_table`` grows with the corpus.
+    """
+    counts = _bucket_counts(docs, trusted, id_col, text_col, buckets)
     corpus, target = [0] * buckets, [0] * buckets
     for row in counts.collect():  # at most ``buckets`` rows
         corpus[row["bucket"]], target[row["bucket"]] = row["corpus"], row["target"]
@@ -92,8 +131,19 @@ def log_ratios(corpus: list[int], target: list[int], smoothing: float = SMOOTHIN
     return [log((t + smoothing) * times / (c + wide)) for c, t in zip(corpus, target)]
 
 
-def quality_rules(docs: DataFrame, ratios: list[float], min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Text statistics, score and verdict of every row, without a shuffle.
+def joined_scores(docs: DataFrame, model: RatioTable, id_col: str, text_col: str) -> DataFrame:
+    """(_scored, score): the mean log ratio of every row with words, by its key; every n-gram is joined with the written table."""
+    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("_scored"), F.col(text_col).alias("_text"))
+    hashes = once(rows, hashes=_word_hashes(words_of(F.col("_text")))).select("_scored", "hashes")
+    grams = hashes.select("_scored", F.explode(ngram_buckets(F.col("hashes"), model.buckets)).alias("bucket"))
+    # Frequent n-grams fill partitions, which Spark splits; a partition of the model has few rows.
+    met = grams.join(model.table.hint("shuffle_hash"), "bucket", "left")
+    # Repeated rows add n-grams and sums alike.
+    return met.groupBy("_scored").agg((F.sum(F.coalesce("units", F.lit(0).cast("long"))) / F.count("*") / UNITS).alias("score"))
+
+
+def quality_rules(docs: DataFrame, ratios: list[float] | RatioTable, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Text statistics, score and verdict of every row; without a shuffle if ``ratios`` is a list.
 
     id, ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a word, equal to an
     earlier line), ``n_repeat_words`` (words in 5-word windows found twice or more), ``base_failed``, ``score`` (mean log ratio,
@@ -101,20 +151,27 @@ def quality_rules(docs: DataFrame, ratios: list[float], min_score: float = MIN_S
     come back as often as they are there; other columns play no part.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     rows = once(rows, words=words_of(F.col("_text")))
     rows = once(rows, hashes=_word_hashes(F.col("words")))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
-    # One literal for the whole model, folded when the query is planned.
-    model = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    grams = ngram_buckets(F.col("hashes"), len(ratios))
-    total = bind(grams, lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(model, b)) / F.size(g))
+    if isinstance(ratios, RatioTable):
+        total = F.lit(None).cast("double")
+    else:
+        # One literal for the whole model, folded when the query is planned.
+        model = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
+        grams = ngram_buckets(F.col("hashes"), len(ratios))
+        total = bind(grams, lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(model, b)) / F.size(g))
     stats = once(
         rows, n_words=F.size("words").cast("long"), word_chars=F.length(F.array_join("words", "")).cast("long"),
         n_symbols=F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
         n_dup_lines=bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
         n_repeat_words=_repeated(F.col("words"), F.col("hashes")),
         score=F.when(F.size("words") > 0, F.round(total, 9)))
+    if isinstance(ratios, RatioTable):
+        found = joined_scores(docs, ratios, id_col, text_col)
+        numbers = stored(stats.drop("score", "words", "hashes", "_text"), "rules")
+        stats = numbers.join(stored(found, "scores"), F.col("_key") == F.col("_scored"), "left").withColumn("score", F.round("score", 9))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return stats.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         failed.alias("base_failed"), "score", (~failed & (F.col("score") >= min_score)).alias("kept"))

@@ -94,3 +94,24 @@ def test_rules_tell_junk_from_clean(spark):
     fitted = qr.quality_rules(docs, qr.fit_ratios(docs, labels.filter("quality = 1 and doc_id % 2 = 0")))
     held = fitted.filter("n_words >= 10").join(labels.filter("doc_id % 2 = 1"), "doc_id").select("quality", "kept").toPandas()
     assert held[held.quality == 1].kept.mean() > 0.97 and held[held.quality == 0].kept.mean() < 0.55
+
+
+def test_rules_with_a_written_model(spark):
+    docs, trusted = frame(spark), spark.createDataFrame([(i,) for i in (5, 6, 7, 7, None, 60, 99)], "doc_id long")
+    model, small = qr.fit_table(docs, trusted), qr.fit_ratios(docs, trusted)
+    assert model.buckets == qr.BUCKETS  # the least
+    for row in model.table.collect():
+        assert abs(row["units"] / qr.UNITS - small[row["bucket"]]) < 1e-12
+    got, want = (sorted(((*r[:7], r.score is not None and round(r.score, 6), r.kept) for r in qr.quality_rules(docs, m).collect()), key=repr) for m in (model, small))
+    assert got == want and len(got) == len(rows())
+    assert qr.quality_rules(docs, qr.fit_table(empty(spark), trusted)).filter("score <> 0").count() == 0
+    assert qr.quality_rules(empty(spark), model).count() == 0
+
+
+def test_buckets_grow_with_the_corpus(spark):
+    assert [qr.bucket_number(n) for n in (0, 32 * qr.BUCKETS, 32 * qr.BUCKETS + 1, 8_000_000, 15_600_000_000)] == [qr.BUCKETS, qr.BUCKETS, 2 * qr.BUCKETS, 1 << 18, 1 << 29]
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = qr.fit_table(docs, labels.filter("quality = 1 and doc_id % 2 = 0"))
+    assert model.buckets == 1 << 18
+    held = qr.quality_rules(docs, model).filter("not base_failed").join(labels.filter("doc_id % 2 = 1"), "doc_id").select("quality", "kept").toPandas()
+    assert held[held.quality == 1].kept.mean() > 0.99 and held[held.quality == 0].kept.mean() < 0.05
