@@ -2,7 +2,8 @@
 
 Four sources meet in one posterior: the text's likelihood under hashed character trigrams of each language, the declared
 markup language, the suffix of the address, and a prior of the host, whose language counts are shrunk towards its
-domain's and these towards the corpus's.
+domain's and these towards the corpus's.  The languages are those that the rows declare, whichever they are; beside them
+stands a background that draws trigrams at random, for texts that no language explains.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import keep_rows, python_ready, row_key, stored
+from spanlake.llm.common import SPACES, keep_rows, python_ready, row_key, stored
 from spanlake.llm.pieces import CACHE
 from spanlake.llm.quality_classifier import words
 from spanlake.operators.staging import once
 
-LANGUAGES = ("en", "de", "fr", "es")
+#: Languages if no row declares one; the name of a text that is in none.
+LANGUAGES, NONE = ("en", "de", "fr", "es"), "und"
 #: Hash buckets of the trigrams, pseudo-count of each; trigrams that a text counts for at most.
 BUCKETS, SMOOTHING, EVIDENCE_GRAMS = 8192, 0.5, 60
 #: Probability that a declared language, and the language of an address suffix, is the text's.
 DECLARED_TRUST, SUFFIX_TRUST = 0.9, 0.7
+#: Probability that a text is in none of the languages, before it is read.
+NONE_PRIOR = 0.05
 #: Documents that the level above counts for: corpus behind a domain, domain behind a host.
 DOMAIN_STRENGTH, HOST_STRENGTH = 50.0, 20.0
 #: Posterior of the best language from which a document is kept.
@@ -31,8 +35,26 @@ MIN_CONFIDENCE = 0.6
 SUFFIX_LANGUAGE = {
     "at": "de", "de": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "pe": "es",
     "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "gov": "en", "edu": "en",
+    "it": "it", "pl": "pl", "ru": "ru", "tr": "tr", "cn": "zh", "tw": "zh", "jp": "ja", "kr": "ko", "nl": "nl", "pt": "pt", "br": "pt", "se": "sv",
+    "no": "no", "dk": "da", "fi": "fi", "cz": "cs", "sk": "sk", "hu": "hu", "ro": "ro", "bg": "bg", "gr": "el", "ua": "uk", "ee": "et", "lv": "lv",
+    "lt": "lt", "hr": "hr", "si": "sl", "rs": "sr", "is": "is", "ir": "fa", "vn": "vi", "th": "th",
 }
 
+# Other spellings of a language's subtag (ISO 639-2 for its two letters; names that occur in markup).
+SUBTAGS = {other: code for code, *others in (x.split() for x in """
+    aa aar,ab abk,ae ave,af afr,ak aka,am amh,an arg,ar ara,as asm,av ava,ay aym,az aze,ba bak,be bel,bg bul,bi bis,bm bam,bn ben,bo bod tib,br bre,bs bos,
+    ca cat,ce che,ch cha,co cos,cr cre,cs ces cze,cu chu,cv chv,cy cym wel,da dan,de deu ger german deutsch,dv div,dz dzo,ee ewe,el ell gre,en eng english,
+    eo epo,es spa spanish español,et est,eu eus baq,fa fas per,ff ful,fi fin,fj fij,fo fao,fr fra fre french français,fy fry,ga gle,gd gla,gl glg,gn grn,gu guj,
+    gv glv,ha hau,he heb iw,hi hin,ho hmo,hr hrv,ht hat,hu hun,hy hye arm,hz her,ia ina,id ind in,ie ile,ig ibo,ii iii,ik ipk,io ido,is isl ice,it ita,iu iku,
+    ja jpn,jv jav,ka kat geo,kg kon,ki kik,kj kua,kk kaz,kl kal,km khm,kn kan,ko kor,kr kau,ks kas,ku kur,kv kom,kw cor,ky kir,la lat,lb ltz,lg lug,li lim,
+    ln lin,lo lao,lt lit,lu lub,lv lav,mg mlg,mh mah,mi mri mao,mk mkd mac,ml mal,mn mon,mr mar,ms msa may,mt mlt,my mya bur,na nau,nb nob,nd nde,ne nep,
+    ng ndo,nl nld dut,nn nno,no nor,nr nbl,nv nav,ny nya,oc oci,oj oji,om orm,or ori,os oss,pa pan,pi pli,pl pol,ps pus,pt por,qu que,rm roh,rn run,
+    ro ron rum,ru rus,rw kin,sa san,sc srd,sd snd,se sme,sg sag,si sin,sk slk slo,sl slv,sm smo,sn sna,so som,sq sqi alb,sr srp,ss ssw,st sot,su sun,sv swe,
+    sw swa,ta tam,te tel,tg tgk,th tha,ti tir,tk tuk,tl tgl,tn tsn,to ton,tr tur,ts tso,tt tat,tw twi,ty tah,ug uig,uk ukr,ur urd,uz uzb,ve ven,vi vie,vo vol,
+    wa wln,wo wol,xh xho,yi yid ji,yo yor,za zha,zh zho chi,zu zul""".split(",")) for other in others}
+#: Subtags that name no language.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx", "nil")
+
 
 def trigram_buckets(found: list[str], buckets: int = BUCKETS):
     """(buckets, starts, inside): the trigrams of words in lower case, their ends included, one word after the other.
@@ -122,8 +144,22 @@ def fit_trigrams(docs: DataFrame, declared: Column, languages: tuple[str, ...] =
     return (np.log(sums + SMOOTHING) - np.log((sums + SMOOTHING).sum(axis=1, keepdims=True))).tolist()
 
 
+def declared_language(says: Column) -> Column:
+    """The language that a declaration names: its whole first subtag (``en`` of ``en-GB`` and ``eng``, ``et`` of ``est``); NULL if it names none."""
+    first = F.nullif(F.regexp_extract(F.lower(F.trim(says)), r"^(\p{L}+)(?:[-_.@].*)?$", 1), F.lit(""))
+    known = F.coalesce(F.create_map(*[F.lit(x) for kv in SUBTAGS.items() for x in kv])[first], first)
+    return F.when(known.rlike("^[a-z]{2,3}$") & ~known.isin(*NO_LANGUAGE), known)
+
+
+def declared_languages(docs: DataFrame, declared: Column, text_col: str = "text") -> tuple[str, ...]:
+    """The languages that rows with a text declare, the most frequent first; subtags of three letters at most come back to the driver."""
+    found = docs.select(declared.alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & (F.trim("text", F.lit(SPACES)) != ""))
+    counts = found.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    return tuple(r["lang"] for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))) or LANGUAGES
+
+
 def text_likelihood(rows: DataFrame, model: list[list[float]], text_col: str = "_text", cap: int = EVIDENCE_GRAMS) -> DataFrame:
-    """``rows`` without the text, with ``n_words`` and ``likelihood`` (log, one per language)."""
+    """``rows`` without the text, with ``n_words`` and ``likelihood`` (log, one per language, then that of buckets drawn at random)."""
     python_ready(rows.sparkSession)
     logs = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -131,14 +167,14 @@ def text_likelihood(rows: DataFrame, model: list[list[float]], text_col: str = "
         import numpy as np
         import pyarrow as pa
         table = WordTable(logs.value)
-        none = np.zeros(len(table.logs))
+        none, random = np.zeros(len(table.logs) + 1), -np.log(table.logs.shape[1])
         for batch in batches:
             n, likelihood = [], []
             for text in batch.column(text_col).to_pylist():
                 found = words((text or "").lower())
                 n.append(len(found))
                 total = table.total(found) if found else none
-                likelihood.append((total[:-1] / total[-1] * min(total[-1], cap) if found else none).tolist())
+                likelihood.append((np.append(total[:-1] / total[-1], random) * min(total[-1], cap) if found else none).tolist())
             kept = [(batch.column(i), name) for i, name in enumerate(batch.schema.names) if name != text_col]
             yield pa.RecordBatch.from_arrays([c for c, _ in kept] + [pa.array(n, pa.int64()), pa.array(likelihood, pa.list_(pa.float64()))],
                                              names=[name for _, name in kept] + ["n_words", "likelihood"])
@@ -156,8 +192,10 @@ def posterior(logs: list[Column]) -> list[Column]:
 
 
 def host_priors(scored: DataFrame, languages: tuple[str, ...], domain_strength: float = DOMAIN_STRENGTH, host_strength: float = HOST_STRENGTH) -> DataFrame:
-    """(_host, prior): language shares of each host, shrunk to its domain's, these to the corpus's; sums over all documents."""
-    p = posterior([F.get("likelihood", i) for i in range(len(languages))])
+    """(_host, prior): language shares of each host, shrunk to its domain's, these to the corpus's; sums over all documents.
+
+    A document counts as far as it is in a language at all."""
+    p = posterior([F.get("likelihood", i) for i in range(len(languages) + 1)])[:-1]
     known = F.col("n_words") > 0
     soft = once(scored.select("host", "n_words", "likelihood"), **{f"p{i}": F.when(known, x).otherwise(0.0) for i, x in enumerate(p)})
     hosts = stored(soft.groupBy("host").agg(*[F.sum(f"p{i}").alias(f"n{i}") for i in range(len(languages))]).withColumn("domain", domain_of(F.col("host"))), "hosts")
@@ -192,19 +230,20 @@ def page_rows(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", text.alias("text"), declared.alias("declared"), F.nullif(host, F.lit("")).alias("host"))
 
 
-def identify_languages(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, min_confidence: float = MIN_CONFIDENCE, declared: str = "lang",
+def identify_languages(docs: DataFrame, languages: tuple[str, ...] | None = None, min_confidence: float = MIN_CONFIDENCE, declared: str = "lang",
                        host: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of every row: id, ``n_words``, ``declared``, ``text_language`` (by the text alone), ``language``, ``confidence``, ``kept``.
 
-    ``declared`` and ``host`` are expressions over the columns of ``docs``; a NULL or unknown declaration says nothing, NULL is a
-    host of its own.  NULL and blank texts have no language and aren't kept.  Of equal probabilities the language that
-    is first in ``languages`` wins.  Every row comes back once; other columns play no part.
+    ``declared`` and ``host`` are expressions over the columns of ``docs``; a NULL declaration and one that names no language say nothing,
+    NULL is a host of its own.  ``languages`` are all declared ones unless they are given.  A text that none of them explains
+    better than trigrams drawn at random is in 'und' and isn't kept.  NULL and blank texts have no language and aren't kept.  Of equal
+    probabilities the language that is first in ``languages`` wins.  Every row comes back once; other columns play no part.
     """
     found = _judged(docs, languages, min_confidence, declared, host, id_col, text_col)
     return found.drop("_key").withColumnRenamed("_id", id_col)
 
 
-def keep_languages(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, min_confidence: float = MIN_CONFIDENCE, declared: str = "lang",
+def keep_languages(docs: DataFrame, languages: tuple[str, ...] | None = None, min_confidence: float = MIN_CONFIDENCE, declared: str = "lang",
                    host: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``identify_languages`` keeps, all their columns as they are."""
     found = _judged(docs, languages, min_confidence, declared, host, id_col, text_col)
@@ -216,8 +255,10 @@ def _key(declared: str, host: str, id_col: str, text_col: str) -> Column:
     return row_key(F.col(id_col), F.col(text_col), F.expr(f"cast({declared} as string)"), F.expr(f"cast({host} as string)"))
 
 
-def _judged(docs: DataFrame, languages: tuple[str, ...], min_confidence: float, declared: str, host: str, id_col: str, text_col: str) -> DataFrame:
-    says = F.lower(F.substring(F.expr(f"cast({declared} as string)"), 1, 2))
+def _judged(docs: DataFrame, languages: tuple[str, ...] | None, min_confidence: float, declared: str, host: str, id_col: str, text_col: str) -> DataFrame:
+    says = declared_language(F.expr(f"cast({declared} as string)"))
+    languages = languages or declared_languages(docs, says, text_col)
+    named_so = (*languages, NONE)
     model = fit_trigrams(docs, says, languages, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("_id"), _key(declared, host, id_col, text_col).alias("_key"), F.expr(f"cast({declared} as string)").alias("declared"),
                        says.alias("says"), F.expr(f"cast({host} as string)").alias("host"), F.col(text_col).alias("_text"))
@@ -228,18 +269,19 @@ def _judged(docs: DataFrame, languages: tuple[str, ...], min_confidence: float,
     fused = fused.withColumn("points", F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])[address_suffix(F.col("host"))])
 
     def says_so(column: str, language: str, trust: float) -> Column:
-        """Log probability of what a source says, given the language."""
-        other = (1 - trust) / max(1, len(languages) - 1)
+        """Log probability of what a source says, given the language; a text in none may say anything."""
+        other = (1 - trust) / max(1, len(languages) - 1) if language != NONE else 1 / len(languages)
         return F.when(F.col(column).isin(*languages), F.log(F.when(F.col(column) == language, F.lit(trust)).otherwise(F.lit(other)))).otherwise(F.lit(0.0))
 
-    logs = [F.get("likelihood", i) + F.log(F.get("prior", i)) + says_so("says", x, DECLARED_TRUST) + says_so("points", x, SUFFIX_TRUST) for i, x in enumerate(languages)]
+    prior = [F.get("prior", i) * (1 - NONE_PRIOR) for i in range(len(languages))] + [F.lit(NONE_PRIOR)]
+    logs = [F.get("likelihood", i) + F.log(p) + says_so("says", x, DECLARED_TRUST) + says_so("points", x, SUFFIX_TRUST) for i, (x, p) in enumerate(zip(named_so, prior))]
     best = lambda values: F.array_max(F.array(*[F.struct(v.alias("p"), F.lit(-i).alias("i")) for i, v in enumerate(values)]))
-    named = lambda b: F.get(F.array(*[F.lit(x) for x in languages]), -b["i"])
+    named = lambda b: F.get(F.array(*[F.lit(x) for x in named_so]), -b["i"])
     # Staged: each step uses the one before many times.
     fused = once(fused, **{f"_w{i}": x for i, x in enumerate(logs)})
-    fused = once(fused, **{f"_p{i}": x for i, x in enumerate(posterior([F.col(f"_w{i}") for i in range(len(languages))]))})
-    fused = once(fused, _best=best([F.col(f"_p{i}") for i in range(len(languages))]), _text=best([F.get("likelihood", i) for i in range(len(languages))]))
+    fused = once(fused, **{f"_p{i}": x for i, x in enumerate(posterior([F.col(f"_w{i}") for i in range(len(named_so))]))})
+    fused = once(fused, _best=best([F.col(f"_p{i}") for i in range(len(named_so))]), _text=best([F.get("likelihood", i) for i in range(len(named_so))]))
     read = F.col("n_words") > 0
     confidence = F.when(read, F.round(F.col("_best")["p"], 9))
     return fused.select("_id", "_key", "n_words", "declared", F.when(read, named(F.col("_text"))).alias("text_language"), F.when(read, named(F.col("_best"))).alias("language"),
-                        confidence.alias("confidence"), F.coalesce(confidence >= min_confidence, F.lit(False)).alias("kept"))
+                        confidence.alias("confidence"), F.coalesce((confidence >= min_confidence) & (F.col("_best")["i"] != -len(languages)), F.lit(False)).alias("kept"))

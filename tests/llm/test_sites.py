@@ -77,6 +77,30 @@ def test_hard_rows_of_languages(spark):
     assert lg.identify_languages(empty(spark)).count() == 0 == lg.keep_languages(empty(spark)).count()
 
 
+POLISH = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować".split()
+FOREIGN = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由，在尊严和权利上一律平等。", "Bütün insanlar hür ve haklar bakımından eşit doğarlar",
+           "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti", "xq zzkp qwv jjx kkq vbnm zxq wqp lkjx qqz xcvw zzq"]
+
+
+def test_languages_are_the_declared_ones_or_none(spark):
+    docs = tables(spark)[0].select("doc_id", "text", "lang", "source")
+    polish = [(1000 + i, " ".join(POLISH[i % 5:] + POLISH[:i % 7]), ("pl", "pol", "pl-PL", None)[i % 4], "src0") for i in range(40)]
+    foreign = [(2000 + i, text, lang, "src0") for i, (text, lang) in enumerate((t, x) for t in FOREIGN for x in (None, "en"))]
+    both = docs.union(spark.createDataFrame(polish + foreign, docs.schema))
+    got = {r.doc_id: r for r in lg.identify_languages(both).collect()}
+    assert all(got[i].language == "pl" and got[i].kept for i, *_ in polish)
+    assert all(got[i].language == got[i].text_language == "und" and not got[i].kept for i, *_ in foreign)
+    known = [got[r.doc_id] for r in docs.collect()]
+    assert sum(r.kept and r.language == r.declared for r in known if r.n_words > 5) > 0.95 * sum(r.n_words > 5 for r in known)
+    assert {r.doc_id for r in lg.keep_languages(both).collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_declarations_are_whole_subtags(spark):
+    want = {"est": "et", "es-MX": "es", "ESP": "esp", "spa": "es", "en_US.UTF-8": "en", " German ": "de", "und": None, "n/a": None, "no info": None, "": None, "x-klingon": None, None: None}
+    got = spark.createDataFrame([*enumerate(want)], "i int, says string").select("says", lg.declared_language(lg.F.col("says")).alias("lang")).collect()
+    assert {r.says: r.lang for r in got} == want
+
+
 def check_shards(docs, got, shards, close):
     bytes_of = lambda t: len((t or "").encode()) + 1
     crc = lambda t: crc32((t or "").encode())
