@@ -6,6 +6,9 @@ found by the first, a license notice inside a document by the second.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,23 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("proprietary", False, "Proprietary and confidential."),
 ]
 
+
+
+def whole_texts() -> list[tuple[str, bool, str]]:
+    """Entire license texts of the file beside this one, each with and without its titles and what may follow it (appendix);
+    the short ones also with 'All rights reserved.' after the copyright line."""
+    out = []
+    for x in json.loads(Path(__file__).with_name("license_texts.json").read_text(encoding="utf-8")):
+        reserved = ["", "All rights reserved."] if x["license"] in RESERVED else [""]
+        out += [(x["license"], x["permissive"], "\n\n".join(filter(None, (title, more, text, tail))))
+                for title in ["", *x["titles"]] for more in reserved for text in x["texts"] for tail in x["tails"]]
+    return out
+
+
+#: Licenses under whose copyright line 'All rights reserved.' is usual.
+RESERVED = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")
+KNOWN += whole_texts()
+
 #: Lines that only state who holds the copyright; they differ from work to work.
 COPYRIGHT_LINE = r"(?md)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*(\n|$)"
 BETWEEN_WORDS = r"[^\p{L}\p{N}©\n]+"

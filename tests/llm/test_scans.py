@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import textwrap
 from collections import Counter
 from hashlib import sha256
 from math import log
 
+import public_tokenizers
 import xxhash
 from corpus import empty, frame, rows
 
@@ -50,6 +52,23 @@ def test_license_scan(spark):
     assert li.scan_licenses(empty(spark), li.known_digests(spark)).count() == 0
 
 
+def test_whole_license_files(spark):
+    files, want = [], []
+    for x in li.json.loads(li.Path(li.__file__).with_name("license_texts.json").read_text(encoding="utf-8")):
+        for title in ["", *x["titles"]]:
+            for i, tail in enumerate(x["tails"]):
+                whole = "\n".join(filter(None, (title, "\nCopyright (c) 2019-2021 Ann Lee\n", x["texts"][-1], tail)))
+                files.append("\n".join(textwrap.fill(line, 100) for line in whole.split("\n")))
+                want.append(x["license"])
+    parts = dict(re.findall(r"(?ms)^(\S+_bpe_\S+):\n(.*?)(?=^\S+_bpe_\S+:\n|\Z)", open(public_tokenizers.path("LICENSES.txt"), encoding="utf-8").read()))
+    files.append(parts["byte_bpe_*"])
+    want.append("MIT")
+    docs = spark.createDataFrame([*enumerate(files)], "doc_id long, text string")
+    got = {r.doc_id: r for r in li.scan_licenses(docs, li.known_digests(spark)).collect()}
+    assert [got[i].text_license for i in range(len(files))] == want
+    assert {"MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(want)
+
+
 def plain_base(text):
     words = WORD.findall(text or "")
     windows = Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
