@@ -75,13 +75,40 @@ def whole_texts() -> list[tuple[str, bool, str]]:
 RESERVED = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")
 KNOWN += whole_texts()
 
-#: Lines that only state who holds the copyright; they differ from work to work.
-COPYRIGHT_LINE = r"(?md)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*(\n|$)"
+# Words after 'copyright' where a line is part of a sentence, not a statement of the holder.
+AFTER_COPYRIGHT = [
+    "holder", "holders", "notice", "notices", "owner", "owners", "license", "licenses", "licence", "licences", "law", "laws", "treaty", "treaties", "act", "acts",
+    "interest", "interests", "right", "rights", "protection", "statement", "statements", "infringement", "and", "or", "in", "on", "of", "to", "for", "is", "are", "as", "the",
+]
+
+
+def other_than(words: list[str]) -> str:
+    """A pattern for any word but these, without looking ahead (the SQL engine's patterns can't)."""
+    heads = sorted({w[0] for w in words if w})
+    rest = "".join(f"|{c}{other_than([w[1:] for w in words if w[:1] == c])}" for c in heads)
+    whole = rf"(?:[^{''.join(heads)} \t\n.,:;][^ \t\n.,:;]*{rest})"
+    return whole if "" in words else whole + "?"
+
+
+def _copyright_line() -> str:
+    year = "(?:19|20)[0-9][0-9]"
+    name = "(?:" + other_than(AFTER_COPYRIGHT)[:-1] + ")"
+    signed = r"copyright[ \t:,]*(?:\(c\)|©)|(?:\(c\)|©)[ \t:,]*copyright|©"
+    dated = rf"\(c\)[^\n.]{{0,60}}?{year}|copyright[ \t:,]+(?:{year}|[<\[{{(](?:yyyy|year))|copyright[ \t:,]+{name}[ \t,:;]+(?:[^\n.]{{0,60}}[^\n.0-9])?{year}"
+    # Periods that don't end the statement: of an initial, inside a word, before 'and' or a bracket ('Inc. and others').
+    on = r"[^\n.]*(?:[ \t.][a-z]\.|\.[^ \t\n]|\.[ \t]+(?:(?:and|or|&|et)[ \t]|[<(\[]))"
+    end = r"(?:\.[ \t]+|\.?(?:\n|$))"
+    return rf"(?md)^[ \t#*/;-]*(?:(?:{signed}|{dated})(?:{on}){{0,40}}[^\n.]*|copyright[ \t]+{name}(?:[ \t]+[^ \t\n.,:;]+){{0,2}}[ \t]*){end}"
+
+
+#: Statements at the start of a line of who holds the copyright, up to the end of the sentence; they differ from work to work.  A statement
+#: has the word and a sign or year, the sign, (c) and a year, or is the word with a name of up to three words alone on the line.
+COPYRIGHT_LINE = _copyright_line()
 BETWEEN_WORDS = r"[^\p{L}\p{N}©\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
-    """One form for all ways to write a license text, line by line: lower case, no copyright lines, single spaces in
+    """One form for all ways to write a license text, line by line: lower case, no copyright statements, single spaces in
     place of punctuation and white space, one spelling.  Lines without a word are empty."""
     body = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(COPYRIGHT_LINE), F.lit(""))
     # Two spaces around each word, so that every replaced word has both of its own.

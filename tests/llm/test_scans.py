@@ -69,6 +69,24 @@ def test_whole_license_files(spark):
     assert {"MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(want)
 
 
+def test_copyright_statements_end_with_their_sentence(spark):
+    want = {"Copyright (c) 2021 Acme Inc. All rights reserved.": "all rights reserved", "(c) 2020 Jane Doe. Licensed under CC BY-NC 4.0.": "licensed under cc by nc 4 0",
+            "COPYRIGHT HOLDERS BE LIABLE FOR ANY": "copyright holders be liable for any", "copyright notice": "copyright notice", "(c) You must retain": "c you must retain",
+            "copyright treaty adopted on 20 December 1996, and": "copyright treaty adopted on 20 december 1996 and", "# Copyright 2020 J. R. Smith": "",
+            "Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>": "", "© Meta Platforms, Inc. and affiliates.": "", "Copyright [yyyy] [name of copyright owner]": "",
+            "(c) 2020 a" + " b" * 20_000: ""}
+    rows_ = spark.createDataFrame([*enumerate(want)], "doc_id int, text string")
+    assert [r.c for r in rows_.orderBy("doc_id").select(li.canonical(li.F.col("text")).alias("c")).collect()] == [*want.values()]
+    found = {r.doc_id: r for r in li.scan_licenses(rows_, li.known_digests(spark)).collect()}
+    assert [(found[i].licenses, found[i].permissive, found[i].n_lines) for i in (0, 1)] == [("proprietary", False, 1), ("CC-BY-NC-4.0", False, 1)]
+    # Whole texts, wrapped so that lines begin with 'copyright' here and there.
+    mit = next(text for name, _, text in li.KNOWN if name == "MIT" and "AUTHORS OR COPYRIGHT" in text)
+    files = ["Copyright (c) 2020 Ann Lee\n\n" + textwrap.fill(mit, n) for n in range(20, 100)]
+    assert any("\nCOPYRIGHT" in f for f in files)
+    wrapped = li.scan_licenses(spark.createDataFrame([*enumerate(files)], "doc_id int, text string"), li.known_digests(spark))
+    assert wrapped.filter("text_license = 'MIT'").count() == len(files)
+
+
 def plain_base(text):
     words = WORD.findall(text or "")
     windows = Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
