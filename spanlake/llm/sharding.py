@@ -22,11 +22,30 @@ SCALE_BITS, TIE_BITS, ROUND_BITS = 20, 42, 14
 NUMBERED = 1024
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A dimension as a number; of a string its first six bytes, in order."""
+def value_ranks(rows: DataFrame, name: str) -> DataFrame:
+    """(_value, _rank): the distinct strings of a column, numbered in order from 0; dealt by ranges and numbered inside them."""
+    values = stored(rows.select(F.col(name).alias("_value")).distinct().repartitionByRange("_value").withColumn("_part", F.spark_partition_id()), "values")
+    counts = values.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # one row a range
+    offsets = stored(counts.withColumn("_before", before).select("_part", "_before"), "value-offsets")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_value")) - 1
+    return stored(values.withColumn("_at", inside).join(offsets, "_part").select("_value", (F.col("_at") + F.col("_before")).cast("double").alias("_rank")), "ranks")
+
+
+def _numbered(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with the columns ``names`` as numbers: of strings the rank among all values."""
+    for name in names:
+        if dict(rows.dtypes)[name] == "string":
+            # Both sides are plain tables or come from them: Spark splits the partition of a frequent value.
+            ranks = value_ranks(rows, name)
+            rows = rows.join(ranks, F.col(name) == F.col("_value")).withColumn(name, F.col("_rank")).drop("_value", "_rank")
+    return rows
+
+
+def _dimension(df: DataFrame, name: str) -> Column:
+    """A dimension's value; NULL counts as empty."""
     if dict(df.dtypes)[name] == "string":
-        head = F.rpad(F.hex(F.substring(F.coalesce(F.col(name), F.lit("")).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
+        return F.coalesce(F.col(name), F.lit(""))
     return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
 
@@ -97,16 +116,16 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
     id, ``size`` (UTF-8 bytes of the text plus 1; a NULL text has none), ``text_crc32`` (unsigned; 0 for NULL), ``law`` ('bytes'), ``shard``, ``slot``
     (gapless from 0 in a shard), ``grown_shard`` (NULL under this law).  Equal texts, NULLs too, share a shard, so one text
     with more than a shard's bytes makes its shard larger.  Metadata are the text's bytes and the columns ``dims`` (of
-    copies the smallest; NULL counts as empty); other columns play no part.  An empty table gives no rows.
+    copies the smallest; NULL counts as empty; strings by their rank among all values); other columns play no part.  An empty table gives no rows.
     """
     if (shards is None) == (target_bytes is None):
         raise ValueError("give shards or target_bytes")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-                       F.coalesce(F.sha2(text_col, 256), F.lit("")).alias("key"), *[_number(docs, d).alias(f"dim_{i}") for i, d in enumerate(dims)])
+                       F.coalesce(F.sha2(text_col, 256), F.lit("")).alias("key"), *[_dimension(docs, d).alias(f"dim_{i}") for i, d in enumerate(dims)])
     rows = stored(rows.withColumn("dim_bytes", F.log2(F.col("size").cast("double"))), "rows")
     names = ["dim_bytes", *[f"dim_{i}" for i in range(len(dims))]]
-    points = stored(rows.groupBy("key").agg(F.sum("size").alias("weight"), *[F.min(d).alias(d) for d in names]), "points")
+    points = stored(_numbered(rows.drop("id", "text_crc32"), names).groupBy("key").agg(F.sum("size").alias("weight"), *[F.min(d).alias(d) for d in names]), "points")
     if shards is None:
         total = points.agg(F.sum("weight")).first()[0] or 0
         shards = max(1, ceil(total / target_bytes))

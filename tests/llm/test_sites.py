@@ -134,3 +134,12 @@ def test_even_leaves_where_all_points_agree(spark):
     points = spark.range(4000).selectExpr("cast(id as string) as key", "1L as weight", "1.0D as a", "0.0D as b")
     counts = [r["count"] for r in sh.kd_leaves(points, ["a", "b"], 6).groupBy("leaf").count().collect()]
     assert len(counts) == 6 and max(counts) - min(counts) <= 4
+
+
+def test_strings_with_a_common_beginning_split_the_shards(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', lpad(id, 6, '0')) as text", "concat('https://site-', id % 4, '.org') as source", "'en' as lang")
+    got = sh.shard_documents(docs, 4).join(docs, "doc_id").groupBy("source").agg({"shard": "min"}).collect()
+    mixed = sh.shard_documents(docs, 4).join(docs, "doc_id").select("source", "shard").distinct().count()
+    assert {r["min(shard)"] for r in got} == {0, 1, 2, 3} and mixed == 4
+    ranks = sh.value_ranks(docs, "source").orderBy("_rank").collect()
+    assert [tuple(r) for r in ranks] == [(f"https://site-{i}.org", float(i)) for i in range(4)]
