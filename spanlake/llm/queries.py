@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlake.llm import exact_dedup, language, licenses, near_dedup, packing, pieces, quality_classifier, quality_rules, sharding, token_counts, variants, whitening
+from spanlake.llm import exact_dedup, language, licenses, main_text, near_dedup, packing, pieces, quality_classifier, quality_rules, sharding, token_counts, variants, whitening
 
 #: Tokenizer files of the registered queries.
 PIECE_MODEL, WORD_MODEL = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants_of(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_rules, op3_exact_dedup, op4_kd_sharding, op5_sentencepiece, op6_packing,
     op7_quality_classifier, op8_near_dedup, op9_language_id, op10_token_counts,
-    op12_spelling_variants, op13_embedding_whitening)}
+    op11_main_text, op12_spelling_variants, op13_embedding_whitening)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
