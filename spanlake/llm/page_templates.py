@@ -73,7 +73,7 @@ class _Page:
         return f"<{tag}{named}{extra}>{inner}</{tag}>"
 
     def links(self, low: int = 2, high: int = 9) -> str:
-        r, kind = self.rng, self.rng.choice(("li", "li", "a", "bar", "p", "plain"))
+        r, kind = self.rng, self.rng.choice(("li", "li", "li", "li", "a", "a", "bar", "bar", "p", "p", "plain"))
         items = [f'<a href="/{i}">{self.words(1, r.choice((1, 3, 8)), False)}</a>' for i in range(r.randint(low, high))]
         if kind == "li":
             return "<ul>" + "".join(f"<li>{x}" + ("</li>" if r.random() < 0.9 else "") for x in items) + "</ul>"
@@ -90,15 +90,16 @@ class _Page:
         r, out = self.rng, []
         kind = r.choice(("p", "p", "p", "bold", "div", "br", "mixed"))
         for _ in range(paragraphs):
+            longest = r.choice((1, 3, 15))
             text = mark + self.words(1, max(1, int(r.expovariate(1 / self.mean))))
             if r.random() < 0.2:
                 text += f' <a href="/x">{self.words(1, 4, False)}</a> {self.words(1, 9)}'
             form = kind if kind != "mixed" else r.choice(("p", "bold", "div", "list", "quote", "table", "head", "figure"))
-            if kind == "p" and r.random() < 0.1:
+            if kind == "p" and r.random() < 0.15:
                 form = r.choice(("list", "quote", "head", "table", "bold"))
             out.append({"p": f"<p>{text}</p>", "bold": f"<p><b>{text}<br>", "div": f"<div>{text}</div>", "br": f"{text}<br><br>",
                         "quote": f"<blockquote><p>{text}</p></blockquote>", "figure": f"<figure><img src=x><figcaption>{text}</figcaption></figure>",
-                        "list": "<ul>" + "".join(f"<li>{mark}{self.words(1, 15, r.random() < 0.5)}</li>" for _ in range(r.randint(1, 6))) + "</ul>",
+                        "list": "<ul>" + "".join(f"<li>{mark}{self.words(1, longest, r.random() < 0.5)}</li>" for _ in range(r.randint(1, 6))) + "</ul>",
                         "table": "<table>" + "".join(f"<tr><td>{mark}{self.words(1, 3, False)}<td>{mark}{r.randint(1, 9999)}</tr>" for _ in range(r.randint(1, 5))) + "</table>",
                         "head": self.heading(self.words(1, 7, False), mark)}[form])
         return "".join(out)

@@ -22,6 +22,8 @@ SCALE, OFFSET = 64, 1_000_000
 COMPONENTS, BLOCK, FAN = 16, 4096, 16
 #: Scaled entries are held to this size, so that integers fit.
 _LARGEST = float(1 << 62)
+#: Share of the largest eigenvalue up to which a direction counts as one without variance: rounding alone may bring it about.
+_NO_VARIANCE = 1e-20
 #: Relative distance below which eigenvalues are a cluster, whose vectors are made orthogonal one after the other.
 _CLUSTER = 1e-6
 
@@ -275,8 +277,7 @@ def directions(r, n: int, components: int = COMPONENTS):
         return [], np.zeros((r.shape[1], 0)), 0.0
     a, b, v = bidiagonal(r / size)
     values = dqds(a, b)
-    least = values[0] * (len(values) * np.finfo(float).eps) ** 2
-    k = min(components, sum(x > least for x in values))
+    k = min(components, sum(x > _NO_VARIANCE * values[0] for x in values))
     return [x * size * size / n for x in values[:k]], v @ right_vectors(a, b, values, k), sum(values) * size * size / n
 
 
