@@ -34,11 +34,22 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` doesn't have in any spelling."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, key: Column) -> DataFrame:
-    """The rows of ``docs`` whose id and key are among the kept ``verdicts`` (_id, _key, kept), all columns as they are."""
-    kept = verdicts.filter("kept").select("_id", F.col("_key").alias("_kept"))
-    marked = docs.withColumn("_key", key)
-    return marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept")), "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose id and key are among the kept ``verdicts`` (_id, _key, kept), all columns as they are, whatever their names."""
+    own, id_, kept = fresh(docs, "_key", "_kept_id", "_kept_key")
+    stay = verdicts.filter("kept").select(F.col("_id").alias(id_), F.col("_key").alias(kept))
+    return docs.withColumn(own, key).join(stay, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(kept)), "left_semi").drop(own)
 
 
 def python_ready(spark: SparkSession) -> None:

@@ -1,8 +1,8 @@
 """Exact duplicates by deterministic block naming.
 
-A text is cut into blocks of a fixed number of bytes.  All blocks of the corpus are sorted by (64-bit key, bytes);
-a block's integer name is its key together with its rank among the different blocks of that key, so
-two blocks have one name if and only if they hold the same bytes.  Names of adjacent blocks are then named as
+A text is cut into blocks of a fixed number of bytes.  In the order of (64-bit key, bytes) a block's integer name is its
+key together with its rank among the different blocks of that key, so two blocks have one name if and only if they hold
+the same bytes.  Only blocks whose key belongs to another block too are sorted; for all others the rank is 0.  Names of adjacent blocks are then named as
 pairs in the same way, level by level, until every document has a single name.  No name rests on a
 hash alone: blocks that share a key are told apart by their bytes, pairs by the names they are made of.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spanlake.llm.common import stored
+from spanlake.llm.common import fresh, stored
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -107,13 +107,12 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of rows repeated with the same id and text the smallest by all columns stays.
     """
-    found = exact_duplicates(docs, id_col, text_col).filter("kept").select(
-        F.col(id_col).alias("_k_id"), F.col("text_sha256").alias("_k_sha")).distinct()
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    stay = docs.withColumn("_sha", sha).join(found, F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.col("_sha") == F.col("_k_sha")), "left_semi")
-    again = stored(stay.groupBy(id_col, "_sha").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "repeated")
-    again = again.select(F.col(id_col).alias("_k_id"), F.col("_sha").alias("_k_sha"))
-    same = F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.col("_sha") == F.col("_k_sha"))
-    once = stay.join(again, same, "left_anti").select(*docs.columns)
-    first = stay.join(again, same, "left_semi").groupBy(id_col, "_sha").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return once.unionByName(first.select(*docs.columns))
+    own, id_, sha, n = fresh(docs, "_sha", "_kept_id", "_kept_sha", "_n")
+    found = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha))
+    stay = docs.withColumn(own, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(found, same, "left_semi")
+    again = stored(stay.groupBy(id_col, own).agg(F.count("*").alias(n)).filter(F.col(n) > 1).drop(n), "repeated")
+    again = again.select(F.col(id_col).alias(id_), F.col(own).alias(sha))
+    once = stay.join(again, same, "left_anti").drop(own)
+    first = stay.join(again, same, "left_semi").groupBy(id_col, own).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.unionByName(first)

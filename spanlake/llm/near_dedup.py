@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import python_ready, stored
+from spanlake.llm.common import fresh, python_ready, stored
 
 #: Words of a shingle, least similarity in percent, bands per collection, minima per band.
 WORDS, PERCENT, BANDS, ROWS = 3, 85, 8, 2
@@ -312,9 +312,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, band
     Of rows repeated with one id or of one text without an id the smallest by all columns stays.
     """
     found = _judged(docs, size, percent, bands, rows, id_col, text_col).filter("kept")
-    stay = stored(found.groupBy(F.col("own").alias("_own")).agg(F.count("*").alias("_n")), "stay")
-    keyed = docs.withColumn("_vertex", vertex(F.col(id_col), F.col(text_col)))
-    single = keyed.join(stay.filter("_n = 1"), F.col("_vertex") == F.col("_own"), "left_semi").select(*docs.columns)
-    again = keyed.join(stay.filter("_n > 1"), F.col("_vertex") == F.col("_own"), "left_semi")
-    first = again.groupBy("_vertex").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return single.unionByName(first.select(*docs.columns))
+    own, stays, n = fresh(docs, "_vertex", "_own", "_n")
+    stay = stored(found.groupBy(F.col("own").alias(stays)).agg(F.count("*").alias(n)), "stay")
+    keyed, same = docs.withColumn(own, vertex(F.col(id_col), F.col(text_col))), F.col(own) == F.col(stays)
+    single = keyed.join(stay.filter(F.col(n) == 1), same, "left_semi").drop(own)
+    again = keyed.join(stay.filter(F.col(n) > 1), same, "left_semi")
+    first = again.groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return single.unionByName(first)

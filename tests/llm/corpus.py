@@ -6,7 +6,8 @@ import random
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, key string, id string, own long, words string, "
-          "weight long, shard int, digest string, host string, node long, label string, kept boolean, n long, pos int, value string")
+          "weight long, shard int, digest string, host string, node long, label string, kept boolean, n long, pos int, value string, _id string, _key string, _sha string, _n string, "
+          "_vertex string, _own string, _kept string, _kept_id string, _KEPT_SHA string, _kept_key string, _text string, row string, _row string, _scored string")
 
 
 def rows():
@@ -31,7 +32,7 @@ def rows():
 def frame(spark, data=None):
     """The rows with clashing extra columns."""
     data = rows() if data is None else data
-    extra = ("k", "i", 7, "w", 3, 9, "d", "h", 1, "l", True, 2, 4, "v")
+    extra = ("k", "i", 7, "w", 3, 9, "d", "h", 1, "l", True, 2, 4, "v", *[f"own {i}" for i in range(14)])
     return spark.createDataFrame([(i, t, lang, source, len(t or ""), *extra) for i, t, lang, source in data], SCHEMA)
 
 

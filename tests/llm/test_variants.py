@@ -3,11 +3,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus
 import pytest
 
 import __spark_entry__ as entry
 from spanlake.llm import variants
-from tests.llm import corpus
 
 SF = "/root/testdata/sf0.01"
 LOWER = str.maketrans(variants.UPPER, variants.LOWER)
