@@ -2,17 +2,20 @@
 
 Four sources meet in one posterior: the text's likelihood under hashed character trigrams of each language, the declared
 markup language, the suffix of the address, and a prior of the host, whose language counts are shrunk towards its
-domain's and these towards the corpus's.  The languages are those that the rows declare, whichever they are; beside them
-stands a background that draws trigrams at random, for texts that no language explains.
+domain's and these towards the corpus's.  The languages are those that enough rows declare, whichever they are; beside them
+stands a background that draws trigrams at random, for texts that no language explains.  All trigrams of a text are read; their mean
+log probability counts as that of ``EVIDENCE_GRAMS`` trigrams at most, as neighbouring trigrams don't speak independently.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.functions.arrays import bind
 from spanlake.llm.common import SPACES, keep_rows, python_ready, row_key, stored
 from spanlake.llm.pieces import CACHE
 from spanlake.llm.quality_classifier import words
@@ -20,8 +23,12 @@ from spanlake.operators.staging import once
 
 #: Languages if no row declares one; the name of a text that is in none.
 LANGUAGES, NONE = ("en", "de", "fr", "es"), "und"
+#: Texts that must declare a language for it to have a model, and languages with a model at most (the most frequent; ISO 639-1 has 184).
+MIN_TEXTS, MAX_LANGUAGES = 10, 512
 #: Hash buckets of the trigrams, pseudo-count of each; trigrams that a text counts for at most.
 BUCKETS, SMOOTHING, EVIDENCE_GRAMS = 8192, 0.5, 60
+#: Bytes of a worker's table of word sums.
+TABLE_BYTES = 128 << 20
 #: Probability that a declared language, and the language of an address suffix, is the text's.
 DECLARED_TRUST, SUFFIX_TRUST = 0.9, 0.7
 #: Probability that a text is in none of the languages, before it is read.
@@ -78,16 +85,17 @@ class WordTable:
 
     def __init__(self, logs):
         import numpy as np
-        self.np, self.logs = np, np.array(logs)
+        self.np, self.logs = np, np.array(logs, float)
         self.places: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.logs) + 1))
+        self.most = min(CACHE, TABLE_BYTES // (8 * (len(self.logs) + 1)))
 
     def total(self, found: list[str]):
         """The sum of the rows of a text's words; a very long text goes in slices."""
-        np, step = self.np, 100_000
+        np, step = self.np, min(100_000, self.most)
         if len(found) > step:
             return sum(self.total(found[at:at + step]) for at in range(0, len(found), step))
-        if len(self.places) > CACHE:
+        if len(self.places) > self.most:
             self.places.clear()
         new = [w for w in dict.fromkeys(found) if w not in self.places]
         if new:
@@ -101,10 +109,10 @@ class WordTable:
         return self.rows[np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))].sum(axis=0)
 
 
-def fit_trigrams(docs: DataFrame, declared: Column, languages: tuple[str, ...] = LANGUAGES, buckets: int = BUCKETS, text_col: str = "text") -> list[list[float]]:
-    """Log probability of every bucket in every language, from all texts that declare one of ``languages``.
+def fit_trigrams(docs: DataFrame, declared: Column, languages: tuple[str, ...] = LANGUAGES, buckets: int = BUCKETS, text_col: str = "text"):
+    """Log probability of every bucket (columns) in every language (rows), from all texts that declare one of ``languages``.
 
-    Counts are added up in the tasks; languages times ``buckets`` numbers come back to the driver.
+    Counts are added up in the tasks; languages times ``buckets`` numbers come back to the driver, 12 MB for the 184 languages of ISO 639-1.
     """
     python_ready(docs.sparkSession)
     number = {x: i for i, x in enumerate(languages)}
@@ -136,12 +144,11 @@ def fit_trigrams(docs: DataFrame, declared: Column, languages: tuple[str, ...] =
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[lang, bucket], pa.int64())], names=["lang", "bucket", "n"])
 
     rows = docs.select(F.col(text_col).alias("text"), declared.alias("lang")).filter(F.col("lang").isin(*languages) & F.col("text").isNotNull())
-    counts = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages times buckets at most
     import numpy as np
     sums = np.zeros((len(languages), buckets))
-    for row in counts.collect():  # languages times buckets at most
-        sums[row["lang"], row["bucket"]] = row["n"]
-    return (np.log(sums + SMOOTHING) - np.log((sums + SMOOTHING).sum(axis=1, keepdims=True))).tolist()
+    sums[counts["lang"].to_numpy(), counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    return np.log(sums + SMOOTHING) - np.log((sums + SMOOTHING).sum(axis=1, keepdims=True))
 
 
 def declared_language(says: Column) -> Column:
@@ -151,20 +158,23 @@ def declared_language(says: Column) -> Column:
     return F.when(known.rlike("^[a-z]{2,3}$") & ~known.isin(*NO_LANGUAGE), known)
 
 
-def declared_languages(docs: DataFrame, declared: Column, text_col: str = "text") -> tuple[str, ...]:
-    """The languages that rows with a text declare, the most frequent first; subtags of three letters at most come back to the driver."""
+def declared_languages(docs: DataFrame, declared: Column, text_col: str = "text", min_texts: int = MIN_TEXTS, most: int = MAX_LANGUAGES) -> tuple[str, ...]:
+    """The languages that ``min_texts`` rows with a text declare, the most frequent first (ties by name), ``most`` at most.
+
+    Other declarations say nothing: a model of a few texts, or of a misspelt subtag, would take texts from its neighbours.
+    """
     found = docs.select(declared.alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & (F.trim("text", F.lit(SPACES)) != ""))
-    counts = found.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    return tuple(r["lang"] for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))) or LANGUAGES
+    counts = found.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts)
+    return tuple(r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(most).collect()) or LANGUAGES
 
 
-def text_likelihood(rows: DataFrame, model: list[list[float]], text_col: str = "_text", cap: int = EVIDENCE_GRAMS) -> DataFrame:
+def text_likelihood(rows: DataFrame, model, text_col: str = "_text", cap: int = EVIDENCE_GRAMS) -> DataFrame:
     """``rows`` without the text, with ``n_words`` and ``likelihood`` (log, one per language, then that of buckets drawn at random)."""
+    import numpy as np
     python_ready(rows.sparkSession)
-    logs = rows.sparkSession.sparkContext.broadcast(model)
+    logs = rows.sparkSession.sparkContext.broadcast(np.asarray(model, np.float32))  # MAX_LANGUAGES times BUCKETS times 4 bytes: 16 MB at most
 
     def score(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
         table = WordTable(logs.value)
         none, random = np.zeros(len(table.logs) + 1), -np.log(table.logs.shape[1])
@@ -183,32 +193,37 @@ def text_likelihood(rows: DataFrame, model: list[list[float]], text_col: str = "
     return rows.mapInArrow(score, f"{kinds}, n_words long, likelihood array<double>")
 
 
-def posterior(logs: list[Column]) -> list[Column]:
-    """Probabilities from log weights."""
-    most = F.greatest(*logs)
-    weights = [F.exp(x - most) for x in logs]
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
+def posterior(logs: Column) -> Column:
+    """Probabilities from an array of log weights."""
+    return bind(F.array_max(logs), lambda most: bind(F.transform(logs, lambda x: F.exp(x - most)), lambda weights: bind(
+        F.aggregate(weights, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(weights, lambda w: w / total))))
+
+
+def _array_of(languages: int, column: str) -> Column:
+    """The values of groups of (i, value) rows as an array; a language that is missing has 0."""
+    pairs = F.map_from_entries(F.collect_list(F.struct("i", column)))  # one entry a language
+    return bind(pairs, lambda m: F.transform(F.sequence(F.lit(0), F.lit(languages - 1)), lambda i: F.coalesce(m[i], F.lit(0.0))))
 
 
 def host_priors(scored: DataFrame, languages: tuple[str, ...], domain_strength: float = DOMAIN_STRENGTH, host_strength: float = HOST_STRENGTH) -> DataFrame:
     """(_host, prior): language shares of each host, shrunk to its domain's, these to the corpus's; sums over all documents.
 
-    A document counts as far as it is in a language at all."""
-    p = posterior([F.get("likelihood", i) for i in range(len(languages) + 1)])[:-1]
-    known = F.col("n_words") > 0
-    soft = once(scored.select("host", "n_words", "likelihood"), **{f"p{i}": F.when(known, x).otherwise(0.0) for i, x in enumerate(p)})
-    hosts = stored(soft.groupBy("host").agg(*[F.sum(f"p{i}").alias(f"n{i}") for i in range(len(languages))]).withColumn("domain", domain_of(F.col("host"))), "hosts")
-    ns = [f"n{i}" for i in range(len(languages))]
-    total = lambda cols: sum([F.col(c) for c in cols[1:]], F.col(cols[0]))
-    all_ = hosts.agg(*[F.sum(c).alias(c) for c in ns]).first()
-    sums = [(all_[c] or 0.0) + 1.0 for c in ns]
-    corpus = [s / sum(sums) for s in sums]
-    domains = hosts.groupBy("domain").agg(*[F.sum(c).alias(f"d{c}") for c in ns])
-    ds = [f"d{c}" for c in ns]
-    domains = domains.select(F.col("domain").alias("_domain"), *[((F.col(d) + domain_strength * g) / (total(ds) + domain_strength)).alias(d) for d, g in zip(ds, corpus)])
-    both = hosts.join(stored(domains, "domains"), F.col("domain").eqNullSafe(F.col("_domain")))
-    return both.select(F.col("host").alias("_host"), F.array(*[(F.col(n) + host_strength * F.col(d)) / (total(ns) + host_strength) for n, d in zip(ns, ds)]).alias("prior"))
+    A document counts as far as it is in a language at all.  Hosts without any text have the corpus's shares."""
+    n = len(languages)
+    soft = scored.filter("n_words > 0").select("host", posterior(F.col("likelihood")).alias("p"))
+    parts = soft.select("host", F.posexplode("p").alias("i", "v")).filter(F.col("i") < n).groupBy("host", "i").agg(F.sum("v").alias("v"))
+    hosts = stored(parts.withColumn("domain", domain_of(F.col("host"))), "host-sums")
+    of_domains = stored(hosts.groupBy("domain", "i").agg(F.sum("v").alias("v")), "domain-sums")
+    found = {r["i"]: r["v"] for r in of_domains.groupBy("i").agg(F.sum("v").alias("v")).collect()}  # one number a language
+    sums = [found.get(i, 0.0) + 1.0 for i in range(n)]
+    corpus = F.split(F.lit(",".join(repr(s / sum(sums)) for s in sums)), ",").cast("array<double>")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    shrink = lambda own, above, strength: bind(total(own), lambda t: F.zip_with(own, above, lambda x, g: (x + strength * g) / (t + strength)))
+    domains = of_domains.groupBy("domain").agg(_array_of(n, "v").alias("d")).select(F.col("domain").alias("_domain"), shrink(F.col("d"), corpus, domain_strength).alias("d"))
+    by_host = hosts.groupBy("host", "domain").agg(_array_of(n, "v").alias("h"))
+    both = by_host.join(stored(domains, "domains"), F.col("domain").eqNullSafe(F.col("_domain")))
+    textless = scored.select("host").distinct().join(by_host.select(F.col("host").alias("_met")), F.col("host").eqNullSafe(F.col("_met")), "left_anti")
+    return both.select(F.col("host").alias("_host"), shrink(F.col("h"), F.col("d"), host_strength).alias("prior")).unionByName(textless.select(F.col("host").alias("_host"), corpus.alias("prior")))
 
 
 def domain_of(host: Column) -> Column:
@@ -235,9 +250,10 @@ def identify_languages(docs: DataFrame, languages: tuple[str, ...] | None = None
     """Language of every row: id, ``n_words``, ``declared``, ``text_language`` (by the text alone), ``language``, ``confidence``, ``kept``.
 
     ``declared`` and ``host`` are expressions over the columns of ``docs``; a NULL declaration and one that names no language say nothing,
-    NULL is a host of its own.  ``languages`` are all declared ones unless they are given.  A text that none of them explains
-    better than trigrams drawn at random is in 'und' and isn't kept.  NULL and blank texts have no language and aren't kept.  Of equal
-    probabilities the language that is first in ``languages`` wins.  Every row comes back once; other columns play no part.
+    NULL is a host of its own.  ``languages`` are those that ``MIN_TEXTS`` texts declare, unless they are given; declaring another one says nothing.
+    A text that none of them explains better than trigrams drawn at random is in 'und' and isn't kept.  NULL and blank texts have no language and
+    aren't kept.  Very long texts are read whole, in slices.  Of equal probabilities the language that is first in ``languages`` wins.  Every row comes back
+    once, equal rows with equal verdicts; an empty table gives no rows; other columns play no part.
     """
     found = _judged(docs, languages, min_confidence, declared, host, id_col, text_col)
     return found.drop("_key").withColumnRenamed("_id", id_col)
@@ -258,7 +274,7 @@ def _key(declared: str, host: str, id_col: str, text_col: str) -> Column:
 def _judged(docs: DataFrame, languages: tuple[str, ...] | None, min_confidence: float, declared: str, host: str, id_col: str, text_col: str) -> DataFrame:
     says = declared_language(F.expr(f"cast({declared} as string)"))
     languages = languages or declared_languages(docs, says, text_col)
-    named_so = (*languages, NONE)
+    n = len(languages)
     model = fit_trigrams(docs, says, languages, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("_id"), _key(declared, host, id_col, text_col).alias("_key"), F.expr(f"cast({declared} as string)").alias("declared"),
                        says.alias("says"), F.expr(f"cast({host} as string)").alias("host"), F.col(text_col).alias("_text"))
@@ -266,22 +282,23 @@ def _judged(docs: DataFrame, languages: tuple[str, ...] | None, min_confidence:
     priors = stored(host_priors(scored, languages), "priors")
     # Both sides are plain tables: Spark splits a host that holds much of the corpus.
     fused = scored.join(priors, F.col("host").eqNullSafe(F.col("_host")))
-    fused = fused.withColumn("points", F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])[address_suffix(F.col("host"))])
-
-    def says_so(column: str, language: str, trust: float) -> Column:
-        """Log probability of what a source says, given the language; a text in none may say anything."""
-        other = (1 - trust) / max(1, len(languages) - 1) if language != NONE else 1 / len(languages)
-        return F.when(F.col(column).isin(*languages), F.log(F.when(F.col(column) == language, F.lit(trust)).otherwise(F.lit(other)))).otherwise(F.lit(0.0))
-
-    prior = [F.get("prior", i) * (1 - NONE_PRIOR) for i in range(len(languages))] + [F.lit(NONE_PRIOR)]
-    logs = [F.get("likelihood", i) + F.log(p) + says_so("says", x, DECLARED_TRUST) + says_so("points", x, SUFFIX_TRUST) for i, (x, p) in enumerate(zip(named_so, prior))]
-    best = lambda values: F.array_max(F.array(*[F.struct(v.alias("p"), F.lit(-i).alias("i")) for i, v in enumerate(values)]))
-    named = lambda b: F.get(F.array(*[F.lit(x) for x in named_so]), -b["i"])
-    # Staged: each step uses the one before many times.
-    fused = once(fused, **{f"_w{i}": x for i, x in enumerate(logs)})
-    fused = once(fused, **{f"_p{i}": x for i, x in enumerate(posterior([F.col(f"_w{i}") for i in range(len(named_so))]))})
-    fused = once(fused, _best=best([F.col(f"_p{i}") for i in range(len(named_so))]), _text=best([F.get("likelihood", i) for i in range(len(named_so))]))
+    names = F.split(F.lit(",".join(languages)), ",")
+    points = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])[address_suffix(F.col("host"))]
+    at = lambda says: F.coalesce(F.array_position(names, says), F.lit(0)).cast("int") - 1  # -1: names no language with a model
+
+    def says_so(place: Column, i: Column, trust: float) -> Column:
+        """Log probability of what a source says, given language ``i``; a text in none may say anything."""
+        return F.when(place < 0, 0.0).when(i == n, -log(n)).when(i == place, log(trust)).otherwise(log((1 - trust) / max(1, n - 1)))
+
+    prior = F.concat(F.transform("prior", lambda p: p * (1 - NONE_PRIOR)), F.array(F.lit(NONE_PRIOR)))
+    best = lambda values: F.array_max(F.transform(values, lambda v, i: F.struct(v.alias("p"), (-i).alias("i"))))
+    named = lambda b: F.coalesce(F.get(names, -b["i"]), F.lit(NONE))
+    # Staged: each step uses the one before many times.  All steps are arrays over the languages, so the plan is the same for any number of them.
+    fused = once(fused, _says=at(F.col("says")), _points=at(points), _prior=prior)
+    weights = F.transform(F.zip_with("likelihood", "_prior", lambda x, p: x + F.log(p)), lambda w, i: w + says_so(F.col("_says"), i, DECLARED_TRUST) + says_so(F.col("_points"), i, SUFFIX_TRUST))
+    fused = once(fused, _weights=weights)
+    fused = once(fused, _best=best(posterior(F.col("_weights"))), _text=best(F.col("likelihood")))
     read = F.col("n_words") > 0
     confidence = F.when(read, F.round(F.col("_best")["p"], 9))
     return fused.select("_id", "_key", "n_words", "declared", F.when(read, named(F.col("_text"))).alias("text_language"), F.when(read, named(F.col("_best"))).alias("language"),
-                        confidence.alias("confidence"), F.coalesce((confidence >= min_confidence) & (F.col("_best")["i"] != -len(languages)), F.lit(False)).alias("kept"))
+                        confidence.alias("confidence"), F.coalesce((confidence >= min_confidence) & (F.col("_best")["i"] != -n), F.lit(False)).alias("kept"))
