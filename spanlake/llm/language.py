@@ -24,7 +24,7 @@ from spanlake.operators.staging import once
 #: Languages if no row declares one; the name of a text that is in none.
 LANGUAGES, NONE = ("en", "de", "fr", "es"), "und"
 #: Texts that must declare a language for it to have a model, and languages with a model at most (the most frequent; ISO 639-1 has 184).
-MIN_TEXTS, MAX_LANGUAGES = 10, 512
+MIN_TEXTS, MAX_LANGUAGES = 3, 512
 #: Hash buckets of the trigrams, pseudo-count of each; trigrams that a text counts for at most.
 BUCKETS, SMOOTHING, EVIDENCE_GRAMS = 8192, 0.5, 60
 #: Bytes of a worker's table of word sums.
