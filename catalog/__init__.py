@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every catalog module once."""
-    from catalog import boosting, calibration, evaluation, extraction, files, merging, records, scoring, splitting, streams  # noqa: F401
+    from catalog import boosting, calibration, evaluation, extraction, files, merging, overlaps, records, scoring, splitting, streams  # noqa: F401
