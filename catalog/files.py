@@ -60,15 +60,30 @@ def read_json_arrays(spark, sf):
     return _totals(src.read_records(spark, path, spark.createDataFrame([], "doc_id long, text string, lang string").schema))
 
 
+@query("read_split_arrays", "SELECT doc_id, md5(text) AS digest, (row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1)::BIGINT AS place FROM documents")
+def read_split_arrays(spark, sf):
+    """Three array files, each a third of the corpus, cut into the splits that Spark makes of them; the place of every item in its array."""
+    path = scratch_path(spark, "split-arrays")
+    docs = _docs(spark, sf).select("doc_id", "text", F.pmod("doc_id", F.lit(3)).alias("file"))
+    first = docs.groupBy("file").agg(F.min("doc_id").alias("first"))
+    items = docs.join(F.broadcast(first), "file").select("file", "doc_id", F.concat(F.when(F.col("doc_id") == F.col("first"), "[").otherwise(","), F.to_json(F.struct("doc_id", "text"))).alias("value"))
+    ends = first.select("file", F.lit(1 << 62).alias("doc_id"), F.lit("]").alias("value"))
+    ordered = items.unionByName(ends).repartition("file").sortWithinPartitions("file", "doc_id")
+    ordered.select("file", "value").write.partitionBy("file").text(path)
+    rows = src.read_records(spark, [f"{path}/file={i}" for i in range(3)], spark.createDataFrame([], "doc_id long, text string").schema, layout="document")
+    start = rows.groupBy(F.pmod("doc_id", F.lit(3)).alias("file")).agg(F.min("row_idx").alias("start"))
+    return tidy(rows.withColumn("file", F.pmod("doc_id", F.lit(3))).join(F.broadcast(start), "file").select("doc_id", F.md5("text").alias("digest"), (F.col("row_idx") - F.col("start")).alias("place")))
+
+
 @query("read_mixed_layouts", "SELECT doc_id, md5(text) AS digest, lang FROM documents")
 def read_mixed_layouts(spark, sf):
-    """One folder of JSON lines, array files (one per source) and pretty-printed single objects."""
+    """One folder of JSON lines, array files and pretty-printed single objects."""
     path = scratch_path(spark, "mixed")
     row = F.struct("doc_id", "text", "lang")
     kind = F.when(F.col("doc_id") % 50 == 0, "object").when(F.col("doc_id") % 2 == 1, "line").otherwise("array")
     docs = _docs(spark, sf).withColumn("kind", kind)
     docs.filter("kind = 'line'").select(F.to_json(row).alias("value")).write.text(path)
-    arrays = docs.filter("kind = 'array'").groupBy("source").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(row)), ",\n"), F.lit("\n]\n")).alias("value"))
+    arrays = docs.filter("kind = 'array'").groupBy("source", F.floor(F.col("doc_id") / 256)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(row)), ",\n"), F.lit("\n]\n")).alias("value"))
     arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
     objects = docs.filter("kind = 'object'").select(F.to_json(row, {"pretty": "true"}).alias("value"))
     objects.write.mode("append").option("maxRecordsPerFile", 1).text(path)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.functions.text import not_blank
-from spanlake.operators.staging import once
+from spanlake.operators.staging import written
 from spanlake.schema import SPAN_ARRAY
+from spanlake.sources.documents import document_items
 
 LINES, DOCUMENT, AUTO = "lines", "document", "auto"
 
@@ -71,22 +72,6 @@ def _one_value(text: Column) -> Column:
     return F.coalesce((F.json_array_length(boxed) == 1) & F.try_parse_json(boxed).isNotNull(), F.lit(False))
 
 
-def _document_items(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Items of files that hold one JSON array or object; anything before, between or after it is an error.
-
-    A file of this layout cannot be split, so it is one task's work.
-    """
-    whole = spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
-    whole = whole.filter(not_blank(F.col("value")))
-    problem = F.concat(F.lit("not one JSON array or object of records: "), F.col("_file"))
-    array = F.ltrim(F.regexp_replace("value", "^[\\s\ufeff]+", "")).startswith("[")
-    items = F.when(array, F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    checked = F.when(_one_value(F.col("value")), items).otherwise(F.raise_error(problem).cast("string"))
-    raw = F.from_json(checked, T.ArrayType(T.StringType()))
-    rows = once(whole.select("_file", raw.alias("_items")), _all=F.col("_items")).select("_file", F.posexplode("_all").alias("_pos", "value"))
-    return rows.withColumn("_block", F.lit(0).cast("long"))
-
-
 def _inferred(spark: SparkSession, paths: str | Sequence[str]) -> T.StructType:
     found = spark.read.option("mode", "PERMISSIVE").json(paths).schema
     return T.StructType([f for f in found.fields if f.name != "_corrupt_record"])
@@ -103,26 +88,32 @@ def _merged(schemas: Sequence[T.StructType]) -> T.StructType:
 
 def _records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None, layout: str) -> tuple[DataFrame, T.StructType]:
     """(_file, row_idx, value) with one JSON object per row, and its schema."""
-    documents: list[str] = []
-    if layout != LINES:
-        # Names of the unsplittable files: part of the listing that the driver holds anyway.
-        found = file_layouts(spark, path)
-        documents = [r.file for r in (found.filter(F.col("layout") == DOCUMENT) if layout == AUTO else found).select("file").collect()]
+    lines = whole = None
+    if layout == LINES:
+        lines = path
+    elif layout == DOCUMENT:
+        items, counts = document_items(spark, path)
+    else:
+        layouts = written(file_layouts(spark, path), "file-layouts")
+        whole = layouts.filter(F.col("layout") == DOCUMENT)
+        if whole.isEmpty():
+            lines = path
+        else:
+            items, counts = document_items(spark, path, whole)
     if schema is None:
-        parts = [_inferred(spark, path)] if not documents else []
-        if documents:
-            parts = [T.StructType([f for f in spark.read.option("multiLine", True).json(documents).schema.fields if f.name != "_corrupt_record"])]
-            parts += [_inferred(spark, path)] if layout == AUTO else []
+        parts = [_inferred(spark, path)] if layout != DOCUMENT else []
+        if not lines:  # the names of these files: a schema should be given for millions of them
+            names = [r.file for r in whole.select("file").collect()] if whole is not None else path
+            found = spark.read.option("multiLine", True).json(names).schema
+            parts.insert(0, T.StructType([f for f in found.fields if f.name != "_corrupt_record"]))
         schema = _merged(parts)
-    if not documents:
+    if lines:
         return _text_lines(spark, path).withColumnRenamed("_line", "row_idx").drop("_block"), schema
-    items = _document_items(spark, documents, schema)
-    sizes = items.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.lit(0).cast("long").alias("_first"))
-    rows = items.select("_file", "_block", "value", F.col("_pos").cast("long").alias("_mid"))
-    if layout == AUTO:
-        names = spark.createDataFrame([(f,) for f in documents], "_file string")
+    rows = items.select("_file", F.lit(0).cast("long").alias("_block"), "value", F.col("item").alias("_mid"))
+    sizes = counts.select("_file", F.lit(0).cast("long").alias("_block"), F.col("items").alias("_n"), F.lit(0).cast("long").alias("_first"))
+    if whole is not None and not layouts.filter(F.col("layout") == LINES).isEmpty():
         lines = _raw_lines(spark, path).filter(not_blank(F.col("value"))).withColumn("_mid", F.monotonically_increasing_id())
-        lines = lines.join(F.broadcast(names), "_file", "left_anti")  # those names, back from the driver
+        lines = lines.join(whole.select(F.col("file").alias("_file")), "_file", "left_anti")
         rows = rows.unionByName(lines)
         sizes = sizes.unionByName(lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
     placed = _placed(rows, sizes, F.col("_mid") - F.col("_first"), "row_idx")
