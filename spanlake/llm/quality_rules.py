@@ -2,7 +2,8 @@
 
 Word unigrams and bigrams of the trusted texts and of the whole corpus are counted in hash buckets; the two
 multinomials give every bucket a log ratio, and a document's score is the mean of the log ratios of its n-grams.
-There are as many buckets as the corpus's n-grams call for, and their ratios are a written table that the n-grams are joined with.
+There are as many buckets as the corpus's n-grams call for.  A text's n-grams are sorted, counted and packed by ranges of buckets; one shuffle
+brings every range together, where its n-grams are counted, get their ratios and are summed by text again.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ UNITS = 1 << 40
 SMOOTHING = 20.0
 #: Mean log ratio under which a document is not like the trusted texts.
 MIN_SCORE = -0.1
+#: Ranges that the buckets are cut into at least, and n-grams of the corpus to a range.
+RANGES, RANGE_GRAMS = 16, 1 << 24
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -142,20 +145,83 @@ def joined_scores(docs: DataFrame, model: RatioTable, id_col: str, text_col: str
     return met.groupBy("_scored").agg((F.sum(F.coalesce("units", F.lit(0).cast("long"))) / F.count("*") / UNITS).alias("score"))
 
 
-def quality_rules(docs: DataFrame, ratios: list[float] | RatioTable, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Text statistics, score and verdict of every row; without a shuffle if ``ratios`` is a list.
+@dataclass(frozen=True)
+class TextScores:
+    """(_scored, score): the mean log ratio of every text with words, by the key of its row."""
+
+    table: DataFrame
+
+
+def _packed(hashes: DataFrame, buckets: int, ranges: int) -> DataFrame:
+    """(range, row, bucket array, times array) of rows (row, hashes): a text's different n-grams, sorted, by ranges of buckets.
+
+    The row's lowest bit says whether the text is trusted, so that counting and scoring read the very same columns and share one shuffle.
+    """
+    width = -(-buckets // ranges)
+    sorted_ = once(once(hashes, g=ngram_buckets(F.col("hashes"), buckets)).select("row", "g"), g=F.sort_array("g")).filter(F.size("g") > 0)
+    at = lambda a, i: F.get(F.col(a), i)
+    new = lambda a, same: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | ~same(at(a, i), at(a, i - 1)))
+    lengths = lambda starts, end: F.zip_with(starts, F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(end)), lambda x, y: y - x)
+    runs = once(sorted_, s=new("g", lambda x, y: x == y))
+    runs = once(runs, b=F.transform("s", lambda i: at("g", i)), times=lengths(F.col("s"), F.size("g"))).select("row", "b", "times")
+    cuts = once(runs, s=new("b", lambda x, y: F.floor(x / width) == F.floor(y / width)))
+    pieces = F.zip_with("s", lengths(F.col("s"), F.size("b")), lambda i, n: F.struct(
+        F.floor(at("b", i) / width).cast("int").alias("range"), F.slice("b", i + 1, n).alias("b"), F.slice("times", i + 1, n).alias("times")))
+    out = cuts.select("row", F.explode(pieces).alias("p"))
+    return out.select(F.coalesce("p.range", F.lit(0)).alias("range"), "row", "p.b", "p.times")
+
+
+def fit_scores(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextScores:
+    """Fit the ratios on all texts (``trusted`` holds ids) and score the same texts; only two totals come back to the driver.
+
+    Trusted ids are marked by a join that Spark plans by the size of their written table: broadcast below its threshold, else a shuffle.  After that the
+    n-grams move once, packed; a bucket's count, the lookup of its ratio and the sums by text happen where its range is.
+    """
+    marks = stored(trusted.select(F.col(id_col).alias("_trusted")).filter("_trusted is not null").distinct(), "trusted-ids")
+    marked = lambda rows: rows.join(marks, F.col("_id") == F.col("_trusted"), "left").withColumn("_in", F.col("_trusted").isNotNull())
+    n = F.greatest(2 * F.size(words_of(F.col(text_col))) - 1, F.lit(0)).cast("long")
+    sizes = once(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), _n=n).select("_id", "_n")
+    corpus, target = (x or 0 for x in marked(sizes).agg(F.sum("_n"), F.sum(F.when(F.col("_in"), F.col("_n")))).first())
+    buckets, ranges = bucket_number(corpus), max(RANGES, -(-corpus // RANGE_GRAMS))
+    texts = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    row = F.col("_key").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("_in").cast("long"))
+    hashes = once(marked(texts).select(row.alias("row"), "_text"), hashes=_word_hashes(words_of(F.col("_text")))).select("row", "hashes")
+    moved = _packed(hashes, buckets, ranges).repartition("range")
+    grams = moved.select("range", "row", F.explode(F.arrays_zip("b", "times")).alias("g")).select("range", "row", F.col("g.b").alias("bucket"), F.col("g.times").alias("times"))
+    counts = grams.groupBy("range", "bucket").agg(F.sum("times").alias("corpus"), F.sum(F.col("times") * F.col("row").bitwiseAND(F.lit(1))).alias("target"))
+    if target:
+        ratio = F.round(F.log((F.col("target") + SMOOTHING) * (corpus / target) / (F.col("corpus") + SMOOTHING * (corpus / target))) * UNITS).cast("long")
+    else:  # nothing to compare with: no n-gram speaks for or against a text
+        ratio = F.lit(0).cast("long")
+    model = counts.select(F.col("range").alias("_range"), F.col("bucket").alias("_bucket"), ratio.alias("units"))
+    met = grams.join(model.hint("shuffle_hash"), (F.col("range") == F.col("_range")) & (F.col("bucket") == F.col("_bucket")))
+    sums = met.groupBy("row").agg(F.sum(F.col("units") * F.col("times")).alias("units"), F.sum("times").alias("n"))
+    scores = sums.select(F.col("row").bitwiseAND(F.lit(-2)).alias("_scored"), (F.col("units") / F.col("n") / UNITS).alias("score"))
+    # Both sides of the join lie by range already; Spark need not deal them again by bucket.
+    conf, name = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return TextScores(stored(scores, "scores"))
+    finally:
+        conf.set(name, before)
+
+
+def quality_rules(docs: DataFrame, ratios: list[float] | RatioTable | TextScores, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Text statistics, score and verdict of every row; without a shuffle if ``ratios`` is a list, with the scores of ``fit_scores`` by one small join.
 
     id, ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a word, equal to an
     earlier line), ``n_repeat_words`` (words in 5-word windows found twice or more), ``base_failed``, ``score`` (mean log ratio,
     rounded to 9 digits; NULL without words), ``kept``.  NULL and blank texts have no words and fail; repeated rows
-    come back as often as they are there; other columns play no part.
+    come back as often as they are there, and an empty table gives no rows; very long texts are read whole, as one array of words; a score equal
+    to ``min_score`` keeps a text; other columns play no part.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     rows = once(rows, words=words_of(F.col("_text")))
     rows = once(rows, hashes=_word_hashes(F.col("words")))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
-    if isinstance(ratios, RatioTable):
+    if isinstance(ratios, RatioTable | TextScores):
         total = F.lit(None).cast("double")
     else:
         # One literal for the whole model, folded when the query is planned.
@@ -168,10 +234,11 @@ def quality_rules(docs: DataFrame, ratios: list[float] | RatioTable, min_score:
         n_dup_lines=bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
         n_repeat_words=_repeated(F.col("words"), F.col("hashes")),
         score=F.when(F.size("words") > 0, F.round(total, 9)))
-    if isinstance(ratios, RatioTable):
-        found = joined_scores(docs, ratios, id_col, text_col)
+    if isinstance(ratios, RatioTable | TextScores):
+        found = joined_scores(docs, ratios, id_col, text_col) if isinstance(ratios, RatioTable) else ratios.table
+        key = F.col("_key") if isinstance(ratios, RatioTable) else F.col("_key").bitwiseAND(F.lit(-2))
         numbers = stored(stats.drop("score", "words", "hashes", "_text"), "rules")
-        stats = numbers.join(stored(found, "scores"), F.col("_key") == F.col("_scored"), "left").withColumn("score", F.round("score", 9))
+        stats = numbers.join(stored(found, "scores") if isinstance(ratios, RatioTable) else found, key == F.col("_scored"), "left").withColumn("score", F.round("score", 9))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return stats.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         failed.alias("base_failed"), "score", (~failed & (F.col("score") >= min_score)).alias("kept"))

@@ -22,7 +22,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_rules.quality_rules(docs, quality_rules.fit_table(docs, table(spark, sf_dir, "labels").filter("quality = 1")))
+    return quality_rules.quality_rules(docs, quality_rules.fit_scores(docs, table(spark, sf_dir, "labels").filter("quality = 1")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
