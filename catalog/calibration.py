@@ -48,7 +48,9 @@ def _cal(spark, sf):
 CAL = f"WITH {CALIBRATION_SQL.replace("i AS row_key, doc_id, score,", "i AS row_key, doc_id, greatest(least(score, 1 - 1e-6), 1e-6) AS score,")}"
 
 
-PAIRS_SQL = f"""WITH {GOLD_PRED_SQL} SELECT (p.doc_id + 1)::BIGINT AS row_id, p.label, coalesce(g.t, '') AS reference, p.t AS predicted, p.s::BIGINT AS span_start, p.e::BIGINT AS span_end, round(p.score, 6) AS score,
+# The entities are worked out once, not once for each side of the join.
+_SIDES_SQL = GOLD_PRED_SQL.split(",\nspans AS")[0].replace("ents AS (", "ents AS MATERIALIZED (").replace("gold AS (", "gold AS MATERIALIZED (").replace("pred AS (", "pred AS MATERIALIZED (")
+PAIRS_SQL = f"""WITH {_SIDES_SQL} SELECT (p.doc_id + 1)::BIGINT AS row_id, p.label, coalesce(g.t, '') AS reference, p.t AS predicted, p.s::BIGINT AS span_start, p.e::BIGINT AS span_end, round(p.score, 6) AS score,
   (g.doc_id IS NOT NULL)::INT::BIGINT AS valid FROM pred p LEFT JOIN gold g ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.label = p.label"""
 
 

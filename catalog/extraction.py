@@ -142,6 +142,30 @@ def dictionary_tagger(spark, sf):
     return tidy(ents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts")))
 
 
+_RUN = lambda k: " || ' ' || ".join(f"w{i}" for i in range(k))
+_PHRASES_SQL = """WITH b AS (SELECT regexp_extract_all(text, '\\S+') AS w FROM benchmark),
+terms AS (SELECT DISTINCT array_to_string(w[i + 1:i + k], ' ') AS term FROM b, (VALUES (2), (3), (5), (8)) z(k), range(0, 200, 3) r(i) WHERE i + k <= len(w)),
+t AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents)),
+l AS (SELECT doc_id, i, tok AS w0, """ + ", ".join(f"lead(tok, {k}) OVER o AS w{k}" for k in range(1, 8)) + """ FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (""" + " UNION ALL ".join(f"SELECT doc_id, i, {k} AS k, {_RUN(k)} AS term FROM l WHERE w{k - 1} IS NOT NULL" for k in (2, 3, 5, 8)) + """)
+SELECT doc_id, count(*)::BIGINT AS n, sum(k)::BIGINT AS words, sum(i)::BIGINT AS places, sum(length(term))::BIGINT AS chars FROM g JOIN terms USING (term) GROUP BY doc_id"""
+
+
+@query("dictionary_phrases", _PHRASES_SQL)
+def dictionary_phrases(spark, sf):
+    """Phrases of up to eight words of the benchmark texts, found in the documents; ``places`` are token numbers."""
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    bench = once(table(spark, sf, "benchmark"), w=w).select("w")
+    cut = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.lit(199), F.lit(3)), lambda i: i + k <= F.size("w")), lambda i: F.array_join(F.slice("w", i + 1, F.lit(k)), " "))
+    terms = bench.select(F.explode(F.concat(*[cut(k) for k in (2, 3, 5, 8)])).alias("term")).distinct().withColumn("label", F.lit("Phrase"))
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = ex.dictionary_tagger(docs, terms, id_col="doc_id", max_words=8, strategy="whitespace")
+    found = found.select("doc_id", "start", F.size(F.split("text", r"\s+")).alias("k"), F.regexp_replace("text", r"\s+", " ").alias("term"))
+    starts = once(docs, t=tx.tokenize_with_spans(F.col("text"), "whitespace")).select("doc_id", F.posexplode("t").alias("i", "t")).select("doc_id", "i", F.col("t.start").alias("start"))
+    out = found.join(starts, ["doc_id", "start"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("k").alias("words"), F.sum("i").alias("places"), F.sum(F.length("term")).alias("chars"))
+    return tidy(out)
+
+
 @query("collect_entities", f"""WITH {WS_SQL} SELECT d.doc_id, count(w.n)::BIGINT AS n, md5(coalesce(string_agg(w.s || ':' || w.tok, ',' ORDER BY w.s), '')) AS digest
 FROM documents d LEFT JOIN (SELECT * FROM ws WHERE tok IN ('the', 'der', 'les', 'el')) w USING (doc_id) GROUP BY d.doc_id""")
 def collect_entities(spark, sf):

@@ -14,6 +14,7 @@ from catalog.fixtures import ENTS_SQL, annotated, slim, table, tidy
 from spanlake import sources as src
 from spanlake.operators import summarize as sm
 from spanlake.operators.score import record_score
+from spanlake.operators import sketches as sk
 from spanlake.operators.splits import assign_chunks
 from spanlake.plans.evaluation import chunk_quality as run_quality
 from spanlake.schema import CALIBRATION_COLUMNS
@@ -252,3 +253,19 @@ def chunk_runs(spark, sf):
 def chunk_quality(spark, sf):
     out = run_quality(spark, _write_runs(spark, sf)).filter("kept_rows is not null")
     return tidy(out.select("chunk", "kept_rows", "unique_texts", "avg_entities_per_kept", "avg_weak_entities_per_kept", "top_label_count"))
+
+
+_SKETCH_LABELS = f"""WITH {ENTS_SQL}, n AS (SELECT label, count(*) AS n FROM ents GROUP BY label)"""
+
+
+@query("sketched_runs", _SKETCH_LABELS + """ SELECT (SELECT count(*) FROM documents)::BIGINT AS rows, (SELECT count(*) FROM ents)::BIGINT AS scored, 1::BIGINT AS texts_close, 1::BIGINT AS median_close,
+  (SELECT label FROM n ORDER BY n.n DESC, label LIMIT 1) AS top_label, (SELECT max(n.n) FROM n)::BIGINT AS top_label_count""")
+def sketched_runs(spark, sf):
+    """One sketched run per language, merged from their stored rows; estimates against the exact numbers (2 % of the texts, 1 % of the ranks)."""
+    df, folder = slim(annotated(spark, sf)), scratch_path(spark, "sketched")
+    sk.sketch_run(df, ["lang"]).write.partitionBy("lang").parquet(folder)
+    report = sk.sketch_report(sk.merge_runs(spark.read.parquet(folder)))
+    texts = df.filter(F.trim("text") != "").agg(F.count_distinct("text")).scalar()
+    ents = df.select(F.explode("entities.score").alias("s"))
+    below = ents.join(F.broadcast(report.select("p50"))).agg(F.avg((F.col("s") < F.col("p50")).cast("double"))).scalar()
+    return tidy(report.select("rows", "scored", (F.abs(F.col("unique_texts") - texts) <= 0.02 * texts).alias("texts_close"), (F.abs(below - 0.5) <= 0.01).alias("median_close"), "top_label", "top_label_count"))

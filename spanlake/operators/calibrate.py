@@ -22,7 +22,8 @@ from spanlake.functions.arrays import bind, block_heads, sorted_rank
 from spanlake.functions.text import clip01, safe_double
 from spanlake.operators.fields import resolve_entities, struct_fields
 from spanlake.operators.ordering import group_quantiles, lookup_join, running_totals, with_hash_position
-from spanlake.operators.staging import once
+from spanlake.operators.sketches import KLL_K, quantile
+from spanlake.operators.staging import once, written
 from spanlake.schema import LABELS, NLL_EPS, SCORE_EPS
 from spanlake.session import stable
 
@@ -173,6 +174,10 @@ def fit_temperature_per_class(df: DataFrame, t_min: float = T_MIN, t_max: float
 
 
 # --------------------------------------------------------------------------- isotonic
+#: Neighbouring stacks of blocks that one task merges.
+FAN = 8
+
+
 def _pool(blocks: list[list[float]], lo: float, hi: float, y: float, w: float) -> None:
     """Append a block (lowest and highest score, targets, rows) and pool it with the ones before while these are not below."""
     while blocks and blocks[-1][2] * w >= y * blocks[-1][3]:
@@ -181,53 +186,79 @@ def _pool(blocks: list[list[float]], lo: float, hi: float, y: float, w: float) -
     blocks.append([lo, hi, y, w])
 
 
-def isotonic_knots(df: DataFrame, folds: int = 1) -> list[tuple[tuple[float, ...], tuple[float, ...]]]:
-    """(x, y) knots of the monotone fit of ``target`` on ``score``, for each fold from the rows of all other ones.
+_BLOCKS = "fold int, part long, lo double, hi double, y double, w double"
+
+
+def isotonic_blocks(df: DataFrame, folds: int = 1, fan: int = FAN) -> DataFrame:
+    """(fold, lo, hi, y, w): blocks of the monotone fit of ``target`` on ``score``, for each fold from the rows of all other ones.
 
     Rows of equal score are added up, the distinct scores are range-partitioned, and one pass pools adjacent violators in every
-    partition for all folds.  Pooling the remaining blocks gives the fit of the whole: the order of pooling does not
-    matter.  Those blocks, about the cube root of the scores in number, meet on the driver, which holds the knots anyway.
+    partition for all folds.  Neighbouring partitions are then merged ``fan`` by ``fan``, as pooling the blocks of both gives the fit of
+    both together: the order of pooling does not matter.  Every round is written; only the number of stacks and the totals of each
+    fold come back to the driver.  There are as many blocks as the fit has steps, at most the two-thirds power of the scores in order of size.
     """
     own = (lambda f: F.lit(True)) if folds == 1 else (lambda f: F.col("fold") != f)
     pooled = df.groupBy("score").agg(
-        F.array(*[F.sum(F.when(own(f), F.col("target").cast("double")).otherwise(0.0)) for f in range(folds)]).alias("y"),
-        F.array(*[F.sum(F.when(own(f), 1.0).otherwise(0.0)) for f in range(folds)]).alias("w"))
+        *[F.sum(F.when(own(f), F.col("target").cast("double")).otherwise(0.0)).alias(f"y{f}") for f in range(folds)],
+        *[F.sum(F.when(own(f), 1.0).otherwise(0.0)).alias(f"w{f}") for f in range(folds)])
+
+    def frame(found: list[list[list[float]]], part: int):
+        return pd.DataFrame([(f, part, *b) for f, blocks in enumerate(found) for b in blocks], columns=["fold", "part", "lo", "hi", "y", "w"])
 
     def blocks_of(batches):
+        from pyspark import TaskContext
         found: list[list[list[float]]] = [[] for _ in range(folds)]
         for batch in batches:
-            for x, ys, ws in zip(batch["score"].tolist(), batch["y"], batch["w"]):
-                for blocks, y, w in zip(found, ys, ws):
-                    if w:
-                        _pool(blocks, x, x, y, w)
-        yield pd.DataFrame([(f, *b) for f, blocks in enumerate(found) for b in blocks], columns=["fold", "lo", "hi", "y", "w"])
+            x = batch["score"].to_numpy()
+            for f, blocks in enumerate(found):
+                w = batch[f"w{f}"].to_numpy()
+                there = w > 0
+                for s, y, n in zip(x[there].tolist(), batch[f"y{f}"].to_numpy()[there].tolist(), w[there].tolist()):
+                    _pool(blocks, s, s, y, n)
+        yield frame(found, TaskContext.get().partitionId())
+
+    def merge(group):
+        blocks: list[list[float]] = []
+        for lo, hi, y, w in group.sort_values("lo")[["lo", "hi", "y", "w"]].itertuples(index=False, name=None):
+            _pool(blocks, lo, hi, y, w)
+        return frame([blocks], int(group["part"].iloc[0]) // fan).assign(fold=int(group["fold"].iloc[0]))
 
     ranged = pooled.repartitionByRange("score").sortWithinPartitions("score")
-    parts = ranged.mapInPandas(blocks_of, "fold int, lo double, hi double, y double, w double").collect()
+    parts = written(ranged.mapInPandas(blocks_of, _BLOCKS), "isotonic-blocks")
+    while (parts.agg(F.max("part")).first()[0] or 0) > 0:
+        # Numbers of stacks shrink by ``fan`` a round; neighbours stay neighbours.
+        parts = written(parts.groupBy("fold", F.floor(F.col("part") / fan)).applyInPandas(merge, _BLOCKS), "isotonic-blocks")
+    totals = {r["fold"]: (r["y"], r["w"]) for r in parts.groupBy("fold").agg(F.sum("y").alias("y"), F.sum("w").alias("w")).collect()}
+    if not all(f in totals and 0 < totals[f][0] < totals[f][1] for f in range(folds)):
+        raise ValueError("isotonic fitting needs both positive and negative targets")
+    return parts.drop("part")
+
+
+def _knots(blocks: DataFrame) -> DataFrame:
+    """(fold, x, y) of blocks: both ends of every block, one knot where they are the same."""
+    ends = F.when(F.col("lo") < F.col("hi"), F.array("lo", "hi")).otherwise(F.array("lo"))
+    return blocks.select("fold", F.explode(ends).alias("x"), (F.col("y") / F.col("w")).alias("y"))
+
+
+def isotonic_knots(df: DataFrame, folds: int = 1) -> list[tuple[tuple[float, ...], tuple[float, ...]]]:
+    """``isotonic_blocks`` as (x, y) knots of each fold on the driver: parameters, to be stored and put into plans."""
+    rows = _knots(isotonic_blocks(df, folds)).collect()
     out = []
     for f in range(folds):
-        blocks: list[list[float]] = []
-        for b in sorted((r for r in parts if r.fold == f), key=lambda r: r.lo):
-            _pool(blocks, b.lo, b.hi, b.y, b.w)
-        total = sum(b[2] for b in blocks)
-        if not 0 < total < sum(b[3] for b in blocks):
-            raise ValueError("isotonic fitting needs both positive and negative targets")
-        ends = [(x, y / w) for lo, hi, y, w in blocks for x in dict.fromkeys((lo, hi))]
-        out.append((tuple(x for x, _ in ends), tuple(y for _, y in ends)))
+        knots = sorted((r.x, r.y) for r in rows if r.fold == f)
+        out.append((tuple(x for x, _ in knots), tuple(y for _, y in knots)))
     return out
 
 
 def fit_isotonic(df: DataFrame) -> DataFrame:
-    """Knot table (x, y) of the monotone fit of ``target`` on ``score``."""
-    xs, ys = isotonic_knots(df)[0]
-    return df.sparkSession.createDataFrame(list(zip(xs, ys)), "x double, y double")
+    """Knot table (x, y) of the monotone fit of ``target`` on ``score``; the knots stay in the cluster."""
+    return _knots(isotonic_blocks(df)).drop("fold")
 
 
 def interpolate(score: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
     """Linear interpolation between knots, flat outside; NULL for NULL and NaN.
 
-    The knots are two literals of the plan, folded from text when it is made; their number grows about with the cube
-    root of the scores.
+    The knots are two literals of the plan, folded from text when it is made.
     """
     knots_x, knots_y = (F.split(F.lit(",".join(repr(float(v)) for v in vals)), ",").cast("array<double>") for vals in (xs, ys))
 
@@ -445,9 +476,13 @@ def evaluate_calibrator(df: DataFrame, calibrator: Calibrator, bins: int = 10) -
     return _measures(long, ["scope", "label", "scores"], bins)
 
 
-def audit_by_label(df: DataFrame, threshold: float = 0.8, calibrator: Calibrator | None = None) -> DataFrame:
+def audit_by_label(df: DataFrame, threshold: float = 0.8, calibrator: Calibrator | None = None, approximate: bool = False) -> DataFrame:
     """Score distribution per (scope, label, scores, target): count, mean, min, quartiles, max and the
-    share at or above ``threshold``.  Input: score (raw), target, label."""
+    share at or above ``threshold``.  Input: score (raw), target, label.
+
+    With ``approximate`` the quartiles are scores from a sketch in the same aggregate (rank error below 1 %): the data are read once and
+    nothing is sorted.
+    """
     columns = {"raw": "score"}
     if calibrator:
         df = df.withColumn("cal", calibrator.column(F.col("score"), F.col("label")))
@@ -459,17 +494,23 @@ def audit_by_label(df: DataFrame, threshold: float = 0.8, calibrator: Calibrator
                                F.struct(F.lit("label").alias("scope"), F.col("label").alias("key"))))
     groups = ["scope", "label", "scores", "target"]
     long = long.withColumn("s", scopes).select("s.scope", F.col("s.key").alias("label"), "scores", "target", "score")
-    base = long.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"), F.min("score").alias("min"),
-        F.max("score").alias("max"), F.avg((F.col("score") >= threshold).cast("double")).alias("share_ge_threshold"))
+
+    def cell(t: int) -> Column:
+        """The measures of one target; a (scope, label, scores) without it counts 0."""
+        of = lambda c: F.when(F.col("target") == t, c)
+        score = of(F.col("score"))
+        return F.struct(F.lit(t).cast(df.schema["target"].dataType).alias("target"), F.count(score).alias("count"), F.avg(score).alias("mean"), F.min(score).alias("min"),
+                        F.max(score).alias("max"), F.avg(of((F.col("score") >= threshold).cast("double"))).alias("share_ge_threshold"),
+                        *([F.kll_sketch_agg_double(score, F.lit(KLL_K)).alias("k")] if approximate else []))
+
+    cells = long.groupBy(*groups[:-1]).agg(F.array(cell(0), cell(1)).alias("c")).withColumn("c", F.explode("c")).select(*groups[:-1], "c.*")
+    if approximate:
+        found = cells.withColumns({n: quantile("k", p) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))})
+        return found.drop("k").withColumn("threshold", F.lit(float(threshold)))
     quart = group_quantiles(long, groups, "score", [0.25, 0.5, 0.75])
     wide = quart.groupBy(*groups).agg(*[
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    found = lookup_join(base, wide, groups, "inner", null_safe=True)
-    # Every (scope, label, scores) has a row for both targets; a missing one counts 0.
-    cells = base.select(*groups[:-1]).distinct().withColumn("target", F.explode(F.array(F.lit(0), F.lit(1)).cast(T.ArrayType(df.schema["target"].dataType))))
-    out = lookup_join(cells, found, groups, null_safe=True)
-    return out.withColumn("count", F.coalesce("count", F.lit(0))).withColumn("threshold", F.lit(float(threshold)))
+    return lookup_join(cells, wide, groups, null_safe=True).withColumn("threshold", F.lit(float(threshold)))
 
 
 # --------------------------------------------------------------------------- cross-validation

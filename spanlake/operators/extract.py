@@ -7,7 +7,9 @@ left to native string functions; interpreted array steps grow with the spans, ch
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from spanlake.functions.udfs import Tagger, tagger_udf
 from spanlake.operators.fields import struct_fields
 from spanlake.operators.filters import clean_entities, sanitize_spans
 from spanlake.operators.ordering import lookup_join
-from spanlake.operators.staging import once
+from spanlake.operators.staging import once, written
 from spanlake.schema import LABELS
 
 
@@ -134,31 +136,96 @@ def dictionary_tagger(df: DataFrame, terms: DataFrame, text: str = "text", id_co
                       max_words: int = 1, ignore_case: bool = False, strategy: str = "regex") -> DataFrame:
     """Long entity rows (id, start, end, label, text, score 1.0) for dictionary terms in the text.
 
-    ``terms``: one row per (term, label), words separated by single spaces.  The dictionary is
-    broadcast after a size check, else joined on salted keys, so frequent words do not pile up.
+    ``terms``: one row per (term, label), words separated by single spaces; terms of more than ``max_words`` words play no part.
+    Tokens are joined with the terms; Spark broadcasts the dictionary by its size or splits the partitions of frequent words.  For terms of
+    several words the places where one may stand are found in the text first (``phrase_places``), so that only those are joined.
     """
     fold = F.lower if ignore_case else (lambda c: c)
-
-    def grams(tokens: Column) -> Column:
-        def of_size(n: int) -> Column:
-            return F.transform(tokens, lambda t, i: F.struct(
-                F.array_join(F.transform(F.slice(tokens, i + 1, F.lit(n)), lambda x: x["token"]), " ").alias("term"),
-                t["start"].alias("start"), F.get(tokens, i + n - 1)["end"].alias("end")))
-
-        return F.filter(F.concat(*[of_size(n) for n in range(1, max_words + 1)]), lambda g: g["end"].isNotNull())
-
+    lexicon = terms.select(fold(F.col("term")).alias("term"), "label").distinct()
     staged = once(df.select(id_col, text), _tok=tokenize_with_spans(F.col(text), strategy))
     if max_words == 1:
         pieces = staged.select(id_col, text, F.explode("_tok").alias("g")).withColumn("g", F.col("g").withField("term", F.col("g.token")))
+        words = pieces.select(id_col, fold(F.col("g.term")).alias("term"), F.col("g.start").alias("start"), F.col("g.end").alias("end"),
+                              F.substring(F.col(text), F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("text"))
     else:
-        pieces = once(staged, _g=grams(F.col("_tok"))).select(id_col, text, F.explode("_g").alias("g"))
-    words = pieces.select(id_col, fold(F.col("g.term")).alias("term"), F.col("g.start").alias("start"), F.col("g.end").alias("end"),
-                          F.substring(F.col(text), F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("text"))
-    lexicon = terms.select(fold(F.col("term")).alias("term"), "label").distinct()
+        lexicon = written(lexicon.filter(F.size(F.split("term", " ")) <= max_words), "lexicon")
+        places = phrase_places(F.col("_tok"), F.col(text), prefix_bits(lexicon.select("term")), max_words, fold)
+        words = once(staged, _p=places).select(id_col, F.explode("_p").alias("p")).select(id_col, "p.*")
     return lookup_join(words, lexicon, ["term"], "inner").select(
         id_col, "start", "end", "label", "text", F.lit(1.0).alias("score"))
 
 
+#: Bits of the prefix table for each beginning of a term, and bits at most (4 MB); a fuller table lets more places through, no term is lost.
+PREFIX_BITS, MOST_BITS = 16, 1 << 25
+
+
+def _step(before: Column, word: Column) -> Column:
+    """Key of a beginning from the key of the beginning one word shorter."""
+    return F.xxhash64(before, word)
+
+
+def _whole(key: Column) -> Column:
+    """Key of a beginning that is a whole term."""
+    return F.xxhash64(key, F.lit(1))
+
+
+class PrefixBits(NamedTuple):
+    """A table of bits: is the key of a term's beginning, or of a whole term, perhaps in the dictionary?"""
+
+    words: Column
+    bits: int
+
+    def has(self, key: Column) -> Column:
+        at = F.pmod(key, F.lit(self.bits))
+        return F.get(self.words, F.shiftright(at, 6).cast("int")).bitwiseAND(_bit(at)) != 0
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+
+def prefix_bits(terms: DataFrame, per_prefix: int = PREFIX_BITS, most: int = MOST_BITS) -> PrefixBits:
+    """The prefix table of a dictionary (term): for every beginning of a term a bit that a term goes on there, for every term one that it ends.
+
+    Bits are set in an aggregation by 64-bit word; the words, ``most`` / 8 bytes at most, come back to the driver and are one value of the plan.
+    """
+    words = F.split("term", " ")
+    keys = F.aggregate(words, F.struct(F.lit(0).cast("long").alias("k"), F.array().cast("array<bigint>").alias("all")),
+                       lambda a, w: F.struct(_step(a["k"], w).alias("k"), F.array_append(a["all"], _step(a["k"], w)).alias("all")))
+    each = terms.select(keys.alias("t")).select(F.explode(F.concat("t.all", F.array(_whole(F.col("t.k"))))).alias("key"))
+    prefixes = each.agg(F.approx_count_distinct("key")).first()[0] or 0
+    bits = min(most, max(1024, 1 << (per_prefix * prefixes).bit_length()))
+    at = F.pmod("key", F.lit(bits))
+    filled = each.select(F.shiftright(at, 6).cast("long").alias("i"), _bit(at).alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("w")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[filled["i"].to_numpy()] = filled["w"].to_numpy()
+    return PrefixBits(F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>"), bits)
+
+
+def phrase_places(tokens: Column, text: Column, table: PrefixBits, max_words: int, fold=lambda c: c) -> Column:
+    """array<struct<term, start, end, text>>: runs of tokens that may be terms, by walking the prefix table word by word from every token."""
+    folded = F.transform(tokens, lambda t: fold(t["token"]))
+
+    def ends(words: Column) -> Column:
+        """Lengths of the runs from the first of ``words`` on that may be terms; a run ends where no term goes on."""
+        start = F.struct(F.lit(0).cast("long").alias("k"), F.lit(True).alias("on"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("found"))
+
+        def go(a: Column, w: Column) -> Column:
+            key = _step(a["k"], w)
+            on = a["on"] & table.has(key)
+            return F.struct(key.alias("k"), on.alias("on"), (a["n"] + 1).alias("n"), F.when(on & table.has(_whole(key)), F.array_append(a["found"], a["n"] + 1)).otherwise(a["found"]).alias("found"))
+
+        return F.aggregate(words, start, go, lambda a: a["found"])
+
+    def at(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: table.has(_step(F.lit(0).cast("long"), F.get(words, i))))
+        return F.flatten(F.transform(starts, lambda i: F.transform(ends(F.slice(words, i + 1, F.lit(max_words))), lambda n: F.struct(
+            F.array_join(F.slice(words, i + 1, n), " ").alias("term"), F.get(tokens, i)["start"].alias("start"), F.get(tokens, i + n - 1)["end"].alias("end"),
+            F.substring(text, F.get(tokens, i)["start"] + 1, F.get(tokens, i + n - 1)["end"] - F.get(tokens, i)["start"]).alias("text")))))
+
+    return F.when(F.size(tokens) > 0, bind(folded, at))
+
+
 def collect_entities(df: DataFrame, ents: DataFrame, id_col: str = "row_idx", name: str = "entities") -> DataFrame:
     """Attach long entity rows to their records as a sorted array (one group per record)."""
     fields = [c for c in ents.columns if c != id_col]

@@ -8,7 +8,9 @@ one-element array is a boundary that filters on it cannot cross; all other push-
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanlake.session import scratch_path
@@ -30,6 +32,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``written`` with aggregates of the rows that come for free while they are written: (table, measures).
+
+    A task that runs again may count its rows twice.  If any task of the write did, the measures are taken
+    from the written table instead.
+    """
+    context, watch, group = df.sparkSession.sparkContext, Observation(name), f"{name}-{uuid4().hex}"
+    before = [context.getLocalProperty(k) for k in _GROUP]
+    context.setJobGroup(group, name)
+    try:
+        out = written(df.observe(watch, *[c.alias(n) for n, c in measures.items()]), name)
+    finally:
+        for k, v in zip(_GROUP, before):
+            context.setLocalProperty(k, v)
+    if _ran_once(context, group):
+        return out, watch.get
+    return out, out.agg(*[c.alias(n) for n, c in measures.items()]).first().asDict()
+
+
+_GROUP = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+
+
+def _ran_once(context, group: str) -> bool:
+    """Did every task of the group's jobs run a single time, as far as Spark still knows?"""
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+    return bool(jobs) and all(jobs) and all(s is None or (s.currentAttemptId == 0 and s.numFailedTasks == 0 and s.numCompletedTasks <= s.numTasks) for s in stages)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition only when the input has fewer splits than the cluster has cores.
 

@@ -20,7 +20,7 @@ from spanlake.operators.extract import extract_entities, tagging_stats
 from spanlake.operators.fields import project_fields
 from spanlake.operators.filters import drop_reasons
 from spanlake.operators.ordering import keep_first
-from spanlake.operators.staging import written
+from spanlake.operators.staging import observed
 from spanlake.operators.score import EntityGate, record_score, record_score_stats, split_records, split_summary
 from spanlake.schema import INFERENCE_FIELDS, LABELS
 from spanlake.functions.text import inference_text
@@ -116,23 +116,25 @@ def run_cycle(df: DataFrame, cfg: CycleConfig, tagger: Callable[[], Tagger], kee
               threshold: float = 0.0, max_tokens: int = 384, batch_size: int = 4) -> CycleRun:
     """One cycle from raw records to the next cycle's input: tag, calibrate, boost, score, split, prepare.
 
-    The tagged records are written to the shared folder: the calibrator's fit and the scoring read them, and
-    the user's tagger runs once.  ``stages`` has a row per stage (stage, samples, processed, failed, entities, error).
+    The records of every stage are written to the shared folder: the calibrator's fit and the scoring read the tagged ones, and
+    the user's tagger runs once.  ``stages`` has a row per stage (stage, samples, processed, failed, entities, error); its counts are
+    observed while the stages are written.
     """
     there = [f for f in text_fields if f in df.columns]
     staged = df.withColumn("_inference", inference_text(there))
     tagged = extract_entities(staged, tagger, labels, "_inference", threshold, batch_size, max_tokens).drop("_inference")
-    tagged = written(tagged, "cycle-tagged")
+    ok, rows = F.coalesce(F.col("tagger_ok"), F.lit(False)), F.count(F.lit(1))
+    tagged, tag = observed(tagged, "cycle-tagged", samples=rows, processed=F.count_if(ok), failed=F.count_if(~ok), entities=F.coalesce(F.sum(F.size("entities")), F.lit(0)))
     calibrator = cfg.calibrator
     if calibrate and calibrator is None:
         fit_on = pseudo_targets(scored_entities(tagged, "score", labels, id_col), threshold=target_threshold)
         calibrator = fit_calibrator(fit_on, calibrate, fallback=False)
-    records = written(score_and_split(tagged, replace(cfg, calibrator=calibrator)), "cycle-scored")
+    decided = lambda d: F.count_if(F.col("decision") == d)
+    records, split = observed(score_and_split(tagged, replace(cfg, calibrator=calibrator)), "cycle-scored", kept=decided("kept"), discarded=decided("discarded"))
     following = prepare_next_iteration(records.filter("decision = 'discarded'"), keep, required, dedupe_on, drop_empty=required, id_col=id_col)
-    none = F.lit(None).cast("string")
-    count = lambda name, frame, error: frame.agg(F.count(F.lit(1)).alias("samples")).select(
-        F.lit(name).alias("stage"), "samples", F.col("samples").alias("processed"), F.lit(0).cast("long").alias("failed"), F.lit(None).cast("long").alias("entities"), error.alias("error"))
-    tag = tagging_stats(tagged).select(F.lit("tag").alias("stage"), "samples", "processed", "failed", "entities", F.col("common_error").alias("error"))
-    stages = tag.unionByName(count("kept", records.filter("decision = 'kept'"), none)) \
-        .unionByName(count("discarded", records.filter("decision = 'discarded'"), none)).unionByName(count("next", following.records, none))
-    return CycleRun(records, following.records, stages, calibrator)
+    prepared, after = observed(following.records, "cycle-next", rows=rows)
+    error = tagging_stats(tagged).first()["common_error"] if tag["failed"] else None  # one more pass only where something failed
+    counted = [("tag", tag["samples"], tag["processed"], tag["failed"], tag["entities"], error),
+               *[(name, n, n, 0, None, None) for name, n in (("kept", split["kept"]), ("discarded", split["discarded"]), ("next", after["rows"]))]]
+    stages = df.sparkSession.createDataFrame(counted, "stage string, samples long, processed long, failed long, entities long, error string")
+    return CycleRun(records, prepared, stages, calibrator)

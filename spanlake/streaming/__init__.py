@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanlake.functions.text import dedupe_key
 from spanlake.plans.cycle import CycleConfig, score_and_split
-from spanlake.sources.tables import path_exists
 
 
 def score_stream(stream: DataFrame, cfg: CycleConfig = CycleConfig()) -> DataFrame:
@@ -24,42 +22,38 @@ def write_decisions(scored: DataFrame, folder: str, checkpoint: str, fmt: str =
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
+#: The state store that keeps its keys on disk; the default one holds all of them in executors' memory.
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def accumulate_kept(scored: DataFrame, folder: str, checkpoint: str, text: str = "text", id_col: str = "row_idx",
-                    once: bool = True) -> StreamingQuery:
+                    once: bool = True, event_time: str | None = None, within: str = "7 days", state_store: str | None = DISK_STATE) -> StreamingQuery:
     """Add the kept records of every batch to an accumulated set, each text once.
 
-    Batch n owns the sub-folder ``batch_id=n`` and overwrites it, so a repeated batch changes nothing.  Texts of
-    earlier batches are recognised by digest; only digests are read back, never the accumulated texts.
+    The digests met so far are keyed state (``dedupe_stream``): a batch looks up its own texts only, whatever has been accumulated, and of copies in
+    one batch any stays.  Batch n owns the sub-folder ``batch_id=n`` and overwrites it; a repeated batch starts from the
+    state before it, so it changes nothing.  ``id_col`` is kept as it is.  ``event_time`` and ``within`` bound the state in time.
     """
+    fresh = dedupe_stream(scored.filter(F.col("decision") == "kept"), text, event_time, within)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        kept = batch.filter(F.col("decision") == "kept").persist(StorageLevel.MEMORY_AND_DISK)  # scored once, used below more than once
-        try:
-            _add_kept(spark, kept, batch_id)
-        finally:
-            kept.unpersist()
-
-    def _add_kept(spark, kept: DataFrame, batch_id: int) -> None:
-        rows = kept.withColumn("_blank", dedupe_key(F.col(text)) == "")
-        rows = rows.withColumn("text_digest", F.sha2(dedupe_key(F.col(text)), 256))
-        firsts = rows.filter(~F.col("_blank")).groupBy("text_digest").agg(F.min(id_col).alias(id_col))
-        earlier = _earlier(spark, folder, batch_id)
-        if earlier is not None:
-            firsts = firsts.join(earlier.select("text_digest"), "text_digest", "left_anti")
-        keep = firsts.select(id_col).unionByName(rows.filter("_blank").select(id_col))
-        out = rows.join(keep, id_col, "left_semi").drop("_blank")
-        out.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
-
-    writer = scored.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(add)
-    return writer.trigger(availableNow=True).start() if once else writer.start()
-
-
-def _earlier(spark, folder: str, batch_id: int) -> DataFrame | None:
-    """Accumulated rows of the batches before this one, or None when there are none yet."""
-    if batch_id == 0 or not path_exists(spark, folder):
-        return None
-    return spark.read.parquet(folder).filter(F.col("batch_id") < batch_id)
+        batch.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    writer = fresh.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(add)
+    return _start(writer.trigger(availableNow=True) if once else writer, scored.sparkSession, state_store)
+
+
+def _start(writer, spark, state_store: str | None) -> StreamingQuery:
+    """Start with the given state store; a query keeps the settings of its start."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    if state_store:
+        spark.conf.set(name, state_store)
+    try:
+        return writer.start()
+    finally:
+        if state_store:
+            spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def dedupe_stream(scored: DataFrame, text: str = "text", event_time: str | None = None, within: str = "7 days") -> DataFrame:

@@ -202,3 +202,29 @@ def test_pairs_inside_a_record_equal_joined_pairs(spark, make_ent):
     inside = sorted(map(tuple, c.calibration_pairs_in_records(df).collect()))
     assert inside == sorted(map(tuple, c.calibration_pairs(long("pred"), long("gold")).collect())) and len(inside) == 9
     assert ("abb", 1) in {(r[2], r[7]) for r in inside}
+
+
+def test_isotonic_stacks_merge_in_rounds(spark):
+    """Many range partitions, merged two by two: the knots of one stack over all scores."""
+    import random
+    rng = random.Random(6)
+    rows = [(round(rng.random(), 4), int(rng.random() < 0.4 + 0.2 * rng.random()), rng.randrange(3)) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "score double, target int, fold int")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = c.isotonic_blocks(df, 3, fan=2).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for f in range(3):
+        sums = {}
+        for s, t, fold in rows:
+            if fold != f:
+                y, w = sums.get(s, (0, 0))
+                sums[s] = (y + t, w + 1)
+        stack = []
+        for s in sorted(sums):
+            c._pool(stack, s, s, *sums[s])
+        assert sorted([r.lo, r.hi, r.y, r.w] for r in got if r.fold == f) == stack

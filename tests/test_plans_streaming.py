@@ -116,3 +116,60 @@ def test_dedupe_stream(spark, corpus, tmp_path):
          .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o")).count() == 3
+
+
+def test_accumulated_set_over_many_batches(spark, corpus, tmp_path):
+    """One file a batch, copies across batches: every text once, whatever came before, and nothing twice after a restart."""
+    folder, out, cp = tmp_path / "in", str(tmp_path / "acc"), str(tmp_path / "cp")
+    for i in range(3):
+        corpus.withColumn("text", F.concat("text", F.lit(f" {i // 2}"))).coalesce(1).write.mode("append").json(str(folder))
+    source = spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    scored = score_stream(source, CycleConfig(threshold=0.0))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    query = accumulate_kept(scored, out, cp)
+    query.awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+    assert [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]][-1] == 6  # digests, not rows
+    rows = spark.read.parquet(out)
+    assert rows.count() == 6 == rows.select("text").distinct().count() and rows.select("batch_id").distinct().count() >= 2
+    corpus.withColumn("text", F.concat("text", F.lit(" 0"))).coalesce(1).write.mode("append").json(str(folder))
+    accumulate_kept(scored, out, cp).awaitTermination()
+    assert spark.read.parquet(out).count() == 6
+
+
+def test_a_repeated_batch_changes_nothing(spark, corpus, tmp_path):
+    """The last batch is done again, as after a crash between its write and its commit."""
+    folder, out, cp = str(tmp_path / "in"), str(tmp_path / "acc"), tmp_path / "cp"
+    corpus.coalesce(1).write.json(folder)
+    scored = score_stream(spark.readStream.schema(corpus.schema).json(folder), CycleConfig(threshold=0.0))
+    accumulate_kept(scored, out, str(cp)).awaitTermination()
+    first = sorted(r.text for r in spark.read.parquet(out).collect())
+    for done in (cp / "commits").iterdir():
+        if not done.name.startswith("."):
+            done.rename(tmp_path / done.name)
+    for crc in (cp / "commits").glob(".*.crc"):
+        crc.rename(tmp_path / f"crc-{crc.name}")
+    accumulate_kept(scored, out, str(cp)).awaitTermination()
+    assert sorted(r.text for r in spark.read.parquet(out).collect()) == first
+
+
+def test_observed_measures(spark, monkeypatch):
+    from spanlake.operators import staging
+    df = spark.range(1000, numPartitions=7).withColumn("k", F.col("id") % 3)
+    measures = {"rows": F.count(F.lit(1)), "zeros": F.count_if(F.col("k") == 0), "total": F.sum("id")}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", "mine")
+    table, got = staging.observed(df, "watched", **measures)
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "mine"
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {"rows": 1000, "zeros": 334, "total": 499500} and table.count() == 1000
+    monkeypatch.setattr(staging, "_ran_once", lambda *_: False)  # a task ran again: the table itself is asked
+    assert staging.observed(df, "watched", **measures)[1] == got
+
+
+def test_repeated_tasks_are_noticed(spark):
+    from types import SimpleNamespace as N
+    from spanlake.operators.staging import _ran_once
+    stage = lambda **k: N(**{"currentAttemptId": 0, "numFailedTasks": 0, "numCompletedTasks": 4, "numTasks": 4, **k})
+    context = lambda s: N(statusTracker=lambda: N(getJobIdsForGroup=lambda g: [1], getJobInfo=lambda j: N(stageIds=[5]), getStageInfo=lambda i: s))
+    assert _ran_once(context(stage()), "g")
+    assert not any(_ran_once(context(stage(**k)), "g") for k in ({"currentAttemptId": 1}, {"numFailedTasks": 1}, {"numCompletedTasks": 5}))
