@@ -10,6 +10,8 @@ from catalog.fixtures import ENTS_SQL, LINES_SQL, annotated, doc, order_lines, s
 from catalog.merging import KEY
 from spanlake.operators import ordering as od
 from spanlake.operators import splits as sp
+from spanlake.operators.balance import balance_folds
+from spanlake.operators.staging import written
 from spanlake.plans.training import training_manifest, training_windows
 
 
@@ -156,6 +158,17 @@ def fold_cost(spark, sf):
     return tidy(sp.fold_cost(sp.group_folds(_grouped(spark, sf), "o_custkey", 5), 5))
 
 
+@query("balanced_folds", f"WITH {FOLDS} SELECT count(*)::BIGINT AS groups, sum(examples)::BIGINT AS examples, sum(spans)::BIGINT AS spans, count(DISTINCT fold)::BIGINT AS folds, 1::BIGINT AS even, 1::BIGINT AS cheaper FROM fo")
+def balanced_folds(spark, sf):
+    """The dealt folds after the search: the same groups, group counts as even, and a lower cost."""
+    dealt = written(sp.group_folds(_grouped(spark, sf), "o_custkey", 5), "dealt-folds")
+    better = written(balance_folds(dealt, "o_custkey", 5), "balanced-folds")
+    per = better.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("examples").alias("examples"), F.sum("spans").alias("spans"))
+    cost = lambda folds: sp.fold_cost(folds, 5).select("cost").scalar()
+    whole = per.agg(F.sum("n").alias("groups"), F.sum("examples").alias("examples"), F.sum("spans").alias("spans"), F.count(F.lit(1)).alias("folds"), (F.max("n") - F.min("n") <= 1).alias("even"))
+    return tidy(whole.withColumn("cheaper", cost(better) < cost(dealt)))
+
+
 @query("fold_pairs", f"""WITH {FOLDS} SELECT i::BIGINT AS split, CASE WHEN fold = i THEN 'test' ELSE 'train' END AS role, count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS groups FROM orders JOIN fo ON fo.g = o_custkey, range(1, 6) r(i) GROUP BY ALL""")
 def fold_pairs(spark, sf):
     df = _grouped(spark, sf)
