@@ -27,8 +27,10 @@ UNITS = 1 << 40
 SMOOTHING = 20.0
 #: Mean log ratio under which a document is not like the trusted texts.
 MIN_SCORE = -0.1
-#: Ranges that the buckets are cut into at least, and n-grams of the corpus to a range.
-RANGES, RANGE_GRAMS = 16, 1 << 24
+#: Ranges that the buckets are cut into at least; bits of a bucket's place in its range, and times that one packed n-gram counts at most.
+RANGES, PLACE_BITS, MOST_TIMES = 8, 20, (1 << 11) - 1
+#: Bytes of trusted ids, as bitmaps, that are broadcast at most (half a billion ids without gaps); more are joined by a shuffle.
+MOST_MARKS = 64 << 20
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -153,51 +155,71 @@ class TextScores:
 
 
 def _packed(hashes: DataFrame, buckets: int, ranges: int) -> DataFrame:
-    """(range, row, bucket array, times array) of rows (row, hashes): a text's different n-grams, sorted, by ranges of buckets.
+    """(range, row, grams) of rows (row, hashes): a text's different n-grams by ranges of buckets, each an int of how often and where in the range.
 
-    The row's lowest bit says whether the text is trusted, so that counting and scoring read the very same columns and share one shuffle.
+    ``buckets`` and ``ranges`` are powers of two.
     """
-    width = -(-buckets // ranges)
+    width = buckets // ranges
     sorted_ = once(once(hashes, g=ngram_buckets(F.col("hashes"), buckets)).select("row", "g"), g=F.sort_array("g")).filter(F.size("g") > 0)
     at = lambda a, i: F.get(F.col(a), i)
-    new = lambda a, same: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | ~same(at(a, i), at(a, i - 1)))
-    lengths = lambda starts, end: F.zip_with(starts, F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(end)), lambda x, y: y - x)
-    runs = once(sorted_, s=new("g", lambda x, y: x == y))
-    runs = once(runs, b=F.transform("s", lambda i: at("g", i)), times=lengths(F.col("s"), F.size("g"))).select("row", "b", "times")
-    cuts = once(runs, s=new("b", lambda x, y: F.floor(x / width) == F.floor(y / width)))
-    pieces = F.zip_with("s", lengths(F.col("s"), F.size("b")), lambda i, n: F.struct(
-        F.floor(at("b", i) / width).cast("int").alias("range"), F.slice("b", i + 1, n).alias("b"), F.slice("times", i + 1, n).alias("times")))
+    spots = lambda a: F.sequence(F.lit(0), F.size(a) - 1)
+    following = lambda starts, end: F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(end))
+    # A run also ends at every so many n-grams, so that its length fits.
+    runs = once(sorted_, s=F.filter(spots("g"), lambda i: (i % MOST_TIMES == 0) | (at("g", i) != at("g", i - 1))))
+    packed = F.zip_with("s", following(F.col("s"), F.size("g")), lambda i, e: F.shiftleft((e - i).cast("int"), PLACE_BITS).bitwiseOR(F.pmod(at("g", i), F.lit(width)).cast("int")))
+    runs = once(runs, v=packed, r=F.transform("s", lambda i: F.shiftright(at("g", i), width.bit_length() - 1).cast("int"))).select("row", "v", "r")
+    cuts = once(runs, c=F.filter(spots("r"), lambda j: (j == 0) | (at("r", j) != at("r", j - 1))))
+    pieces = F.zip_with("c", following(F.col("c"), F.size("r")), lambda i, e: F.struct(at("r", i).alias("range"), F.slice("v", i + 1, e - i).alias("grams")))
     out = cuts.select("row", F.explode(pieces).alias("p"))
-    return out.select(F.coalesce("p.range", F.lit(0)).alias("range"), "row", "p.b", "p.times")
+    return out.select(F.coalesce("p.range", F.lit(0)).alias("range"), "row", "p.grams")
+
+
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (_id, ..) with ``_in``: is the id among the written, distinct ``ids`` (_trusted)?
+
+    Whole-number ids become bitmaps of 32,768 each, which are broadcast after a look at their size, so that no text moves; else, and for ids of other
+    types, both sides are joined as Spark plans it.
+    """
+    if dict(ids.dtypes)["_trusted"] in ("bigint", "int", "smallint", "tinyint"):
+        number = lambda c: F.bitmap_bucket_number(F.col(c).cast("long"))
+        maps = ids.groupBy(number("_trusted").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_trusted").cast("long"))).alias("_map"))
+        if (ids.agg(F.count_distinct(number("_trusted"))).first()[0] or 0) * 4096 <= MOST_MARKS:
+            found = rows.join(F.broadcast(stored(maps, "trusted-maps")), number("_id") == F.col("_block"), "left")
+            place = F.bitmap_bit_position(F.col("_id").cast("long"))
+            byte = F.conv(F.hex(F.substring("_map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            bit = F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+            return found.withColumn("_in", F.coalesce(bit, F.lit(False))).drop("_block", "_map")
+    return rows.join(ids, F.col("_id") == F.col("_trusted"), "left").withColumn("_in", F.col("_trusted").isNotNull()).drop("_trusted")
 
 
 def fit_scores(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextScores:
-    """Fit the ratios on all texts (``trusted`` holds ids) and score the same texts; only two totals come back to the driver.
+    """Fit the ratios on all texts (``trusted`` holds ids) and score the same texts; only totals come back to the driver.
 
-    Trusted ids are marked by a join that Spark plans by the size of their written table: broadcast below its threshold, else a shuffle.  After that the
-    n-grams move once, packed; a bucket's count, the lookup of its ratio and the sums by text happen where its range is.
+    The n-grams move once, packed; a bucket's count, the lookup of its ratio and the sums by text happen where its range is.
     """
     marks = stored(trusted.select(F.col(id_col).alias("_trusted")).filter("_trusted is not null").distinct(), "trusted-ids")
-    marked = lambda rows: rows.join(marks, F.col("_id") == F.col("_trusted"), "left").withColumn("_in", F.col("_trusted").isNotNull())
     n = F.greatest(2 * F.size(words_of(F.col(text_col))) - 1, F.lit(0)).cast("long")
-    sizes = once(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), _n=n).select("_id", "_n")
-    corpus, target = (x or 0 for x in marked(sizes).agg(F.sum("_n"), F.sum(F.when(F.col("_in"), F.col("_n")))).first())
-    buckets, ranges = bucket_number(corpus), max(RANGES, -(-corpus // RANGE_GRAMS))
+    sizes = _marked(once(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), _n=n).select("_id", "_n"), marks)
+    corpus, target = (x or 0 for x in sizes.agg(F.sum("_n"), F.sum(F.when(F.col("_in"), F.col("_n")))).first())
+    buckets = bucket_number(corpus)
+    ranges = max(RANGES, buckets >> PLACE_BITS)
     texts = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    # The row's lowest bit says whether the text is trusted: counting and scoring read the very same columns and share one shuffle.
     row = F.col("_key").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("_in").cast("long"))
-    hashes = once(marked(texts).select(row.alias("row"), "_text"), hashes=_word_hashes(words_of(F.col("_text")))).select("row", "hashes")
+    hashes = once(_marked(texts, marks).select(row.alias("row"), "_text"), hashes=_word_hashes(words_of(F.col("_text")))).select("row", "hashes")
     moved = _packed(hashes, buckets, ranges).repartition("range")
-    grams = moved.select("range", "row", F.explode(F.arrays_zip("b", "times")).alias("g")).select("range", "row", F.col("g.b").alias("bucket"), F.col("g.times").alias("times"))
-    counts = grams.groupBy("range", "bucket").agg(F.sum("times").alias("corpus"), F.sum(F.col("times") * F.col("row").bitwiseAND(F.lit(1))).alias("target"))
+    grams = moved.select("range", "row", F.explode("grams").alias("g"))
+    grams = grams.select("range", "row", F.col("g").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"), F.shiftright("g", PLACE_BITS).alias("times"))
+    counts = grams.groupBy("range", "place").agg(F.sum("times").alias("corpus"), F.sum(F.col("times") * F.col("row").bitwiseAND(F.lit(1))).alias("target"))
     if target:
         ratio = F.round(F.log((F.col("target") + SMOOTHING) * (corpus / target) / (F.col("corpus") + SMOOTHING * (corpus / target))) * UNITS).cast("long")
     else:  # nothing to compare with: no n-gram speaks for or against a text
         ratio = F.lit(0).cast("long")
-    model = counts.select(F.col("range").alias("_range"), F.col("bucket").alias("_bucket"), ratio.alias("units"))
-    met = grams.join(model.hint("shuffle_hash"), (F.col("range") == F.col("_range")) & (F.col("bucket") == F.col("_bucket")))
+    model = counts.select(F.col("range").alias("_range"), F.col("place").alias("_place"), ratio.alias("units"))
+    met = grams.join(model.hint("shuffle_hash"), (F.col("range") == F.col("_range")) & (F.col("place") == F.col("_place")))
     sums = met.groupBy("row").agg(F.sum(F.col("units") * F.col("times")).alias("units"), F.sum("times").alias("n"))
     scores = sums.select(F.col("row").bitwiseAND(F.lit(-2)).alias("_scored"), (F.col("units") / F.col("n") / UNITS).alias("score"))
-    # Both sides of the join lie by range already; Spark need not deal them again by bucket.
+    # Both sides of the join lie by range already; Spark need not deal them again by place.
     conf, name = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
     before = conf.get(name)
     conf.set(name, "false")
