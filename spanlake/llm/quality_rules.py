@@ -28,7 +28,7 @@ SMOOTHING = 20.0
 #: Mean log ratio under which a document is not like the trusted texts.
 MIN_SCORE = -0.1
 #: Ranges that the buckets are cut into at least; bits of a bucket's place in its range, and times that one packed n-gram counts at most.
-RANGES, PLACE_BITS, MOST_TIMES = 8, 20, (1 << 11) - 1
+RANGES, PLACE_BITS, MOST_TIMES = 8, 21, 7
 #: Bytes of trusted ids, as bitmaps, that are broadcast at most (half a billion ids without gaps); more are joined by a shuffle.
 MOST_MARKS = 64 << 20
 SYMBOLS = "#*$%&|<>"
@@ -155,8 +155,9 @@ class TextScores:
 
 
 def _packed(hashes: DataFrame, buckets: int, ranges: int) -> DataFrame:
-    """(range, row, grams) of rows (row, hashes): a text's different n-grams by ranges of buckets, each an int of how often and where in the range.
+    """(range, row, low, high) of rows (row, hashes): a text's different n-grams by ranges of buckets, three bytes each.
 
+    ``low`` has the last 16 bits of an n-gram's place in its range, ``high`` the five before and how often it is there, both less half their range.
     ``buckets`` and ``ranges`` are powers of two.
     """
     width = buckets // ranges
@@ -166,12 +167,14 @@ def _packed(hashes: DataFrame, buckets: int, ranges: int) -> DataFrame:
     following = lambda starts, end: F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(end))
     # A run also ends at every so many n-grams, so that its length fits.
     runs = once(sorted_, s=F.filter(spots("g"), lambda i: (i % MOST_TIMES == 0) | (at("g", i) != at("g", i - 1))))
-    packed = F.zip_with("s", following(F.col("s"), F.size("g")), lambda i, e: F.shiftleft((e - i).cast("int"), PLACE_BITS).bitwiseOR(F.pmod(at("g", i), F.lit(width)).cast("int")))
-    runs = once(runs, v=packed, r=F.transform("s", lambda i: F.shiftright(at("g", i), width.bit_length() - 1).cast("int"))).select("row", "v", "r")
+    low = F.transform("s", lambda i: (at("g", i).bitwiseAND(F.lit(min(width, 1 << 16) - 1)) - (1 << 15)).cast("smallint"))
+    high = F.zip_with("s", following(F.col("s"), F.size("g")), lambda i, e: (F.shiftright(at("g", i).bitwiseAND(F.lit(width - 1)), 16) * (MOST_TIMES + 1) + (e - i - 128)).cast("tinyint"))
+    runs = once(runs, low=low, high=high, r=F.transform("s", lambda i: F.shiftright(at("g", i), width.bit_length() - 1).cast("int"))).select("row", "low", "high", "r")
     cuts = once(runs, c=F.filter(spots("r"), lambda j: (j == 0) | (at("r", j) != at("r", j - 1))))
-    pieces = F.zip_with("c", following(F.col("c"), F.size("r")), lambda i, e: F.struct(at("r", i).alias("range"), F.slice("v", i + 1, e - i).alias("grams")))
+    pieces = F.zip_with("c", following(F.col("c"), F.size("r")), lambda i, e: F.struct(
+        at("r", i).alias("range"), F.slice("low", i + 1, e - i).alias("low"), F.slice("high", i + 1, e - i).alias("high")))
     out = cuts.select("row", F.explode(pieces).alias("p"))
-    return out.select(F.coalesce("p.range", F.lit(0)).alias("range"), "row", "p.grams")
+    return out.select(F.coalesce("p.range", F.lit(0)).alias("range"), "row", "p.low", "p.high")
 
 
 def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -208,8 +211,9 @@ def fit_scores(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     row = F.col("_key").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("_in").cast("long"))
     hashes = once(_marked(texts, marks).select(row.alias("row"), "_text"), hashes=_word_hashes(words_of(F.col("_text")))).select("row", "hashes")
     moved = _packed(hashes, buckets, ranges).repartition("range")
-    grams = moved.select("range", "row", F.explode("grams").alias("g"))
-    grams = grams.select("range", "row", F.col("g").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"), F.shiftright("g", PLACE_BITS).alias("times"))
+    grams = moved.select("range", "row", F.explode(F.arrays_zip("low", "high")).alias("g"))
+    low, high = F.col("g.low").cast("int") + (1 << 15), F.col("g.high").cast("int") + 128
+    grams = grams.select("range", "row", (F.shiftright(high, 3) * (1 << 16) + low).alias("place"), high.bitwiseAND(F.lit(MOST_TIMES)).alias("times"))
     counts = grams.groupBy("range", "place").agg(F.sum("times").alias("corpus"), F.sum(F.col("times") * F.col("row").bitwiseAND(F.lit(1))).alias("target"))
     if target:
         ratio = F.round(F.log((F.col("target") + SMOOTHING) * (corpus / target) / (F.col("corpus") + SMOOTHING * (corpus / target))) * UNITS).cast("long")

@@ -152,3 +152,64 @@ def test_buckets_grow_with_the_corpus(spark):
     assert model.buckets == 1 << 18
     held = qr.quality_rules(docs, model).filter("not base_failed").join(labels.filter("doc_id % 2 = 1"), "doc_id").select("quality", "kept").toPandas()
     assert held[held.quality == 1].kept.mean() > 0.99 and held[held.quality == 0].kept.mean() < 0.05
+
+
+def plain_scores(data, trusted, buckets):
+    """Mean log ratios by plain counting in ``buckets``."""
+    corpus, target = Counter(), Counter()
+    for i, text in data:
+        corpus.update(plain_buckets(text, buckets))
+        target.update(plain_buckets(text, buckets) if i in trusted else [])
+    times = sum(corpus.values()) / sum(target.values()) if target else 1
+    ratio = lambda b: log((target[b] + qr.SMOOTHING) * times / (corpus[b] + qr.SMOOTHING * times)) if target else 0.0
+    out = []
+    for i, text in data:
+        grams = plain_buckets(text, buckets)
+        out.append((repr(i), sum(map(ratio, grams)) / len(grams) if grams else None))
+    return sorted(out, key=repr)
+
+
+def check_scores(spark, docs, data, trusted, buckets):
+    known = spark.createDataFrame([(i,) for i in trusted], f"doc_id {dict(docs.dtypes)['doc_id']}")
+    got = qr.quality_rules(docs, qr.fit_scores(docs, known)).collect()
+    want = plain_scores(data, set(trusted) - {None}, buckets)
+    order = lambda x: (x[0], x[1] is not None, x[1] or 0.0)
+    want, found = sorted(want, key=order), sorted(((repr(r.doc_id), r.score) for r in got), key=order)
+    assert [(i, s is None) for i, s in want] == [(i, s is None) for i, s in found]
+    assert all(s is None or abs(s - x) < 2e-9 for (_, s), (_, x) in zip(want, found))
+    assert all(r.kept == (not r.base_failed and r.score >= qr.MIN_SCORE) for r in got)
+
+
+def test_scores_of_one_shuffle(spark, monkeypatch):
+    """Hard rows, texts that repeat an n-gram far more often than one packed n-gram can say, negative ids; ids as bitmaps and joined."""
+    data = [(i, t) for i, t, *_ in rows()] + [(-5, "no no " * 400 + "yes"), (1 << 40, "far away " * 40), (70, "a b c d e f g h i j k")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    trusted = [5, 6, 7, 7, None, 60, 99, -5, 1 << 40]
+    check_scores(spark, docs, data, trusted, qr.BUCKETS)
+    monkeypatch.setattr(qr, "MOST_MARKS", 0)
+    check_scores(spark, docs, data, trusted, qr.BUCKETS)
+    check_scores(spark, docs.selectExpr("concat('x', doc_id) as doc_id", "text"), [(None if i is None else f"x{i}", t) for i, t in data], ["x5", "x60", None], qr.BUCKETS)
+    none = spark.createDataFrame([], "doc_id long")
+    assert qr.quality_rules(docs, qr.fit_scores(docs, none)).filter("score <> 0").count() == 0
+    assert qr.quality_rules(empty(spark), qr.fit_scores(empty(spark), none)).count() == 0
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_scores_in_more_buckets(spark, monkeypatch):
+    """A corpus that calls for 2^15 buckets and more, and places of few bits, so that there are many ranges."""
+    data = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    grams = sum(max(0, 2 * len(WORD.findall(t or "")) - 1) for _, t in data)
+    buckets = qr.bucket_number(grams)
+    assert buckets >= 1 << 15
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    check_scores(spark, docs, data, [i for i, _ in data if i % 3 == 0], buckets)
+    monkeypatch.setattr(qr, "BUCKET_GRAMS", 1)
+    check_scores(spark, docs, data, [i for i, _ in data if i % 3 == 0], qr.bucket_number(grams))
+    assert qr.bucket_number(grams) >= 1 << 19
+
+
+def test_held_out_junk_by_one_shuffle(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fitted = qr.quality_rules(docs, qr.fit_scores(docs, labels.filter("quality = 1 and doc_id % 2 = 0")))
+    held = fitted.filter("not base_failed").join(labels.filter("doc_id % 2 = 1"), "doc_id").select("quality", "kept").toPandas()
+    assert held[held.quality == 1].kept.mean() > 0.99 and held[held.quality == 0].kept.mean() < 0.05
