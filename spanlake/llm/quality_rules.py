@@ -9,12 +9,14 @@ brings every range together, where its n-grams are counted, get their ratios and
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrays import bind
-from spanlake.llm.common import SPACES, row_key, stored, words_of
+from spanlake.llm.common import SPACE_RUN, SPACES, row_key, stored, words_of
 from spanlake.operators.staging import once
 
 #: Hash buckets of the n-grams: those of a model held in memory, and the least of a written one.
@@ -35,28 +37,67 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
-def _repeated(words: Column, hashes: Column) -> Column:
-    """Words inside windows of five words that occur twice or more.
+def _rest(values: str, skip: int) -> Column:
+    return F.slice(values, F.lit(skip + 1), F.greatest(F.size(values) - skip, F.lit(0)))
 
-    Window hashes only rule out texts without a repeat; the others are decided on the words themselves.
+
+def _mixed(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _joined(rows: DataFrame, name: str, values: str, others: str, skip: int, when: Column | None = None) -> DataFrame:
+    """``rows`` with hashes of each of ``values`` and the one ``skip`` later in ``others``; an empty list where ``when`` is false.
+
+    List functions that Spark compiles stand in steps of their own: in one step with a lambda function they would be interpreted.
     """
-    last = F.size(words) - WINDOW
-    starts = F.sequence(F.lit(0), last)
-    keys = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
-    # (window, start) sorted: equal windows are neighbours.
-    spelled = F.array_sort(F.transform(starts, lambda i: F.struct(
-        F.concat_ws(" ", *[F.get(words, i + k) for k in range(WINDOW)]).alias("w"), i.alias("at"))))
-
-    def covered(s: Column) -> Column:
-        same = lambda i, j: F.get(s, i)["w"].eqNullSafe(F.get(s, j)["w"])
-        found = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ((i > 0) & same(i, i - 1)) | ((i < F.size(s) - 1) & same(i, i + 1)))
-        at = F.array_sort(F.transform(found, lambda i: F.get(s, i)["at"]))
+    hashes = F.zip_with(values, "_later", _mixed)
+    rows = rows.withColumn("_later", _rest(others, skip))
+    rows = once(rows, _joined=hashes if when is None else F.when(when, hashes).otherwise(F.array().cast("array<bigint>")))
+    return rows.withColumn(name, F.slice("_joined", F.lit(1), F.size("_later"))).drop("_joined", "_later")
+
+
+def _with_words(rows: DataFrame) -> DataFrame:
+    """``rows`` (_text, ..) with their ``words_of``: between runs of white space only the first and the last piece can be empty."""
+    rows = once(rows, words=F.split(F.coalesce(F.col("_text"), F.lit("")), SPACE_RUN, -1))
+    first, last = ((F.element_at("words", k) == "").cast("int") for k in (1, -1))
+    return rows.withColumn("words", F.slice("words", first + 1, F.greatest(F.size("words") - first - last, F.lit(0))))
+
+
+def _with_hashes(rows: DataFrame) -> DataFrame:
+    """``rows`` (words, ..) with the hashes of the words and those of neighbouring ``pairs``."""
+    return _joined(once(rows, hashes=_word_hashes(F.col("words"))), "pairs", "hashes", "hashes", 1)
+
+
+def _with_repeated(rows: DataFrame) -> DataFrame:
+    """``rows`` (words, hashes, pairs, ..) with ``n_repeat_words``: words inside windows of five words that occur twice or more.
+
+    A window that comes again brings four pairs of words, two runs of four words and one of five that were there before: the counts of
+    different hashes rule out texts without a repeat, the cheapest first. The others are decided on the words themselves.
+    """
+    none = F.lit(0).cast("long")
+    again = lambda a: F.size(a) - F.size(F.array_distinct(a))
+    word = lambda i: F.get(F.col("words"), i)
+    starts = F.sequence(F.lit(0), F.size("fives") - 1)
+
+    def covered(found: Column) -> Column:
+        at = F.sort_array(F.transform(found, lambda x: x["at"]))
         gaps = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - F.get(p, i), F.lit(WINDOW))))
-        total = lambda p: F.aggregate(gaps(p), F.lit(0).cast("long"), lambda a, x: a + x)
-        return bind(at, lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(total(p)))
+        return bind(at, lambda p: F.when(F.size(p) == 0, none).otherwise(F.aggregate(gaps(p), none, lambda a, x: a + x)))
+
+    def decided(found: Column) -> Column:
+        """Neighbours of one hash are compared; should they ever differ, the text's windows are sorted by their words."""
+        differ = lambda x, y: ~reduce(and_, [word(x["at"] + j) == word(y["at"] + j) for j in range(WINDOW)])
+        clash = F.filter(found, lambda x, i: (x["k"] == F.get(found, i - 1)["k"]) & differ(x, F.get(found, i - 1)))
+        spelled = F.sort_array(F.zip_with("fives", starts, lambda _, i: F.struct(F.array(*[word(i + j) for j in range(WINDOW)]).alias("k"), i.alias("at"))))
+        return F.when(F.size(clash) == 0, covered(found)).otherwise(bind(spelled, lambda s: covered(twice(s))))
 
-    decide = lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0).cast("long")).otherwise(bind(spelled, covered))
-    return F.when(last < 0, F.lit(0).cast("long")).otherwise(bind(keys, decide))
+    # (hash, start) sorted: equal windows are neighbours.
+    windows = F.sort_array(F.zip_with("fives", starts, lambda h, i: F.struct(h.alias("k"), i.alias("at"))))
+    twice = lambda s: F.filter(s, lambda x, i: (x["k"] == F.get(s, i - 1)["k"]) | (x["k"] == F.get(s, i + 1)["k"]))
+    rows = _joined(rows.withColumn("_again", again("pairs")), "fours", "pairs", "pairs", 2, F.col("_again") >= 4)
+    rows = _joined(rows.withColumn("_again", again("fours")), "fives", "fours", "hashes", 4, F.col("_again") >= 2)
+    repeated = bind(windows, lambda s: bind(twice(s), decided))
+    return once(rows.withColumn("_again", again("fives")), n_repeat_words=F.when(F.col("_again") == 0, none).otherwise(repeated)).drop("fours", "fives", "_again")
 
 
 def _word_hashes(words: Column) -> Column:
@@ -149,32 +190,40 @@ def joined_scores(docs: DataFrame, model: RatioTable, id_col: str, text_col: str
 
 @dataclass(frozen=True)
 class TextScores:
-    """(_scored, score): the mean log ratio of every text with words, by the key of its row."""
+    """(_scored, score): the mean log ratio of every text with words, by the key of its row; the statistics of the rows of ``docs`` (``_numbers``)."""
 
     table: DataFrame
+    numbers: DataFrame
+    docs: DataFrame
+    columns: tuple[str, str]
 
 
-def _packed(hashes: DataFrame, buckets: int, ranges: int) -> DataFrame:
-    """(range, row, low, high) of rows (row, hashes): a text's different n-grams by ranges of buckets, three bytes each.
+def _packed(texts: DataFrame, buckets: int, ranges: int) -> DataFrame:
+    """(range, row, low, high) of rows (row, words): a text's different n-grams by ranges of buckets, three bytes each.
 
     ``low`` has the last 16 bits of an n-gram's place in its range, ``high`` the five before and how often it is there, both less half their range.
-    ``buckets`` and ``ranges`` are powers of two.
+    ``buckets`` and ``ranges`` are powers of two.  What Spark compiles is kept apart from the lambda functions, see ``_joined``.
     """
-    width = buckets // ranges
-    sorted_ = once(once(hashes, g=ngram_buckets(F.col("hashes"), buckets)).select("row", "g"), g=F.sort_array("g")).filter(F.size("g") > 0)
+    width, kind = buckets // ranges, "int" if buckets <= 1 << 31 else "long"
+    grams = _with_hashes(texts).select("row", F.concat("hashes", "pairs").alias("g"))
+    grams = once(grams, g=F.transform("g", lambda h: h.bitwiseAND(F.lit(buckets - 1).cast("long")).cast(kind)))
+    sorted_ = once(grams, g=F.sort_array("g")).filter(F.size("g") > 0)
     at = lambda a, i: F.get(F.col(a), i)
     spots = lambda a: F.sequence(F.lit(0), F.size(a) - 1)
-    following = lambda starts, end: F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(end))
-    # A run also ends at every so many n-grams, so that its length fits.
-    runs = once(sorted_, s=F.filter(spots("g"), lambda i: (i % MOST_TIMES == 0) | (at("g", i) != at("g", i - 1))))
-    low = F.transform("s", lambda i: (at("g", i).bitwiseAND(F.lit(min(width, 1 << 16) - 1)) - (1 << 15)).cast("smallint"))
-    high = F.zip_with("s", following(F.col("s"), F.size("g")), lambda i, e: (F.shiftright(at("g", i).bitwiseAND(F.lit(width - 1)), 16) * (MOST_TIMES + 1) + (e - i - 128)).cast("tinyint"))
-    runs = once(runs, low=low, high=high, r=F.transform("s", lambda i: F.shiftright(at("g", i), width.bit_length() - 1).cast("int"))).select("row", "low", "high", "r")
-    cuts = once(runs, c=F.filter(spots("r"), lambda j: (j == 0) | (at("r", j) != at("r", j - 1))))
-    pieces = F.zip_with("c", following(F.col("c"), F.size("r")), lambda i, e: F.struct(
-        at("r", i).alias("range"), F.slice("low", i + 1, e - i).alias("low"), F.slice("high", i + 1, e - i).alias("high")))
-    out = cuts.select("row", F.explode(pieces).alias("p"))
-    return out.select(F.coalesce("p.range", F.lit(0)).alias("range"), "row", "p.low", "p.high")
+    # A run also ends at every so many n-grams, so that its length fits; there is no n-gram before the first.
+    runs = once(sorted_.withColumn("_spots", spots("g")), s=F.filter("_spots", lambda i: (at("g", i) != at("g", i - 1)) | (i % MOST_TIMES == 0)))
+    runs = runs.withColumn("e", F.concat(_rest("s", 1), F.array(F.size("g"))))
+    five = ((width - 1) >> 16) * (MOST_TIMES + 1)
+    times = lambda i, e: e - i - 128
+    high = lambda i, e: (F.shiftright(at("g", i), 13).bitwiseAND(F.lit(five)) + times(i, e) if five else times(i, e)).cast("tinyint")
+    runs = once(runs, v=F.transform("s", lambda i: at("g", i)), high=F.zip_with("s", "e", high)).select("row", "v", "high")
+    low = F.transform("v", lambda x: (x.bitwiseAND(F.lit(min(width, 1 << 16) - 1)) - (1 << 15)).cast("smallint"))
+    # Sorted numbers that differ in the bits of their range: there the next range begins.
+    cuts = once(runs.withColumn("_spots", F.sequence(F.lit(1), F.size("v"))), low=low, c=F.filter("_spots", lambda j: at("v", j).bitwiseXOR(at("v", j - 1)) >= width))
+    pieces = cuts.withColumn("c", F.concat(F.array(F.lit(0)), "c")).select("row", "v", "low", "high", "c", F.posexplode("c").alias("k", "i"))
+    size = F.coalesce(at("c", F.col("k") + 1), F.size("v")) - F.col("i")
+    range_ = F.shiftright(at("v", F.col("i")), width.bit_length() - 1).cast("int")
+    return pieces.select(F.coalesce(range_, F.lit(0)).alias("range"), "row", F.slice("low", F.col("i") + 1, size).alias("low"), F.slice("high", F.col("i") + 1, size).alias("high"))
 
 
 def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -201,18 +250,18 @@ def fit_scores(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     The n-grams move once, packed; a bucket's count, the lookup of its ratio and the sums by text happen where its range is.
     """
     marks = stored(trusted.select(F.col(id_col).alias("_trusted")).filter("_trusted is not null").distinct(), "trusted-ids")
-    n = F.greatest(2 * F.size(words_of(F.col(text_col))) - 1, F.lit(0)).cast("long")
-    sizes = _marked(once(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), _n=n).select("_id", "_n"), marks)
+    numbers = stored(_numbers(docs, id_col, text_col), "rules")
+    sizes = _marked(numbers.select("_id", F.greatest(2 * F.col("n_words") - 1, F.lit(0)).alias("_n")), marks)
     corpus, target = (x or 0 for x in sizes.agg(F.sum("_n"), F.sum(F.when(F.col("_in"), F.col("_n")))).first())
     buckets = bucket_number(corpus)
     ranges = max(RANGES, buckets >> PLACE_BITS)
     texts = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     # The row's lowest bit says whether the text is trusted: counting and scoring read the very same columns and share one shuffle.
     row = F.col("_key").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("_in").cast("long"))
-    hashes = once(_marked(texts, marks).select(row.alias("row"), "_text"), hashes=_word_hashes(words_of(F.col("_text")))).select("row", "hashes")
-    moved = _packed(hashes, buckets, ranges).repartition("range")
-    grams = moved.select("range", "row", F.explode(F.arrays_zip("low", "high")).alias("g"))
-    low, high = F.col("g.low").cast("int") + (1 << 15), F.col("g.high").cast("int") + 128
+    words = _with_words(_marked(texts, marks).select(row.alias("row"), "_text")).select("row", "words")
+    moved = _packed(words, buckets, ranges).repartition("range")
+    grams = moved.select("range", "row", "high", F.posexplode("low").alias("i", "low"))
+    low, high = F.col("low").cast("int") + (1 << 15), F.get("high", F.col("i")).cast("int") + 128
     grams = grams.select("range", "row", (F.shiftright(high, 3) * (1 << 16) + low).alias("place"), high.bitwiseAND(F.lit(MOST_TIMES)).alias("times"))
     counts = grams.groupBy("range", "place").agg(F.sum("times").alias("corpus"), F.sum(F.col("times") * F.col("row").bitwiseAND(F.lit(1))).alias("target"))
     if target:
@@ -228,11 +277,31 @@ def fit_scores(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     before = conf.get(name)
     conf.set(name, "false")
     try:
-        return TextScores(stored(scores, "scores"))
+        return TextScores(stored(scores, "scores"), numbers, docs, (id_col, text_col))
     finally:
         conf.set(name, before)
 
 
+def _numbers(docs: DataFrame, id_col: str, text_col: str, ratios: list[float] | None = None) -> DataFrame:
+    """_id, _key and the text statistics of every row, from its words, split and hashed once; with the score if the model is a list."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
+    rows = _with_words(rows).select(
+        "_id", "_key", "words", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"), F.split(text, "\n", -1).alias("lines"))
+    rows = once(rows, lines=F.filter("lines", lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0))
+    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
+    rows = _with_repeated(_with_hashes(rows))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    if ratios is not None:
+        # One literal for the whole model, folded when the query is planned.
+        model = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
+        grams = ngram_buckets(F.col("hashes"), len(ratios))
+        total = bind(grams, lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(model, b)) / F.size(g))
+        rows, names = once(rows, score=F.when(F.size("words") > 0, F.round(total, 9))), [*names, "score"]
+    return rows.select("_id", "_key", *names)
+
+
 def quality_rules(docs: DataFrame, ratios: list[float] | RatioTable | TextScores, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Text statistics, score and verdict of every row; without a shuffle if ``ratios`` is a list, with the scores of ``fit_scores`` by one small join.
 
@@ -242,29 +311,17 @@ def quality_rules(docs: DataFrame, ratios: list[float] | RatioTable | TextScores
     come back as often as they are there, and an empty table gives no rows; very long texts are read whole, as one array of words; a score equal
     to ``min_score`` keeps a text; other columns play no part.
     """
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
-    rows = once(rows, words=words_of(F.col("_text")))
-    rows = once(rows, hashes=_word_hashes(F.col("words")))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
+    if isinstance(ratios, RatioTable):
+        found, key = stored(joined_scores(docs, ratios, id_col, text_col), "scores"), F.col("_key")
+        numbers = stored(_numbers(docs, id_col, text_col), "rules")
+    elif isinstance(ratios, TextScores):
+        found, key = ratios.table, F.col("_key").bitwiseAND(F.lit(-2))
+        same = ratios.docs is docs and ratios.columns == (id_col, text_col)
+        numbers = ratios.numbers if same else stored(_numbers(docs, id_col, text_col), "rules")
     if isinstance(ratios, RatioTable | TextScores):
-        total = F.lit(None).cast("double")
+        stats = numbers.join(found, key == F.col("_scored"), "left").withColumn("score", F.round("score", 9))
     else:
-        # One literal for the whole model, folded when the query is planned.
-        model = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-        grams = ngram_buckets(F.col("hashes"), len(ratios))
-        total = bind(grams, lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(model, b)) / F.size(g))
-    stats = once(
-        rows, n_words=F.size("words").cast("long"), word_chars=F.length(F.array_join("words", "")).cast("long"),
-        n_symbols=F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
-        n_dup_lines=bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        n_repeat_words=_repeated(F.col("words"), F.col("hashes")),
-        score=F.when(F.size("words") > 0, F.round(total, 9)))
-    if isinstance(ratios, RatioTable | TextScores):
-        found = joined_scores(docs, ratios, id_col, text_col) if isinstance(ratios, RatioTable) else ratios.table
-        key = F.col("_key") if isinstance(ratios, RatioTable) else F.col("_key").bitwiseAND(F.lit(-2))
-        numbers = stored(stats.drop("score", "words", "hashes", "_text"), "rules")
-        stats = numbers.join(stored(found, "scores") if isinstance(ratios, RatioTable) else found, key == F.col("_scored"), "left").withColumn("score", F.round("score", 9))
+        stats = _numbers(docs, id_col, text_col, ratios)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return stats.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         failed.alias("base_failed"), "score", (~failed & (F.col("score") >= min_score)).alias("kept"))

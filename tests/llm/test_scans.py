@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import textwrap
 from collections import Counter
@@ -213,3 +214,30 @@ def test_held_out_junk_by_one_shuffle(spark):
     fitted = qr.quality_rules(docs, qr.fit_scores(docs, labels.filter("quality = 1 and doc_id % 2 = 0")))
     held = fitted.filter("not base_failed").join(labels.filter("doc_id % 2 = 1"), "doc_id").select("quality", "kept").toPandas()
     assert held[held.quality == 1].kept.mean() > 0.99 and held[held.quality == 0].kept.mean() < 0.05
+
+
+def test_rules_split_a_text_twice(spark, monkeypatch):
+    """Once for the statistics, which say how many n-grams there are, and once for the n-grams themselves."""
+    calls, split = [], qr.F.split
+    monkeypatch.setattr(qr.F, "split", lambda text, by, *a: calls.extend([by] if by == qr.SPACE_RUN else []) or split(text, by, *a))
+    docs, trusted = frame(spark), spark.createDataFrame([(i,) for i in (5, 6, 7)], "doc_id long")
+    scores = qr.fit_scores(docs, trusted)
+    assert qr.quality_rules(docs, scores).count() == len(rows()) and len(calls) == 2
+    # Other rows than those of the fit get statistics of their own.
+    assert [r.n_words for r in qr.quality_rules(docs.filter("doc_id = 63"), scores).collect()] == [53] and len(calls) == 3
+
+
+def test_repeated_windows(spark, monkeypatch):
+    """Texts around the counts that rule repeats out; also when every hash of neighbours is the same."""
+    rng = random.Random(11)
+    texts = [None, "", " ", " \n a b c d e a b c d e\t ", "a", "a b c d e", "a a a a a", "a a a a a a", "a b c d e a b c d e", "a b c d a b c d", "a b c d e x a b c d f", "a b c d e f a b c d e f g",
+             "x a b c d e a b c d", "n a b c d e m a b c d e o a b c d e", "a b a b a b a b", "a b c a b c a b c"]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(5, 40))) for _ in range(60)]
+    texts += [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(20, 120))) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = [plain_base(t)[4] for t in texts]
+    assert {0} < set(want)
+    found = lambda: [r.n_repeat_words for r in qr.quality_rules(docs, [0.0] * 8).orderBy("doc_id").collect()]
+    assert found() == want
+    monkeypatch.setattr(qr, "_mixed", lambda a, b: qr.F.lit(7).cast("long"))
+    assert found() == want
