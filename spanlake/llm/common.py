@@ -10,6 +10,9 @@ from spanlake.session import scratch_path, ship_package
 #: White space between words: space and the control characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Planned bytes up to which Spark may broadcast a table of ids.  Spark goes by the size of the files, in which an id takes two bytes and more; on
+#: the driver its row takes 90, so its own limit of 10 MB would let through 400 MB.
+BROADCAST_BYTES = 256 << 10
 
 
 def words_of(text: Column) -> Column:
@@ -29,6 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(side: DataFrame) -> DataFrame:
+    """The smaller side of a join, for tables that grow with the corpus: a broadcast up to ``BROADCAST_BYTES`` only, sorted and merged above."""
+    planned = int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return side if planned <= BROADCAST_BYTES else side.hint("merge")
+
+
 def row_key(*columns: Column) -> Column:
     """A 64-bit key of values; NULLs count (``xxhash64`` alone skips them)."""
     return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])

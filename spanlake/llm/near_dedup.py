@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import fresh, python_ready, stored
+from spanlake.llm.common import bounded, fresh, python_ready, stored
 
 #: Words of a shingle, least similarity in percent, bands per collection, minima per band.
 WORDS, PERCENT, BANDS, ROWS = 3, 85, 8, 2
@@ -131,7 +131,7 @@ def table_keys(left: Column, right: Column) -> Column:
 def _verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(lo, hi, shared, total) of pairs of nodes: sizes of the intersection and of the union of their full sets."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
-    both = pairs.select("lo", "hi").join(side("lo"), "lo").join(side("hi"), "hi")
+    both = bounded(pairs.select("lo", "hi")).join(side("lo"), "lo").join(side("hi"), "hi")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -162,7 +162,7 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 def _hop(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Each node's smallest label among its own and its neighbours'."""
-    near = edges.join(labels.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label")
+    near = edges.join(bounded(labels.select(F.col("node").alias("dst"), "label")), "dst").select(F.col("src").alias("node"), "label")
     return near.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
 
 
@@ -177,8 +177,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         spread = stored(_hop(edges, labels), "spread")
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = stored(spread.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
-        changed = new.join(labels.withColumnRenamed("label", "was"), "node").filter("label <> was")
+        new = stored(spread.join(bounded(jump), "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        changed = new.join(bounded(labels.withColumnRenamed("label", "was")), "node").filter("label <> was")
         if changed.isEmpty():
             return new
         labels = new
@@ -195,23 +195,23 @@ def find_links(members: DataFrame, texts: DataFrame, size: int = WORDS, percent:
     # a few centres.
     draw = F.xxhash64("node", F.pmod("key", F.lit(4)))
     centres = members.groupBy("key").agg(F.count("*").alias("n"), F.min(draw).alias("first"))
-    starred = stored(members.join(stored(centres, "centres"), "key").withColumn("centre", draw == F.col("first")), "starred")
+    starred = stored(members.join(bounded(stored(centres, "centres")), "key").withColumn("centre", draw == F.col("first")), "starred")
     centre = starred.filter("centre").select("key", F.col("node").alias("other"))
-    stars = starred.join(centre, "key").filter("node <> other")
+    stars = starred.join(bounded(centre), "key").filter("node <> other")
     pairs = stars.select(F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi")).distinct()
     tested = stored(_verify(stored(pairs, "pairs"), texts, size), "tested")
     links = tested.filter(near).select("lo", "hi").distinct()
     # What is still apart in a bucket.
     label = components(links)
     joined = label.filter("label < node").select(F.col("label").alias("lo"), F.col("node").alias("hi"))
-    labelled = starred.select("key", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = starred.select("key", "node", "n").join(bounded(label), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stored(labelled, "labelled")
     apart = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "apart")
-    rest = stored(labelled.join(apart, "key", "left_semi"), "rest")
+    rest = stored(labelled.join(bounded(apart), "key", "left_semi"), "rest")
     small, large = rest.filter(F.col("n") <= direct), rest.filter(F.col("n") > direct)
     other = small.select("key", F.col("node").alias("hi"), F.col("label").alias("hi_label"))
-    pairs = small.select("key", F.col("node").alias("lo"), "label").join(other, "key").filter("lo < hi and label <> hi_label")
-    pairs = pairs.select("lo", "hi").distinct().join(tested.select("lo", "hi"), ["lo", "hi"], "left_anti")
+    pairs = small.select("key", F.col("node").alias("lo"), "label").join(bounded(other), "key").filter("lo < hi and label <> hi_label")
+    pairs = pairs.select("lo", "hi").distinct().join(bounded(tested.select("lo", "hi")), ["lo", "hi"], "left_anti")
     more = _verify(stored(pairs, "pairs"), texts, size).filter(near).select("lo", "hi")
     return stored(joined.unionByName(more).unionByName(_links_in_clusters(large, texts, size, percent)), "links")
 
@@ -224,20 +224,20 @@ def _links_in_clusters(large: DataFrame, texts: DataFrame, size: int, percent: i
     exist inside it only.
     """
     first = large.groupBy("key").agg(F.min("node").alias("lo"))
-    edges = large.select("key", F.col("node").alias("hi")).join(stored(first, "heads"), "key").select("lo", "hi").distinct()
+    edges = large.select("key", F.col("node").alias("hi")).join(bounded(stored(first, "heads")), "key").select("lo", "hi").distinct()
     cluster = components(edges).withColumnRenamed("label", "cluster")
-    nodes = stored(large.select("node", "label").distinct().join(cluster, "node"), "clusters")
+    nodes = stored(large.select("node", "label").distinct().join(bounded(cluster), "node"), "clusters")
     sizes = nodes.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(
         F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     sizes = stored(sizes.filter("n > most"), "cluster-sizes")
     blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
-    placed = nodes.join(sizes, "cluster").withColumn("outside", F.col("label") != F.col("main"))
+    placed = nodes.join(bounded(sizes), "cluster").withColumn("outside", F.col("label") != F.col("main"))
     placed = placed.withColumns({"rows": blocks(F.col("n") - F.col("most")), "columns": blocks(F.col("n"))})
     block = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = placed.filter("outside").select("cluster", block("rows").alias("i"), upto("columns").alias("j"), F.lit(True).alias("asks"), "node", "label")
     right = placed.select("cluster", upto("rows").alias("i"), block("columns").alias("j"), F.lit(False).alias("asks"), "node", "label")
-    sides = stored(left.unionByName(right), "blocks").join(texts, "node")
+    sides = bounded(stored(left.unionByName(right), "blocks")).join(texts, "node")
 
     def compare(group):
         import numpy as np
@@ -287,19 +287,19 @@ def _judged(docs: DataFrame, size: int, percent: int, bands: int, rows: int, id_
     first = F.min(F.struct(F.col("own").alias("node"), "left", "right")).alias("first")
     classes = stored(filled.groupBy("digest").agg(first).select("digest", "first.*"), "classes")
     # Rows and their class: both are plain tables, so Spark splits a class that holds much of the corpus.
-    copies = filled.select("own", "digest").join(classes.select("digest", "node"), "digest").filter("own <> node")
+    copies = filled.select("own", "digest").join(bounded(classes.select("digest", "node")), "digest").filter("own <> node")
     copies = stored(copies.select(F.col("node").alias("lo"), F.col("own").alias("hi")).distinct(), "copies")
     members = classes.select("node", F.explode(table_keys(F.col("left"), F.col("right"))).alias("key")).select("key", "node")
     shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
-    members = stored(members.join(shared, "key", "left_semi"), "candidates")
+    members = stored(members.join(bounded(shared), "key", "left_semi"), "candidates")
     wanted = stored(members.select("node").distinct(), "wanted")
     texts = docs.select(vertex(F.col(id_col), F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    texts = stored(texts.join(wanted, "node", "left_semi"), "texts")
+    texts = stored(texts.join(bounded(wanted), "node", "left_semi"), "texts")
     parts = components(find_links(members, texts, size, percent).unionByName(copies))
     real = F.when(F.col("node") >= F.lit(_NO_ID), F.col("node"))
     smallest = stored(parts.groupBy("label").agg(F.min(real).alias("component")), "components")
-    membership = stored(parts.join(smallest, "label").select(F.col("node").alias("own"), "label", "component"), "membership")
-    out = signed.select("id", "own", "n").join(membership, "own", "left")
+    membership = stored(parts.join(bounded(smallest), "label").select(F.col("node").alias("own"), "label", "component"), "membership")
+    out = signed.select("id", "own", "n").join(bounded(membership), "own", "left")
     component = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component"))
     stays = F.when(component.isNull(), F.coalesce(F.col("label"), F.col("own")) == F.col("own")).otherwise(F.col("id").eqNullSafe(component))
     return out.select("id", "own", F.col("n").alias("n_shingles"), component.alias("component_id"), stays.alias("kept"))
@@ -315,7 +315,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, band
     own, stays, n = fresh(docs, "_vertex", "_own", "_n")
     stay = stored(found.groupBy(F.col("own").alias(stays)).agg(F.count("*").alias(n)), "stay")
     keyed, same = docs.withColumn(own, vertex(F.col(id_col), F.col(text_col))), F.col(own) == F.col(stays)
-    single = keyed.join(stay.filter(F.col(n) == 1), same, "left_semi").drop(own)
-    again = keyed.join(stay.filter(F.col(n) > 1), same, "left_semi")
+    single = keyed.join(bounded(stay.filter(F.col(n) == 1)), same, "left_semi").drop(own)
+    again = keyed.join(bounded(stay.filter(F.col(n) > 1)), same, "left_semi")
     first = again.groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return single.unionByName(first)

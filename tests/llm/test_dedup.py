@@ -118,3 +118,18 @@ def test_rows_left_of_near_copies(spark):
     assert stay.columns == frame(spark, data).columns
     assert stay.count() == len({*parts.values()})
     assert nd.drop_near_duplicates(empty(spark)).count() == 0
+
+
+def test_no_large_broadcast(spark, monkeypatch):
+    """Ids compress well: their files stay below Spark's own limit, their rows on the driver don't."""
+    plans, keep = [], nd.stored
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return keep(df, name)
+
+    links = keep(spark.range(200_000).selectExpr("id * 2 as lo", "id * 2 + 1 as hi"), "test-links")
+    monkeypatch.setattr(nd, "stored", watched)
+    found = nd.components(links)
+    assert found.count() == 400_000 and found.filter("label <> node - node % 2").count() == 0
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
