@@ -141,14 +141,15 @@ def dictionary_tagger(df: DataFrame, terms: DataFrame, text: str = "text", id_co
     several words the places where one may stand are found in the text first (``phrase_places``), so that only those are joined.
     """
     fold = F.lower if ignore_case else (lambda c: c)
-    lexicon = terms.select(fold(F.col("term")).alias("term"), "label").distinct()
+    # Written: Spark knows its size, so a small one is broadcast whatever it was made of.
+    lexicon = written(terms.select(fold(F.col("term")).alias("term"), "label").distinct(), "lexicon")
     staged = once(df.select(id_col, text), _tok=tokenize_with_spans(F.col(text), strategy))
     if max_words == 1:
-        pieces = staged.select(id_col, text, F.explode("_tok").alias("g")).withColumn("g", F.col("g").withField("term", F.col("g.token")))
-        words = pieces.select(id_col, fold(F.col("g.term")).alias("term"), F.col("g.start").alias("start"), F.col("g.end").alias("end"),
-                              F.substring(F.col(text), F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("text"))
+        # A token is its own text: ``substring`` would walk the record from its start for every token.
+        pieces = staged.select(id_col, F.explode("_tok").alias("g"))
+        words = pieces.select(id_col, fold(F.col("g.token")).alias("term"), F.col("g.start").alias("start"), F.col("g.end").alias("end"), F.col("g.token").alias("text"))
     else:
-        lexicon = written(lexicon.filter(F.size(F.split("term", " ")) <= max_words), "lexicon")
+        lexicon = lexicon.filter(F.size(F.split("term", " ")) <= max_words)
         places = phrase_places(F.col("_tok"), F.col(text), prefix_bits(lexicon.select("term")), max_words, fold)
         words = once(staged, _p=places).select(id_col, F.explode("_p").alias("p")).select(id_col, "p.*")
     return lookup_join(words, lexicon, ["term"], "inner").select(

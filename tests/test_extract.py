@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,14 @@ def test_clean_and_sanitize(spark):
     assert [x.text for x in r.a] == ["abc", "dé-f o'x."] and [x.text for x in r.b] == ["abc", "a@b", "dé-f o'x."]
     s = spark.createDataFrame([("abcd", [(2, 4, " B "), (0, 9, "A"), (0, 2, "A"), (3, 3, "A"), (0, 1, " ")])], f"t string, s {SP}")
     assert [tuple(x) for x in s.select(sanitize_spans(F.col("s"), F.col("t")).alias("s")).head().s] == [(0, 2, "A"), (2, 4, "B")]
+
+
+def test_dictionary_words_in_one_pass(spark):
+    """A token is its own text (no walk through the record for each), and a small dictionary is broadcast whatever it was made of."""
+    texts = ["Zoë ißt das  Brot, das Brot", " das", "", None, "x　das é" + " wort" * 500 + " das"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_idx int, text string")
+    out = ex.dictionary_tagger(df, spark.createDataFrame([("das", "A"), ("Brot", "B")], "term string, label string"), strategy="whitespace")
+    want = [(i, m.start(), m.end(), {"das": "A"}.get(m.group(), "B"), m.group()) for i, t in enumerate(texts) for m in re.finditer(r"\S+", t or "") if m.group() in ("das", "Brot")]
+    assert sorted(tuple(r)[:5] for r in out.collect()) == sorted(want) and len(want) == 6
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "substring" not in plan and "BroadcastHashJoin" in plan
