@@ -237,10 +237,13 @@ def collect_entities(df: DataFrame, ents: DataFrame, id_col: str = "row_idx", na
 
 
 # --------------------------------------------------------------------------- tokens and spans
-def _token_counts(text: Column, spans: Column, strategy: str, body) -> Column:
-    """Call ``body`` with "number of tokens that start before position p" and "is p inside a token" (0 or 1)."""
+def _token_counts(text: Column, spans: Column, strategy: str, body, heads: bool = True) -> Column:
+    """Call ``body`` with "number of tokens that start before position p" and "is p inside a token" (0 or 1).
+
+    p is a span's start or end, or with ``heads`` the place after its first character.
+    """
     ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]),
-                    F.transform(spans, lambda s: s["start"] + 1))
+                    *[F.transform(spans, lambda s: s["start"] + 1)] * heads)
 
     def with_points(n: Column) -> Column:
         inside = F.array_sort(F.array_distinct(F.transform(ends, lambda p: F.greatest(F.lit(0), F.least(p, n)).cast("int"))))
@@ -262,7 +265,7 @@ def align_spans_to_tokens(text: Column, spans: Column, strategy: str = "whitespa
             (before(s["end"]) - 1).alias("end_tok"), s["label"].alias("label")))
         return F.filter(ranges, lambda r: r["start_tok"] <= r["end_tok"])
 
-    return _token_counts(text, spans, strategy, body)
+    return _token_counts(text, spans, strategy, body, heads=False)
 
 
 def clamp_spans(spans: Column, text: Column) -> Column:

@@ -162,15 +162,17 @@ def calibration_split(df: DataFrame, ratio: float = 0.5, seed: int = 42, mode: s
 def group_profiles(df: DataFrame, group: str, labels: str = "labels") -> DataFrame:
     """(group, examples, spans, counts map label -> spans); ``labels`` is an array of span labels per record.
 
-    Counting first per (group, label) keeps a group with a third of all records a partial sum per task.
+    Records and labels are counted in one pass, first per (group, label), so that a group with a third of all records is a
+    partial sum per task.
     """
-    examples = df.groupBy(group).agg(F.count(F.lit(1)).alias("examples"))
-    per = df.select(group, F.explode(labels).alias("label")).groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("label", F.coalesce("label", F.lit(NO_LABEL)))
-    maps = per.groupBy(group).agg(F.sum("n").alias("spans"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("counts"))
-    return lookup_join(examples, maps, [group], null_safe=True).select(
-        group, "examples", F.coalesce("spans", F.lit(0)).alias("spans"),
-        F.coalesce("counts", F.create_map().cast("map<string,bigint>")).alias("counts"))
+    named = F.transform(F.coalesce(labels, F.array()), lambda x: F.struct(F.lit(False).alias("record"), F.coalesce(x, F.lit(NO_LABEL)).alias("label")))
+    record = F.array(F.struct(F.lit(True).alias("record"), F.lit("").alias("label")))
+    per = df.select(group, F.explode(F.concat(record, named)).alias("_x")).groupBy(group, "_x").agg(F.count(F.lit(1)).alias("n"))
+    span = ~F.col("_x.record")
+    counts = F.array_sort(F.collect_list(F.when(span, F.struct(F.col("_x.label").alias("label"), "n"))))
+    return per.groupBy(group).agg(
+        F.sum(F.when(~span, F.col("n"))).alias("examples"), F.coalesce(F.sum(F.when(span, F.col("n"))), F.lit(0)).alias("spans"),
+        F.map_from_entries(counts).alias("counts"))
 
 
 def fold_count(df: DataFrame, group: str, requested: int) -> int:
@@ -189,7 +191,7 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, labels: s
     """
     if k < 2:
         raise ValueError("at least 2 folds are needed")
-    profiles = group_profiles(df, group, labels)
+    profiles = written(group_profiles(df, group, labels), "group-profiles")  # the records are read once
     if profiles.limit(k).count() < k:
         raise ValueError(f"need at least {k} groups")
     label_groups = profiles.select(F.explode(F.map_keys("counts")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("g"))

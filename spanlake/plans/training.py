@@ -12,6 +12,7 @@ from spanlake.operators.extract import sliding_token_windows, tokenized_samples
 from spanlake.operators.filters import filter_empty, prepare_training_records
 from spanlake.operators.merge import REFIT_MODES, merge_training
 from spanlake.operators.splits import assign_folds, group_folds, refit_splits, sample_pseudolabels
+from spanlake.operators.staging import written
 from spanlake.schema import LABELS
 
 
@@ -65,5 +66,6 @@ def training_windows(df: DataFrame, text: str = "text", spans: str = "spans", gr
     windows = sliding_token_windows(samples, max_length, overlap, keep_empty)
     if k <= 0:
         return windows
-    labelled = windows.withColumn("labels", F.transform("ner", lambda s: s["label"]))
-    return assign_folds(labelled.drop("labels"), group_folds(labelled, group, k, seed), group)
+    windows = written(windows, "training-windows")  # made once, for the folds and for the result
+    labelled = windows.select(group, F.transform("ner", lambda s: s["label"]).alias("labels"))
+    return assign_folds(windows, group_folds(labelled, group, k, seed), group)

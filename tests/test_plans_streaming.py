@@ -173,3 +173,18 @@ def test_repeated_tasks_are_noticed(spark):
     context = lambda s: N(statusTracker=lambda: N(getJobIdsForGroup=lambda g: [1], getJobInfo=lambda j: N(stageIds=[5]), getStageInfo=lambda i: s))
     assert _ran_once(context(stage()), "g")
     assert not any(_ran_once(context(stage(**k)), "g") for k in ({"currentAttemptId": 1}, {"numFailedTasks": 1}, {"numCompletedTasks": 5}))
+
+
+def test_training_windows_read_the_records_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(i, f"g{i % 5}", "Ana mora em Rio", [(0, 3, "Person"), (12, 15, "Location")]) for i in range(20)],
+                               "row_idx int, sample_id string, text string, spans array<struct<start:int,end:int,label:string>>")
+    w = training_windows(df.mapInArrow(count, df.schema), k=3, max_length=3, overlap=1).collect()
+    assert seen.value == 20
+    assert len(w) == 40 and {r.fold for r in w} == {1, 2, 3} and len({(r.sample_id, r.fold) for r in w}) == 5
