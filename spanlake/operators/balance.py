@@ -7,17 +7,21 @@ that still pay after the ones before.  The cost never rises; the search ends whe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.operators.staging import written
+from spanlake.session import ship_package
 
 #: Rounds at most; rounds without a gain after which the search ends if not all pairs were seen; candidates that come back in a round.
 ROUNDS, PATIENCE, TAKE = 30, 3, 512
 #: Groups of a fold that share a bucket, on average; up to this many, all pairs of groups meet.
 BUCKET, ALL_PAIRS = 8, 256
+#: Pairs of groups that a task scores at once.
+PAIRS = 1 << 17
 #: Weights of the cost by what is out of balance (see ``fold_cost``); a gain has to be larger than ``LEAST``.
 GROUP, EXAMPLE, PRESENCE, SPAN, MISSING, LEAST = 1.0, 1.0, 3.0, 2.0, 10.0, 1e-12
 
@@ -51,16 +55,73 @@ class FoldTotals:
         self.totals[target] = [x + m for x, m in zip(self.totals[target], moved)]
 
 
-def _gain_column(moved: Column, totals: FoldTotals) -> Column:
-    """``FoldTotals.gain`` of a row with ``source`` and ``target``: the quadratic part by the difference of the folds, and labels that go missing."""
-    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    rows = F.array(*[numbers(t) for t in totals.totals])
-    n, weights = totals.labels, numbers(totals.weights)
-    a, b = F.get(rows, F.col("source")), F.get(rows, F.col("target"))
-    terms = F.transform(moved, lambda m, i: F.get(weights, i) * m * 2 * (m - F.get(a, i) + F.get(b, i)))
-    gone = lambda x: F.when(x <= 0, MISSING).otherwise(0.0)
-    lost = F.transform(F.sequence(F.lit(2), F.lit(1 + n)), lambda i: gone(F.get(a, i) - F.get(moved, i)) - gone(F.get(a, i)) + gone(F.get(b, i) + F.get(moved, i)) - gone(F.get(b, i))) if n else F.array(F.lit(0.0))
-    return F.aggregate(F.concat(terms, lost), F.lit(0.0), lambda x, y: x + y)
+def _best_changes(batches: Iterator, totals: FoldTotals, take: int) -> Iterator:
+    """The ``take`` best swaps and moves of the buckets of a task, whose rows (f, v, h, b) come sorted by bucket; gains as ``FoldTotals.gain`` without
+    its common terms.  Pairs exist ``PAIRS`` at a time.
+    """
+    import numpy as np
+    table, weights, width, labels, k = np.array(totals.totals), totals.weights, len(totals.weights), totals.labels, len(totals.totals)
+    gone = lambda x: np.where(x <= 0, MISSING, 0.0)
+    # Of the best so far: gain, h, i (0 for a move), target, source, whether it is a move, the vector that moves.
+    best = [np.zeros(0), *[np.zeros(0, np.int64)] * 4, np.zeros(0, bool), np.zeros((0, width))]
+
+    def gains(moved, source, target):
+        out = np.zeros(len(source))
+        for i in range(width):
+            m = moved(i)
+            out += weights[i] * m * 2 * (m - table[source, i] + table[target, i])
+        for i in range(2, 2 + labels):
+            m, a, b = moved(i), table[source, i], table[target, i]
+            out += gone(a - m) - gone(a) + gone(b + m) - gone(b)
+        return out
+
+    def offer(gain, h, i, target, source, alone, moved):
+        nonlocal best
+        good = gain < -LEAST
+        if len(best[0]) >= take:
+            good &= gain <= best[0][-1]
+        at = np.flatnonzero(good)
+        if len(at) > take:
+            at = at[gain[at] <= np.partition(gain[at], take - 1)[take - 1]]
+        if len(at):
+            new = [gain[at], h[at], i[at], target[at], source[at], np.full(len(at), alone), np.stack([moved(c)[at] for c in range(width)], 1)]
+            both = [np.concatenate(x) for x in zip(best, new)]
+            first = np.lexsort(both[3::-1])[:take]
+            best = [x[first] for x in both]
+
+    def score(f, v, h, b):
+        order = np.lexsort((f, b))
+        f, v, h, b = f[order], v[order].T.copy(), h[order], b[order]
+        place = np.concatenate(([0], (b[1:] != b[:-1]).cumsum())) * k
+        later = np.searchsorted(place + f, place + f, "right")  # of the same bucket, in later folds
+        count = np.searchsorted(place + f, place + k) - later
+        total = count.cumsum()
+        for start in range(0, int(total[-1]), PAIRS):
+            pair = np.arange(start, min(start + PAIRS, total[-1]))
+            x = np.searchsorted(total, pair, "right")
+            y = later[x] + pair - (total[x] - count[x])
+            moved = lambda c: v[c][x] - v[c][y]
+            offer(gains(moved, f[x], f[y]), h[x], h[y], f[y], f[x], False, moved)
+        for target in range(k):
+            x = np.flatnonzero((f != target) & (table[f, 0] > table[target, 0]))
+            moved, to = (lambda c: v[c][x]), np.full(len(x), target)
+            offer(gains(moved, f[x], to), h[x], np.zeros(len(x), np.int64), to, f[x], True, moved)
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column("f").to_numpy().astype(np.int64), batch.column("v").flatten().to_numpy().reshape(-1, width), batch.column("h").to_numpy(), batch.column("b").to_numpy()]
+        rows = [np.concatenate(x) for x in zip(rest, rows)] if rest else rows
+        whole = np.searchsorted(rows[3], rows[3][-1])  # the last bucket may go on
+        if whole:
+            score(*[x[:whole] for x in rows])
+        rest = [x[whole:] for x in rows]
+    if rest:
+        score(*rest)
+    gain, h, i, target, source, alone, moved = best
+    yield pa.RecordBatch.from_arrays([pa.array(gain), pa.array(source, pa.int32()), pa.array(target, pa.int32()), pa.array(h), pa.array(i, mask=alone), pa.array(moved.tolist(), pa.list_(pa.float64()))],
+                                     names=["gain", "source", "target", "h", "i", "moved"])
 
 
 def balance_folds(folds: DataFrame, group: str, k: int, seed: int = 42, rounds: int = ROUNDS, take: int = TAKE, bucket: int = BUCKET, all_pairs: int = ALL_PAIRS) -> DataFrame:
@@ -71,6 +132,7 @@ def balance_folds(folds: DataFrame, group: str, k: int, seed: int = 42, rounds:
     most; groups of all folds meet pair by pair up to ``all_pairs`` groups a fold, so that the result is a local optimum there, and
     in buckets of ``bucket`` groups a fold above.  What comes back to the driver is folds times labels, and the candidates.
     """
+    ship_package(folds.sparkSession)
     base = written(folds, "fold-profiles")
     names = [r["label"] for r in base.select(F.explode(F.map_keys("counts")).alias("label")).distinct().orderBy("label").collect()]  # the label inventory
     known = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
@@ -82,23 +144,18 @@ def balance_folds(folds: DataFrame, group: str, k: int, seed: int = 42, rounds:
     totals = FoldTotals([sums.get(f, [0.0] * width) for f in range(k)], len(names))
     most = max(t[0] for t in totals.totals)
     buckets = 1 if most <= all_pairs else int(-(-most // bucket))
-    spark, kind = folds.sparkSession, f"h long, f int"
+    # An Arrow table goes to the JVM as it is, without Python workers.
+    changes = lambda of: folds.sparkSession.createDataFrame(pa.table({"_h": pa.array(of.keys(), pa.int64()), "_f": pa.array(of.values(), pa.int32())}))
     changed: dict[int, int] = {}
     idle = 0
     for turn in range(rounds):
         now = slim
         if changed:  # rounds times twice ``take`` rows at most
-            moved = F.broadcast(spark.createDataFrame(list(changed.items()), kind).select(F.col("h").alias("_h"), F.col("f").alias("_f")))
+            moved = F.broadcast(changes(changed))
             now = slim.join(moved, F.col("h") == F.col("_h"), "left").select("g", F.coalesce("_f", "f").alias("f"), "v", "h")
         dealt = now.select("f", "v", "h", F.pmod(F.xxhash64(F.lit(turn), F.col("h")), F.lit(buckets)).alias("b"))
-        left = dealt.select(F.col("f").alias("source"), F.col("v").alias("v"), F.col("h").alias("h"), "b")
-        right = dealt.select(F.col("f").alias("target"), F.col("v").alias("w"), F.col("h").alias("i"), "b")
-        swaps = left.join(right, "b").filter("source < target").select("source", "target", "h", "i", F.zip_with("v", "w", lambda x, y: x - y).alias("moved"))
-        empty = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(t[0]).alias("n")) for f, t in enumerate(totals.totals)])
-        count = lambda f: F.get(empty, f)["n"]
-        alone = left.select("source", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("target"), "h", F.lit(None).cast("long").alias("i"), F.col("v").alias("moved"))
-        alone = alone.filter((F.col("source") != F.col("target")) & (count(F.col("source")) > count(F.col("target"))))
-        found = swaps.unionByName(alone).withColumn("gain", _gain_column(F.col("moved"), totals)).filter(F.col("gain") < -LEAST)
+        found = dealt.repartition("b").sortWithinPartitions("b").mapInArrow(
+            lambda batches: _best_changes(batches, totals, take), "gain double, source int, target int, h long, i long, moved array<double>")
         best = found.orderBy("gain", "h", F.coalesce("i", F.lit(0)), "target").limit(take).collect()
         used: set[int] = set()
         for r in best:
@@ -116,7 +173,7 @@ def balance_folds(folds: DataFrame, group: str, k: int, seed: int = 42, rounds:
             break
     if not changed:
         return base.select(*folds.columns)
-    moved = F.broadcast(spark.createDataFrame(list(changed.items()), kind).select(F.col("h").alias("_h"), F.col("f").alias("_f")))
+    moved = F.broadcast(changes(changed))
     h = F.xxhash64(F.lit(seed), F.col(group), F.col(group).isNull())
     out = base.join(moved, h == F.col("_h"), "left").withColumn("fold", F.coalesce(F.col("_f") + 1, F.col("fold")).cast(folds.schema["fold"].dataType))
     return out.select(*folds.columns)

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import pytest
 
+from spanlake.operators import balance
 from spanlake.operators.balance import FoldTotals, balance_folds
 from spanlake.operators.splits import fold_cost, group_folds
 
@@ -86,3 +87,45 @@ def test_groups_without_labels(spark):
     folds = group_folds(records(spark, 2, 30, 8, []), "g", 2)
     out = balance_folds(folds, "g", 2)
     assert out.count() == 8 and fold_cost(out, 2).first()["cost"] <= fold_cost(folds, 2).first()["cost"]
+
+
+def test_folds_read_the_records_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = records(spark, 4, 90, 12)
+    out = group_folds(df.mapInArrow(count, df.schema), "g", 3)
+    assert seen.value == 90
+    want = {}
+    for r in df.collect():
+        n, found = want.get(r.g, (0, {}))
+        want[r.g] = n + 1, {x: found.get(x, 0) + r.labels.count(x) for x in {*found, *r.labels}}
+    assert {r.g: (r.examples, r.counts) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("take, names", [(3, 2), (1000, 2), (7, 0)])
+def test_best_changes_of_buckets(monkeypatch, take, names):
+    """All pairs of a bucket and all moves to smaller folds, a few pairs at a time, whatever the batches."""
+    import pyarrow as pa
+    monkeypatch.setattr(balance, "PAIRS", 11)
+    rng = random.Random(take + names)
+    rows = sorted([(rng.randrange(3), [1.0, float(rng.randint(1, 9)), *[float(rng.random() < 0.3) for _ in range(2 * names)]], rng.getrandbits(40), b) for b in (0, 0, 3, 7) for _ in range(9)], key=lambda r: r[3])
+    totals = FoldTotals([[sum(r[1][i] for r in rows if r[0] == f) for i in range(2 + 2 * names)] for f in range(3)], names)
+    options = [(totals.gain(a[0], b[0], [x - y for x, y in zip(a[1], b[1])]), a[0], b[0], a[2], b[2]) for a in rows for b in rows if a[3] == b[3] and a[0] < b[0]]
+    options += [(totals.gain(r[0], f, r[1]), r[0], f, r[2], None) for r in rows for f in range(3) if totals.totals[r[0]][0] > totals.totals[f][0]]
+    want = sorted((o for o in options if o[0] < -balance.LEAST), key=lambda o: (o[0], o[3], o[4] or 0, o[2]))[:take]
+    kind = pa.schema([("f", pa.int32()), ("v", pa.list_(pa.float64())), ("h", pa.int64()), ("b", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip("fvhb", r)) for r in rows[i:i + 5]], kind) for i in range(0, len(rows), 5)]
+    (got,) = balance._best_changes(iter(batches), totals, take)
+    vectors = {r[2]: r[1] for r in rows}
+    found = got.to_pylist()
+    assert len(found) == len(want) > 0
+    assert sorted(r["gain"] for r in found) == pytest.approx([o[0] for o in want], abs=1e-9)
+    for r in found:
+        assert r["moved"] == [x - y for x, y in zip(vectors[r["h"]], vectors[r["i"]] if r["i"] is not None else [0.0] * 9)]
+        assert totals.gain(r["source"], r["target"], r["moved"]) == pytest.approx(r["gain"], abs=1e-9)
+    assert list(balance._best_changes(iter([]), totals, take))[0].num_rows == 0
