@@ -1,7 +1,7 @@
 """Join of two tables on overlapping intervals, by a plane sweep.
 
-Both sides become one table of events, sorted once by (keys, cell, start).  A sweep walks it with the open intervals of either side;
-an interval that starts meets exactly the open ones of the other side, so no pair is looked at that isn't a result.  Long records are cut into
+Both sides become one table of events, sorted once by (keys, cell, start).  An interval meets those of the other side that come after it and
+start before its end, a run of that order, so no pair is looked at that isn't a result.  Long records are cut into
 cells: an interval is carried into every cell that it reaches, and a pair belongs to the cell in which its
 later interval starts, so it comes out once.
 """
@@ -9,7 +9,6 @@ later interval starts, so it comes out once.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from spanlake.operators.ordering import lookup_join
 from spanlake.operators.staging import written
+from spanlake.session import ship_package
 
 #: Intervals of a record that a cell holds on average if no cell width is given; pairs of an output batch.
 CELL_ROWS, PAIRS = 20_000, 65_536
@@ -48,49 +48,63 @@ def _events(df: DataFrame, keys: Sequence[str], bounds: tuple, side: int, closed
 
 
 def _sweep(batches: Iterator, n_keys: int, names: tuple[list[str], list[str]]) -> Iterator:
-    """Pairs of sorted events.  Python sees numbers only; the rows of both sides are taken from the Arrow columns by their positions."""
+    """Pairs of sorted events.  Of the other side an interval meets those that come later and start before its end: one run of positions, found
+    for a whole batch at once.  The rows of both sides are taken from the Arrow columns by their positions.
+    """
+    import numpy as np
     import pyarrow as pa
-    rows = [None, None]  # rows that may still be needed, of the left and of the right side
-    group, live = None, ([], [])  # open intervals of a side: heap of (end, position in rows)
+    import pyarrow.compute as pc
+    rows = [None, None]  # rows that are open at the end of a batch, of the left and of the right side
+    until = [np.zeros(0, np.int64)] * 2  # their ends
+    group = None
 
-    def pairs(found: tuple[list[int], list[int]]):
-        taken = [rows[s].take(pa.array(found[s], pa.int64())) for s in (0, 1)]
-        fields = [f for t in taken for f in t.flatten()]
+    def pairs(found: tuple):
+        fields = [f for s in (0, 1) for f in rows[s].take(pa.array(found[s], pa.int64())).flatten()]
         return pa.RecordBatch.from_arrays(fields, names=[*names[0], *names[1]])
 
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys + 1)]))  # keys and cell
-        starts, ends, sides, carried = (batch.column(c).to_pylist() for c in ("_start", "_end", "_side", "_carried"))
-        at = [0, 0]
-        for s, column in enumerate(("_l", "_r")):
-            # The rows still open move to the front, the batch follows.
-            new = batch.column(column)
-            kept = rows[s].take(pa.array([p for _, p in live[s]], pa.int64())) if live[s] else None
-            live[s][:] = [(end, i) for i, (end, _) in enumerate(live[s])]  # the same order: still a heap
-            at[s] = len(kept) if kept is not None else 0
-            rows[s] = pa.concat_arrays([kept, new]) if kept is not None else new
-        found: tuple[list[int], list[int]] = ([], [])
-        for i, key in enumerate(keys):
-            if key != group:
-                group = key
-                live[0].clear()
-                live[1].clear()
-            side, start = sides[i], starts[i]
-            position, others = at[side] + i, live[1 - side]
-            if not carried[i]:
-                while others and others[0][0] <= start:
-                    heappop(others)
-                if others:
-                    found[side].extend([position] * len(others))
-                    found[1 - side].extend([p for _, p in others])
-                    if len(found[0]) >= PAIRS:
-                        yield pairs(found)
-                        found = ([], [])
-            heappush(live[side], (ends[i], position))
-        if found[0]:
-            yield pairs(found)
+        keys = [batch.column(i) for i in range(n_keys + 1)]  # keys and cell
+        changed = np.zeros(n, bool)
+        for k in keys:
+            changed[1:] |= pc.not_equal(k.slice(1), k.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        g = changed.cumsum()
+        if [k[0].as_py() for k in keys] != group:
+            rows, until = [None, None], [until[0][:0], until[1][:0]]
+        group = [k[n - 1].as_py() for k in keys]
+        starts, ends, sides, carried = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_start", "_end", "_side", "_carried"))
+        at = [len(u) for u in until]
+        for s, side in enumerate("lr"):
+            # The open rows come first, the batch follows.
+            fields = [f"_{side}{i}" for i in range(len(names[s]))]
+            new = pa.StructArray.from_arrays([batch.column(f) for f in fields], names=fields)
+            rows[s] = pa.concat_arrays([rows[s], new]) if at[s] else new
+        for s in (0, 1):
+            own, later = np.flatnonzero(sides == s), np.flatnonzero((sides != s) & ~carried)
+            end = np.concatenate((until[s], ends[own]))
+            # Order by (group, start) as one number, with starts by rank.
+            ranks = np.unique(starts[later])
+            order = g[later] * (len(ranks) + 1) + np.searchsorted(ranks, starts[later])
+            upto = np.concatenate((np.zeros(at[s], np.int64), g[own])) * (len(ranks) + 1) + np.searchsorted(ranks, end)
+            first = np.concatenate((np.zeros(at[s], np.int64), np.searchsorted(later, own)))
+            count = np.searchsorted(order, upto) - first
+            meet = np.flatnonzero(count > 0)
+            position = np.concatenate((np.arange(at[s]), at[s] + own))[meet]
+            first, count = first[meet], count[meet]
+            total = count.cumsum()
+            for k in range(0, int(total[-1]) if len(total) else 0, PAIRS):
+                pair = np.arange(k, min(k + PAIRS, total[-1]))
+                x = np.searchsorted(total, pair, "right")
+                y = at[1 - s] + later[first[x] + pair - (total[x] - count[x])]
+                yield pairs((position[x], y) if s == 0 else (y, position[x]))
+        for s in (0, 1):
+            # Only the last record goes on, and what starts there next starts no earlier than the last interval.
+            old = until[s] > starts[-1] if not g[-1] else np.zeros(at[s], bool)
+            new = np.flatnonzero((g == g[-1]) & (sides == s) & (ends > starts[-1]))
+            rows[s] = rows[s].take(pa.array(np.concatenate((np.flatnonzero(old), at[s] + new)), pa.int64()))
+            until[s] = np.concatenate((until[s][old], ends[new]))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_bounds: tuple = ("start", "end"), right_bounds: tuple = ("start", "end"),
@@ -105,6 +119,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_bo
     width for about ``cell_rows`` intervals each, from its count and range; a record up to that size is one cell.  A task holds the intervals that
     are open at one point and one batch of rows, never a record; an interval over many cells is repeated once a cell.
     """
+    ship_package(left.sparkSession)
     rest = [[c for c in df.columns if c not in keys] for df in (left, right)]
     if not keys:
         raise ValueError("give at least one key; a constant column serves for one record")
@@ -126,10 +141,13 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_bo
     cells = F.when(F.col("_width").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(whole("_start"), whole("(_end - 1)")))
     cut = both.select(*packed, F.explode(cells).alias("_cell"), "_start", "_end", "_side", "_l", "_r", "_width")
     cut = cut.withColumn("_carried", F.col("_width").isNotNull() & (F.col("_cell") > whole("_start"))).drop("_width")
-    # Keys as text, so that workers can compare them whatever their type.
-    cut = cut.withColumns({k: F.col(k).cast("string") for k in packed})
+    # Keys that workers can't compare as they are become text.
+    plain = (T.IntegralType, T.StringType, T.DateType)
+    cut = cut.withColumns({k: F.col(k).cast("string") for k in packed if not isinstance(cut.schema[k].dataType, plain)})
     order = [*packed, "_cell", "_start", "_side"]
-    ready = cut.repartition(*packed, "_cell").sortWithinPartitions(*order).select(*packed, "_cell", "_start", "_end", "_side", "_carried", "_l", "_r")
+    # The rows' fields as columns of their own: Spark measures its Arrow batch after every row, and walks a struct's vectors each time.
+    fields = [F.col(f"_{x}.`{f}`").alias(f"_{x}{i}") for x, p in zip("lr", payloads) for i, f in enumerate(p.fieldNames())]
+    ready = cut.repartition(*packed, "_cell").sortWithinPartitions(*order).select(*packed, "_cell", "_start", "_end", "_side", "_carried", *fields)
     names = tuple([f.name for f in p] for p in payloads)
     out = T.StructType([*payloads[0], *[f if rest[1] else T.StructField("_again", f.dataType) for f in payloads[1]]])
     swept = ready.mapInArrow(lambda batches: _sweep(batches, len(keys), (names[0], names[1] if rest[1] else ["_again"])), out)

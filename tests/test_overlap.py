@@ -85,3 +85,20 @@ def test_refused_and_empty(spark):
         overlap_join(left, right, [], ("a", "b"), ("c", "d"))
     with pytest.raises(TypeError):
         overlap_join(left.withColumn("a", F.lit(1.5)), right, ["k"], ("a", "b"), ("c", "d"))
+
+
+def test_sweep_of_batches(monkeypatch):
+    """Whole batches at once: open intervals go on into the next batch, a record with very many pairs comes out piece by piece."""
+    import pyarrow as pa
+    monkeypatch.setattr(overlap, "PAIRS", 100)
+    rng = random.Random(8)
+    events = sorted((k, cell, s, side, s + rng.choice((1, 2, 40)), rng.random() < 0.1, j) for k in "ab" for cell in (0, 1) for side in (0, 1) for j, s in enumerate(rng.choices(range(60), k=150)))
+    pick = lambda e, side: e[6] if e[3] == side else None
+    kind = pa.schema([("_k0", pa.string()), ("_cell", pa.int64()), ("_start", pa.int64()), ("_end", pa.int64()), ("_side", pa.int32()), ("_carried", pa.bool_()), ("_l0", pa.int64()), ("_r0", pa.int64())])
+    rows = [dict(zip(kind.names, (e[0], e[1], e[2], e[4], e[3], e[5], pick(e, 0), pick(e, 1)))) for e in events]
+    want = sorted((a[6], b[6]) if a[3] == 0 else (b[6], a[6]) for i, a in enumerate(events) for b in events[i + 1:] if a[:2] == b[:2] and a[3] != b[3] and not b[5] and b[2] < a[4])
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_pylist(rows[i:i + size], kind) for i in range(0, len(rows), size)]
+        out = list(overlap._sweep(iter(batches), 1, (["x"], ["y"])))
+        assert all(b.num_rows <= 100 for b in out)
+        assert sorted((r["x"], r["y"]) for b in out for r in b.to_pylist()) == want and len(want) > 5000
